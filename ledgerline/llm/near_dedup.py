@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` without those whose id is another document's copy; of rows that repeat an id and a text one stays."""
+    """Rows of ``docs`` without those whose id is another document's copy; rows that repeat a kept id stay."""
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(fresh(docs, "gone_")[0])).distinct()
     return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 

@@ -126,6 +126,12 @@ def apply_rules(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     return x.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(counts)
 
 
+def kept_documents(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+    """Rows of ``docs`` that are kept, with their own columns only."""
+    judged = apply_rules(docs.select(F.struct("*").alias("own"), "text"), rules)
+    return judged.where("kept").select("own.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit(docs, table(spark, sf_dir, "labels"))
