@@ -76,8 +76,8 @@ class Encoder:
     other part through the whole library, as does a text with an added token's string.
     """
 
-    LIMIT = 700_000  # parts remembered; the memory is cleared when full
-    ODD = re.compile(r"\s | \s")
+    LIMIT = 1_200_000  # parts remembered; the memory is cleared when full
+    ODD = re.compile(r"\s[ \n]|[ \n]\s")
     CUT = re.compile(r"(?<=\S) (?=\S)")
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
     LATIN = re.compile(f"[{LETTERS}]+")
@@ -114,14 +114,25 @@ class Encoder:
         return ids
 
     def _learn(self, part: str) -> None:
-        """Remembers the ids of a blank and this part."""
-        if self.LATIN.fullmatch(part):
+        """Remembers the ids of a blank and this part, or of a part that starts with a line's end."""
+        plain = part.isascii() and part.isalpha()
+        if not plain and part[-1] in ",." and self.LATIN.fullmatch(part, 0, len(part) - 1):
+            at = self.known.get(part[:-1])
+            if at is None:
+                self._learn(part[:-1])
+                at = self.known[part[:-1]]
+            self.ids.extend([*self.ids[self.ends[at] : self.ends[at + 1]], *self._piece(part[-1])])
+        elif plain:
+            self.ids.extend([t.id for t in self.tok.model.tokenize(self.char[32] + part)])
+        elif self.LATIN.fullmatch(part):
             self.ids.extend(self._model(f" {part}"))
-        elif self.PLAIN.fullmatch(part):
-            for piece in self.PIECES.findall(f" {part}"):
-                self.ids.extend(self._piece(piece))
         else:
-            self.ids.extend(self._whole(f" {part}"))
+            text = part if part[0] == "\n" else f" {part}"
+            if self.PLAIN.fullmatch(part):
+                for piece in self.PIECES.findall(text):
+                    self.ids.extend(self._piece(piece))
+            else:
+                self.ids.extend(self._whole(text))
         self.known[part] = len(self.ends) - 1
         self.ends.append(len(self.ids))
 
@@ -129,10 +140,10 @@ class Encoder:
         """Ids of a whole text as uint32."""
         if any(a in text for a in self.added):
             return np.array(self._whole(text), np.uint32)
-        if self.ODD.search(text) or text[:1] == " " or text[-1:] == " ":
+        if self.ODD.search(text) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
             first, *parts = self.CUT.split(text)
-        else:
-            first, *parts = text.split(" ")
+        else:  # a line's end between two characters that are no white space is a piece of its own
+            first, *parts = text.replace("\n", " \n").split(" ")
         head = np.array(self._whole(first), np.uint32)
         if not parts:
             return head
