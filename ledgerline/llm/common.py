@@ -77,7 +77,6 @@ class Encoder:
     """
 
     LIMIT = 1_200_000  # parts remembered; the memory is cleared when full
-    ODD = re.compile(r"\s[ \n]|[ \n]\s")
     CUT = re.compile(r"(?<=\S) (?=\S)")
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
     LATIN = re.compile(f"[{LETTERS}]+")
@@ -136,27 +135,35 @@ class Encoder:
         self.known[part] = len(self.ends) - 1
         self.ends.append(len(self.ids))
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text as uint32."""
-        if any(a in text for a in self.added):
-            return np.array(self._whole(text), np.uint32)
-        if self.ODD.search(text) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
-            first, *parts = self.CUT.split(text)
-        else:  # a line's end between two characters that are no white space is a piece of its own
-            first, *parts = text.replace("\n", " \n").split(" ")
-        head = np.array(self._whole(first), np.uint32)
-        if not parts:
-            return head
+    def _index(self, parts: list[str], check: bool = True) -> np.ndarray | None:
+        """Places of the parts; none if a new part has white space at an end that could join with more."""
         if len(self.known) + len(parts) > self.LIMIT:
             self.clear()
         known = self.known
         try:
-            index = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
         except KeyError:
             for p in parts:
                 if p not in known:
+                    if check and (p[-1].isspace() or p[0] != "\n" and p[0].isspace()):
+                        return None
                     self._learn(p)
-            index = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text as uint32."""
+        if any(a in text for a in self.added):
+            return np.array(self._whole(text), np.uint32)
+        # a line's end between two characters that are no white space is a piece of its own
+        first, *parts = text.replace("\n", " \n").split(" ")
+        simple = first and len(text.split()) == len(parts) + 1 and "" not in parts and "\n" not in parts
+        index = self._index(parts) if simple else None
+        if index is None:  # white space that stands together: cut only at blanks that stand alone
+            first, *parts = self.CUT.split(text)
+            index = self._index(parts, False)
+        head = np.array(self._whole(first), np.uint32)
+        if not parts:
+            return head
         ends = np.frombuffer(self.ends, np.int64)
         start = ends[index]
         n = ends[index + 1] - start
