@@ -75,8 +75,10 @@ def flagged(docs: DataFrame, base: str) -> DataFrame:
     near = mention.select("h", F.lower("b.v").alias("entity"), F.expr(f"concat(slice(reverse({_terms(before)}), 1, {NEAR}), slice({_terms(after)}, 1, {NEAR}))").alias("near"))
     near = durable(near.select("h", "entity", F.xxhash64("near").alias("c"), F.array_distinct("near").alias("near")), "mentions")
     pairs = near.select("h", "entity", "c", F.explode("near").alias("term")).distinct()
+    # a text with the term near any entity holds it, so a pair whose share is too low even of these texts is out before the corpus is read
+    least = pairs.groupBy("term").agg(F.countDistinct("h").alias("least"))
     pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("h").alias("together")).where(f"contexts >= {SUPPORT}")
-    pairs = durable(pairs, "pairs")
+    pairs = durable(pairs.join(least, "term").where(F.col("together") / F.col("least") >= SHARE).drop("least"), "pairs")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "h long, terms array<string>")
     held = docs.select(F.xxhash64("text").alias("h"), F.explode(F.expr(f"array_distinct({_terms('text')})")).alias("term"))
