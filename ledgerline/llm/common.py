@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import re
+import string
 import uuid
 from array import array
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,104 +74,83 @@ class Encoder:
 
     The pre-tokenizer of this byte-level vocabulary always cuts before a single
     blank between two characters that are not white space, so what stands between
-    such blanks can be encoded alone and remembered. A part of plain characters is
-    cut into the pre-tokenizer's pieces here and goes to the library's model, any
-    other part through the whole library, as does a text with an added token's string.
+    such blanks is encoded by itself and remembered as bytes. A new part of letters
+    goes to the library's model at once; other new parts of a text go to the library
+    together, joined by blanks, and the offsets of its tokens tell them apart. A text with an added token's string goes there whole.
     """
 
     LIMIT = 1_200_000  # parts remembered; the memory is cleared when full
     CUT = re.compile(r"(?<=\S) (?=\S)")
-    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-    LATIN = re.compile(f"[{LETTERS}]+")
-    PLAIN = re.compile(f"[\n!-~{LETTERS}]+")
-    PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|\\s+(?!\\S)|\\s+")
+    LETTERS = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    SURE = string.ascii_letters + string.digits
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others come after 255, in order
-        other = [b for b in range(256) if b not in set(plain)]
-        self.char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.swap = str.maketrans({" ": self.char[32], "\n": self.char[10]})
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _model(self, piece: str) -> list[int]:
-        text = piece.translate(self.swap) if piece.isascii() else "".join(map(self.char.__getitem__, piece.encode()))
-        return [t.id for t in self.tok.model.tokenize(text)]
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = self._model(piece)
-        return ids
-
-    def _learn(self, part: str) -> None:
-        """Remembers the ids of a blank and this part, or of a part that starts with a line's end."""
-        plain = part.isascii() and part.isalpha()
-        if not plain and part[-1] in ",." and self.LATIN.fullmatch(part, 0, len(part) - 1):
-            at = self.known.get(part[:-1])
-            if at is None:
-                self._learn(part[:-1])
-                at = self.known[part[:-1]]
-            self.ids.extend([*self.ids[self.ends[at] : self.ends[at + 1]], *self._piece(part[-1])])
-        elif plain:
-            self.ids.extend([t.id for t in self.tok.model.tokenize(self.char[32] + part)])
-        elif self.LATIN.fullmatch(part):
-            self.ids.extend(self._model(f" {part}"))
-        else:
-            text = part if part[0] == "\n" else f" {part}"
-            if self.PLAIN.fullmatch(part):
-                for piece in self.PIECES.findall(text):
-                    self.ids.extend(self._piece(piece))
+        self.known: dict[str, bytes] = {}
+        self.mark = {m: self._whole(m).tobytes() for m in ".,\n"}
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves; the others come after 255, in order
+        other = iter(range(256, 512))
+        self.table = "".join(chr(b if b in plain else next(other)) for b in range(256))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode(self, parts: list[str]) -> None:
+        texts = [p if p[0] == "\n" else f" {p}" for p in parts]
+        found = self.tok.encode("".join(["a", *texts]), add_special_tokens=False)
+        offsets = found.offsets
+        at = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets))[::2]
+        edges = (4 * np.searchsorted(at, np.cumsum([1, *map(len, texts)]))).tolist()
+        ids = np.array(found.ids, np.uint32).tobytes()
+        self.known.update(zip(parts, map(ids.__getitem__, map(slice, edges, edges[1:]))))
+
+    def _learn(self, parts: set[str]) -> None:
+        """Remembers the ids of parts, each with the blank before it or from its line's end on."""
+        known = self.known
+        marked = [p for p in parts if p[-1] in ".," and p[-2:-1] in self.SURE and p[-2:-1]]  # the mark is a piece of its own
+        need = parts.difference(marked)
+        need.update(p[:-1] for p in marked if p[:-1] not in known)
+        last = [p for p in need if p[-1].isspace()]  # only where the text ends
+        for p in last:
+            self._encode([p])
+        rest, letters, model, table = [], self.LETTERS.fullmatch, self.tok.model.tokenize, self.table
+        for p in need.difference(last):
+            if letters(p):  # one piece, or a line's end and one piece
+                lead, text = (self.mark["\n"], p[1:]) if p[0] == "\n" else (b"", f" {p}")
+                known[p] = lead + array("I", [t.id for t in model(codecs.charmap_decode(text.encode(), "strict", table)[0])]).tobytes()
             else:
-                self.ids.extend(self._whole(text))
-        self.known[part] = len(self.ends) - 1
-        self.ends.append(len(self.ids))
-
-    def _index(self, parts: list[str], check: bool = True) -> np.ndarray | None:
-        """Places of the parts; none if a new part has white space at an end that could join with more."""
+                rest.append(p)
+        if rest:
+            self._encode(rest)
+        for p in marked:
+            known[p] = known[p[:-1]] + self.mark[p[-1]]
+
+    def _ids(self, parts: list[str], check: bool = True) -> bytes | None:
+        """Ids of the parts; none if a new part has white space at an end that could join with more."""
         if len(self.known) + len(parts) > self.LIMIT:
-            self.clear()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        except KeyError:
-            for p in parts:
-                if p not in known:
-                    if check and (p[-1].isspace() or p[0] != "\n" and p[0].isspace()):
-                        return None
-                    self._learn(p)
-            return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            self.known.clear()
+        new = set(parts).difference(self.known)
+        if new:
+            if check and any(p[-1].isspace() or p[0] != "\n" and p[0].isspace() for p in new):
+                return None
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, parts))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as uint32."""
         if any(a in text for a in self.added):
-            return np.array(self._whole(text), np.uint32)
+            return self._whole(text)
         # a line's end between two characters that are no white space is a piece of its own
         first, *parts = text.replace("\n", " \n").split(" ")
         simple = first and len(text.split()) == len(parts) + 1 and "" not in parts and "\n" not in parts
-        index = self._index(parts) if simple else None
-        if index is None:  # white space that stands together: cut only at blanks that stand alone
+        ids = self._ids(parts) if simple else None
+        if ids is None:  # white space that stands together: cut only at blanks that stand alone
             first, *parts = self.CUT.split(text)
-            index = self._index(parts, False)
-        head = np.array(self._whole(first), np.uint32)
-        if not parts:
-            return head
-        ends = np.frombuffer(self.ends, np.int64)
-        start = ends[index]
-        n = ends[index + 1] - start
-        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.concatenate([head, np.frombuffer(self.ids, np.uint32)[at]])
+            ids = self._ids(parts, False)
+        return np.concatenate([self._whole(first), np.frombuffer(ids, np.uint32)])
 
 
 @functools.lru_cache(2)
