@@ -7,11 +7,16 @@ A text's content importance is 1 - log k / log m, the share of information that
 still has on this site; a node's presentation importance is the entropy to base m of
 the number of blocks that it holds. A block counts by CONTENT and PRESENTATION parts
 of the two, and blocks below THRESHOLD leave, which cuts every branch that holds no
-other. Pages with one html count once. Hosts with fewer than PAGES pages say nothing.
+other. Pages with one html on a host count once. Nodes on fewer than PAGES pages say
+nothing.
 
-Markup that states its role is believed first: an <article> or <main> is content and
-its plain paragraphs stay however often they recur (quotations and reprints do);
-navigation, footers, asides, forms, scripts, adverts, notices and comments are not.
+Markup that states its role is a prior of the tree: inside an <article> or <main> a
+block counts ROLE more, so quotations and reprints stay until they stand on about
+half of the site's pages or more; on a page that has one, a block outside of it counts ROLE less
+and stays only if the tree knows its node. Where the tree leaves nothing of a page's
+article, the article stays. Navigation, footers, asides, forms, scripts, adverts,
+notices and comments never stay, since what varies there (comments do on every page)
+has a high entropy: there the markup alone decides.
 
 Only counts by host, style node and text are shuffled, so a hot host is spread by its
 texts. Defined results: null html gives empty text; a null or odd url belongs to one
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import durable, fresh, table
 
 PAGES, CONTENT, PRESENTATION, THRESHOLD = 8, 0.9, 0.1, 0.3
+ROLE = 0.2  # what markup that states its role adds inside, and takes outside
+SMALL = 200_000  # rows of the tree up to which they are broadcast
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 LABEL = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -128,15 +135,15 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """Text of the article: blocks that are neither noise nor of low importance on their site."""
+def main_text(page: str | None, low: frozenset[int] = frozenset(), known: frozenset[int] = frozenset()) -> str:
+    """Text of the article: blocks that are neither noise nor of low importance on their site; beside an article only ``known`` ones."""
     if not page:
         return ""
-    found = blocks(page)
-    kept = [b for b in found if b.inside and not b.noise]
-    if not kept:
-        kept = [b for b in found if not b.noise and b.key not in low and not (b.linked > 0.8 * len(b.text) and "/li" in b.path)]
-    return "\n".join(b.text for b in kept)
+    found = [b for b in blocks(page) if not b.noise]
+    inside = [b for b in found if b.inside]
+    linked = lambda b: b.linked > 0.8 * len(b.text) and "/li" in b.path
+    kept = [b for b in found if b.key not in low and (b.inside or ((not inside or b.key in known) and not linked(b)))]
+    return "\n".join(b.text for b in (kept if any(b.inside for b in kept) else inside or kept))
 
 
 def host_of(url: str | None) -> str:
@@ -144,43 +151,60 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def low_importance(pages: DataFrame) -> DataFrame:
-    """page_key, low: for each page the keys of its blocks that say too little on their site."""
+def verdicts(pages: DataFrame) -> DataFrame:
+    """page_key, low, known: for each page the keys of its blocks that say too little on their site, and of those beside an article whose node the site knows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, url, page in zip(batch["page_key"], batch["url"], batch["html"]):
-                own: dict[str, list[int]] = {}
-                for b in blocks(page or ""):
-                    if not b.noise and not b.inside:
-                        own.setdefault(b.path, []).append(b.key)
-                out += [(key, host_of(url), path, len(keys), k) for path, keys in own.items() for k in set(keys)]
-            yield pd.DataFrame(out, columns=["page_key", "host", "path", "n", "block"])
-
-    x = durable(pages.select("page_key", "url", "html").mapInPandas(run, "page_key long, host string, path string, n int, block long").distinct(), "style-tree")
-    shapes = x.select("page_key", "host", "path", "n").distinct().groupBy("host", "path", "n").agg(F.count("*").alias("c"))
+                host, own = host_of(url), {}
+                found = [b for b in blocks(page or "") if not b.noise]
+                beside = -1 if any(b.inside for b in found) else 0
+                html = hash_of(page or "")
+                for b in found:
+                    own.setdefault((b.path, 1 if b.inside else beside), []).append(b.key)
+                for (path, role), keys in own.items():
+                    node = hash_of(f"{host}\x00{path}\x00{role == 1}")
+                    out += [(key, html, node, role, len(keys), k) for k in set(keys)]
+            yield pd.DataFrame(out, columns=["page_key", "html", "node", "role", "n", "block"])
+
+    x = durable(pages.select("page_key", "url", "html").mapInPandas(run, "page_key long, html long, node long, role int, n int, block long"), "style-tree")
+    shapes = x.select("html", "node", "n").distinct().groupBy("node", "n").agg(F.count("*").alias("c"))
     p = F.col("c") / F.col("m")
-    nodes = shapes.withColumn("m", F.sum("c").over(Window.partitionBy("host", "path"))).groupBy("host", "path", "m").agg(F.sum(-p * F.log(p)).alias("h")).where(f"m >= {PAGES}")
-    texts = x.groupBy("host", "path", "block").agg(F.count("*").alias("k"))
+    nodes = shapes.withColumn("m", F.sum("c").over(Window.partitionBy("node"))).groupBy("node", "m").agg(F.sum(-p * F.log(p)).alias("h")).where(f"m >= {PAGES}")
+    texts = x.select("html", "node", "block").distinct().groupBy("node", "block").agg(F.count("*").alias("k"))
     content = 1 - F.log(F.col("k").cast("double")) / F.log(F.col("m").cast("double"))
     shape = F.col("h") / F.log(F.col("m").cast("double"))
-    low = texts.join(nodes, ["host", "path"]).where(CONTENT * content + PRESENTATION * shape < THRESHOLD).select("host", "path", "block")
-    return x.join(low, ["host", "path", "block"]).groupBy("page_key").agg(F.sort_array(F.collect_set("block")).alias("low"))
+    nodes = durable(nodes, "style-nodes")
+    score = CONTENT * content + PRESENTATION * shape
+    poor = durable(texts.join(spread(nodes), "node").withColumn("score", score).where(F.col("score") < THRESHOLD + ROLE).select("node", "block", "score"), "style-low")
+    low = x.join(spread(poor), ["node", "block"]).where(F.col("score") + ROLE * F.col("role") < THRESHOLD).select("page_key", F.col("block").alias("low"), F.lit(None).cast("long").alias("known"))
+    known = x.where("role < 0").join(spread(nodes.select("node")), "node", "left_semi").select("page_key", F.lit(None).cast("long").alias("low"), F.col("block").alias("known"))
+    return low.unionByName(known).groupBy("page_key").agg(F.sort_array(F.collect_set("low")).alias("low"), F.sort_array(F.collect_set("known")).alias("known"))
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def spread(few: DataFrame) -> DataFrame:
+    """``few`` (durable) with a hint to broadcast it if it is small, so that a text on very many pages is not one task."""
+    return F.broadcast(few) if few.count() <= SMALL else few
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Adds text and n_chars to ``pages`` (url, html, ...)."""
-    key, low, text, n = fresh(pages, "page_key", "low", "text", "n_chars")
+    key, low, known, text, n = fresh(pages, "page_key", "low", "known", "text", "n_chars")
     x = pages.withColumn(key, F.xxhash64("url", "html"))
-    found = low_importance(x.select(F.col(key).alias("page_key"), "url", "html")).withColumnsRenamed({"page_key": key, "low": low})
+    found = verdicts(x.select(F.col(key).alias("page_key"), "url", "html")).withColumnsRenamed({"page_key": key, "low": low, "known": known})
 
     @F.pandas_udf("string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, gone in parts:
-            yield pd.Series([main_text(h, frozenset() if g is None else frozenset(g)) for h, g in zip(page, gone)], dtype=object)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for page, gone, sure in parts:
+            yield pd.Series([main_text(h, frozenset() if g is None else frozenset(g), frozenset() if s is None else frozenset(s)) for h, g, s in zip(page, gone, sure)], dtype=object)
 
-    return x.join(found, key, "left").withColumn(text, run("html", low)).withColumn(n, F.length(text).cast("long")).drop(key, low)
+    return x.join(found, key, "left").withColumn(text, run("html", low, known)).withColumn(n, F.length(text).cast("long")).drop(key, low, known)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

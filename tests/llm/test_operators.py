@@ -236,3 +236,14 @@ def test_html(spark):
     assert out[3] == "T3 & x y\nBody 3\nmore italic 3\nand 3"
     assert out[50] == "" and out[53] == "" and out[51] == "A\nbc\nd\ne"
     assert html_text.extract(d.where("false")).count() == 0
+
+
+def test_html_tree_decides_inside_and_beside_an_article(spark):
+    page = lambda i: f"<body><article><h1>T{i}</h1><p>Body {i}<p>Please share this text with friends{'<p>A quotation' if i < 6 else ''}</article><div class=x>Part two of {i}</div><div class=y>Copyright</div></body>"
+    rows = [(i, f"http://h.com/{i}", page(i)) for i in range(30)] + [(99, "http://few.com/", page(3))]
+    rows += [(200 + i, f"http://mirror.com/{i}", "<article><p>One text, many addresses</article>") for i in range(20)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[9] == "T9\nBody 9\nPart two of 9"  # the recurring line inside and the one beside leave, the own text beside stays
+    assert out[3] == "T3\nBody 3\nA quotation\nPart two of 3"
+    assert out[99] == "T3\nBody 3\nPlease share this text with friends\nA quotation"  # no site to compare with
+    assert out[205] == "One text, many addresses"
