@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm import mixing, near_dedup, packing, pii, quality_rules
 from ledgerline.llm.common import durable, table
 
+PERCENT = 80  # similarity of near copies on word shingles; the 85 of op7 is its own contract
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
@@ -21,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dedup.dedup(docs)
+    return near_dedup.dedup(docs, PERCENT)
 
 
 def sanitize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

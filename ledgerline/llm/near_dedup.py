@@ -4,6 +4,7 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Eac
 PERMUTATIONS multipliers permutes the hashes once and gives two values, the minimum and
 the maximum; a band joins BAND of these values. At a similarity of 0.85 a pair misses
 all 32 bands with a chance below 4e-5, at 0.9 below 1e-7; pairs well below meet seldom.
+Below PERCENT 42 bands of 6 take their place: at 0.8 a pair misses with a chance of 3e-6.
 Equal sets form one class first (a copy is not compared again), and only classes meet
 in buckets.
 
@@ -36,6 +37,7 @@ from .common import WORD, durable, fresh, table
 
 SHINGLE, PERCENT = 5, 85
 PERMUTATIONS, BAND = 128, 8  # 256 values in 32 bands
+WIDE = 6  # values of a band where less than PERCENT is asked for: 42 bands of the first 252 values
 BLOCK = 512  # shingles that are permuted at once
 ROUNDS, PAIRS = 6, 4  # hub rounds at most; pairs for each class up to which all are compared
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -86,7 +88,7 @@ class Shingler:
         return np.unique(out)
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
+def bands(shingles: np.ndarray, band: int = BAND) -> np.ndarray:
     a, b = multipliers()
     high = (shingles >> np.uint64(32)).astype(np.uint32)
     low, top = [], []
@@ -95,9 +97,9 @@ def bands(shingles: np.ndarray) -> np.ndarray:
         low.append(v.min(axis=1))
         top.append(v.max(axis=1))
     values = np.concatenate([np.min(low, axis=0), np.max(top, axis=0)]).astype(np.uint64)
-    rows = values.reshape(-1, BAND)
+    rows = values[: len(values) // band * band].reshape(-1, band)
     key = np.arange(len(rows), dtype=np.uint64)
-    for j in range(BAND):
+    for j in range(band):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
     return key.view(np.int64)
 
@@ -106,14 +108,15 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class (null for an empty set), bands."""
+    band = BAND if percent >= PERCENT else WIDE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
             sets = [shingler.set_of(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "class": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"), "bands": [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "class": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"), "bands": [bands(s, band) if len(s) else np.zeros(0, np.int64) for s in sets]})
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, bands array<long>")
 
@@ -190,7 +193,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) ->
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...)."""
-    signed = durable(signatures(docs), "signatures")
+    signed = durable(signatures(docs, percent), "signatures")
     found = link_classes(docs, signed, percent)
     named = signed.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.where("class is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledgerline.llm import html_text, mixing, near_dedup, packing, pii, quality_pu, quality_rules, token_store, topk, toxicity
 from ledgerline.llm.common import Encoder, default_tokenizer
 
@@ -247,3 +248,21 @@ def test_html_tree_decides_inside_and_beside_an_article(spark):
     assert out[3] == "T3\nBody 3\nA quotation\nPart two of 3"
     assert out[99] == "T3\nBody 3\nPlease share this text with friends\nA quotation"  # no site to compare with
     assert out[205] == "One text, many addresses"
+
+
+def test_pipeline_stage_drops_near_copies_from_four_fifths_on(spark):
+    r = np.random.default_rng(9)
+    rows, similar = [], collections.Counter()
+    for i in range(60):
+        w = [f"d{i}w{k}" for k in range(150)]
+        cut = int(r.integers(20, 50))
+        rows += [(2 * i, " ".join(w), "s"), (2 * i + 1, " ".join([*w[:-cut], *(f"x{i}y{k}" for k in range(cut // 3))]), "s")]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    want = set(sets)
+    for i in range(60):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want.remove(2 * i + 1)
+            similar[100 * len(a & b) >= 85 * len(a | b)] += 1
+    assert similar[False] >= 5 and len(want) > 60
+    assert {x.doc_id for x in corpus_pipeline.deduplicate(spark, documents(spark, rows), "").collect()} == want
