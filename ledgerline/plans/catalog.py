@@ -217,6 +217,13 @@ s as (select *, greatest(peak0, entry_price) as peak from p),
 t as (select *, case when held < 15 then entry_price - 3 * atr when peak >= entry_price + atr then greatest(peak - 2.5 * atr, entry_price) else entry_price end as stop, entry_price + 6 * atr as target from s),
 h as (select *, case when low <= stop then case when held < 15 then 'stop_guard' when peak >= entry_price + atr then 'stop_trail' else 'stop_breakeven' end when high >= target then 'target_2' when held >= 60 then 'max_hold' end as reason from t),
 k as (select *, row_number() over (partition by ticker, entry_i order by i) as first_hit from h where reason is not null)
+select ticker, entry_date, date as exit_date, reason, round(case when reason like 'stop_%' then stop when reason = 'target_2' then target else close end, 4) as exit_price from k where first_hit = 1""",
+        "exit_three_phase_every_bar": f"""{ctes(*indicators(q, daily(q)))}, e as (select ticker, i as entry_i, date as entry_date, close as entry_price, atr from ind where i >= 13 and atr > 0),
+p as (select e.*, b.i, b.date, b.open, b.high, b.low, b.close, {q.days('e.entry_date', 'b.date')} as held, max(b.high) over (partition by e.ticker, e.entry_i order by b.i rows unbounded preceding) as peak0 from e join ind b on b.ticker = e.ticker and b.i > e.entry_i and b.i <= e.entry_i + 80),
+s as (select *, greatest(peak0, entry_price) as peak from p),
+t as (select *, case when held < 15 then entry_price - 3 * atr when peak >= entry_price + atr then greatest(peak - 2.5 * atr, entry_price) else entry_price end as stop, entry_price + 6 * atr as target from s),
+h as (select *, case when low <= stop then case when held < 15 then 'stop_guard' when peak >= entry_price + atr then 'stop_trail' else 'stop_breakeven' end when high >= target then 'target_2' when held >= 60 then 'max_hold' end as reason from t),
+k as (select *, row_number() over (partition by ticker, entry_i order by i) as first_hit from h where reason is not null)
 select ticker, entry_date, date as exit_date, reason, round(case when reason like 'stop_%' then stop when reason = 'target_2' then target else close end, 4) as exit_price from k where first_hit = 1""",
         "equal_weight_curve": f"""{reg}, f as (select ticker, {q.first_by('close', 'date')} as first_close, count(*) over () as n from bars group by ticker), m as (select ticker, {q.trunc('month', 'date')} as month, {q.last_by('close', 'date')} as mark from bars group by 1, 2)
 select month, round(sum(100000.0 / n / first_close * mark), 4) as portfolio_value, count(*) as held from m join f on m.ticker = f.ticker group by 1""",
