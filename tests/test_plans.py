@@ -4,8 +4,10 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from ledgerline.operators import monte_carlo
 from ledgerline.plans import run as plans
 
 DIR = "/root/testdata/sf0.001"
@@ -74,3 +76,24 @@ def test_three_phase_exit_of_every_bar(spark, oracle):
                     break
     got = {(r.ticker, r.entry_date, r.exit_date, r.reason) for r in plans.run("exit_three_phase_every_bar", spark, DIR).collect()}
     assert len(want) > 4000 and got == want
+
+
+def test_monte_carlo_draws_every_trade_count(spark, oracle, monkeypatch):
+    pnl = [3.0, -2.5, 40.0, -60.0, 1.0, -8.0, 12.0] * 30
+    monkeypatch.setattr(monte_carlo, "BLOCK", 64)  # several blocks for a path, here and not in the workers' copy
+    trades = spark.createDataFrame([(i, p) for i, p in enumerate(pnl)], "k long, pnl_pct double").repartition(3)
+    for r in monte_carlo.simulate(trades, ["k"], 9).collect():
+        capital = peak = 10000.0
+        worst, n = 0.0, 0
+        for j in (j for block in monte_carlo.draws(r.simulation, len(pnl)) for j in block):
+            capital += capital / 5 * pnl[j] / 100
+            peak, n = max(peak, capital), n + 1
+            worst = min(worst, (capital - peak) / peak * 100)
+        assert n == r.n_draws == len(pnl)
+        assert math.isclose(r.total_return, (capital / 10000 - 1) * 100, rel_tol=1e-9) and math.isclose(r.max_drawdown, worst, rel_tol=1e-9)
+        split = monte_carlo.walk(np.log(1 + np.array(pnl) / 500), r.simulation)
+        assert math.isclose(split[0], r.log_growth, rel_tol=1e-9)
+    assert monte_carlo.simulate(trades.where("false"), ["k"], 9).count() == 0
+    rows = plans.queries()["monte_carlo_all_trades"](spark, DIR).collect()
+    n = oracle.execute("select count(*) from lineitem").fetchone()[0]
+    assert len(rows) == 2000 and {r.n_draws for r in rows} == {n}
