@@ -239,6 +239,15 @@ select sim as simulation, round((exp({q.last_by('g', 'i')}) - 1) * 100, 4) as to
 select max(n) as n, count(*) as clusters, round(max(mu), 4) as mean, round(sqrt(count(*) / (count(*) - 1.0) * sum(u * u)) / max(n), 6) as se from g cross join m""",
         "ols_newey_west": f"""{reg}, m as (select {q.trunc('month', 'date')} as month, {q.last_by('close', 'date')} as y0, {q.first_by('close', 'date')} as x0 from bars where ticker = 'ASIA' group by 1), r as (select month, ln(y0 / lag(y0) over (order by month)) as y, ln(x0 / lag(x0) over (order by month)) as x from m),
 b as (select regr_slope(y, x) as beta, regr_intercept(y, x) as alpha, regr_r2(y, x) as r2, count(y) as n from r) select n, round(beta, 4) as beta, round(alpha, 4) as alpha, round(r2, 4) as r2 from b""",
+        "ols_newey_west_hac": f"""{reg}, m as (select ticker, {q.trunc('month', 'date')} as month, {q.last_by('close', 'date')} as y0, {q.first_by('close', 'date')} as x0 from bars group by 1, 2),
+r as (select ticker, month, ln(y0 / lag(y0) over (partition by ticker order by month)) as y, ln(x0 / lag(x0) over (partition by ticker order by month)) as x from m),
+b as (select ticker, regr_slope(y, x) as beta, regr_intercept(y, x) as alpha, regr_r2(y, x) as r2, cast(count(*) as double) as n, sum(x) as sx, sum(x * x) as sxx, floor(4 * power(count(*) / 100.0, 2.0 / 9)) as lags from r where y is not null and x is not null group by 1 having count(*) > 2),
+e as (select r.ticker, row_number() over (partition by r.ticker order by month) as t, lags, y - alpha - beta * x as u, (y - alpha - beta * x) * x as v from r join b on r.ticker = b.ticker where y is not null and x is not null),
+g as (select p.ticker, (case when p.t = o.t then 0.5 else 1 - (p.t - o.t) / (p.lags + 1.0) end) as w, p.u as pu, p.v as pv, o.u as ou, o.v as ov from e p join e o on p.ticker = o.ticker and o.t <= p.t and p.t - o.t <= p.lags),
+s as (select ticker, sum(2 * w * pu * ou) as s00, sum(w * (pu * ov + pv * ou)) as s01, sum(2 * w * pv * ov) as s11 from g group by 1),
+z as (select b.*, s00, s01, s11, n * sxx - sx * sx as det from b join s on b.ticker = s.ticker)
+select ticker, cast(n as bigint) as n, cast(lags as bigint) as lags, round(beta, 4) as beta, round(alpha, 4) as alpha, round(r2, 4) as r2, round(sqrt((sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / (det * det) * n / (n - 2)), 4) as se_alpha,
+  round(sqrt((sx * sx * s00 - 2 * sx * n * s01 + n * n * s11) / (det * det) * n / (n - 2)), 4) as se_beta from z""",
         "autocorrelation": f"{eq}, r as (select date, portfolio_value / lag(portfolio_value) over (order by date) - 1 as ret from equity), l as (select ret, lag(ret) over (order by date) as before from r) select round(corr(ret, before), 4) as lag1, round(avg(ret), 6) as mean from l",
         "coverage_overall": f"""{ctes(membership(q), trades(q))}, seen as (select o_custkey as ticker, min(cast(o_orderdate as date)) as fv, max(cast(o_orderdate as date)) as lv from {q.t('orders')} where o_orderstatus <> 'P' group by 1),
 c as (select m.ticker, greatest({q.days('date_added', "coalesce(date_removed, date '2001-12-31')")}, 0) as days, greatest({q.days('greatest(date_added, fv)', "least(coalesce(date_removed, date '2001-12-31'), lv)")}, 0) as covered from membership m left join seen s on m.ticker = s.ticker)

@@ -9,6 +9,7 @@ import pytest
 
 from ledgerline.operators import monte_carlo
 from ledgerline.plans import run as plans
+from ledgerline.plans.catalog import ctes, regional
 
 DIR = "/root/testdata/sf0.001"
 
@@ -97,3 +98,27 @@ def test_monte_carlo_draws_every_trade_count(spark, oracle, monkeypatch):
     rows = plans.queries()["monte_carlo_all_trades"](spark, DIR).collect()
     n = oracle.execute("select count(*) from lineitem").fetchone()[0]
     assert len(rows) == 2000 and {r.n_draws for r in rows} == {n}
+
+
+def test_newey_west_errors(spark, oracle):
+    months = {}
+    for r in plans.sql(f"{ctes(regional(plans._Views()))} select * from bars", spark, DIR).orderBy("ticker", "date").collect():
+        months.setdefault(r.ticker, {}).setdefault((r.date.year, r.date.month), []).append(r.close)
+    got = {r.ticker: r for r in plans.run("ols_newey_west_hac", spark, DIR).collect()}
+    assert set(got) == set(months)
+    for ticker, per in months.items():
+        y, x = (np.diff(np.log([c[k] for _, c in sorted(per.items())])) for k in (-1, 0))
+        n = len(y)
+        lags = int(np.floor(4 * (n / 100) ** (2 / 9)))
+        a = np.column_stack([np.ones(n), x])
+        inv = np.linalg.inv(a.T @ a)
+        b = inv @ a.T @ y
+        u = a * (y - a @ b)[:, None]
+        s = u.T @ u
+        for k in range(1, lags + 1):
+            c = u[k:].T @ u[:-k]
+            s = s + (1 - k / (lags + 1)) * (c + c.T)
+        se = np.sqrt(np.diag(inv @ s @ inv * n / (n - 2)))
+        r = got[ticker]
+        assert lags > 0 and (r.n, r.lags) == (n, lags)
+        assert np.allclose([r.alpha, r.beta, r.se_alpha, r.se_beta], [*b, *se], atol=6e-5)
