@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import durable, fresh, table
 
 NEAR, SUPPORT, SHARE, BITS = 3, 4, 0.5, 6.0
-SIDE = 120  # characters read on either side of a span for its NEAR terms
+SIDE = 120  # characters read first on either side of a span; the whole side if they hold fewer than NEAR whole terms
 SMALL = 20_000  # texts with flagged terms up to which their table is broadcast
 
 _D = "0123456789"
@@ -63,16 +63,29 @@ def with_base(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.expr(f"concat({', '.join(parts)})"))
 
 
-def _terms(text: str) -> str:
-    """Lower-case terms of three characters and more with a letter."""
-    return rf"filter(split(lower({text}), '[{_SPLIT}]+'), w -> length(w) >= 3 and w rlike '\\p{{L}}')"
+def _terms(text: str, cut: str = "{x}") -> str:
+    """Lower-case terms of three characters and more with a letter; ``cut`` takes fragments away."""
+    parts = cut.format(x=f"split(lower({text}), '[{_SPLIT}]+')")
+    return rf"filter({parts}, w -> length(w) >= 3 and w rlike '\\p{{L}}')"
+
+
+def _near(side: str, whole: str, cut: str, is_cut: str, order: str) -> str:
+    """The NEAR terms next to a span, however far away: of ``side`` if it holds as many without the fragment at its end, else of the ``whole`` side."""
+    least = f"transform(array({_terms(side, cut)}), x -> if({is_cut} and size(x) < {NEAR}, {_terms(whole)}, x))[0]"
+    return f"slice({order.format(x=f'if({is_cut}, {least}, {_terms(side)})')}, 1, {NEAR})"
+
+
+def near_terms(docs: DataFrame, base: str) -> DataFrame:
+    """h, entity, near: the terms next to each base span."""
+    mention = docs.where(F.size(base) > 0).select(F.xxhash64("text").alias("h"), "text", F.explode(base).alias("b"))
+    before = _near(f"substring(text, greatest(1, b.s + 1 - {SIDE}), least(b.s, {SIDE}))", "substring(text, 1, b.s)", "slice({x}, 2, 1000000)", f"b.s > {SIDE}", "reverse({x})")
+    after = _near(f"substring(text, b.e + 1, {SIDE})", "substring(text, b.e + 1)", "transform(array({x}), y -> slice(y, 1, size(y) - 1))[0]", f"length(text) > b.e + {SIDE}", "{x}")
+    return mention.select("h", F.lower("b.v").alias("entity"), F.expr(f"concat({before}, {after})").alias("near"))
 
 
 def flagged(docs: DataFrame, base: str) -> DataFrame:
     """h, terms: the hash of each text that holds disclosing terms, with those terms."""
-    mention = docs.where(F.size(base) > 0).select(F.xxhash64("text").alias("h"), "text", F.explode(base).alias("b"))
-    before, after = f"substring(text, greatest(1, b.s + 1 - {SIDE}), least(b.s, {SIDE}))", f"substring(text, b.e + 1, {SIDE})"
-    near = mention.select("h", F.lower("b.v").alias("entity"), F.expr(f"concat(slice(reverse({_terms(before)}), 1, {NEAR}), slice({_terms(after)}, 1, {NEAR}))").alias("near"))
+    near = near_terms(docs, base)
     near = durable(near.select("h", "entity", F.xxhash64("near").alias("c"), F.array_distinct("near").alias("near")), "mentions")
     pairs = near.select("h", "entity", "c", F.explode("near").alias("term")).distinct()
     # a text with the term near any entity holds it, so a pair whose share is too low even of these texts is out before the corpus is read

@@ -266,3 +266,24 @@ def test_pipeline_stage_drops_near_copies_from_four_fifths_on(spark):
             similar[100 * len(a & b) >= 85 * len(a | b)] += 1
     assert similar[False] >= 5 and len(want) > 60
     assert {x.doc_id for x in corpus_pipeline.deduplicate(spark, documents(spark, rows), "").collect()} == want
+
+
+def test_pii_near_terms_are_read_by_terms(spark):
+    r = np.random.default_rng(8)
+    filler = lambda n: " ".join(f"f{k}ab" for k in r.integers(0, 400, n))
+    key = lambda: "k" + "".join(map(str, r.integers(0, 10, 150)))
+    rows = [(i, filler(40), "s") for i in range(600)]
+    rows += [(1000 + i, f"{filler(10)} Zanzibrook {key()} jane@corp.org {key()} Quillonby {filler(10)}", "s") for i in range(8)] + [(2000, f"ask Zanzibrook, or Quillonby {filler(9)}", "s")]
+    out = {x.doc_id: x.text for x in pii.sanitize(documents(spark, rows)).collect()}
+    assert "Zanzibrook" not in out[2000] and "Quillonby" not in out[2000] and out[2000].count("<TERM>") == 2
+    assert out[5] == rows[5][1]
+
+
+def test_pii_near_terms_equal_those_of_the_whole_side(spark):
+    words = ["a", "12", "k" * 100, "abc", "1" * 115, "été", "x-y", "!!", "word"]
+    r = np.random.default_rng(11)
+    texts = [" ".join(r.choice(words, int(r.integers(0, 12)))) + " me@x.org " + " ".join(r.choice(words, int(r.integers(0, 12)))) for _ in range(300)]
+    sides = lambda t: [[w for w in re.split(f"[{re.escape(''.join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in chr(39) + '-'))}\\s]+", x.lower()) if len(w) >= 3 and any(c.isalpha() for c in w)] for x in t.split("me@x.org")]
+    got = pii.near_terms(pii.with_base(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), "base_"), "base_").where("entity = 'me@x.org'").collect()
+    want = sorted(a[::-1][: pii.NEAR] + b[: pii.NEAR] for a, b in map(sides, texts))
+    assert sorted(list(x.near) for x in got) == want
