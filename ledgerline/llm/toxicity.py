@@ -17,6 +17,7 @@ null doc_id is not held out; extra columns stay out of the way.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -71,12 +72,12 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [(w, y, hash_of(t)) for t, y in zip(b["text"], b["label"]) for w in set(WORD.findall((t or "").lower())) if len(w) < 40]
-            yield pd.DataFrame(found, columns=["word", "label", "start"])
+            yield pd.DataFrame(found, columns=["word", "label", "own"])
 
-    def hash_of(text: str) -> int:
-        return sum(map(ord, text[:200])) if text else 0  # near copies count once: they begin alike
+    def hash_of(text: str | None) -> int:
+        return int.from_bytes(hashlib.blake2b((text or "").encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)  # copies count once
 
-    per = rows.select("text", "label").mapInPandas(words, "word string, label int, start long").distinct().groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(f"a >= {SUPPORT}")
+    per = rows.select("text", "label").mapInPandas(words, "word string, label int, own long").distinct().groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(f"a >= {SUPPORT}")
     p, z = F.col("a") / F.col("n"), 1.96
     low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     top = per.withColumn("low", low).where("low >= 0.6").orderBy(F.desc("low"), "word").limit(LEXICON).collect()

@@ -287,3 +287,10 @@ def test_pii_near_terms_equal_those_of_the_whole_side(spark):
     got = pii.near_terms(pii.with_base(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), "base_"), "base_").where("entity = 'me@x.org'").collect()
     want = sorted(a[::-1][: pii.NEAR] + b[: pii.NEAR] for a, b in map(sides, texts))
     assert sorted(list(x.near) for x in got) == want
+
+
+def test_toxic_words_behind_a_common_opening_are_learned(spark):
+    banner = " ".join(f"license{i}" for i in range(40))
+    rows = [(f"{banner} zorgle unlike{i}", 1) for i in range(20)] + [(f"{banner} fine other{i}", 0) for i in range(20)]
+    rows += [(f"{banner} copied text", 1)] * 20  # one document
+    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))) == {"zorgle"}
