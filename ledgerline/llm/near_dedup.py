@@ -202,9 +202,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` without those whose id is another document's copy; rows that repeat a kept id stay."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(fresh(docs, "gone_")[0])).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+    """One row of ``docs`` of each group of copies, that of the least id (null last); rows count by id and text, so texts that share an id and rows without one are judged by themselves."""
+    row = fresh(docs, "row_")[0]
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(key.alias("doc_id"), "text")
+    signed = durable(signatures(keyed, percent), "signatures")
+    found = link_classes(keyed, signed, percent).withColumnRenamed("node", "class")
+    ids = docs.select(key.alias("key"), F.col("doc_id").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    rows = signed.where("class is not null").select(F.col("doc_id").alias("key"), "class").distinct().join(found, "class", "left").select("key", F.coalesce("component", "class").alias("component"))
+    rows = durable(rows.join(ids, "key"), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select("component", F.col("first.key").alias("first"))
+    gone = rows.join(first, "component").where("key <> first").select(F.col("key").alias(row)).distinct()
+    left = docs.withColumn(row, key).join(gone, row, "left_anti")
+    twice = durable(rows.where("n > 1").select(F.col("key").alias(row)).distinct(), "repeated")
+    if not twice.isEmpty():
+        left = left.join(twice, row, "left_anti").unionByName(left.join(twice, row, "left_semi").dropDuplicates([row]))
+    return left.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,3 +294,11 @@ def test_toxic_words_behind_a_common_opening_are_learned(spark):
     rows = [(f"{banner} zorgle unlike{i}", 1) for i in range(20)] + [(f"{banner} fine other{i}", 0) for i in range(20)]
     rows += [(f"{banner} copied text", 1)] * 20  # one document
     assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))) == {"zorgle"}
+
+
+def test_dedup_decides_by_row(spark):
+    a, b, c, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abce")
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, c, "s"), (3, c, "s"), (None, c, "s"), (None, e, "s"), (None, e, "s"), (None, f"{e} tail", "s"), (4, None, "s"), (5, "", "s")]
+    got = [(x.doc_id, x.text) for x in near_dedup.dedup(documents(spark, rows)).collect()]
+    assert len(got) == 6 and {(1, a), (2, b), (3, c), (4, None), (5, "")} < set(got)
+    assert [i for i, t in got if t in (e, f"{e} tail")] == [None]
