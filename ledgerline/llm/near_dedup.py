@@ -8,11 +8,14 @@ Below PERCENT 42 bands of 6 take their place: at 0.8 a pair misses with a chance
 Equal sets form one class first (a copy is not compared again), and only classes meet
 in buckets.
 
-A bucket never expands into all pairs: its members are compared with one hub (the least
-by a hash), every pair is confirmed on the full sets, and links make components. Then
-only members of different components of a bucket remain: further hubs while many such
-pairs are left, and last, exactly, every pair of a bucket that is not within its
-largest component. So no link between bucket mates is lost, at any size of bucket.
+A bucket never expands into all pairs. Its members are compared with one hub, the
+member with the most bucket mates; every pair is confirmed on the full sets, and links
+make components. What then remains are pairs of bucket mates of different components.
+They are found exactly by a prefix join over the full sets of all classes in such
+buckets: shingles are ordered from rare to common, and two sets that are similar
+enough share one of the first few, at places that leave room for the rest. So no link
+between bucket mates is lost, at any size of bucket, and a group whose members are
+alike but do not link is told apart by its rare shingles instead of pair by pair.
 
 Defined results: null, empty and blank text has an empty set and is linked with
 nothing; fewer than five words make one shingle; rows that repeat a doc_id count as
@@ -33,13 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, fresh, table
+from .common import WORD, durable, forget, fresh, table
 
 SHINGLE, PERCENT = 5, 85
 PERMUTATIONS, BAND = 128, 8  # 256 values in 32 bands
 WIDE = 6  # values of a band where less than PERCENT is asked for: 42 bands of the first 252 values
 BLOCK = 512  # shingles that are permuted at once
-ROUNDS, PAIRS = 6, 4  # hub rounds at most; pairs for each class up to which all are compared
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _UPPER = re.compile("[A-Z]")
 
@@ -144,60 +146,93 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) of the nodes of ``edges`` (a, b): least labels spread and pointers are halved until nothing changes."""
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    written = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
+        labels = written.select("node", "component")
         heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(heard, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("next"), F.col("component").alias("higher"))
         moved = durable(step.join(up, "next").select("node", F.least("next", "higher").alias("component"), "was"), "labels")
-        done = moved.where("component <> was").isEmpty()
-        labels = moved.select("node", "component")
-        if done:
-            return labels
-
-
-def link_classes(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, component of the classes that are linked with another one."""
+        forget(written)
+        written = moved
+        if moved.where("component <> was").isEmpty():
+            forget(both)
+            return moved.select("node", "component")
+
+
+def hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket with the bucket's hub."""
+    weight = members.groupBy("class").agg(F.sum("size").alias("weight"))
+    hub = durable(members.join(weight, "class").groupBy("bucket").agg(F.max(F.struct("weight", F.col("class").alias("hub"), F.col("n").alias("hub_n"))).alias("x")).select("bucket", "x.hub", "x.hub_n"), "hubs")
+    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    pairs = members.join(hub, "bucket").where((F.col("hub") != F.col("class")) & alike).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    out = durable(pairs, "pairs")
+    forget(hub)
+    return out
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows(class, n, component, s) -> pairs (a, b) of different components that may be similar enough; none that is gets lost.
+
+    A set of n needs ``percent`` of n common shingles at least, so one of them is among its first n - that + 1, and among
+    fewer where the other set is no smaller. A shingle that one set alone holds is rarest, and only counts as a place.
+    """
+    tokens = rows.select("class", F.explode("s").alias("token"))
+    often = durable(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    listed = tokens.join(often, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ordered = listed.join(rows.select("class", F.col("n").cast("long").alias("n"), "component"), "class").withColumn("alone", F.col("n") - F.size("t"))
+    ordered = ordered.withColumn("probe", F.expr(f"n - ({percent} * n + 99) div 100 + 1")).withColumn("index", F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"))
+    first = F.expr("slice(t, 1, cast(greatest(probe - alone, 0) as int))")
+    prefix = durable(ordered.select("class", "n", "component", "index", "alone", F.posexplode(first).alias("k", "x")).select("class", "n", "component", "index", (F.col("alone") + F.col("k")).alias("at"), F.col("x.token").alias("token")), "prefixes")
+    x = prefix.where("at < index").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("at").alias("ia"))
+    y = prefix.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("at").alias("ib"))
+    smaller = F.expr("na < nb or (na = nb and a < b)")
+    room = F.expr(f"100 * na >= {percent} * nb and least(na - ia, nb - ib) >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    met = x.join(y, (x["token"] == y["token"]) & smaller & (F.col("ca") != F.col("cb")) & room)
+    out = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    forget(often, prefix)
+    return out
+
+
+def merge(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) after further ``links`` (a, b) between nodes, known or not."""
+    label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    x = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    joined = components(x)
+    old = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return durable(old.unionByName(joined.join(found, "node", "left_anti")), "labels")
+
+
+def link_classes(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """class, doc_id (the least of its documents), n, bands of all classes; node, component of those that are linked with another one."""
     classes = durable(signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("class", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = durable(members.join(shared, "bucket"), "members")
-    n_classes = max(1, classes.count())
+    dealt = classes.select("class", "n", F.explode("bands").alias("bucket"))
+    shared = durable(dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = durable(dealt.join(shared, "bucket"), "members")
     sets = durable(sets_of(docs, classes.join(members.select("class").distinct(), "class").select("class", "doc_id")), "sets")
-    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    links, tested, label = None, None, members.select("class", "n", "bucket", F.col("class").alias("component"))
-    for round_ in range(ROUNDS + 1):
-        if round_:
-            found = components(links)
-            label = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "bucket", F.coalesce("component", "class").alias("component"))
-            per = label.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-            mixed = durable(per.groupBy("bucket").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", "all", F.col("top.k").alias("k"), F.col("top.component").alias("main")), "mixed")
-            left = mixed.agg(F.sum((F.col("all") - F.col("k")) * F.col("all"))).first()[0] or 0
-            label = label.join(mixed, "bucket")
-            if left == 0 or left <= PAIRS * n_classes or round_ == ROUNDS:
-                break
-        hub = label.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("class", F.lit(round_)).alias("h"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).alias("x")).select("bucket", "x.*")
-        pairs = label.join(hub, "bucket").where(F.col("hub_component") != F.col("component")).where(alike(F.col("n"), F.col("hub_n"))).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-        pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = durable(confirm(pairs, sets, percent), "links")
-        links, tested = (good, pairs) if links is None else (links.unionByName(good), tested.unionByName(pairs))
-    if left:
-        minor = label.where("component <> main").select("bucket", F.col("class").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-        rest = minor.join(label.select("bucket", "class", "n", "component"), "bucket").where(F.col("component") != F.col("xc")).where(alike(F.col("n"), F.col("xn")))
-        rest = rest.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        last = durable(confirm(rest, sets, percent), "links")
-        if not last.isEmpty():
-            found = components(links.unionByName(last))
-    return found
+    pairs = hub_pairs(members, percent)
+    links = durable(confirm(pairs, sets, percent), "links")
+    found = components(links)
+    label = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "bucket", F.coalesce("component", "class").alias("component"))
+    mixed = durable(label.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"), "mixed")
+    apart = durable(label.join(mixed, "bucket").select("class", "n", "component").distinct(), "apart")
+    more = prefix_pairs(apart.join(sets, "class"), percent)
+    last = durable(confirm(more, sets, percent), "links")
+    if not last.isEmpty():
+        found = merge(found, last)
+    forget(shared, members, sets, pairs, links, mixed, apart, more, last)
+    return classes, found
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...)."""
     signed = durable(signatures(docs, percent), "signatures")
-    found = link_classes(docs, signed, percent)
-    named = signed.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    names = named.where("class is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(names, "component", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    classes, found = link_classes(docs, signed, percent)
+    labelled = durable(classes.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "components")
+    names = durable(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
+    of_class = durable(labelled.join(names, "component").select("class", "component_id"), "names")
+    forget(classes, labelled, names)
+    out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -207,11 +242,13 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(key.alias("doc_id"), "text")
     signed = durable(signatures(keyed, percent), "signatures")
-    found = link_classes(keyed, signed, percent).withColumnRenamed("node", "class")
+    classes, found = link_classes(keyed, signed, percent)
+    found = found.withColumnRenamed("node", "class")
+    forget(classes)
     ids = docs.select(key.alias("key"), F.col("doc_id").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     rows = signed.where("class is not null").select(F.col("doc_id").alias("key"), "class").distinct().join(found, "class", "left").select("key", F.coalesce("component", "class").alias("component"))
     rows = durable(rows.join(ids, "key"), "rows")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select("component", F.col("first.key").alias("first"))
+    first = durable(rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select("component", F.col("first.key").alias("first")), "first")
     gone = rows.join(first, "component").where("key <> first").select(F.col("key").alias(row)).distinct()
     left = docs.withColumn(row, key).join(gone, row, "left_anti")
     twice = durable(rows.where("n > 1").select(F.col("key").alias(row)).distinct(), "repeated")

@@ -134,6 +134,46 @@ def test_near_duplicates_in_one_large_group(spark):
     assert got == brute_components([(i, t) for i, t, _ in rows])
 
 
+def test_near_copies_of_different_groups_that_share_buckets(spark):
+    """A family whose members are alike, of which some link and many do not, at both thresholds."""
+    r = np.random.default_rng(7)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(160):
+        w = list(base)
+        for k in r.integers(0, 120, int(r.integers(0, 7))):
+            w[k] = f"x{r.integers(0, 40)}"
+        rows.append((i, " ".join(w), "s"))
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(documents(spark, rows)).collect()}
+    want = brute_components([(i, t) for i, t, _ in rows])
+    assert got == want and 10 < len({c for _, _, c in want}) < 150
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    r = np.random.default_rng(14)
+    sets = []
+    for _ in range(120):
+        n = int(r.integers(1, 60))
+        sets.append(frozenset(map(int, r.choice(70, n, replace=False))))
+    sets += [frozenset(list(s)[:-1]) for s in sets if len(s) > 8]
+    sets = sorted(set(sets), key=sorted)
+    rows = spark.createDataFrame([(i, len(s), i, sorted(s)) for i, s in enumerate(sets)], "class long, n long, component long, s array<long>")
+    for percent in (80, 85):
+        found = {(p.a, p.b) for p in near_dedup.prefix_pairs(rows, percent).collect()}
+        want = {(i, k) for k in range(len(sets)) for i in range(k) if 100 * len(sets[i] & sets[k]) >= percent * len(sets[i] | sets[k])}
+        assert want and want <= found and len(found) < len(sets) ** 2 / 4
+
+
+def test_a_pair_at_the_threshold_meets_in_a_band():
+    r = np.random.default_rng(15)
+    missed = 0
+    for _ in range(1000):
+        both = r.integers(0, 1 << 63, 170, np.uint64)
+        own = r.integers(0, 1 << 63, 30, np.uint64)
+        a, b = np.unique(np.concatenate([both, own[:15]])), np.unique(np.concatenate([both, own[15:]]))  # similarity 0.85
+        missed += not np.any(near_dedup.bands(a) == near_dedup.bands(b))
+    assert missed <= 2
+
+
 def test_mixing(spark, docs):
     rows = docs.select("doc_id", "source", mixing.n_words(docs["text"]).alias("size"))
     units = mixing.decide(rows, bucket=4).collect()
