@@ -5,12 +5,9 @@ from __future__ import annotations
 import codecs
 import functools
 import re
-import string
 import uuid
 from array import array
-from itertools import chain
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,88 +69,100 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Unsure(Exception):
+    """A part holds white space that could join with more."""
+
+
+class Parts(dict):
+    """Ids, as bytes, of what stands between blanks; a part that is not known is looked up in ``old`` or encoded when it is asked for."""
+
+    LETTERS = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)")
+    TAIL = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([^\\w\\s]+)")
+
+    def __init__(self, of: Encoder, old: dict[str, bytes]):
+        self.of, self.old = of, old
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self._learn(part)
+        self[part] = ids
+        return ids
+
+    def _learn(self, part: str) -> bytes:
+        if m := self.LETTERS.fullmatch(part):  # one piece, or a line's end and one piece
+            return self.of.line_end + self.of.piece(m[2]) if m[1] else self.of.piece(f" {part}")
+        if m := self.TAIL.fullmatch(part):  # signs behind letters are a piece of their own
+            return self[m[1]] + self.of.signs(m[2])
+        if not part.isprintable() or " " in part or not part:  # a line's end at the start is all the white space that may be
+            own = part[1:] if part[:1] == "\n" else part
+            if not own or len(own.split()) != 1 or own != own.strip():
+                raise Unsure
+        return self.of.behind(part if part[0] == "\n" else f" {part}")
+
+
 class Encoder:
     """``tokenizers`` with a bounded memory of the ids of blank-separated parts.
 
     The pre-tokenizer of this byte-level vocabulary always cuts before a single
-    blank between two characters that are not white space, so what stands between
-    such blanks is encoded by itself and remembered as bytes. A new part of letters
-    goes to the library's model at once; other new parts of a text go to the library
-    together, joined by blanks, and the offsets of its tokens tell them apart. A text with an added token's string goes there whole.
+    blank between two characters that are not white space, and a single line's end
+    between two such characters is a piece of its own. So what stands between is
+    encoded by itself and remembered as bytes. Letters go to the library's model at
+    once, signs behind letters are a piece of their own, anything else goes to the
+    library. A text with an added token's string goes there whole, and a text with
+    white space that stands together is cut only at blanks that stand alone.
     """
 
-    LIMIT = 1_200_000  # parts remembered; the memory is cleared when full
+    LIMIT = 1_000_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
     CUT = re.compile(r"(?<=\S) (?=\S)")
-    LETTERS = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    SURE = string.ascii_letters + string.digits
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model.tokenize
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.mark = {m: self._whole(m).tobytes() for m in ".,\n"}
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves; the others come after 255, in order
         other = iter(range(256, 512))
         self.table = "".join(chr(b if b in plain else next(other)) for b in range(256))
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _encode(self, parts: list[str]) -> None:
-        texts = [p if p[0] == "\n" else f" {p}" for p in parts]
-        found = self.tok.encode("".join(["a", *texts]), add_special_tokens=False)
-        offsets = found.offsets
-        at = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets))[::2]
-        edges = (4 * np.searchsorted(at, np.cumsum([1, *map(len, texts)]))).tolist()
-        ids = np.array(found.ids, np.uint32).tobytes()
-        self.known.update(zip(parts, map(ids.__getitem__, map(slice, edges, edges[1:]))))
-
-    def _learn(self, parts: set[str]) -> None:
-        """Remembers the ids of parts, each with the blank before it or from its line's end on."""
-        known = self.known
-        marked = [p for p in parts if p[-1] in ".," and p[-2:-1] in self.SURE and p[-2:-1]]  # the mark is a piece of its own
-        need = parts.difference(marked)
-        need.update(p[:-1] for p in marked if p[:-1] not in known)
-        last = [p for p in need if p[-1].isspace()]  # only where the text ends
-        for p in last:
-            self._encode([p])
-        rest, letters, model, table = [], self.LETTERS.fullmatch, self.tok.model.tokenize, self.table
-        for p in need.difference(last):
-            if letters(p):  # one piece, or a line's end and one piece
-                lead, text = (self.mark["\n"], p[1:]) if p[0] == "\n" else (b"", f" {p}")
-                known[p] = lead + array("I", [t.id for t in model(codecs.charmap_decode(text.encode(), "strict", table)[0])]).tobytes()
-            else:
-                rest.append(p)
-        if rest:
-            self._encode(rest)
-        for p in marked:
-            known[p] = known[p[:-1]] + self.mark[p[-1]]
-
-    def _ids(self, parts: list[str], check: bool = True) -> bytes | None:
-        """Ids of the parts; none if a new part has white space at an end that could join with more."""
-        if len(self.known) + len(parts) > self.LIMIT:
-            self.known.clear()
-        new = set(parts).difference(self.known)
-        if new:
-            if check and any(p[-1].isspace() or p[0] != "\n" and p[0].isspace() for p in new):
-                return None
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, parts))
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text as uint32."""
+        self.line_end = self.whole("\n")
+        self.signs = functools.lru_cache(10_000)(self.whole)
+        self.known, self.wide = Parts(self, {}), {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def behind(self, text: str) -> bytes:
+        """Ids of ``text`` (a blank or a line's end comes first) behind a letter."""
+        return array("I", self.tok.encode(f"a{text}", add_special_tokens=False).ids[1:]).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves whole."""
+        return array("I", [t.id for t in self.model(codecs.charmap_decode(text.encode(), "strict", self.table)[0])]).tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        first, *parts = self.CUT.split(text)
+        known = self.wide
+        if len(known) + len(parts) > self.LIMIT:
+            known.clear()
+        for p in set(parts).difference(known):
+            known[p] = self.behind(f" {p}")
+        return self.whole(first) + b"".join(map(known.__getitem__, parts))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if any(a in text for a in self.added):
-            return self._whole(text)
-        # a line's end between two characters that are no white space is a piece of its own
+            return self.whole(text)
+        if len(self.known) > self.LIMIT:
+            self.known.old = {}
+            self.known = Parts(self, dict(self.known))
         first, *parts = text.replace("\n", " \n").split(" ")
-        simple = first and len(text.split()) == len(parts) + 1 and "" not in parts and "\n" not in parts
-        ids = self._ids(parts) if simple else None
-        if ids is None:  # white space that stands together: cut only at blanks that stand alone
-            first, *parts = self.CUT.split(text)
-            ids = self._ids(parts, False)
-        return np.concatenate([self._whole(first), np.frombuffer(ids, np.uint32)])
+        if not first or first[0].isspace() or first[-1].isspace() or len(first.split()) > 1:
+            return self._cut(text) if text else b""
+        try:
+            return self.whole(first) + b"".join(map(self.known.__getitem__, parts))
+        except Unsure:
+            return self._cut(text)
 
 
 @functools.lru_cache(2)

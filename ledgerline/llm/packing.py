@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,29 +71,30 @@ class Packer:
         return {b: free for free, own in enumerate(self.by_free) for b in own}
 
 
-def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Pieces (number, start, length, ids): all of ``capacity`` but the first, which takes what is over."""
-    first = len(ids) % capacity or capacity
-    edges = [0, *range(first, len(ids) + 1, capacity)]
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        yield i, a, b - a, ids[a:b]
+def cut(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Begin and end of the pieces of ``n`` ids: all of ``capacity`` but the first, which takes what is over."""
+    edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
+    return list(zip(edges, edges[1:]))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece, with its length and the checksum of its ids; ``row`` tells repeated documents apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path), np.array([END_ID], np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(path), np.uint32(END_ID).tobytes()
         for batch in batches:
-            out = []
-            for doc, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
-                ids = np.concatenate([enc.encode(text or ""), end])
-                out += [(doc, row, i, a, n, zlib.crc32(x.astype("<u4").tobytes())) for i, a, n, x in cut(ids, capacity)]
-            frame = pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": object}) if batch["doc_id"].isna().any() else frame
-
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInPandas(run, PIECES.format(id=kind))
+            out, at = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                ids = memoryview(enc.encode(text or "") + end)
+                for i, (a, z) in enumerate(cut(len(ids) // 4, capacity)):
+                    out.append((i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])))
+                    at.append(k)
+            found = np.array(out, np.int64).reshape(-1, 4).T
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "row")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found[0].astype(np.int32)), *[pa.array(x) for x in found[1:]]], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, PIECES.format(id=kind))
 
 
 def _pack_group(capacity: int, open_bins: int):
