@@ -30,16 +30,28 @@ SMALL_SOURCES = 10_000  # sources whose table is broadcast
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size -> adds target. One row for each source: weights fill up to a common level, capped at ``most`` times the size."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    cap = F.col("source_size") * F.lit(float(most))
-    x = sizes.withColumn("w", w).withColumn("cap", cap).withColumn("full", F.col("cap") / F.col("w"))
-    order = Window.orderBy("full", F.col("source").asc_nulls_last())
-    before, rest, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    x = x.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    level = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "level"))).over(every)["level"]
-    return x.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("w") * level), F.col("cap"))).select("source", "source_size", "target")
+    """source, source_size -> adds target. One row for each source: weights fill up to a common level, capped at ``most`` times the size.
+
+    The place in the order is the place within a range partition plus the sources of the partitions before; the level
+    rises, a sum over all sources at a time, until no further source is full.
+    """
+    by_name = F.col("source").asc_nulls_last()
+    placed = durable(sizes.repartitionByRange(by_name).sortWithinPartitions(by_name).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "sources")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("at") - F.shiftleft("part", 33)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
+    x = placed.join(F.broadcast(before), "part").select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    level, wanted = 0.0, share * (x.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        full = F.col("cap") <= F.col("w") * F.lit(level)
+        taken, rest = x.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        higher = (wanted - (taken or 0.0)) / rest if rest else float("inf")
+        if higher <= level:
+            break
+        level = higher
+    target = F.col("cap") if level == float("inf") else F.least(F.col("cap"), F.col("w") * F.lit(level))
+    return x.select("source", "source_size", target.alias("target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
@@ -99,9 +111,9 @@ def _fly(last: bool):
 
 
 def decide(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
-    """rows(doc_id, source, size) -> doc_id, source, size, source_size, target, copies, a row for each unit."""
+    """rows(doc_id, source, size) -> doc_id, source, size, m (its rows), source_size, target, copies, a row for each unit."""
     units = durable(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "units")
-    per = durable(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n_units")).select("source", "source_size"), weights, share, most), "targets")
+    per = durable(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, share, most), "targets")
     few = per.count() <= SMALL_SOURCES
     per_source = F.broadcast(per) if few else per
     x = units.join(per_source.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
@@ -124,24 +136,19 @@ def decide(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
-
-
-def _match(rows: DataFrame, units: DataFrame, size: str) -> DataFrame:
-    u = units.select(*[F.col(c).alias(f"u_{c}") for c in units.columns])
-    return rows.join(u, rows["doc_id"].eqNullSafe(u["u_doc_id"]) & rows["source"].eqNullSafe(u["u_source"]) & (rows[size] == u["u_size"]))
+    return out.select("doc_id", "source", "size", "m", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of ``docs`` with their columns, as often as they are taken."""
-    size = fresh(docs, "size_")[0]
+    size, *names, again = fresh(docs, "size_", "doc_id_", "source_", "mass_", "copies_", "copy_")
     rows = docs.withColumn(size, n_words(F.col("text")))
-    taken = _match(rows, decide(rows.select("doc_id", "source", F.col(size).alias("size")), **how).where("copies > 0"), size)
-    again = fresh(docs, "copy_")[0]
-    return taken.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("u_copies")))).select(*docs.columns)
+    taken = decide(rows.select("doc_id", "source", F.col(size).alias("size")), **how).where("copies > 0").select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "size", "copies"), names)])
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").eqNullSafe(F.col(names[1])) & (F.col(size) == F.col(names[2]))
+    return rows.join(taken, same).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(names[3])))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = durable(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    x = _match(rows, decide(rows), "size")
-    return x.select("doc_id", "size", F.col("u_source_size").alias("source_size"), F.col("u_target").alias("target"), (F.col("u_copies") * F.col("size")).alias("taken"))
+    units = decide(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    each = units.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -220,15 +220,55 @@ def test_a_pair_at_the_threshold_meets_in_a_band():
     assert missed <= 2
 
 
+def water_filling(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Targets by the plain rule: the excess of full sources goes to the others by weight until none is above."""
+    names = sorted((k for k in sizes if k is not None)) + [k for k in sizes if k is None]
+    w = {k: weights[i % len(weights)] for i, k in enumerate(names)}
+    full, rest = set(), share * sum(sizes.values())
+    while True:
+        level = {k: rest * w[k] / sum(w[j] for j in names if j not in full) for k in names if k not in full}
+        over = {k for k, v in level.items() if v >= most * sizes[k]}
+        if not over:
+            return {**{k: most * sizes[k] for k in full}, **level}
+        full |= over
+        rest -= sum(most * sizes[k] for k in over)
+        if full == set(names):
+            return {k: most * sizes[k] for k in names}
+
+
 def test_mixing(spark, docs):
     rows = docs.select("doc_id", "source", mixing.n_words(docs["text"]).alias("size"))
     units = mixing.decide(rows, bucket=4).collect()
     per = {u.source: (u.source_size, u.target) for u in units}
-    assert abs(sum(t for _, t in per.values()) - 1.5 * sum(s for s, _ in per.values())) < 1e-6
+    want = water_filling({k: s for k, (s, _) in per.items()})
+    assert all(abs(t - want[k]) < 1e-6 for k, (_, t) in per.items())
     assert all(t <= 2 * s + 1e-9 for s, t in per.values()) and all(0 <= u.copies <= 2 for u in units)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixing.mix(empty(docs)).count() == 0
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs).collect()))
+    F = mixing.F
+    clash = docs.withColumns({c: F.lit(1) for c in ("u_size", "u_copies", "copies", "m", "mass_", "doc_id_", "copy_")})
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == mixed.count()
+
+
+def test_mixing_meets_the_targets_in_words(spark):
+    """Every source's words come near its target: a hot one, copies of one id, a null source and one without words."""
+    r = np.random.default_rng(16)
+    rows = [(i, int(n), "hot" if i % 3 else f"s{i % 11}") for i, n in enumerate(r.integers(1, 400, 3000))]
+    rows += [(5, 7, None)] * 40 + [(9000 + i, 0, "void") for i in range(5)] + [(None, 30, "s1")] * 2
+    units = mixing.decide(spark.createDataFrame([(i, s, n) for i, n, s in rows], "doc_id long, source string, size long"), bucket=64).collect()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for i, n, s in rows:
+        sizes[s] += n
+    for u in units:
+        taken[u.source] += u.copies * u.size * u.m
+    want = water_filling(dict(sizes))
+    for u in units:
+        assert abs(u.target - want[u.source]) < 1e-6 and u.source_size == sizes[u.source]
+    assert sum(u.m for u in units) == len(rows)
+    for k, t in want.items():
+        largest = max((u.size * u.m for u in units if u.source == k), default=0)
+        assert abs(taken[k] - t) <= max(largest, 0.01 * t), k
 
 
 def test_flight_keeps_both_sums():
