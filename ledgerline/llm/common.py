@@ -63,6 +63,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def make_room(df: DataFrame, *results: str) -> DataFrame:
+    """``df`` with its columns that are named like a result under another name: underscores in front."""
+    for own in [c for c in df.columns if c.lower() in {r.lower() for r in results}]:
+        name = f"_{own}"
+        while name.lower() in {c.lower() for c in [*df.columns, *results]}:
+            name = f"_{name}"
+        df = df.withColumnRenamed(own, name)
+    return df
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

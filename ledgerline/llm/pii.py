@@ -2,35 +2,38 @@
 
 Base spans are found by four patterns over the whole text. A term stands near an entity
 (a base value, lower case) if it is among the NEAR terms on either side. The corpus
-says how strongly a term reveals an entity: of the distinct texts that hold the term,
-p(e|t) have it near the entity, and log2(p(e|t) / p(e)) bits are disclosed. A term with
-at least SUPPORT distinct surroundings next to one entity, p(e|t) >= SHARE and BITS or
-more is removed wherever it stands, as is the base value. Copies of a text count once,
-and surroundings that repeat count once, so templates and copies disclose nothing.
+says how strongly a term reveals an entity: p(e|t) is the number of distinct
+surroundings in which the term stands near the entity, over one more than the distinct
+texts that hold the term anywhere; log2(p(e|t) / p(e)) bits are disclosed, where p(e)
+is the share of the distinct texts that hold the entity. A term with p(e|t) >= SHARE
+and BITS or more is removed wherever it stands, as is the base value. So a name that
+stands only beside one address goes, a word that other texts use as well stays, and a
+template or a copied passage, whose surroundings repeat, discloses nothing.
 
 Everything is DataFrame expressions. Rows that meet by term are only those of candidate
 terms, which are few next to the corpus; a text's hash carries the findings back.
 
 Defined results: null text is empty and has no spans; repeated rows get equal spans;
 a failing match is dropped and not searched again; an empty table gives no rows; extra
-columns stay. Positions are code points, ends exclusive.
+columns stay, those named like a result under another name (underscores in front).
+Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, table
+from .common import durable, forget, fresh, make_room, table
 
-NEAR, SUPPORT, SHARE, BITS = 3, 4, 0.5, 6.0
+NEAR, SHARE, BITS = 3, 0.5, 5.0
 SIDE = 120  # characters read first on either side of a span; the whole side if they hold fewer than NEAR whole terms
-SMALL = 20_000  # texts with flagged terms up to which their table is broadcast
+SMALL = 64_000_000  # characters of a table of terms up to which it is broadcast
 
 _D = "0123456789"
 _W = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 #: The base patterns, written so that the JVM's engine neither recurses by length nor tries a start inside a run again.
-_EMAIL = rf"(?:(?<![{_W}._%+\\-])|\\G)[{_W}._%+\\-]++@[{_W}\\-]++(?:\\.[{_W}\\-]++){{1,1000}}"
+_EMAIL = rf"(?:(?<![{_W}._%+\\-])|\\G)[{_W}._%+\\-]++@[{_W}\\-]++(?:\\.[{_W}\\-]++)++"
 _IP = rf"(?<![{_D}])[{_D}]++\\.[{_D}]++\\.[{_D}]++\\.[{_D}]++"
 _CARD = rf"(?<![{_D}])(?<![{_D}][ \\-])[{_D}](?:[ \\-]?[{_D}]){{15,18}}(?![ \\-]?[{_D}])"
 _PHONE = rf"\\+[{_D}][ ().{_D}\\-]+[{_D}]"
@@ -90,31 +93,38 @@ def flagged(docs: DataFrame, base: str) -> DataFrame:
     pairs = near.select("h", "entity", "c", F.explode("near").alias("term")).distinct()
     # a text with the term near any entity holds it, so a pair whose share is too low even of these texts is out before the corpus is read
     least = pairs.groupBy("term").agg(F.countDistinct("h").alias("least"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("c").alias("contexts"), F.countDistinct("h").alias("together")).where(f"contexts >= {SUPPORT}")
-    pairs = durable(pairs.join(least, "term").where(F.col("together") / F.col("least") >= SHARE).drop("least"), "pairs")
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "h long, terms array<string>")
+    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("c").alias("contexts"))
+    pairs = durable(pairs.join(least, "term").where(F.col("contexts") / (F.col("least") + 1) >= SHARE).drop("least"), "pairs")
+    terms = durable(pairs.select("term").distinct(), "terms")
     held = docs.select(F.xxhash64("text").alias("h"), F.explode(F.expr(f"array_distinct({_terms('text')})")).alias("term"))
-    held = durable(held.join(pairs.select("term").distinct(), "term").distinct(), "held")
-    n = docs.select("text").where("text is not null").count()
+    held = durable(held.join(_spread(terms, F.length("term")), "term").distinct(), "held")
+    n = docs.where("text is not null").select(F.xxhash64("text")).distinct().count()
     alone = near.groupBy("entity").agg(F.countDistinct("h").alias("texts"))
     every = held.groupBy("term").agg(F.count("*").alias("holding"))
-    p = F.col("together") / F.col("holding")
+    p = F.col("contexts") / (F.col("holding") + 1)
     bits = F.log2(p * F.lit(float(n)) / F.col("texts"))
-    bad = pairs.join(every, "term").join(alone, "entity").where((p >= SHARE) & (bits >= BITS)).select("term").distinct()
-    return held.join(bad, "term").groupBy("h").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    bad = durable(pairs.join(every, "term").join(alone, "entity").where((p >= SHARE) & (bits >= BITS)).select("term").distinct(), "disclosing")
+    out = durable(held.join(_spread(bad, F.length("term")), "term").groupBy("h").agg(F.sort_array(F.collect_set("term")).alias("terms")), "flagged")
+    forget(near, pairs, terms, held, bad)
+    return out
+
+
+def _spread(few: DataFrame, characters: Column) -> DataFrame:
+    """``few`` (durable) with a hint to broadcast it if it is small."""
+    size = few.agg(F.count("*"), F.sum(characters)).first()
+    return F.broadcast(few) if 50 * size[0] + (size[1] or 0) <= SMALL else few
 
 
 def with_spans(docs: DataFrame, name: str = "spans_", base: str = "base_") -> DataFrame:
     """Adds the base spans and all spans (base ones, then terms by start)."""
-    h, terms = fresh(docs, "h_", "terms_")
+    docs = make_room(docs, name, base)
     x = with_base(docs, base)
-    found = durable(flagged(x, base), "flagged")
-    n = found.count()
-    if not n:
+    h, terms = fresh(x.withColumn(name, F.lit(0)), "h_", "terms_")
+    found = flagged(x, base)
+    if found.isEmpty():
         return x.withColumn(name, F.col(base))
-    found = found.withColumnsRenamed({"h": h, "terms": terms})
-    x = x.withColumn(h, F.xxhash64("text")).join(F.broadcast(found) if n <= SMALL else found, h, "left")
+    found = _spread(found.withColumnsRenamed({"h": h, "terms": terms}), F.length(F.array_join(F.col(terms), "")))
+    x = x.withColumn(h, F.xxhash64("text")).join(found, h, "left")
     quoted = rf"concat('(?iu)(?<![^{_SPLIT}])(?:\\Q', array_join({terms}, '\\E|\\Q'), '\\E)(?![^{_SPLIT}])')"
     spans = _found("", "text", "term").replace("''", quoted)
     free = f"filter({spans}, t -> not exists({base}, b -> t.s < b.e and b.s < t.e))"
