@@ -9,7 +9,8 @@ bounded sample of labelled rows (``textstats.SAMPLE``) reach the driver.
 
 Defined results: null or empty text has no words and fails the base rule; a document
 that no rule covers is kept; repeated rows are judged alike; without labelled rows of
-both kinds the list is empty; extra columns stay.
+both kinds the list is empty; an empty table gives no rows; extra columns stay, those
+that are named like a result under another name (underscores in front).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, make_room, table
 from .textstats import labelled, rates, with_counts
 
 Condition = tuple[str, str, float]  # rate, "<=" or ">", threshold
@@ -106,15 +107,17 @@ def condition(rule: list[Condition], columns: dict[str, Column]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Learns from labelled documents (label 1: keep)."""
+    """Learns from labelled documents (label 1: keep) that the base rule leaves."""
     sample = labelled(labels, "quality", F.lit(True))  # bounded by SAMPLE, so it can be broadcast
-    rows = with_counts(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "counts").select("doc_id", "label", *[c.alias(n) for n, c in rates().items() if n in RULE_RATES], F.col("counts.n_words").alias("n"), F.col("counts.n_repeat_words").alias("r")).where(f"n >= {MIN_WORDS} and 100 * r <= {MAX_REPEAT_PERCENT} * n").collect()
+    rows = with_counts(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "counts").select("doc_id", "label", *[c.alias(n) for n, c in rates().items() if n in RULE_RATES], F.col("counts.n_words").alias("n"), F.col("counts.n_repeat_words").alias("r")).collect()
+    rows = [r for r in rows if r["n"] >= MIN_WORDS and 100 * r["r"] <= MAX_REPEAT_PERCENT * r["n"]]  # a filter in the plan would go below the join, and count the words of every document
     rows.sort(key=lambda r: (hash((r["doc_id"] * 2654435761) % (1 << 32)) if isinstance(r["doc_id"], int) else 0, str(r["doc_id"]), tuple(r[f] for f in RULE_RATES)))
     return learn([({f: float(r[f]) for f in RULE_RATES}, r["label"]) for r in rows])
 
 
 def apply_rules(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule (number of the first that fires, from 1) and kept."""
+    docs = make_room(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
     counts = fresh(docs, "counts")[0]
     x = with_counts(docs, counts)
     n, repeat = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
