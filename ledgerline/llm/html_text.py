@@ -21,21 +21,25 @@ has a high entropy: there the markup alone decides.
 Only counts by host, style node and text are shuffled, so a hot host is spread by its
 texts. Defined results: null html gives empty text; a null or odd url belongs to one
 nameless host; repeated rows are extracted alike; unclosed, stray and broken tags are
-closed as browsers do; an empty table gives no rows; extra columns stay out of the way.
+closed as browsers do; an empty table gives no rows; extra columns stay, those named
+text or n_chars under another name (underscores in front).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, table
+from .common import durable, fresh, make_room, table
 
 PAGES, CONTENT, PRESENTATION, THRESHOLD = 8, 0.9, 0.1, 0.3
 ROLE = 0.2  # what markup that states its role adds inside, and takes outside
@@ -51,27 +55,76 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription comment comments commentlist respond disqus share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation pagination pager footer masthead widget login signup search alert toolbar contentinfo complementary".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
-KEEPS_P = frozenset("br".split())
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
+_HOLDS_P = frozenset({"table", "button", "article", "body", "div", "section", "td", "li"})
+ENDS_P = {"": _HOLDS_P} | {t: _HOLDS_P - {t} | {"table", "button"} for t in _HOLDS_P}  # what keeps a block inside from ending a paragraph outside
+CLOSING = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Block:
-    """A run of text: its style path, whether it is inside an article, whether its markup says noise, characters in links."""
+    """A run of text: a hash of its style path, whether it is inside an article, whether its markup says noise, whether it is inside a list, characters in links."""
 
-    __slots__ = ("path", "inside", "noise", "text", "linked")
+    __slots__ = ("path", "inside", "noise", "listed", "text", "linked")
 
-    def __init__(self, path: str, inside: bool, noise: bool, text: str, linked: int):
-        self.path, self.inside, self.noise, self.text, self.linked = path, inside, noise, text, linked
+    def __init__(self, path: int, inside: bool, noise: bool, listed: bool, text: str, linked: int):
+        self.path, self.inside, self.noise, self.listed, self.text, self.linked = path, inside, noise, listed, text, linked
 
     @property
     def key(self) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{self.path}\x00{self.text}".encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return hash_of(f"{self.path}\x00{self.text}")
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+@functools.lru_cache(100_000)
+def below(path: int, label: str) -> int:
+    """The style path of a node below another: a hash, as long as any other however deep."""
+    return hash_of(f"{path}/{label}")
+
+
+class Element(NamedTuple):
+    tag: str = ""
+    path: int = 0
+    inside: bool = False
+    noise: bool = False
+    listed: bool = False
+    link: bool = False
+
+
+class Stack:
+    """The open elements; knows how often each tag is open."""
+
+    def __init__(self) -> None:
+        self.own, self.open = [Element()], Counter()
+
+    @property
+    def top(self) -> Element:
+        return self.own[-1]
+
+    def push(self, e: Element) -> None:
+        self.own.append(e)
+        self.open[e.tag] += 1
+
+    def pop_to(self, tags: Iterable[str], stop: frozenset[str] | set[str] = frozenset()) -> None:
+        """Closes the innermost element with one of the tags, and all in it, unless one of ``stop`` is nearer."""
+        if any(self.open[t] for t in tags):
+            for k in range(len(self.own) - 1, 0, -1):
+                tag = self.own[k].tag
+                if tag in tags:
+                    for e in self.own[k:]:
+                        self.open[e.tag] -= 1
+                    del self.own[k:]
+                    return
+                if tag in stop:
+                    return
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, style path, inside an article, noise
+    stack, absent = Stack(), set()
     parts: list[str] = []
     linked = at = 0
 
@@ -80,26 +133,18 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                _, path, inside, noise = next((s for s in reversed(stack) if s[0] in BLOCK), ("", "", False, False))
-                out.append(Block(path, inside, noise or (bool(stack) and stack[-1][3]), text, min(linked, len(text))))
+                e = stack.top
+                out.append(Block(e.path, e.inside, e.noise, e.listed, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def pop_to(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
     end = len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
             text = page[at : m.start() if m else end]
             parts.append(text)
-            if any(s[0] == "a" for s in stack[-4:]):
+            if stack.top.link:
                 linked += len(text)
         if m is None:
             break
@@ -109,28 +154,29 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
         if m[1]:
-            if any(s[0] == tag for s in stack):
-                pop_to({tag}, frozenset())
+            stack.pop_to((tag,))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close = None if tag in absent else CLOSING[tag].search(page, at)
+            if not close:
+                absent.add(tag)
             at = close.end() if close else end if tag in ("script", "style", "textarea") else at
             continue
         if tag in VOID:
             continue
         if tag in BLOCK:
-            if tag not in KEEPS_P:
-                pop_to({"p"}, {"table", "button", "article", "body", "div", "section", "td", "li"} - {tag} | {"table", "button"})
+            stack.pop_to(("p",), ENDS_P[tag] if tag in ENDS_P else ENDS_P[""])
             if tag in CLOSES:
-                pop_to(CLOSES[tag], SCOPE[tag])
+                stack.pop_to(CLOSES[tag], SCOPE[tag])
         names = [v for a, *vs in LABEL.findall(m[3]) for v in vs if v] if m[3] else []
-        _, path, inside, noise = stack[-1] if stack else ("", "", False, False)
+        up = stack.top
         words = {w for n in names for w in WORDS.findall(n.lower())}
-        noise = noise or tag in NOISE_TAGS or (tag == "header" and not inside) or bool(words & NOISE_WORDS and tag not in ("body", "html", "main", "article"))
+        noise = up.noise or tag in NOISE_TAGS or (tag == "header" and not up.inside) or bool(words & NOISE_WORDS and tag not in ("body", "html", "main", "article"))
         if tag == "article" and words & {"comment", "comments"}:
             noise = True
-        inside = inside or (tag in ("article", "main") and not noise)
-        stack.append((tag, f"{path}/{tag}{'.' + '.'.join(sorted(names)) if names else ''}" if tag in BLOCK else path, inside, noise))
+        inside = up.inside or (tag in ("article", "main") and not noise)
+        path = below(up.path, f"{tag}{'.' + '.'.join(sorted(names)) if names else ''}") if tag in BLOCK else up.path
+        stack.push(Element(tag, path, inside, noise, up.listed or tag == "li", up.link or tag == "a"))
     flush()
     return out
 
@@ -141,7 +187,7 @@ def main_text(page: str | None, low: frozenset[int] = frozenset(), known: frozen
         return ""
     found = [b for b in blocks(page) if not b.noise]
     inside = [b for b in found if b.inside]
-    linked = lambda b: b.linked > 0.8 * len(b.text) and "/li" in b.path
+    linked = lambda b: b.linked > 0.8 * len(b.text) and b.listed
     kept = [b for b in found if b.key not in low and (b.inside or ((not inside or b.key in known) and not linked(b)))]
     return "\n".join(b.text for b in (kept if any(b.inside for b in kept) else inside or kept))
 
@@ -184,10 +230,6 @@ def verdicts(pages: DataFrame) -> DataFrame:
     return low.unionByName(known).groupBy("page_key").agg(F.sort_array(F.collect_set("low")).alias("low"), F.sort_array(F.collect_set("known")).alias("known"))
 
 
-def hash_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def spread(few: DataFrame) -> DataFrame:
     """``few`` (durable) with a hint to broadcast it if it is small, so that a text on very many pages is not one task."""
     return F.broadcast(few) if few.count() <= SMALL else few
@@ -195,7 +237,9 @@ def spread(few: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Adds text and n_chars to ``pages`` (url, html, ...)."""
-    key, low, known, text, n = fresh(pages, "page_key", "low", "known", "text", "n_chars")
+    text, n = "text", "n_chars"
+    pages = make_room(pages, text, n)
+    key, low, known = fresh(pages, "page_key", "low", "known")
     x = pages.withColumn(key, F.xxhash64("url", "html"))
     found = verdicts(x.select(F.col(key).alias("page_key"), "url", "html")).withColumnsRenamed({"page_key": key, "low": low, "known": known})
 
