@@ -4,21 +4,24 @@ Trusted positives are labelled documents of the learning folds; unlabelled text
 hash sample of all documents of those folds. A small network over rates of the whole
 text minimises  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)): when the second part
 turns negative its gradient is taken back, so the flexible model cannot explain the
-unlabelled positives away. The class prior is estimated first: as the share of 1 among
-the labelled rows of the learning folds where both labels occur; otherwise a plain
-positive-against-unlabelled model ranks both samples, and the least ratio of their
-shares above a threshold (with a margin for small shares) bounds the prior.
+unlabelled positives away. The class prior comes first, and from the same two samples,
+so labels of 0 are not used anywhere: a plain positive-against-unlabelled network,
+trained on half of the documents, ranks the other half, and the least ratio of the
+shares of both samples above a threshold is what positives make up of the unlabelled
+rows; the two halves take turns.
 
 Fitting sees at most about ``textstats.SAMPLE`` positives and as many unlabelled rows;
 scoring is one pass. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: null or empty text has rates of 0 and is scored like any other; a
 repeated row is scored alike; with no trusted positive the score is the prior 0.5;
-null doc_id is not held out; extra columns stay out of the way.
+null doc_id is not held out; an empty table gives no rows; extra columns stay, those
+named score or predicted under another name (underscores in front).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, make_room, table
 from .textstats import RATES, SAMPLE, labelled, rates, remainder, with_counts
 
 HIDDEN, STEPS, RATE, DECAY = 12, 400, 0.03, 1e-4
+LEAST = 0.3  # of the positives: smaller shares are too noisy to read the prior off
 
 
 def shape(x: np.ndarray) -> np.ndarray:
@@ -89,29 +93,34 @@ def train(p: np.ndarray, u: np.ndarray, prior: float | None) -> Network:
     return net
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Least ratio of the unlabelled to the positive share among the highest scores."""
-    p, u = np.sort(p)[::-1], np.sort(u)[::-1]
-    best = 1.0
-    for share in np.linspace(0.2, 1.0, 81):
-        c = p[max(0, int(share * len(p)) - 1)]
-        a, b = (p >= c).mean(), (u >= c).mean()
-        best = min(best, (b + np.sqrt(np.log(40) / 2 / len(u)) * 0.25 + 0.25 * np.sqrt(np.log(40) / 2 / len(p))) / a)
-    return float(min(max(best, 0.02), 0.98))
+def least_ratio(p: np.ndarray, u: np.ndarray) -> float:
+    """Least ratio of the unlabelled to the positive share above a score that LEAST of the positives or more reach."""
+    p, u = np.sort(p), np.sort(u)
+    c = np.unique(p[: len(p) - int(np.ceil(LEAST * len(p))) + 1])
+    above = lambda x: 1 - np.searchsorted(x, c, "left") / len(x)
+    return float((above(u) / above(p)).min())
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, fold_p: np.ndarray, fold_u: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows; folds (0 or 1) keep a document's rows in one half."""
+    found = []
+    for k in (0, 1):
+        if min((fold_p == k).sum(), (fold_p != k).sum(), (fold_u == k).sum(), (fold_u != k).sum()) < 20:
+            return 0.5  # too few to tell
+        net = train(p[fold_p != k], u[fold_u != k], None)
+        found.append(least_ratio(net.forward(p[fold_p == k])[1], net.forward(u[fold_u == k])[1]))
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 class Model:
-    def __init__(self, p: np.ndarray, u: np.ndarray, prior: float | None = None):
+    def __init__(self, p: np.ndarray, u: np.ndarray, fold_p: np.ndarray, fold_u: np.ndarray, prior: float | None = None):
         self.net = None
         if len(p) and len(u):
             p, u = shape(p), shape(u)
             both = np.vstack([p, u])
             self.mean, self.std = both.mean(0), both.std(0) + 1e-9
             p, u = (p - self.mean) / self.std, (u - self.mean) / self.std
-            if prior is None:
-                plain = train(p, u, None)
-                prior = estimate_prior(plain.forward(p)[1], plain.forward(u)[1])
-            self.prior = prior
+            self.prior = estimate_prior(p, u, fold_p, fold_u) if prior is None else prior
             self.net = train(p, u, self.prior)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -124,15 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, left_out: int = 1,
     """Positives: labelled quality 1; unlabelled: any documents; both from folds other than ``left_out``."""
     learn = remainder(F.col("doc_id"), modulus) != left_out
     trusted = labelled(labels.where("quality = 1"), "quality", learn, bound)
-    good, bad = labels.where(learn).agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
-    prior = good / (good + bad) if good and bad else None
     own = docs.select("doc_id", "text").where(learn)
     n = own.count()
     some = own if n <= bound else own.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
     both = own.join(F.broadcast(trusted.select("doc_id")), "doc_id").withColumn("trusted", F.lit(True)).unionByName(some.withColumn("trusted", F.lit(False)))
     rows = with_counts(both).select("trusted", "doc_id", *[c.alias(k) for k, c in rates().items()]).orderBy("trusted", "doc_id").collect()
     part = lambda kind: np.array([[r[f] for f in RATES] for r in rows if r["trusted"] is kind]).reshape(-1, len(RATES))
-    return Model(part(True), part(False), prior)
+    fold = lambda kind: np.array([zlib.crc32(f"half {r['doc_id']}".encode()) % 2 for r in rows if r["trusted"] is kind], np.int64)
+    return Model(part(True), part(False), fold(True), fold(False))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -143,6 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for x in parts:
             yield pd.Series(model.score(x.to_numpy()))
 
+    docs = make_room(docs, "score", "predicted")
     counts = fresh(docs, "counts")[0]
     out = with_counts(docs, counts).withColumn("score", run(F.struct(*[c.alias(k) for k, c in rates(counts).items()])))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(counts)
