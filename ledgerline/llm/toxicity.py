@@ -6,13 +6,14 @@ words, capitals, punctuation and shouting, and obfuscated spellings (figures or
 inside words, and words that turn into insults when those are read as letters).
 
 The learned lexicon and the trees come from at most about ``textstats.SAMPLE``
-labelled rows of the learning folds; the lexicon holds at most ``LEXICON`` words.
+labelled rows of the learning folds, which bounds the lexicon, too.
 A third of those rows is kept from the trees and calibrates them (pooled adjacent
 violators, read with linear interpolation).
 
 Defined results: null or empty text has features of 0; a repeated row is scored alike;
 without labelled rows of both kinds the score is the share of toxic rows (0 if none);
-null doc_id is not held out; extra columns stay out of the way.
+null doc_id is not held out; an empty table gives no rows; extra columns stay, those
+named score or predicted under another name (underscores in front).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import make_room, table
 from .textstats import SAMPLE, labelled, remainder
 
 # Common insults in the four languages.
@@ -42,7 +43,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 MIXED = re.compile(r"(?<!\S)[^\W\d_]+[0-9@$*!|][\w@$*!|]*[^\W\d_]")
-LEXICON, SUPPORT = 400, 8  # learned words at most; documents a learned word needs at least
+SUPPORT = 8  # documents a learned word needs at least
 NEAR = 5  # words between an insult and a second-person word
 TREES, DEPTH, SHRINK, BINS, LEAF = 80, 3, 0.15, 64, 12
 FEATURES = ("insults", "insult_count", "learned", "learned_weight", "second_near", "second", "capitals", "shouts", "marks", "mixed", "unmasked")
@@ -63,15 +64,15 @@ def features(text: str, lexicon: dict[str, float]) -> tuple[float, ...]:
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     shouts = text.count("!") + text.count("?")
     marks = sum(map(text.count, "#*$%&|<>"))
-    return (math.log1p(1000 * own / n), float(min(own, 20)), math.log1p(1000 * (len(hits) - own) / n), min(weight, 50.0), near / n, second / n, upper / len(text), shouts / n, marks / n, len(mixed) / n, float(min(unmasked, 20)))
+    return (math.log1p(1000 * own / n), float(own), math.log1p(1000 * (len(hits) - own) / n), weight, near / n, second / n, upper / len(text), shouts / n, marks / n, len(mixed) / n, float(unmasked))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words whose documents are mostly toxic, by the lower end of a 95 % interval, with their weight; at most LEXICON."""
+    """Words whose documents are mostly toxic, by the lower end of a 95 % interval, with their weight."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(w, y, hash_of(t)) for t, y in zip(b["text"], b["label"]) for w in set(WORD.findall((t or "").lower())) if len(w) < 40]
+            found = [(w, y, hash_of(t)) for t, y in zip(b["text"], b["label"]) for w in set(WORD.findall((t or "").lower()))]
             yield pd.DataFrame(found, columns=["word", "label", "own"])
 
     def hash_of(text: str | None) -> int:
@@ -80,7 +81,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     per = rows.select("text", "label").mapInPandas(words, "word string, label int, own long").distinct().groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(f"a >= {SUPPORT}")
     p, z = F.col("a") / F.col("n"), 1.96
     low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-    top = per.withColumn("low", low).where("low >= 0.6").orderBy(F.desc("low"), "word").limit(LEXICON).collect()
+    top = per.withColumn("low", low).where("low >= 0.6").collect()
     return {r["word"]: float(r["low"]) for r in top}
 
 
@@ -191,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for x in parts:
             yield pd.Series(model.score(x))
 
-    return docs.withColumn("score", run("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return make_room(docs, "score", "predicted").withColumn("score", run("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
