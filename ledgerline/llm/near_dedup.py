@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +42,7 @@ SHINGLE, PERCENT = 5, 85
 PERMUTATIONS, BAND = 128, 8  # 256 values in 32 bands
 WIDE = 6  # values of a band where less than PERCENT is asked for: 42 bands of the first 252 values
 BLOCK = 512  # shingles that are permuted at once
+AT_ONCE = 1000  # texts whose sets are held at once
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _UPPER = re.compile("[A-Z]")
 
@@ -62,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes; remembers the hashes of words, up to LIMIT."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -110,30 +111,43 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class (null for an empty set), bands."""
     band = BAND if percent >= PERCENT else WIDE
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
-            sets = [shingler.set_of(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "class": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"), "bands": [bands(s, band) if len(s) else np.zeros(0, np.int64) for s in sets]})
+        for batch in _slices(batches):
+            sets = list(map(shingler.set_of, batch.column("text").to_pylist()))
+            of = [class_of(s) if len(s) else None for s in sets]
+            found = [bands(s, band) if len(s) else np.zeros(0, np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(of, pa.int64()), _lists(found)], ["doc_id", "n_shingles", "class", "bands"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, s: the sets of the classes in ``wanted`` (class, doc_id of one document with that text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
-            sets = [shingler.set_of(t) for t in batch["text"]]
-            same = [len(s) > 0 and class_of(s) == c for s, c in zip(sets, batch["class"])]  # an id may stand for several texts
-            yield pd.DataFrame({"class": batch["class"][same], "s": [s.view(np.int64) for s, k in zip(sets, same) if k]})
+        for batch in _slices(batches):
+            sets = map(shingler.set_of, batch.column("text").to_pylist())
+            same = [(c, s) for c, s in zip(batch.column("class").to_pylist(), sets) if len(s) and class_of(s) == c]  # an id may stand for several texts
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in same], pa.int64()), _lists([s.view(np.int64) for _, s in same])], ["class", "s"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("class", "text").mapInPandas(run, "class long, s array<long>").dropDuplicates(["class"])
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("class", "text").mapInArrow(run, "class long, s array<long>").dropDuplicates(["class"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
