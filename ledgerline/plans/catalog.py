@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-
+from ..functions.values import BOLLINGER_SCORES, CAP_TIERS, PCR_SCORES, RSI_SCORES, STOCHASTIC_SCORES, WEIGHTS, WILLIAMS_SCORES, ZSCORE_SCORES
 from .dialect import Spark
 
 BLOCK = 2048  # rows after which an exponential mean is anchored anew, so that no power overflows
 
-# Breakpoints and scores.
-RSI_SCORES = ((20, 10), (25, 9), (30, 8), (35, 7), (40, 5.5), (45, 3.5), (50, 2))
-BOLLINGER_SCORES = ((-0.1, 10), (0, 9), (0.10, 8), (0.20, 6.5), (0.35, 5), (0.65, 3), (0.80, 2))
-ZSCORE_SCORES = ((-2.5, 10), (-2, 9), (-1.5, 7.5), (-1, 6), (-0.5, 4), (0, 2.5))
-STOCHASTIC_SCORES = ((0.05, 10), (0.10, 9), (0.20, 8), (0.30, 6.5), (0.50, 4), (0.70, 2.5), (0.80, 1.5))
-WILLIAMS_SCORES = ((-95, 10), (-90, 9), (-80, 8), (-70, 6.5), (-50, 4), (-30, 2.5), (-20, 1.5))
-PCR_SCORES = ((3, 10), (2, 9), (1.5, 8), (1.2, 7), (1, 6), (0.7, 4), (0.5, 2.5))
-CAP_TIERS = (("Small", 0, 15e9), ("Mid", 15e9, 50e9), ("Large", 50e9, 150e9), ("Very Large", 150e9, 500e9), ("Mega", 500e9, None))
-WEIGHTS = {"s_rsi": 0.30, "s_bb": 0.20, "s_mr": 0.15, "s_pcr": 0.15, "s_stochrsi": 0.10, "s_williams": 0.10}
-
-
 def steps(value: str, op: str, table, beyond: float, missing: float | None = None) -> str:
     whens = "".join(f" when {value} {op} {t} then {float(s)}" for t, s in table)
     first = f" when {value} is null then {'null' if missing is None else float(missing)}" if op != "<= 0" else ""
@@ -152,8 +141,8 @@ def plans(q: Spark) -> dict[str, str]:
         "composite_no_pcr": f"{panel} select ticker, date, round(composite, 4) as composite, case when composite >= 7.5 then 'Strong' when composite >= 6 then 'Watchlist' else 'Monitor' end as setup from panel where i >= 256",
         "score_history": f"{panel} select ticker, date, case when i < 257 then 'warmup' when rsi > 50 then 'rsi_too_high' when avg_volume is null or avg_volume < 20 then 'other' else 'ok' end as reason, case when i >= 257 and rsi <= 50 and avg_volume >= 20 then round(composite, 4) end as score from panel",
         "filter_summary": f"{pan} select {GATE} as reason, count(*) as n from last_bar group by 1",
-        "sector_cap_topn": f"""{pan}, ok as (select * from last_bar where {GATE} in ('ok', 'low_score')), capped as (select *, row_number() over (partition by sector order by round(composite, 6) desc, ticker) as in_sector from ok)
-select cast(row_number() over (order by round(composite, 6) desc, ticker) as bigint) as rank, ticker, sector, round(composite, 4) as composite, {r4('rsi', 'pct_b')} from capped where in_sector <= 3 order by 1 limit 10""",
+        "sector_cap_topn": f"""{pan}, ok as (select * from last_bar where {GATE} = 'ok'), capped as (select *, row_number() over (partition by sector order by round(composite, 2) desc, ticker) as in_sector from ok)
+select cast(row_number() over (order by round(composite, 2) desc, ticker) as bigint) as rank, ticker, sector, round(composite, 2) as composite, {r4('rsi', 'pct_b')} from capped where in_sector <= 3 order by 1 limit 10""",
         "trade_levels": f"{pan} select ticker, round(close - 1.5 * atr, 4) as stop_loss, round(close + 2 * atr, 4) as target_1, round(close + 4 * atr, 4) as target_2, round(close - 0.5 * atr, 4) as entry_low, round(close + 0.3 * atr, 4) as entry_high from last_bar where atr > 0",
         "cap_tiers": f"select c_custkey as ticker, {tier('c_acctbal * 1e8')} as cap_tier from {q.t('customer')}",
         "cap_tier_listing": f"with x as (select {tier('c_acctbal * 1e8')} as cap_tier, c_acctbal from {q.t('customer')}) select cap_tier, count(*) as n, max(c_acctbal) as largest from x group by 1",
@@ -165,8 +154,6 @@ select ticker, round(pcr_volume, 4) as pcr_volume, round(case when base >= 7 and
 ahead as (select d, day, {q.coming('day', 'order by d desc rows between unbounded preceding and current row').replace('first_value', 'last_value')} as review_date from both_)
 select distinct review_date from ahead where day is null and review_date is not null""",
         "membership_intervals": f"{ctes(membership(q))} select * from membership",
-        "members_by_month": f"""{ctes(membership(q), f"months as (select distinct {q.trunc('month', 'o_orderdate')} as month from {q.t('orders')})")}
-select month, count(distinct ticker) as members from months join membership on date_added <= month and (date_removed is null or date_removed >= month) group by 1""",
         "active_tickers": f"{ctes(membership(q))} select distinct ticker from membership where date_added <= {q.parse_date('1998-01-01')} and (date_removed is null or date_removed > {q.parse_date('1998-01-01')})",
         "asof_backward": f"""with x as (select user_id, ts, event_id, 1 as side, value, cast(null as double) as price from {q.t('events')} where event_type = 'purchase'
   union all select user_id, ts, event_id, 0, null, value from {q.t('events')} where event_type = 'view'),
@@ -188,36 +175,17 @@ select case when grouping(regime) = 0 then 'regime' when grouping(bucket) = 0 th
         "crosstab_pivot": f"{tr} select exit_reason, count(*) filter (where regime = 'bull') as bull, count(*) filter (where regime = 'neutral') as neutral, count(*) filter (where regime = 'bear') as bear from trades group by 1",
         "concentration": f"{tr}, m as (select sector, {q.trunc('month', 'entry_date')} as month, count(*) as c from trades group by 1, 2) select sector, count(*) as months, max(c) as top_month, round(cast(max(c) as double) / sum(c), 4) as top_share from m group by 1",
         "describe_by_reason": f"{tr} select exit_reason, count(*) as n, round(avg(pnl_pct), 4) as mean, round(stddev_samp(pnl_pct), 4) as sd, round(min(pnl_pct), 4) as lowest, " + ", ".join(f"round({q.quantile('pnl_pct', p / 100)}, 4) as p{p}" for p in (25, 50, 75)) + ", round(max(pnl_pct), 4) as highest from trades group by 1",
-        "trimmed_mean": f"{tr}, k as (select pnl_pct, row_number() over (order by pnl_pct, l_orderkey, l_linenumber, l_partkey, l_suppkey) as k, count(*) over () as n from trades) select count(*) as n, round(avg(pnl_pct), 4) as trimmed from k where k > floor(0.05 * n) and k <= n - floor(0.05 * n)",
-        "outlier_dependence": f"{tr}, k as (select pnl_pct, pnl, row_number() over (order by pnl desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as k from trades) select round(avg(pnl_pct) filter (where k > 5), 4) as mean_without, round(sum(pnl) filter (where k <= 5) / sum(pnl) * 100, 4) as top_share from k",
         "entries_per_month": f"{tr} select {q.trunc('month', 'entry_date')} as month, count(*) as entries, count(distinct ticker) as tickers from trades group by 1",
         "missed_entries_anti": f"{tr} select distinct a.ticker, a.entry_date from trades a left join (select distinct ticker, entry_date from trades where regime = 'bull') b on a.ticker = b.ticker and a.entry_date = b.entry_date where a.regime = 'neutral' and b.ticker is null",
         "trade_overlap_jaccard": f"""{tr}, a as (select distinct ticker, entry_date from trades where regime = 'bull'), b as (select distinct ticker, entry_date from trades where regime = 'neutral')
 select count(*) as either, count(a.ticker) filter (where b.ticker is not null) as both_sets, round(100.0 * count(a.ticker) filter (where b.ticker is not null) / count(*), 4) as jaccard from a full outer join b on a.ticker = b.ticker and a.entry_date = b.entry_date""",
         "dedup_trades": f"{tr} select ticker, entry_date, exit_date, round(pnl, 4) as pnl from (select *, row_number() over (partition by ticker, entry_date, exit_date order by l_orderkey, l_linenumber, l_partkey, l_suppkey, pnl) as k from trades) x where k = 1",
-        "rolling_windows": f"""{tr}, w as (select {q.plus_months(q.parse_date('1995-01-01'), '6 * k')} as window_start from {q.series('k', '9')}), x as (select window_start, {q.plus_months('window_start', '24')} as window_end from w)
-select window_start, window_end, count(*) as n, round(avg(pnl_pct), 4) as avg_pnl, round(100.0 * count(*) filter (where pnl > 0) / count(*), 4) as win_rate from x join trades on entry_date >= window_start and entry_date < window_end group by 1, 2""",
         "monthly_mode": f"{tr}, c as (select {q.trunc('month', 'entry_date')} as month, regime, count(*) as n from trades group by 1, 2) select month, regime from (select *, row_number() over (partition by month order by n desc, regime) as k from c) x where k = 1",
         "sector_rank": f"""{reg}, m as (select ticker, {q.trunc('month', 'date')} as month, {q.last_by('close', 'date')} as last_close from bars group by 1, 2), c as (select *, (last_close / lag(last_close, 3) over (partition by ticker order by month) - 1) * 100 as change from m)
 select month, ticker, round(change, 4) as change, cast(rank() over (partition by month order by change desc) as bigint) as rank from c where change is not null""",
         "longest_streak": f"""{panel}, f as (select ticker, i, case when close < sma then 1 else 0 end as below from panel where sma is not null), g as (select *, i - sum(below) over (partition by ticker order by i rows unbounded preceding) as grp from f)
 select ticker, max(n) as longest from (select ticker, grp, count(*) as n from g where below = 1 group by 1, 2) x group by 1""",
         "signal_events": f"{panel}, s as (select ticker, date, composite >= 7 as signal, lag(composite >= 7) over (partition by ticker order by date) as before from panel where i >= 257) select ticker, date from s where signal and not coalesce(before, false)",
-        "local_extrema": f"{reg}, x as (select ticker, date, close, min(close) over (partition by ticker order by date rows between 10 preceding and 10 following) as lo, max(close) over (partition by ticker order by date rows between 10 preceding and 10 following) as hi from bars) select ticker, date, case when close = lo then 'min' else 'max' end as kind from x where close = lo or close = hi",
-        "next_extremum": f"""{reg}, x as (select ticker, date, close, case when close = max(close) over (partition by ticker order by date rows between 10 preceding and 10 following) then close end as top from bars)
-select ticker, date, round(({q.coming('top', 'partition by ticker order by date rows between 1 following and unbounded following')} / close - 1) * 100, 4) as move from x""",
-        "stop_forensics": f"""{ctes(trades(q), bars(q, 'bars', 'n_name'))}, s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, ticker, exit_date, entry_price, exit_reason from trades where exit_reason like 'stop_%'), d as (select distinct ticker, exit_date, exit_reason from s),
-f as (select d.ticker, d.exit_date, d.exit_reason, {q.last_by('close', 'b.date')} as last_close, {q.first_by('close', 'b.date')} as first_close, min(low) as worst from d join bars b on b.ticker = d.ticker and b.date > d.exit_date and b.date <= {q.plus_days('d.exit_date', '20')} group by 1, 2, 3)
-select exit_reason, count(*) as n, round(avg((last_close / first_close - 1) * 100), 4) as fwd, round(avg((worst / first_close - 1) * 100), 4) as mae, round({q.quantile('(last_close / first_close - 1) * 100', 0.5)}, 4) as median_fwd from f group by 1""",
-        "stop_gap": f"""{ctes(trades(q), bars(q, 'bars', 'n_name'))}, j as (select t.exit_reason, t.entry_price / (1 - 0.0005) as raw_exit, b.open, t.entry_price from trades t join bars b on b.ticker = t.ticker and b.date = t.exit_date where t.exit_reason like 'stop_%')
-select exit_reason, count(*) as n, count(*) filter (where open < raw_exit) as gapped, round(avg(case when open < raw_exit then (open - raw_exit) / entry_price * 100 else 0 end), 4) as extra from j group by 1""",
-        "exit_three_phase": f"""{ctes(*indicators(q, regional(q)))}, e as (select ticker, i as entry_i, date as entry_date, close as entry_price, atr from ind where i >= 257 and i % 25 = 0 and atr > 0),
-p as (select e.*, b.i, b.date, b.open, b.high, b.low, b.close, {q.days('e.entry_date', 'b.date')} as held, max(b.high) over (partition by e.ticker, e.entry_i order by b.i rows unbounded preceding) as peak0 from e join ind b on b.ticker = e.ticker and b.i > e.entry_i and b.i <= e.entry_i + 80),
-s as (select *, greatest(peak0, entry_price) as peak from p),
-t as (select *, case when held < 15 then entry_price - 3 * atr when peak >= entry_price + atr then greatest(peak - 2.5 * atr, entry_price) else entry_price end as stop, entry_price + 6 * atr as target from s),
-h as (select *, case when low <= stop then case when held < 15 then 'stop_guard' when peak >= entry_price + atr then 'stop_trail' else 'stop_breakeven' end when high >= target then 'target_2' when held >= 60 then 'max_hold' end as reason from t),
-k as (select *, row_number() over (partition by ticker, entry_i order by i) as first_hit from h where reason is not null)
-select ticker, entry_date, date as exit_date, reason, round(case when reason like 'stop_%' then stop when reason = 'target_2' then target else close end, 4) as exit_price from k where first_hit = 1""",
         "exit_three_phase_every_bar": f"""{ctes(*indicators(q, daily(q)))}, e as (select ticker, i as entry_i, date as entry_date, close as entry_price, atr from ind where i >= 13 and atr > 0),
 p as (select e.*, b.i, b.date, b.open, b.high, b.low, b.close, {q.days('e.entry_date', 'b.date')} as held, max(b.high) over (partition by e.ticker, e.entry_i order by b.i rows unbounded preceding) as peak0 from e join ind b on b.ticker = e.ticker and b.i > e.entry_i and b.i <= e.entry_i + 80),
 s as (select *, greatest(peak0, entry_price) as peak from p),
@@ -225,20 +193,10 @@ t as (select *, case when held < 15 then entry_price - 3 * atr when peak >= entr
 h as (select *, case when low <= stop then case when held < 15 then 'stop_guard' when peak >= entry_price + atr then 'stop_trail' else 'stop_breakeven' end when high >= target then 'target_2' when held >= 60 then 'max_hold' end as reason from t),
 k as (select *, row_number() over (partition by ticker, entry_i order by i) as first_hit from h where reason is not null)
 select ticker, entry_date, date as exit_date, reason, round(case when reason like 'stop_%' then stop when reason = 'target_2' then target else close end, 4) as exit_price from k where first_hit = 1""",
-        "equal_weight_curve": f"""{reg}, f as (select ticker, {q.first_by('close', 'date')} as first_close, count(*) over () as n from bars group by ticker), m as (select ticker, {q.trunc('month', 'date')} as month, {q.last_by('close', 'date')} as mark from bars group by 1, 2)
-select month, round(sum(100000.0 / n / first_close * mark), 4) as portfolio_value, count(*) as held from m join f on m.ticker = f.ticker group by 1""",
-        "monte_carlo": f"""{tr}, p as (select pnl_pct, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, pnl) - 1 as j from trades), n as (select count(*) as n from p),
-draw as (select sim, i, ((sim * 7919 + i * 104729 + 42) * 1103515245 + 12345) % 2147483648 as u from {q.series('sim', '200')} cross join {q.series('i', '60', 't2')}),
-path as (select sim, i, sum(ln(1 + pnl_pct / 100 / 5)) over (partition by sim order by i rows unbounded preceding) as g from draw cross join n join p on j = u % n),
-peak as (select *, max(g) over (partition by sim order by i rows unbounded preceding) as top from path)
-select sim as simulation, round((exp({q.last_by('g', 'i')}) - 1) * 100, 4) as total_return, round(min(exp(g - greatest(top, 0)) - 1) * 100, 4) as max_drawdown from peak group by sim""",
         "distribution_by_date": f"{panel}, m as (select {q.trunc('month', 'date')} as month, composite from panel where i >= 257) select month, count(*) as n, round(avg(composite), 4) as mean, round(stddev_samp(composite), 4) as sd, round({q.skew('composite')}, 3) as skew, round(100.0 * count(*) filter (where composite >= 8.5) / count(*), 4) as high_pct, round({q.quantile('composite', 0.5)}, 4) as p50 from m group by 1 having count(*) > 3",
         "correlation_matrix": f"{panel} select " + ", ".join(f"round(corr({a}, {b}), 4) as {a}_{b}" for k, a in enumerate(("s_rsi", "s_bb", "s_mr", "s_stochrsi", "s_williams")) for b in ("s_rsi", "s_bb", "s_mr", "s_stochrsi", "s_williams")[k + 1 :]) + " from panel where i >= 257",
-        "spearman": f"""{tr}, k as (select signal_score, pnl_pct, rank() over (order by signal_score) + (count(*) over (partition by signal_score) - 1) / 2.0 as a, rank() over (order by pnl_pct) + (count(*) over (partition by pnl_pct) - 1) / 2.0 as b from trades) select round(corr(cast(a as double), cast(b as double)), 4) as rho from k""",
         "cluster_mean_test": f"""{tr}, m as (select avg(pnl_pct) as mu, count(*) as n from trades), g as (select {q.trunc('month', 'entry_date')} as c, sum(pnl_pct - mu) as u from trades cross join m group by 1)
 select max(n) as n, count(*) as clusters, round(max(mu), 4) as mean, round(sqrt(count(*) / (count(*) - 1.0) * sum(u * u)) / max(n), 6) as se from g cross join m""",
-        "ols_newey_west": f"""{reg}, m as (select {q.trunc('month', 'date')} as month, {q.last_by('close', 'date')} as y0, {q.first_by('close', 'date')} as x0 from bars where ticker = 'ASIA' group by 1), r as (select month, ln(y0 / lag(y0) over (order by month)) as y, ln(x0 / lag(x0) over (order by month)) as x from m),
-b as (select regr_slope(y, x) as beta, regr_intercept(y, x) as alpha, regr_r2(y, x) as r2, count(y) as n from r) select n, round(beta, 4) as beta, round(alpha, 4) as alpha, round(r2, 4) as r2 from b""",
         "ols_newey_west_hac": f"""{reg}, m as (select ticker, {q.trunc('month', 'date')} as month, {q.last_by('close', 'date')} as y0, {q.first_by('close', 'date')} as x0 from bars group by 1, 2),
 r as (select ticker, month, ln(y0 / lag(y0) over (partition by ticker order by month)) as y, ln(x0 / lag(x0) over (partition by ticker order by month)) as x from m),
 b as (select ticker, regr_slope(y, x) as beta, regr_intercept(y, x) as alpha, regr_r2(y, x) as r2, cast(count(*) as double) as n, sum(x) as sx, sum(x * x) as sxx, floor(4 * power(count(*) / 100.0, 2.0 / 9)) as lags from r where y is not null and x is not null group by 1 having count(*) > 2),
@@ -259,10 +217,6 @@ select count(*) as intervals, cast(sum(days) as bigint) as days, cast(sum(least(
         "bs_call": f"""{tr}, x as (select distinct entry_price as s, 0.38 as v, 45.0 / 365 as t from trades), d as (select s, v, t, (ln(1.0) + (0.04 + v * v / 2) * t) / (v * sqrt(t)) as d1 from x), e as (select *, d1 - v * sqrt(t) as d2 from d),
 f as (select s, t, """ + ", ".join(f"1 - exp(-{d} * {d} / 2) / sqrt(2 * pi()) * (0.319381530 * k{d} - 0.356563782 * power(k{d}, 2) + 1.781477937 * power(k{d}, 3) - 1.821255978 * power(k{d}, 4) + 1.330274429 * power(k{d}, 5)) as n{d}" for d in ("d1", "d2")) + """ from (select *, 1 / (1 + 0.2316419 * d1) as kd1, 1 / (1 + 0.2316419 * d2) as kd2 from e) y)
 select round(s, 4) as strike, round(s * nd1 - s * exp(-0.04 * t) * nd2, 4) as premium from f""",
-        "portfolio_value": f"{tr} select round(10000 - sum(case when exit_reason = 'delisted' then entry_price * shares else 0 end) + sum(case when exit_reason <> 'delisted' then pnl else 0 end), 2) as cash, count(*) filter (where exit_reason = 'delisted') as open_positions from trades",
-        "benchmark_same_period": f"""{ctes(trades(q), bars(q, 'bars', 'r_name'))}, d as (select distinct sector, entry_date, exit_date from trades where {q.days('entry_date', 'exit_date')} between 5 and 40),
-j as (select d.*, {q.first_by('close', 'b.date')} as c0, {q.last_by('close', 'b.date')} as c1 from d join bars b on b.ticker = d.sector and b.date between d.entry_date and d.exit_date group by d.sector, d.entry_date, d.exit_date)
-select sector, count(*) as n, round(avg((c1 / c0 - 1) * 100), 4) as bench from j group by 1""",
     }
     return out
 
