@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 
 FIRST = Window.unboundedPreceding
-ZERO = F.lit
 
 
 def _trade_columns(won: Column | None = None) -> dict[str, Column]:
@@ -163,10 +162,10 @@ def config_comparison(results: DataFrame, value: str = "total_return") -> DataFr
     return x.groupBy("config").agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, 0.5), 4).alias("median"), F.round(F.stddev_samp(value), 4).alias("std"), F.round(F.count_if(F.col(value) > 0) / F.count(value) * 100, 4).alias("positive_pct"), F.count_if("best_").alias("wins"))
 
 
-def noise(results: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def noise(results: DataFrame, metrics: Sequence[str], digits: int = 4) -> DataFrame:
     """metric, mean, std, min, max, range over the runs."""
     long = results.unpivot([], list(metrics), "metric", "value")
-    return long.groupBy("metric").agg(*[F.round(c, 4).alias(k) for k, c in {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value"), "range": F.max("value") - F.min("value")}.items()])
+    return long.groupBy("metric").agg(*[F.round(c, digits).alias(k) for k, c in {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value"), "range": F.max("value") - F.min("value")}.items()])
 
 
 def pivot_mean(df: DataFrame, x: str, y: str, metric: str, values: Sequence) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Bootstrap of trade sequences: every simulation draws as many trades as there are.
+"""Bootstrap of trade sequences: every simulation draws as many trades as there are, with replacement or as a new order.
 
 A simulation compounds a share of 1 / TOP_N of the equity in each drawn trade, in turn.
 Draws come from a generator seeded by (SEED, simulation), so a result does not depend
@@ -25,17 +25,20 @@ BLOCK = 1 << 16  # draws of a path that are in memory at once
 TASKS = 48  # parts that the simulations are dealt to, at most
 
 
-def draws(simulation: int, n: int, seed: int = SEED) -> Iterator[np.ndarray]:
+def draws(simulation: int, n: int, seed: int = SEED, method: str = "bootstrap") -> Iterator[np.ndarray]:
     """The numbers of n drawn trades of n, in blocks."""
     r = np.random.default_rng([seed, simulation])
+    if method == "shuffle":
+        yield from np.split(order := r.permutation(n), range(BLOCK, len(order), BLOCK))
+        return
     for at in range(0, n, BLOCK):
         yield r.integers(0, n, min(BLOCK, n - at))
 
 
-def walk(growth: np.ndarray, simulation: int, seed: int = SEED) -> tuple[float, float]:
+def walk(growth: np.ndarray, simulation: int, seed: int = SEED, method: str = "bootstrap") -> tuple[float, float]:
     """log of final over first equity, and the deepest log of equity over its peak."""
     level = top = deepest = 0.0
-    for j in draws(simulation, len(growth), seed):
+    for j in draws(simulation, len(growth), seed, method):
         path = level + np.cumsum(growth[j])
         peak = np.maximum(np.maximum.accumulate(path), top)
         with np.errstate(invalid="ignore"):
@@ -44,8 +47,10 @@ def walk(growth: np.ndarray, simulation: int, seed: int = SEED) -> tuple[float,
     return level, deepest
 
 
-def simulate(trades: DataFrame, keys: list[str], simulations: int = SIMULATIONS, seed: int = SEED) -> DataFrame:
+def simulate(trades: DataFrame, keys: list[str], simulations: int = SIMULATIONS, seed: int = SEED, method: str = "bootstrap") -> DataFrame:
     """simulation, n_draws, log_growth, total_return and max_drawdown (percent) from ``trades`` (pnl_pct and what orders them)."""
+    if method not in ("bootstrap", "shuffle"):
+        raise ValueError(f"no such method: {method}")
     spark = trades.sparkSession
     ordered = trades.where("pnl_pct is not null").orderBy(*keys).select(F.col("pnl_pct").cast("double"))
     pnl = ordered.toArrow().column(0).to_numpy()
@@ -55,7 +60,7 @@ def simulate(trades: DataFrame, keys: list[str], simulations: int = SIMULATIONS,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [walk(sent.value, int(k), seed) for k in b["id"]]
+            found = [walk(sent.value, int(k), seed, method) for k in b["id"]]
             level, deepest = np.array(found).reshape(-1, 2).T
             with np.errstate(over="ignore"):
                 yield pd.DataFrame({"simulation": b["id"], "n_draws": len(sent.value), "log_growth": level, "total_return": np.expm1(level) * 100, "max_drawdown": np.expm1(deepest) * 100})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import values as V
 from .indicators import PARAMS, indicators, subscores
+from .timeline import asof
 
 REASONS = ("no_data", "volume", "market_cap", "rsi", "earnings", "low_score")
 
@@ -129,6 +130,14 @@ def point_in_time(bars: DataFrame, weights: Mapping[str, float] = V.WEIGHTS, rsi
     return x.withColumn("signal_score", S.composite(weights))
 
 
+def inspect(trades: DataFrame, bars: DataFrame, on: str = "entry_date", **params) -> DataFrame:
+    """Trades with the indicators, sub-scores and composite of their ticker's last bar at or before the day, by the live scan's history; null with less."""
+    p = PARAMS | params
+    own = subscores(indicators(bars, True, **params)).where(F.col("i") >= least_history(p) - 1).withColumn("composite", S.composite())
+    features = ["rsi", "pct_b", "z_score", "stoch_k", "stoch_d", "williams_r", "atr", "atr_percentile", "atr_regime", "vol_ratio", "composite"]
+    return asof(trades, own.select("ticker", F.col("date").alias(on), *features), ["ticker"], on, features)
+
+
 def alerts(scanned: DataFrame, threshold: float = 6.5) -> DataFrame:
     """What reaches the threshold, best first, without a sector cap."""
     return scanned.where((F.col("reason") == "ok") & (F.col("composite") >= threshold)).orderBy(F.desc("composite"), "ticker")

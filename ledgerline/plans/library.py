@@ -22,6 +22,7 @@ from ..operators import indicators as I
 from ..operators import inference as V
 from ..operators import ledger as L
 from ..operators import metrics as M
+from ..operators import monte_carlo
 from ..operators import scan as SC
 from ..operators import timeline as T
 from ..sources.walk import random_walk
@@ -550,11 +551,11 @@ def monthly_regimes(spark, d):
 
 
 @query(f"""with {DAILY}, {O_CAPS}, l as (select ticker, cast(date_trunc('month', date) as date) as month, arg_max(close, date) as c from bars group by 1, 2), m as (select l.*, (c / lag(c, 3) over (partition by ticker order by month) - 1) * 100 as ch from l),
-g as (select month, coalesce(s.sector, 'Unknown') as sector, round(avg(ch), 6) as change from m join caps s on s.ticker = m.ticker where coalesce(s.sector, 'Unknown') <> 'Unknown' and ch is not null group by 1, 2) select month, sector, round(change, 4) as change, rank() over (partition by month order by change desc) as rank from g""")
+g as (select month, coalesce(s.sector, 'Unknown') as sector, round(avg(ch), 6) as change from m join caps s on s.ticker = m.ticker where coalesce(s.sector, 'Unknown') <> 'Unknown' and ch is not null group by 1, 2) select month, sector, round(change, 2) as change, rank() over (partition by month order by change desc) as rank from g""")
 def sector_strength(spark, d):
     t = Tables(spark, d)
     x = M.sector_strength(t.daily(), t.caps().withColumn("sector", F.coalesce("sector", F.lit("Unknown"))))
-    return x.withColumn("change", F.round("change", 4))
+    return x.withColumn("change", F.round("change", 2))
 
 
 @query(f"with {TRADES} select round(corr(pnl_pct, signal_score), 4) as score, round(corr(pnl_pct, shares), 4) as shares, round(corr(pnl_pct, entry_price), 4) as price from trades")
@@ -694,6 +695,22 @@ def gap_corrected(spark, d):
     return x.groupBy("regime").agg(F.round(F.avg("pnl_pct"), 4).alias("before"), F.round(F.avg("adj"), 4).alias("after"))
 
 
+_INSPECTED = f"with {PANEL}, {TRADES}, own as (select ticker, date, rsi, z_score, williams_r from panel where i >= 67), j as (select t.*, o.rsi, o.z_score, o.williams_r from trades t asof left join own o on t.ticker = o.ticker and t.entry_date >= o.date)"
+
+
+@query(f"{_INSPECTED} select exit_reason, count(*) as n, count(rsi) as scored, round(avg(rsi), 3) as rsi, round(stddev_samp(z_score), 3) as z_sd, round(median(williams_r), 3) as williams from j group by 1")
+def inspected_trades(spark, d):
+    t = Tables(spark, d)
+    x = SC.inspect(t.trades(), t.daily())
+    return x.groupBy("exit_reason").agg(F.count("*").alias("n"), F.count("rsi").alias("scored"), F.round(F.avg("rsi"), 3).alias("rsi"), F.round(F.stddev_samp("z_score"), 3).alias("z_sd"), F.round(F.percentile("williams_r", 0.5), 3).alias("williams"))
+
+
+@query(f"{_INSPECTED} select round(corr(pnl_pct, rsi), 4) as rsi, round(corr(pnl_pct, z_score), 4) as z_score, round(corr(pnl_pct, williams_r), 4) as williams_r from j")
+def inspected_correlations(spark, d):
+    t = Tables(spark, d)
+    return SC.inspect(t.trades(), t.daily()).agg(*[F.round(F.corr("pnl_pct", c), 4).alias(c) for c in ("rsi", "z_score", "williams_r")])
+
+
 # ------------------------------------------------------------------ the ledger
 
 _LEDGER = f"with {TRADES}, {POSITIONS}, {K.bars(q, 'bars', 'n_name')}, {K.bars(q, 'rbars', 'r_name')}, bench as (select date, close from rbars where ticker = 'EUROPE'), last as (select ticker, arg_max(close, date) as price from bars group by 1)"
@@ -739,13 +756,13 @@ def upserted_history(spark, d):
 
 _TRACK = f"""{_LEDGER}, p as (select p.*, case when status = 'closed' then exit_price else price end as now, case when status = 'closed' then exit_date else date '1998-12-31' end as fin from positions p left join last l on l.ticker = p.ticker),
 e as (select p.*, (select min(date) from bench where date >= entry_date) as a, (select max(date) from bench where date <= fin) as z from p where now is not null), t as (select e.*, b0.close as c0, b1.close as c1 from e join bench b0 on b0.date = a join bench b1 on b1.date = z where a <= z),
-r as (select ticker, status, entry_date, round(now, 1) as price_now, round((now - entry_price) / entry_price * 100, 2) as return_pct, round((c1 - c0) / c0 * 100, 2) as benchmark_return_pct, round((now - entry_price) / entry_price * 100 - (c1 - c0) / c0 * 100, 2) as alpha_pct from t)"""
+r as (select ticker, status, entry_date, round(round(now, 2), 0) as price_now, round((now - entry_price) / entry_price * 100, 2) as return_pct, round((c1 - c0) / c0 * 100, 2) as benchmark_return_pct, round((now - entry_price) / entry_price * 100 - (c1 - c0) / c0 * 100, 2) as alpha_pct from t)"""
 
 
 @query(f"{_TRACK} select * from r")
 def tracked_positions(spark, d):
     t = Tables(spark, d)
-    return L.track(t.held(), t.daily(), t.region().where(_BENCH), "1998-12-31").drop("entry_price").withColumn("price_now", F.round("price_now", 1))
+    return L.track(t.held(), t.daily(), t.region().where(_BENCH), "1998-12-31").drop("entry_price").withColumn("price_now", F.round("price_now", 0))
 
 
 @query(f"{_TRACK} select count(*) as n, round(avg(alpha_pct), 4) as avg_alpha_pct, round(100.0 * count(*) filter (where alpha_pct > 0) / count(*), 4) as beat_rate_pct from r")
@@ -959,9 +976,9 @@ def grid_stability(spark, d):
     return x.select(*[F.round(c, 6).alias(c) for c in ("current_value", "grid_best_value", "neighbor_mean", "neighbor_std")], "n_neighbors")
 
 
-@query(f"{_GRID} select 'v' as metric, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, round(min(v), 4) as min, round(max(v), 4) as max, round(max(v) - min(v), 4) as range from g")
+@query(f"{_GRID} select 'v' as metric, round(avg(v), 3) as mean, round(stddev_samp(v), 3) as std, round(min(v), 3) as min, round(max(v), 3) as max, round(max(v) - min(v), 3) as range from g")
 def grid_noise(spark, d):
-    return M.noise(_grid(spark, d), ["v"])
+    return M.noise(_grid(spark, d), ["v"], 3)
 
 
 def _world(spark, members=None):
@@ -987,6 +1004,20 @@ def walk_forward(spark, d):
     return B.summary(B.run(panel, runs, world), runs)
 
 
+@query()
+def monte_carlo_runs(spark, d):
+    """Bootstrapped and shuffled orders of the base run's trades, with the rank of what happened."""
+    panel, world, _ = _world(spark)
+    results = B.run(panel, [_BASE], world)
+    known = B.summary(results, [_BASE]).first()
+    out = None
+    for method in ("bootstrap", "shuffle"):
+        paths = monte_carlo.simulate(B.trades(results), ["entry_date", "ticker"], method=method)
+        x = D.monte_carlo_summary(paths, known["total_return"], known["max_drawdown"]).withColumn("method", F.lit(method))
+        out = x if out is None else out.unionByName(x)
+    return out.withColumn("verdict", D.luck_verdict(F.col("known_return_percentile")))
+
+
 @query()
 def parameter_sweep(spark, d):
     panel, world, _ = _world(spark)

@@ -19,6 +19,7 @@ from ledgerline.operators import exits as X
 from ledgerline.operators import indicators as I
 from ledgerline.operators import inference as V
 from ledgerline.operators import ledger as L
+from ledgerline.operators import monte_carlo
 from ledgerline.operators import scan as SC
 from ledgerline.operators import timeline as T
 
@@ -478,3 +479,15 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
         assert [(r.date, r.portfolio_value) for r in sources.ledger(spark, f"{path}/h", "history").collect()] == [("2020-01-01", value)]
     assert streaming.first_days(spark.createDataFrame([(datetime.date(2020, 1, 3),), (datetime.date(2020, 1, 2),)], "date date")).first().review_date == datetime.date(2020, 1, 2)
+
+
+def test_monte_carlo_shuffles(spark):
+    pnl = [float(x) for x in np.random.default_rng(3).normal(0, 8, 60)]
+    got = monte_carlo.simulate(spark.createDataFrame(list(enumerate(pnl)), "k int, pnl_pct double"), ["k"], 12, method="shuffle").toPandas()
+    growth = np.array([1 + x / 500 for x in pnl])
+    assert np.allclose(got.total_return, (growth.prod() - 1) * 100) and got.max_drawdown.nunique() > 6
+    for k, deepest in zip(got.simulation, got.max_drawdown):
+        path = np.r_[1, np.cumprod(growth[np.concatenate(list(monte_carlo.draws(int(k), 60, method="shuffle")))])]
+        assert close(deepest, ((path - np.maximum.accumulate(path)) / np.maximum.accumulate(path)).min() * 100)
+    with pytest.raises(ValueError, match="method"):
+        monte_carlo.simulate(spark.createDataFrame([(1, 1.0)], "k int, pnl_pct double"), ["k"], method="other")
