@@ -103,21 +103,22 @@ def option_summary(results: DataFrame) -> DataFrame:
 def stop_forensics(trades: DataFrame, bars: DataFrame, windows: tuple[int, ...] = (20, 40, 60), reasons: tuple[str, ...] = ("stop_guard", "stop_breakeven", "stop_trail"), mae_bars: int = 20) -> DataFrame:
     """Stopped trades with the return from the exit price after some calendar days, the worst low of the next bars, and the days to the first low below the exit.
 
-    Trades that exit alike (ticker, date, price) meet the bars once.
+    The bars behind a day are gathered once for each ticker and day; a trade compares its own price with them.
     """
     stopped = trades.where(F.col("exit_reason").isin(*reasons))
-    exits = stopped.select("ticker", "exit_date", "exit_price").distinct()
-    far = max(max(windows), 4 * mae_bars)
-    x = forward_bars(exits, bars.select("ticker", "date", "low", "close"), "exit_date", far)
     c = F.col
-    x = x.withColumn("k_", F.row_number().over(Window.partitionBy("ticker", "exit_date", "exit_price").orderBy("date")))
-    near, gain = c("k_") <= mae_bars, lambda p: F.round((p - c("exit_price")) / c("exit_price") * 100, 2)
-    x = x.groupBy("ticker", "exit_date", "exit_price").agg(
-        *[F.max_by(F.when(F.datediff("date", "exit_date") <= w, c("close")), F.when(F.datediff("date", "exit_date") <= w, c("date"))).alias(f"c_{w}") for w in windows],
-        F.min(F.when(near, c("low"))).alias("worst"), F.min(F.when(near & (c("low") < c("exit_price")), F.datediff("date", "exit_date"))).alias("days_to_new_low"),
+    x = forward_bars(stopped.select("ticker", "exit_date").distinct(), bars.select("ticker", "date", "low", "close"), "exit_date", max(max(windows), 4 * mae_bars))
+    after = F.datediff("date", "exit_date")
+    x = x.withColumn("k_", F.row_number().over(Window.partitionBy("ticker", "exit_date").orderBy("date")))
+    near = c("k_") <= mae_bars
+    x = x.groupBy("ticker", "exit_date").agg(
+        *[F.max_by(F.when(after <= w, c("close")), F.when(after <= w, c("date"))).alias(f"c_{w}") for w in windows],
+        F.min(F.when(near, c("low"))).alias("worst_"), F.sort_array(F.collect_list(F.when(near, F.struct(after.alias("n"), "low")))).alias("lows_"),
     )
-    x = x.select("ticker", "exit_date", "exit_price", *[gain(c(f"c_{w}")).alias(f"fwd_{w}d") for w in windows], gain(c("worst")).alias("mae_post"), "days_to_new_low")
-    return stopped.join(x, ["ticker", "exit_date", "exit_price"])
+    gain = lambda p: F.round((p - c("exit_price")) / c("exit_price") * 100, 2)
+    below = F.get(F.filter("lows_", lambda e: e["low"] < c("exit_price")), F.lit(0))["n"]
+    own = {f"fwd_{w}d": gain(c(f"c_{w}")) for w in windows} | {"mae_post": gain(c("worst_")), "days_to_new_low": below}
+    return stopped.join(x, ["ticker", "exit_date"]).withColumns(own).drop("worst_", "lows_", *[f"c_{w}" for w in windows])
 
 
 def forensics_summary(stops: DataFrame, windows: tuple[int, ...] = (20, 40, 60)) -> DataFrame:

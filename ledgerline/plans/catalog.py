@@ -151,7 +151,7 @@ select ticker, round(pcr_volume, 4) as pcr_volume, round(case when base >= 7 and
         "review_dates_monthly": f"{reg} select {q.trunc('month', 'date')} as month, min(date) as review_date from bars where date between {q.parse_date('1995-06-01')} and {q.parse_date('2000-12-31')} group by 1",
         "review_dates_weekly": f"{reg} select {q.trunc('week', 'date')} as week, min(date) as review_date from bars group by 1",
         "weekday_review_dates": f"""{reg}, days as (select distinct date from bars), wanted as (select distinct {q.plus_days(q.trunc('week', 'date'), '2')} as wanted from days), both_ as (select date as d, date as day from days union all select wanted, null from wanted),
-ahead as (select d, day, {q.coming('day', 'order by d desc rows between unbounded preceding and current row').replace('first_value', 'last_value')} as review_date from both_)
+ahead as (select d, day, {q.coming('day', 'order by d desc, case when day is null then 1 else 0 end rows between unbounded preceding and current row').replace('first_value', 'last_value')} as review_date from both_)
 select distinct review_date from ahead where day is null and review_date is not null""",
         "membership_intervals": f"{ctes(membership(q))} select * from membership",
         "active_tickers": f"{ctes(membership(q))} select distinct ticker from membership where date_added <= {q.parse_date('1998-01-01')} and (date_removed is null or date_removed > {q.parse_date('1998-01-01')})",
