@@ -123,7 +123,7 @@ class Encoder:
     white space that stands together is cut only at blanks that stand alone.
     """
 
-    LIMIT = 500_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
+    LIMIT = 1_000_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -179,3 +179,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Frees what encoders remember, in a Python worker that goes on with texts of another stage."""
+    encoder.cache_clear()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, forget, fresh, table
+from .common import WORD, durable, forget, fresh, release, table
 
 SHINGLE, PERCENT = 5, 85
 PERMUTATIONS, BAND = 128, 8  # 256 values in 32 bands
@@ -112,6 +112,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, AT_ONCE):
             yield batch.slice(at, AT_ONCE)
