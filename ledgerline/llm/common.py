@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import operator
 import re
 import uuid
 from array import array
@@ -100,6 +101,11 @@ class Parts(dict):
         return ids
 
     def _learn(self, part: str) -> bytes:
+        if part.isascii():  # what most parts are, without patterns
+            if part.isalpha():
+                return self.of.plain_piece(part)
+            if part[:-1].isalpha() and part[-1] in ",.;:!?":
+                return self[part[:-1]] + self.of.signs(part[-1])
         if m := self.LETTERS.fullmatch(part):  # one piece, or a line's end and one piece
             return self.of.line_end + self.of.piece(m[2]) if m[1] else self.of.piece(f" {part}")
         if m := self.TAIL.fullmatch(part):  # signs behind letters are a piece of their own
@@ -135,6 +141,7 @@ class Encoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves; the others come after 255, in order
         other = iter(range(256, 512))
         self.table = "".join(chr(b if b in plain else next(other)) for b in range(256))
+        self.blank = self.table[32]
         self.line_end = self.whole("\n")
         self.signs = functools.lru_cache(10_000)(self.whole)
         self.known, self.wide = Parts(self, {}), {}
@@ -150,6 +157,10 @@ class Encoder:
         """Ids of what the pre-tokenizer leaves whole."""
         return array("I", [t.id for t in self.model(codecs.charmap_decode(text.encode(), "strict", self.table)[0])]).tobytes()
 
+    def plain_piece(self, letters: str) -> bytes:
+        """Ids of a blank and ASCII letters."""
+        return array("I", [t.id for t in self.model(self.blank + letters)]).tobytes()
+
     def _cut(self, text: str) -> bytes:
         first, *parts = self.CUT.split(text)
         known = self.wide
@@ -170,7 +181,7 @@ class Encoder:
         if not first or first[0].isspace() or first[-1].isspace() or len(first.split()) > 1:
             return self._cut(text) if text else b""
         try:
-            return self.whole(first) + b"".join(map(self.known.__getitem__, parts))
+            return self.whole(first) + b"".join(operator.itemgetter(*parts)(self.known) if len(parts) > 1 else map(self.known.__getitem__, parts))
         except Unsure:
             return self._cut(text)
 
