@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import codecs
 import functools
-import operator
 import re
 import uuid
 from array import array
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 NOT_WS = r"[^\t\n\x0B\f\r ]+"
 WORD = re.compile(NOT_WS)
 
@@ -170,21 +175,79 @@ class Encoder:
             known[p] = self.behind(f" {p}")
         return self.whole(first) + b"".join(map(known.__getitem__, parts))
 
+    def memory(self) -> Parts:
+        if len(self.known) > self.LIMIT:
+            self.known.old = {}
+            self.known = Parts(self, dict(self.known))
+        return self.known
+
+    @staticmethod
+    def _odd(first: str) -> bool:
+        """Whether what a text begins with is not a part of its own."""
+        return not first or first[0].isspace() or first[-1].isspace() or len(first.split()) > 1
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if any(a in text for a in self.added):
             return self.whole(text)
-        if len(self.known) > self.LIMIT:
-            self.known.old = {}
-            self.known = Parts(self, dict(self.known))
+        known = self.memory()
         first, *parts = text.replace("\n", " \n").split(" ")
-        if not first or first[0].isspace() or first[-1].isspace() or len(first.split()) > 1:
+        if self._odd(first):
             return self._cut(text) if text else b""
         try:
-            return self.whole(first) + b"".join(operator.itemgetter(*parts)(self.known) if len(parts) > 1 else map(self.known.__getitem__, parts))
+            return self.whole(first) + b"".join(map(known.__getitem__, parts))
         except Unsure:
             return self._cut(text)
 
+    def encode_all(self, texts: pa.Array, end: bytes) -> tuple[memoryview, np.ndarray]:
+        """Ids of whole texts (null: empty), each with ``end`` behind it, one after the other, and the number of bytes of each.
+
+        Arrow cuts the texts and finds what parts there are, so a part is looked up once for all texts at hand.
+        A text that ``encode`` would not take part by part goes there.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts, n = pc.fill_null(texts, ""), len(texts)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds, found = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
+        parts, index, known = found.dictionary.to_pylist(), found.indices.to_numpy().copy(), self.memory()
+        values, unsure = list(map(known.get, parts)), []
+        for k in [k for k, v in enumerate(values) if v is None]:
+            try:
+                values[k] = known[parts[k]]
+            except Unsure:
+                values[k] = b""
+                unsure.append(k)
+        alone = np.zeros(n, bool)
+        for a in self.added:
+            alone |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if unsure:
+            alone[np.searchsorted(bounds, np.flatnonzero(np.isin(index, unsure)), "right") - 1] = True
+        begin = bounds[:-1]
+        firsts = [parts[k] for k in index[begin].tolist()]
+        alone |= np.fromiter(map(self._odd, firsts), bool, n)
+        heads = [self.encode(texts[k].as_py()) if own else self.whole(firsts[k]) for k, own in enumerate(alone.tolist())]
+        index[np.repeat(alone, np.diff(bounds))] = len(values) + n  # nothing
+        index[begin] = len(values) + np.arange(n)
+        index = np.insert(index, bounds[1:], len(values) + n + 1)
+        ids = pa.array([*values, *heads, b"", end], pa.large_binary()).take(pa.array(index))
+        offsets = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        return memoryview(ids.buffers()[2] or b"")[: int(offsets[-1])], np.diff(offsets[bounds + np.arange(n + 1)])
+
+
+def runs(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Begin and length of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    total, a = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)]), 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+        yield a, z - a
+        a = z
+
 
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, durable, encoder, table
+from .common import default_tokenizer, durable, encoder, runs, table
 
 CAPACITY, END_ID = 1024, 2
 OPEN_BINS = 1024  # open bins of one packer
@@ -84,12 +84,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.uint32(END_ID).tobytes()
         for batch in batches:
-            out, at = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                ids = memoryview(enc.encode(text or "") + end)
-                for i, (a, z) in enumerate(cut(len(ids) // 4, capacity)):
-                    out.append((i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])))
-                    at.append(k)
+            out, at, texts = [], [], batch.column("text")
+            for begin, n in runs(texts):
+                raw, sizes = enc.encode_all(texts.slice(begin, n), end)
+                last = 0
+                for k, size in enumerate(sizes.tolist(), begin):
+                    ids, last = raw[last : last + size], last + size
+                    for i, (a, z) in enumerate(cut(size // 4, capacity)):
+                        out.append((i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])))
+                        at.append(k)
             found = np.array(out, np.int64).reshape(-1, 4).T
             own = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "row")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(found[0].astype(np.int32)), *[pa.array(x) for x in found[1:]]], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, encoder, shared_dir, table
+from .common import Encoder, default_tokenizer, encoder, runs, shared_dir, table
 
 END_ID = 2
 WINDOW, MASK, LEAST, MOST = 8, 255, 64, 1024  # ids hashed together; cut where hash & MASK is 0; ids in a chunk
@@ -130,6 +130,16 @@ def _lists(counts: list[int], values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
+def streams(enc: Encoder, texts: pa.Array, end: bytes) -> Iterator[tuple[int, memoryview, list[int]]]:
+    """Place of the first, ids and numbers of ids of at most AT_ONCE texts."""
+    for begin, n in runs(texts):
+        raw, sizes = enc.encode_all(texts.slice(begin, n), end)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for a in range(0, n, AT_ONCE):
+            z = min(a + AT_ONCE, n)
+            yield begin + a, raw[ends[a] : ends[z]], (sizes[a:z] // 4).tolist()
+
+
 _PACKS = "row long, n_tokens long, root binary, sizes array<int>, digests array<binary>, digest binary, n int, data binary"
 
 
@@ -141,13 +151,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None) -> N
         enc, end, seen = encoder(path), np.uint32(END_ID).tobytes(), set()
         narrow = "<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), AT_ONCE):
-                streams = [enc.encode(t or "") + end for t in texts[a : a + AT_ONCE]]
-                raw = b"".join(streams)
+            for a, raw, lengths in streams(enc, batch.column("text"), end):
                 ids = np.frombuffer(raw, "<u4")
-                wide, packed, width = memoryview(raw), memoryview(ids.astype(narrow).tobytes()), np.dtype(narrow).itemsize
-                lengths = [len(s) // 4 for s in streams]
+                wide, packed, width = raw, memoryview(ids.astype(narrow).tobytes()), np.dtype(narrow).itemsize
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
                 places = marks(ids)
                 edges = np.searchsorted(places, bounds, "right").tolist()
@@ -167,7 +173,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None) -> N
                     digests += own
                     counts.append(len(own))
                     roots.append(merkle(own))
-                few, more = len(streams), len(fresh)
+                few, more = len(lengths), len(fresh)
                 none = lambda t, n=more: pa.nulls(n, t)
                 doc, row = batch.column("doc_id").slice(a, few), batch.column("row").slice(a, few)
                 recipes = [doc, row, pa.array(lengths, pa.int64()), pa.array(roots, pa.binary()), _lists(counts, pa.array(sizes, pa.int32())), _lists(counts, pa.array(digests, pa.binary())), none(pa.binary(), few), none(pa.int32(), few), none(pa.binary(), few)]
