@@ -134,7 +134,7 @@ class Encoder:
     white space that stands together is cut only at blanks that stand alone.
     """
 
-    LIMIT = 1_000_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
+    LIMIT = 800_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -178,7 +178,7 @@ class Encoder:
     def memory(self) -> Parts:
         if len(self.known) > self.LIMIT:
             self.known.old = {}
-            self.known = Parts(self, dict(self.known))
+            self.known = Parts(self, self.known)
         return self.known
 
     @staticmethod

@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from ledgerline.llm import html_text, mixing, near_dedup, packing, pii, quality_pu, quality_rules, token_store, topk, toxicity
-from ledgerline.llm.common import Encoder, default_tokenizer
+from ledgerline.llm.common import Encoder, default_tokenizer, runs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = " ".join(f"word{i} common" for i in range(40))
@@ -46,6 +47,23 @@ def test_encoder_equals_library():
         assert np.frombuffer(e.encode(t), np.uint32).tolist() == e.tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_takes_many_texts_at_once():
+    e, end, r = Encoder(default_tokenizer()), np.uint32(2).tobytes(), np.random.default_rng(4)
+    e.LIMIT = 50  # turns generations over
+    marks = [*"aBé \n\t.,!?'1ß中😀-_", "  ", " the", " of", "and,", "\nx", "<|endoftext|>", "\u0301", "²", " "]
+    for n in [0, 1, 2, 7, 300, 300, 300]:
+        texts = [None if r.random() < 0.1 else "".join(r.choice(marks, int(r.integers(0, 30)))) for _ in range(n)]
+        texts[2:3] = ["the of " * 5000] * len(texts[2:3])
+        column = pa.array(["in front", *texts], pa.string()).slice(1)
+        got, most = [], 200
+        for begin, k in runs(column, most):
+            assert k == 1 or sum(len((t or "").encode()) for t in texts[begin : begin + k]) <= most
+            raw, sizes = e.encode_all(column.slice(begin, k), end)
+            assert len(raw) == sizes.sum()
+            got += [np.frombuffer(raw[z - size : z], np.uint32).tolist() for size, z in zip(sizes, np.cumsum(sizes))]
+        assert got == [[*e.tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def ids_of(text):
     return np.array([*Encoder(default_tokenizer()).tok.encode(text or "", add_special_tokens=False).ids, 2], np.uint32)
 
