@@ -134,7 +134,7 @@ class Encoder:
     white space that stands together is cut only at blanks that stand alone.
     """
 
-    LIMIT = 800_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
+    LIMIT = 600_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, default_tokenizer, encoder, runs, shared_dir, table
+from .common import Encoder, default_tokenizer, encoder, release, runs, shared_dir, table
 
 END_ID = 2
 WINDOW, MASK, LEAST, MOST = 8, 255, 64, 1024  # ids hashed together; cut where hash & MASK is 0; ids in a chunk
@@ -188,6 +188,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None) -> N
     spark = docs.sparkSession
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # the encoder's memory is not asked for any more
         idx = at = 0
         for b in batches:
             n = b.column("n_tokens").to_numpy()
@@ -230,6 +231,7 @@ def read_summary(spark: SparkSession, folder: str) -> DataFrame:
     document's chunks, each moved by the ids behind it, add up to the document's. Raises where digest, root or length disagree."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             n = b.column("n").to_numpy()
             raw, ends = memoryview(unpack(b.column("data"), int(n.sum())).tobytes()), (4 * np.cumsum(n)).tolist()
@@ -239,6 +241,7 @@ def read_summary(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(list(map(zlib.crc32, parts)), pa.int64())], ["digest", "crc"])
 
     def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             own = b.column("digests").to_pylist()
             if list(map(merkle, own)) != b.column("root").to_pylist():
