@@ -29,14 +29,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, forget, fresh, make_room, shared_dir, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 BATCHES = 4
-SMALL = 1_000_000  # rows of a lookup table up to which it is broadcast
+SMALL = 1_000_000  # rows and values of a lookup table up to which it is broadcast
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TRIMMED = "trim(both ' \t\n\x0b\f\r' from l)"
@@ -117,9 +117,10 @@ class LineRuns:
         self.levels = []
 
 
-def _if_small(few: DataFrame) -> DataFrame:
-    """``few`` (durable) with a hint to broadcast it if it is small."""
-    return F.broadcast(few) if few.count() <= SMALL else few
+def _if_small(few: DataFrame, values: Column | None = None) -> DataFrame:
+    """``few`` (durable) with a hint to broadcast it if its rows, or the ``values`` in them, are few."""
+    size = few.agg(F.count("*") + F.coalesce(F.sum(F.lit(0) if values is None else values), F.lit(0))).first()[0]
+    return F.broadcast(few) if size <= SMALL else few
 
 
 def drop_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame, text: str = "text") -> DataFrame:
@@ -128,7 +129,7 @@ def drop_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame, text: str
     lines = keys.select("u", "w", F.posexplode("keys").alias("at", "k")).where("k is not null").select("u", "w", "at", "k.a", "k.b")
     gone = durable(lines.join(_if_small(frequent), ["a", "b"], "left_semi").groupBy("u", "w").agg(F.collect_set("at").alias("gone")), "lines-gone")
     u, w, found = fresh(docs, "u_", "w_", "gone_")
-    hits = _if_small(gone).withColumnsRenamed({"u": u, "w": w, "gone": found})
+    hits = _if_small(gone, F.size("gone")).withColumnsRenamed({"u": u, "w": w, "gone": found})
     joined = docs.withColumns(dict(zip((u, w), _text_hash(text), strict=True))).join(hits, [u, w], "left")
     left = f"array_join(transform(array({_lines(text)}), x -> transform(array_except(sequence(0, size(x) - 1), {found}), i -> x[i]))[0], '\\n')"
     return joined.withColumns({

@@ -203,10 +203,11 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None) -> N
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
-    """Documents, ids and the root over the roots of each part, FAN of them at a time, level by level."""
+    """Documents, ids and the root over the recipes of each part, FAN of them at a time, level by level. A leaf covers place, id, lengths and digests of a recipe."""
     total = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"))
     most = total.agg(F.max("n_docs")).first()[0] or 1
-    level = recipes.select("part", "idx", F.hex("root").alias("root"))
+    leaf = F.concat_ws(":", "idx", "at", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "n_tokens", F.array_join("sizes", ","), F.hex("root"))
+    level = recipes.select("part", "idx", F.sha2(leaf, 256).alias("root"))
     while True:
         pair = F.sort_array(F.collect_list(F.struct("idx", "root")))  # at most FAN
         level = level.withColumn("block", F.floor(F.col("idx") / FAN)).groupBy("part", "block").agg(pair.alias("p")).select("part", F.col("block").alias("idx"), F.sha2(F.array_join(F.transform("p", lambda x: x["root"]), ""), 256).alias("root"))
@@ -238,7 +239,7 @@ def read_summary(spark: SparkSession, folder: str) -> DataFrame:
             parts = [raw[a:z] for a, z in zip([0, *ends], ends)]
             if list(map(digest, parts)) != b.column("digest").to_pylist():
                 raise ValueError("a stored chunk does not match its digest")
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(list(map(zlib.crc32, parts)), pa.int64())], ["digest", "crc"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(list(map(zlib.crc32, parts)), pa.int64())], ["digest", "n", "crc"])
 
     def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -259,11 +260,13 @@ def read_summary(spark: SparkSession, folder: str) -> DataFrame:
             x = crc_times(b.column("shift").to_numpy().astype(np.uint32), b.column("crc").to_numpy().astype(np.uint32)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(x)], [*b.schema.names[:5], "x"])
 
-    chunks = spark.read.parquet(f"{folder}/packs").where("digest is not null").select("digest", "n", "data").mapInArrow(chunk, "digest binary, crc long")
+    chunks = spark.read.parquet(f"{folder}/packs").where("digest is not null").select("digest", "n", "data").mapInArrow(chunk, "digest binary, n int, crc long")
     whole = _with_starts(spark, folder).select("doc_id", "row", "start", "n_tokens", "root", "sizes", "digests")
     own = f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, row long, start long, n_tokens long, n int"
     refs = whole.mapInArrow(references, f"{own}, digest binary, shift long")
-    moved = refs.join(chunks, "digest").select("doc_id", "row", "start", "n_tokens", "n", "shift", "crc").mapInArrow(move, f"{own}, x long")
+    here = F.col("crc").isNotNull()  # a chunk that is not there, or of another length, counts as no ids
+    met = refs.join(chunks, ["digest", "n"], "left").withColumns({"n": F.when(here, F.col("n")).otherwise(0), "crc": F.coalesce("crc", F.lit(0))})
+    moved = met.select("doc_id", "row", "start", "n_tokens", "n", "shift", "crc").mapInArrow(move, f"{own}, x long")
     out = moved.groupBy("doc_id", "row", "start", "n_tokens").agg(F.bit_xor("x").alias("ids_crc32"), F.sum("n").alias("n"))
     return out.select("doc_id", "start", "n_tokens", _or_raise(F.col("n") == F.col("n_tokens"), F.col("ids_crc32"), "a document's chunks are not all there").alias("ids_crc32"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from ledgerline.llm import html_text, mixing, near_dedup, packing, pii, quality_pu, quality_rules, token_store, topk, toxicity
+from ledgerline.llm import divergence, fim, html_text, line_runs, mixing, near_dedup, packing, pii, quality_pu, quality_rules, token_store, topk, toxicity
 from ledgerline.llm.common import Encoder, default_tokenizer, runs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -139,6 +139,24 @@ def test_token_store_notices_damage(spark, docs, tmp_path):
         token_store.read_summary(spark, f"{folder}-less").collect()
 
 
+@pytest.mark.parametrize("change", ["sizes", "doc_id"])
+def test_token_store_notices_swapped_lengths_and_ids(spark, docs, tmp_path, change):
+    folder = str(tmp_path / "store")
+    long = spark.createDataFrame([(k, f"{k} " + " ".join(f"w{i * k}" for i in range(3000))) for k in range(1, 4)], "doc_id long, text string")
+    token_store.write_store(docs.select("doc_id", "text").unionByName(long), folder)
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    swaps = {"sizes": "if(size(sizes) > 2, concat(array(sizes[1], sizes[0]), slice(sizes, 3, size(sizes))), sizes)", "doc_id": "if(doc_id in (2, 3), 5 - doc_id, doc_id)"}
+    assert recipes.where("size(sizes) > 2 and sizes[0] <> sizes[1]").count() > 1
+    broken = f"{folder}-{change}"
+    spark.read.parquet(f"{folder}/packs").write.parquet(f"{broken}/packs")
+    spark.read.parquet(f"{folder}/manifest").write.parquet(f"{broken}/manifest")
+    recipes.withColumn(change, token_store.F.expr(swaps[change]).cast(recipes.schema[change].dataType)).write.parquet(f"{broken}/recipes")
+    assert not token_store.verify_manifest(spark, broken)
+    if change == "sizes":
+        with pytest.raises(Exception, match="not all there"):
+            token_store.read_summary(spark, broken).collect()
+
+
 def test_checksums_add_up():
     r = np.random.default_rng(13)
     ids = r.integers(0, 50_000, 5000).astype("<u4")
@@ -446,3 +464,37 @@ def test_dedup_decides_by_row(spark):
     got = [(x.doc_id, x.text) for x in near_dedup.dedup(documents(spark, rows)).collect()]
     assert len(got) == 6 and {(1, a), (2, b), (3, c), (4, None), (5, "")} < set(got)
     assert [i for i, t in got if t in (e, f"{e} tail")] == [None]
+
+
+def test_units_are_cut_as_a_list_of_them_would_be():
+    r = np.random.default_rng(4)
+    for k in range(400):
+        text = "".join(r.choice(list("ab \n\t\u00e9\u00a0"), int(r.integers(0, 12))))
+        units = fim.UNIT.findall(text)
+        assert fim.count(text) == len(units) and "".join(units) == text
+        low, high = sorted(r.integers(0, len(units) + 1, 2).tolist())
+        assert fim.ends(text, low, high) == (len("".join(units[:low])), len("".join(units[:high]))), (text, low, high)
+
+
+def test_runs_of_lines_add_up_over_batches(spark):
+    """A key that no batch holds often enough settles when runs merge; settled keys are not counted on."""
+    store = line_runs.LineRuns(spark, min_docs=4, buckets=3)
+    texts = [["one\nTWO \n\nthree"], ["two\nthree\nthree"], ["two", "four"], ["two", "one"], ["two", " two"]]
+    for batch in texts:
+        store.add(line_runs.line_keys(spark.createDataFrame([(t,) for t in batch], "text string")))
+        assert sum(n is not None for n in store.levels) == len(store.runs()) <= 3
+    assert [bool(n) for n in store.levels] == [True, False, True]
+    frequent = {(r.a, r.b) for r in store.frequent().collect()}
+    want = spark.sql("select xxhash64('two') as a, xxhash64(1, 'two') as b").first()
+    assert frequent == {(want.a, want.b)}
+    store.close()
+    assert store.runs() == [] and store.frequent().count() == 0
+
+
+def test_divergence_with_many_groups_meets_terms_by_salt(spark, docs, monkeypatch):
+    words = ["alpha", "Beta", "gamma", "d\u00e9j\u00e0", "x"]
+    rows = [(" ".join(words[(i * k) % 5] for k in range(1, 9)), f"l{i % 2}", f"s{i % 4}") for i in range(80)] + [(None, None, None), ("only here", "l2", "s0"), ("", "l2", "s1")]
+    x = spark.createDataFrame(rows, "text string, lang string, source string")
+    small = sorted(map(tuple, divergence.audit(x).collect()))
+    monkeypatch.setattr(divergence, "SMALL", 0)
+    assert sorted(map(tuple, divergence.audit(x).collect())) == small and {r[0] for r in small} == {"l0", "l1", "l2"}

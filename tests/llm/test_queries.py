@@ -51,6 +51,8 @@ def rows_of_documents():
     out += [(500 + i, out[3][1], "en", "s1") for i in range(6)] + [(510, out[3][1].upper(), "en", "s2"), (511, out[4][1] + " one word more", "en", "s2")]
     out += [(600, None, None, None), (601, "", "en", "s1"), (602, " \n\t ", "en", "s3"), (603, "two words", "en", "s3"), (604, "a\n\n\nb  c\r\n é ß 日本", "fr", "s3"), (605, "two words", "en", "s3")]
     out += [(606, " ".join(r.choice(vocabulary, 30_000)), "en", "s2"), (607, "x" * 70_000, "en", "s2"), (608, "\n".join(["same line here"] * 400), "en", "s4")]
+    out += [(800 + i, f"Shared line\n  SHARED Line\t\nowned by {i}\u00c9\n\nshared\u00a0line" + "\nSeen in nine" * (i < 9) + "\nseen in ten\u00c9" * (i < 10), "fr", "s6") for i in range(12)]
+    out += [(820, "sola parola", "it", "s1"), (821, "altra", "it", None), (822, None, "it", "s2")]  # a language without kept terms
     out += [(700, "repeated row " * 30, "en", "s5")] * 3 + [(None, "no id " + out[8][1], "en", "s5")]
     labels += [(None, 1, 0), (3, None, None), (4, 1, 0), (4, 1, 0), (9999, 1, 1)]
     return out, labels
@@ -267,6 +269,59 @@ def test_op10(found):
     assert MIXED((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == MIXED((i, len(ids_of(t)), zlib.crc32(ids_of(t).tobytes())) for i, t, _, _ in DOCS)
 
 
+SPACES, TERMS = " \t\n\x0b\f\r", re.compile("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_op11(found):
+    keys = lambda t: [x.strip(SPACES).translate(ASCII_LOWER) for x in (t or "").split("\n")]
+    seen = collections.Counter(k for _, t, _, _ in DOCS for k in set(keys(t)))
+    gone = {k for k, n in seen.items() if k and n >= 10}
+    want = [(i, len(keys(t)), sum(k in gone for k in keys(t)), sha("\n".join(x for x, k in zip((t or "").split("\n"), keys(t)) if k not in gone))) for i, t, _, _ in DOCS]
+    assert MIXED((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in found("op11_")) == MIXED(want) and gone
+
+
+def test_op12(found):
+    want = []
+    for i, t, _, _ in DOCS:
+        t = t or ""
+        units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+        h = [int(sha(f"42:{'' if i is None else i}")[k : k + 8], 16) for k in (0, 8, 16, 24)]
+        low, high = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+        prefix, middle, suffix = "".join(units[:low]), "".join(units[low:high]), "".join(units[high:])
+        if not t or "<P>" in t or "<S>" in t or "<M>" in t or h[2] % 100 >= 50:
+            want.append((i, len(units), "plain", None, None, sha(t), sha(t)))
+        elif h[3] % 100 < 80:
+            want.append((i, len(units), "spm", len(prefix), len(middle), sha(f"<S>{suffix}<P>{prefix}<M>{middle}"), sha(t)))
+        else:
+            want.append((i, len(units), "psm", len(prefix), len(middle), sha(f"<P>{prefix}<S>{suffix}<M>{middle}"), sha(t)))
+    got = [(r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) for r in found("op12_")]
+    assert MIXED(got) == MIXED(want) and {w[2] for w in want} == {"plain", "spm", "psm"}
+
+
+def test_op13(found):
+    counts, docs_of, groups = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for _, t, lang, source in DOCS:
+        words = [w.translate(ASCII_LOWER) for w in TERMS.findall(t or "")]
+        groups[lang or ""].add(source or "")
+        counts.update((lang or "", source or "", w) for w in words)
+        docs_of.update((lang or "", w) for w in set(words))
+    want = []
+    for lang, sources in groups.items():
+        kept = sorted((w for (a, w), n in docs_of.items() if a == lang and n >= 10), key=str.encode)
+        n = {s: {w: counts[lang, s, w] for w in kept} for s in sources}
+        n[None] = {w: sum(n[s][w] for s in sources) for w in kept}
+        p = {s: {w: 1 + 1_000_000_000 * (c + 2) // (sum(own.values()) + 2 * len(kept)) for w, c in own.items()} for s, own in n.items()}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = sorted(((-sum(f(p[s][w], p[o][w]) for w in kept), o.encode(), o) for o in sources if o != s))
+            terms_ = sorted((-f(p[s][w], p[None][w]), w.encode(), w) for w in kept if n[s][w] and p[s][w] > p[None][w])[:10]
+            want += [(lang, s, part, item, -v, k) for part, rows in (("pair", pairs), ("term", terms_)) for k, (v, _, item) in enumerate(rows, 1)]
+    assert sorted((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in found("op13_")) == sorted(want)
+    assert {w[2] for w in want} == {"pair", "term"} and any(not w[4] for w in want)
+
+
 def test_pipeline_stage_by_stage(spark, tables):
     """Each stage against brute force on its own input; all but the last keep the columns."""
     folder = f"{tables}/full"
