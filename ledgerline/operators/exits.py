@@ -1,7 +1,8 @@
 """Exits of positions and of option paths, all at once.
 
-A position meets the bars behind it by ticker and block of bars; what a day does depends
-on running extremes, so the first day with a reason is the exit.
+What a day does depends on running extremes, and the first day with a reason is the exit.
+Positions look for it by block extremes (``passage``); a call lives for a few blocks of
+bars, which it reads in one row.
 """
 
 from __future__ import annotations
@@ -10,9 +11,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finance
-from .timeline import following_bars, forward_bars, next_bar
+from .passage import SIZE, WIDTH, block_of, blocks, extremes, first_block, spans_needed
+from .timeline import asof, following_bars, forward_bars
 
 FIRST = Window.unboundedPreceding
+_HIT = "struct<exit_date: date, exit_price: double, exit_reason: string>"
+
+
+class _Phases:
+    """The rules of ``three_phase``: levels of a position, what a day does, whether a block of days may hold an exit."""
+
+    def __init__(self, max_hold: int, trail: float, guard_days: int, hard_floor: float, trigger: float, realistic_fills: bool):
+        self.max_hold, self.guard_days, self.realistic_fills = max_hold, guard_days, realistic_fills
+        c = F.col
+        self.entry, self.target = c("entry_price").cast("double"), c("target_2").cast("double")
+        atr = F.when(c("atr").isNull() | (c("atr") == 0), c("entry_price") * 0.02).otherwise(c("atr"))
+        self.floor, self.armed_at, self.room = self.entry - hard_floor * atr, self.entry + trigger * atr, trail * atr
+
+    def day(self, peak: Column, b: Column) -> Column:
+        """What the day of bar ``b`` does when the peak, its high included, is ``peak``: null if nothing."""
+        held = F.datediff(b["date"], "entry_date")
+        guarded, won = held < self.guard_days, peak >= self.armed_at
+        stop = F.when(guarded, self.floor).when(won, F.greatest(peak - self.room, self.entry)).otherwise(self.entry)
+        name = F.when(guarded, "stop_guard").when(won, "stop_trail").otherwise("stop_breakeven")
+        fill = F.when(b["open"] < stop, b["open"]).otherwise(stop) if self.realistic_fills else stop
+        hit = lambda price, reason: F.struct(b["date"].cast("date").alias("exit_date"), price.cast("double").alias("exit_price"), reason.alias("exit_reason"))
+        return F.when(b["low"] <= stop, hit(F.round(fill, 2), name)).when(b["high"] >= self.target, hit(self.target, F.lit("target_2"))).when(held >= self.max_hold, hit(b["close"], F.lit("max_hold")))
+
+    def days(self, bars: Column, peak: Column) -> Column:
+        """(peak, hit) after the days of ``bars`` in order, up to the first hit."""
+        start = F.struct(peak.cast("double").alias("peak"), F.lit(None).cast(_HIT).alias("hit"))
+
+        def step(s, b):
+            top = F.greatest(s["peak"], b["high"].cast("double"))
+            return F.when(s["hit"].isNotNull(), s).otherwise(F.struct(top.alias("peak"), self.day(top, b).alias("hit")))
+
+        return F.aggregate(bars, start, step)
+
+    def broken(self, p: Column, peak: Column) -> Column:
+        """Whether a block behind the guarded days may hold an exit: always true if it does, and false but for a hair if it does not and the trail is no narrower than the trigger."""
+        inside = F.greatest(peak, p["hi"].cast("double"))
+        slack = 1e-9 * F.greatest(F.abs(inside), self.room)
+        trailed = (inside >= self.armed_at) & (F.greatest(peak - p["lo"], p["drop"]) >= self.room - slack)
+        return (p["lo"] <= self.entry) | (p["hi"] >= self.target) | (F.datediff(p["last"], "entry_date") >= self.max_hold) | trailed
 
 
 def three_phase(
@@ -23,28 +64,36 @@ def three_phase(
     Each day raises the peak by its high. In the first ``guard_days`` calendar days the stop is the hard floor; then the trail, not below
     the entry, once the peak has gained ``trigger`` ATRs; else the entry. Stop, target and longest hold are looked at in this order.
     Without an ATR 2 % of the entry stand in. ``realistic_fills``: a bar that opens below the stop fills there.
+
+    The first bars, past the guard, are looked at one by one; then the first block that may hold an exit is found by its extremes and
+    looked at bar by bar. A block that promised an exit and has none (levels a hair apart, or a trail narrower than the trigger)
+    sends its position on the way of every bar. A ticker has one bar a day.
     """
-    keys = positions.columns
-    places = numbered.select("ticker", F.col("date").alias("entry_date"), F.col("i").alias("at_"))
-    own = positions.join(places, ["ticker", "entry_date"])
+    rules, c = _Phases(max_hold, trail, guard_days, hard_floor, trigger, realistic_fills), F.col
     bars = numbered.select("ticker", "date", "i", "open", "high", "low", "close")
-    x = following_bars(own, bars, "at_", horizon)
-    c = F.col
-    atr = F.when(c("atr").isNull() | (c("atr") == 0), c("entry_price") * 0.02).otherwise(c("atr"))
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(FIRST, 0)
-    x = x.withColumns({"a_": atr, "held_": F.datediff("date", "entry_date"), "peak_": F.greatest(F.max("high").over(w), c("entry_price"))})
-    won = c("peak_") >= c("entry_price") + trigger * c("a_")
-    phase = F.when(c("held_") < guard_days, "guard").when(won, "trail").otherwise("breakeven")
-    stop = F.when(c("held_") < guard_days, c("entry_price") - hard_floor * c("a_")).when(won, F.greatest(c("peak_") - trail * c("a_"), c("entry_price"))).otherwise(c("entry_price"))
-    x = x.withColumns({"phase_": phase, "stop_": stop})
-    reason = F.when(c("low") <= c("stop_"), F.concat(F.lit("stop_"), c("phase_"))).when(c("high") >= c("target_2"), "target_2").when(c("held_") >= max_hold, "max_hold")
-    fill = F.when(c("open") < c("stop_"), c("open")).otherwise(c("stop_")) if realistic_fills else c("stop_")
-    price = F.when(c("low") <= c("stop_"), F.round(fill, 2)).when(c("high") >= c("target_2"), c("target_2")).otherwise(c("close"))
-    hits = x.withColumns({"exit_reason": reason, "exit_price": price}).where("exit_reason is not null")
-    first = hits.groupBy(*keys).agg(F.min_by(F.struct(c("date").alias("exit_date"), "exit_price", "exit_reason"), "i").alias("x"))
-    first = first.withColumnsRenamed({k: f"of_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
-    return positions.join(first, same, "left").select(*keys, "x.exit_date", "x.exit_price", "x.exit_reason")
+    places = bars.select("ticker", c("date").alias("entry_date"), c("i").alias("at_"))
+    x = positions.join(places, ["ticker", "entry_date"], "left").select(*positions.columns, "at_", block_of(c("at_") + 1).alias("block_"))
+    lead = max(0, -(-(guard_days - 1) // SIZE))  # blocks behind the first that the guard may reach into
+    behind = lambda b: (b["i"] > c("at_")) & (b["i"] <= c("at_") + horizon)
+    prices = ["date", "open", "high", "low", "close"]
+    x = x.join(blocks(bars, prices, lead), ["ticker", "block_"], "left")
+    x = x.withColumn("state_", rules.days(F.filter("bars_", behind), rules.entry)).drop("bars_")
+    next_, last = c("block_") + lead + 1, block_of(c("at_") + horizon)
+    x = x.withColumn("span_", F.when(c("state_.hit").isNull(), F.floor(next_ / WIDTH))).join(extremes(bars, spans_needed(horizon)), ["ticker", "span_"], "left")
+    x = x.withColumn("found_", F.when(c("state_.hit").isNull(), first_block("parts_", next_, last, c("state_.peak"), rules.broken))).drop("parts_", "span_", "block_")
+    x = x.withColumn("block_", c("found_.block")).join(blocks(bars, prices), ["ticker", "block_"], "left")
+    x = x.withColumn("hit_", F.coalesce("state_.hit", rules.days(F.filter("bars_", behind), c("found_.peak"))["hit"]))
+    missed = c("hit_").isNull() & c("block_").isNotNull()
+    found = x.where(~missed).select(*positions.columns, "hit_.*")
+    return found.unionByName(_every_bar(x.where(missed).select(*positions.columns, "at_"), bars, rules, horizon).select(*positions.columns, "hit_.*"))
+
+
+def _every_bar(own: DataFrame, bars: DataFrame, rules: _Phases, horizon: int) -> DataFrame:
+    """Positions with ``hit_`` from all bars of the horizon."""
+    keys = own.columns
+    x = own.withColumn("row_", F.monotonically_increasing_id())
+    x = following_bars(x, bars, "at_", horizon).groupBy("row_", *keys).agg(F.sort_array(F.collect_list(F.struct("i", "date", "open", "high", "low", "close"))).alias("bars_"))
+    return x.withColumn("hit_", rules.days(F.col("bars_"), rules.entry)["hit"])
 
 
 def option_paths(
@@ -54,38 +103,40 @@ def option_paths(
 
     Days are bars. While guarded only the floor counts and no peak is kept; then the stop (on lows), arming (on highs, for good) and,
     once armed, the trail (on closes); else the last day closes. Marks are by Black-Scholes with the days that are left, one at least.
+    The bars of a path come in one row of blocks, and its days are walked up to the first exit.
     """
-    keys = signals.columns
-    c = F.col
+    keys, c = signals.columns, F.col
     bars = numbered.select("ticker", "date", "i", "open", "high", "low", "close")
-    entry = next_bar(signals, bars).where(c("entry_price") > 0)
-    last = bars.groupBy("ticker").agg(F.max("i").alias("last_"))
-    entry = entry.join(bars.select("ticker", F.col("date").alias("entry_date"), F.col("i").alias("at_")), ["ticker", "entry_date"]).join(last, "ticker")
-    entry = entry.withColumn("days_", F.least(F.lit(max_hold), c("last_") - c("at_"))).where(c("last_") - c("at_") >= least_forward)
-    entry = entry.withColumn("premium_", finance.call_value(c("entry_price"), c("entry_price"), F.lit(dte / 365), rate, iv)).where("premium_ > 0")
-    own = [*keys, "entry_date", "entry_price", "premium_", "at_", "days_"]
-    x = following_bars(entry.select(*own), bars, "at_", max_hold).withColumn("k_", c("i") - c("at_"))
-    years = F.greatest(F.lit(dte) - c("k_"), F.lit(1)) / 365
-    x = x.withColumns({f"v_{p}": finance.call_value(c(p), c("entry_price"), years, rate, iv) for p in ("high", "low", "close")})
-    w = Window.partitionBy(*own).orderBy("k_").rowsBetween(FIRST, 0)
-    guarded = c("k_") <= guard_days
-    x = x.withColumns({"peak_": F.max(F.when(~guarded, c("v_close"))).over(w), "armed_": F.max(F.when(~guarded, c("v_high") >= c("premium_") * (1 + arm)).otherwise(F.lit(False))).over(w)})
-    floor, stop, trailing = c("premium_") * (1 - guard_floor), c("premium_") * (1 - stop_loss), c("peak_") * (1 - trail)
-    hit = (
-        F.when(guarded & (c("v_low") <= floor), F.struct(F.lit("guard_floor").alias("reason"), floor.alias("value"), c("low").alias("stock")))
-        .when(~guarded & (c("v_low") <= stop), F.struct(F.lit("stop_loss").alias("reason"), stop.alias("value"), c("low").alias("stock")))
-        .when(~guarded & c("armed_") & (c("v_close") <= trailing), F.struct(F.lit("trailing_stop").alias("reason"), trailing.alias("value"), c("close").alias("stock")))
-        .when(c("k_") == c("days_"), F.struct(F.lit("time_exit").alias("reason"), c("v_close").alias("value"), c("close").alias("stock")))
-    )
-    earlier = F.coalesce(F.lag("armed_").over(Window.partitionBy(*own).orderBy("k_")), F.lit(False))  # the day's arming comes after its stop
-    x = x.withColumns({"hit_": hit, "earlier_": earlier}).where("hit_ is not null")
-    armed = F.when(c("hit_.reason") == "stop_loss", c("earlier_")).otherwise(c("armed_"))
-    first = x.groupBy(*own).agg(F.min_by(F.struct("k_", "date", "hit_", "peak_", armed.alias("armed")), "k_").alias("x"))
+    ahead = bars.select("ticker", c("date").alias("signal_date"), c("date").alias("entry_date"), c("open").cast("double").alias("entry_price"), c("i").alias("at_"))
+    x = asof(signals, ahead, ["ticker"], "signal_date", ["entry_date", "entry_price", "at_"], forward=True, exact=False).where(c("entry_price") > 0)
+    x = x.withColumns({"premium_": finance.call_value(c("entry_price"), c("entry_price"), F.lit(dte / 365), rate, iv), "block_": block_of(c("at_") + 1)}).where("premium_ > 0")
+    x = x.join(blocks(bars, ["date", "high", "low", "close"], -(-(max_hold - 1) // SIZE)), ["ticker", "block_"])
+    x = x.withColumn("bars_", F.filter("bars_", lambda b: (b["i"] > c("at_")) & (b["i"] <= c("at_") + max_hold))).where(F.size("bars_") >= least_forward)
+    floor, stop, arming = c("premium_") * (1 - guard_floor), c("premium_") * (1 - stop_loss), c("premium_") * (1 + arm)
+    none = "struct<k: int, date: date, reason: string, value: double, stock: double, armed: boolean>"
+    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(False).alias("armed"), F.lit(None).cast(none).alias("hit"))
+
+    def day(s, b):
+        k = (b["i"] - c("at_")).cast("int")
+        value = lambda p: finance.call_value(b[p].cast("double"), c("entry_price"), F.greatest(F.lit(dte) - k, F.lit(1)) / 365, rate, iv)
+        hit = lambda reason, value, stock, armed: F.struct(k.alias("k"), b["date"].cast("date").alias("date"), F.lit(reason).alias("reason"), value.alias("value"), b[stock].cast("double").alias("stock"), armed.alias("armed"))
+        last = k == F.size("bars_")
+        guarded = F.struct(s["peak"].alias("peak"), s["armed"].alias("armed"), F.when(value("low") <= floor, hit("guard_floor", floor, "low", s["armed"])).when(last, hit("time_exit", value("close"), "close", s["armed"])).alias("hit"))
+
+        def free(v):
+            peak, armed = F.greatest(s["peak"], v["close"]), s["armed"] | F.coalesce(v["high"] >= arming, F.lit(False))
+            exit_ = F.when(v["low"] <= stop, hit("stop_loss", stop, "low", s["armed"])).when(armed & (v["close"] <= peak * (1 - trail)), hit("trailing_stop", peak * (1 - trail), "close", armed)).when(last, hit("time_exit", v["close"], "close", armed))
+            return F.struct(peak.alias("peak"), armed.alias("armed"), exit_.alias("hit"))
+
+        marks = F.array(F.struct(*[value(p).alias(p) for p in ("high", "low", "close")]))  # an array, so that a lambda binds them once
+        return F.when(s["hit"].isNotNull(), s).when(k <= guard_days, guarded).otherwise(F.transform(marks, free)[0])
+
+    x = x.withColumn("x", F.aggregate("bars_", start, day)).select(*keys, "entry_date", "entry_price", "premium_", "x.hit", "x.peak").where("hit is not null")
     pct = lambda a, b: F.round((a - b) / b * 100, 2)
-    return first.select(
-        *keys, "entry_date", F.round("entry_price", 2).alias("entry_price"), F.round("premium_", 2).alias("entry_premium"), c("x.date").alias("exit_date"), c("x.k_").cast("int").alias("days_held"), c("x.hit_.reason").alias("exit_reason"),
-        F.round("x.hit_.value", 2).alias("exit_option_value"), pct(c("x.hit_.value"), c("premium_")).alias("option_pnl_pct"), F.round("x.hit_.stock", 2).alias("exit_stock_price"), pct(c("x.hit_.stock"), c("entry_price")).alias("stock_pnl_pct"),
-        c("x.armed").alias("armed"), F.round(F.coalesce("x.peak_", "premium_"), 2).alias("peak_option_value"),
+    return x.select(
+        *keys, "entry_date", F.round("entry_price", 2).alias("entry_price"), F.round("premium_", 2).alias("entry_premium"), c("hit.date").alias("exit_date"), c("hit.k").alias("days_held"), c("hit.reason").alias("exit_reason"),
+        F.round("hit.value", 2).alias("exit_option_value"), pct(c("hit.value"), c("premium_")).alias("option_pnl_pct"), F.round("hit.stock", 2).alias("exit_stock_price"), pct(c("hit.stock"), c("entry_price")).alias("stock_pnl_pct"),
+        c("hit.armed").alias("armed"), F.round(F.coalesce("peak", "premium_"), 2).alias("peak_option_value"),
     )
 
 

@@ -8,6 +8,7 @@ sums, anchored anew before a power would overflow.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def full(x: Column, of: Column, n: int) -> Column:
 
 def exponential(bars: DataFrame, x: Column, decay: float, out: str) -> DataFrame:
     """Adds the sum over all bars so far of ``x`` times decay to the power of its age."""
-    block = max(16, int(150 / -math.log(decay)))
+    block = max(1, int(150 / -math.log(decay)))
     r, power = F.col("i") % block, lambda n: F.pow(F.lit(decay), n)
     bars = bars.withColumn("block_", F.floor(F.col("i") / block))
     bars = bars.withColumn(out, F.sum(x * power(-r)).over(Window.partitionBy("ticker", "block_").orderBy("i").rowsBetween(FIRST, 0)) * power(r))
@@ -46,12 +47,12 @@ def exponential(bars: DataFrame, x: Column, decay: float, out: str) -> DataFrame
     return bars.withColumn(out, F.col(out) + F.coalesce(carried, F.lit(0.0)) * power(r + 1)).drop("block_")
 
 
-def rsi(bars: DataFrame, period: int = 14, out: str = "rsi") -> DataFrame:
+def rsi(bars: DataFrame, period: int = 14, out: str = "rsi", mean: Callable = exponential) -> DataFrame:
     """Wilder's: 50 while there are fewer than ``period`` changes, and where nothing has been lost."""
     decay = 1 - 1 / period
     bars = bars.withColumn("change_", F.col("close") - F.lag("close").over(by_ticker()))
-    bars = exponential(bars, F.greatest(F.col("change_"), F.lit(0.0)), decay, "gain_")
-    bars = exponential(bars, F.greatest(-F.col("change_"), F.lit(0.0)), decay, "loss_")
+    bars = mean(bars, F.greatest(F.col("change_"), F.lit(0.0)), decay, "gain_")
+    bars = mean(bars, F.greatest(-F.col("change_"), F.lit(0.0)), decay, "loss_")
     value = F.when((F.col("i") < period) | (F.col("loss_") == 0), 50.0).otherwise(100 - 100 / (1 + F.col("gain_") / F.col("loss_")))
     return bars.withColumn(out, value).drop("change_", "gain_", "loss_")
 
@@ -61,10 +62,10 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def atr(bars: DataFrame, period: int = 14, out: str = "atr") -> DataFrame:
+def atr(bars: DataFrame, period: int = 14, out: str = "atr", mean: Callable = exponential) -> DataFrame:
     """Exponential mean of the true range over a span; the first range weighs in full."""
     alpha = 2 / (period + 1)
-    bars = exponential(bars.withColumn("tr_", true_range()), F.when(F.col("i") == 0, 1.0).otherwise(alpha) * F.col("tr_"), 1 - alpha, out)
+    bars = mean(bars.withColumn("tr_", true_range()), F.when(F.col("i") == 0, 1.0).otherwise(alpha) * F.col("tr_"), 1 - alpha, out)
     return bars.withColumn(out, F.when(F.col("i") >= period - 1, F.col(out))).drop("tr_")
 
 
@@ -115,8 +116,12 @@ def atr_percentile(bars: DataFrame, lookback: int = 252) -> DataFrame:
 def indicators(bars: DataFrame, percentile: bool = False, **params) -> DataFrame:
     """All of them, with ``i``; the ATR percentile, which holds a year of ATRs for each bar, only if asked for."""
     p = PARAMS | params
-    x = average_volume(atr(rsi(numbered(bars), p["rsi_period"]), p["atr_period"]), p["volume_period"])
-    x = zscore(bollinger(x, p["bb_period"], p["bb_std"]), p["mr_period"])
+    return windowed(atr(rsi(numbered(bars), p["rsi_period"]), p["atr_period"]), percentile, p)
+
+
+def windowed(bars: DataFrame, percentile: bool, p: dict) -> DataFrame:
+    """The indicators that look a bounded number of bars back, of bars with rsi and atr."""
+    x = zscore(bollinger(average_volume(bars, p["volume_period"]), p["bb_period"], p["bb_std"]), p["mr_period"])
     x = williams_r(stoch_rsi(x, p["stoch_period"], p["smooth_k"], p["smooth_d"]), p["williams_period"])
     return atr_percentile(x, p["atr_lookback"]) if percentile else x
 

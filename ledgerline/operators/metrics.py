@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .ranges import carried, cuts, with_range
 
 FIRST = Window.unboundedPreceding
 
@@ -39,16 +40,24 @@ def trade_stats(trades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return x.select(*by, F.col("n").alias("n_trades"), *[F.round(c, 2).alias(k) for k, c in own.items()])
 
 
-def equity_stats(equity: DataFrame, initial: Column | None = None, final: Column | None = None, by: Sequence[str] = (), start=None, end=None, periods: int = 12, rf: float = 0.0) -> DataFrame:
+def equity_stats(equity: DataFrame, initial: Column | None = None, final: Column | None = None, by: Sequence[str] = (), start=None, end=None, periods: int = 12, rf: float = 0.0, ranges: int | None = None) -> DataFrame:
     """total_return, annual_return, max_drawdown, sharpe_ratio, sortino_ratio, calmar_ratio, rounded to 2.
 
     Without ``initial`` or ``final`` the curve's first and last value stand in, without dates its first and last date. Sortino divides by
     the sample deviation of the negative excess returns; where that is undefined it is infinite for a positive mean, else 0.
+    ``ranges`` cuts the curves into so many ranges of time; the last value and the peak of the earlier ones are carried into each.
     """
-    w = Window.partitionBy(*by).orderBy("date")
     v = F.col("portfolio_value").cast("double")
-    peak = F.max(v).over(w.rowsBetween(FIRST, 0))
-    x = equity.select(*by, "date", v.alias("v"), (v / F.lag(v).over(w) - 1 - rf / periods).alias("r"), ((v - peak) / peak * 100).alias("dd"))
+    if ranges:
+        x = with_range(equity, "date", cuts(equity, "date", ranges))
+        x = carried(x, by, {"last_": F.max_by(v, "date"), "top_": F.max(v)}, {"last_": F.last("last_"), "top_": F.max("top_")})
+        w = Window.partitionBy(*by, "range_").orderBy("date")
+        first = F.row_number().over(w) == 1
+        before, peak = F.when(first, F.col("last_")).otherwise(F.lag(v).over(w)), F.greatest(F.max(v).over(w.rowsBetween(FIRST, 0)), "top_")
+    else:
+        x, w = equity, Window.partitionBy(*by).orderBy("date")
+        before, peak = F.lag(v).over(w), F.max(v).over(w.rowsBetween(FIRST, 0))
+    x = x.select(*by, "date", v.alias("v"), (v / before - 1 - rf / periods).alias("r"), ((v - peak) / peak * 100).alias("dd"))
     x = x.groupBy(*by).agg(
         F.count("v").alias("n"), F.count("r").alias("n_r"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"), F.min("dd").alias("dd"),
         F.min_by("v", "date").alias("v0"), F.max_by("v", "date").alias("v1"), F.min("date").cast("date").alias("d0"), F.max("date").cast("date").alias("d1"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import cuts, default_ranges, with_range
+
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
 
@@ -24,22 +26,44 @@ def latest(bars: DataFrame) -> DataFrame:
     return bars.where("close is not null").groupBy("ticker").agg(F.max_by("close", "date").alias("price"), F.max("date").alias("date"))
 
 
-def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, columns: Sequence[str], forward: bool = False, exact: bool = True) -> DataFrame:
-    """``left`` with the columns of the last row of ``right`` at or before (``forward``: at or after) its time, null if there is none.
+def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, columns: Sequence[str], forward: bool = False, exact: bool = True, ranges: int | None = None) -> DataFrame:
+    """``left`` with the columns of the last row of ``right`` at or before (``forward``: at or after) its time, null if there is none; of several rows at that time the one with the greatest columns.
 
-    A union and one window over ``by``. Without ``by`` only the distinct times of ``left`` go through it, which are as many as days.
+    A union and one window over ``by``. ``ranges`` cuts the times of all keys into so many ranges, each a group of its own into which the
+    last row of the earlier ranges (forward: the first of the later ones) is carried, so one key may hold most of the rows. Without
+    ``by`` the distinct times of ``left`` go this way, in as many ranges as there are shuffle partitions.
     """
     if not by:
         days = left.select(on).where(F.col(on).isNotNull()).distinct()
-        found = asof(days.withColumn("all_", F.lit(0)), right.withColumn("all_", F.lit(0)), ["all_"], on, columns, forward, exact).drop("all_")
+        found = asof(days.withColumn("all_", F.lit(0)), right.withColumn("all_", F.lit(0)), ["all_"], on, columns, forward, exact, ranges or default_ranges(left)).drop("all_")
         return left.join(found, on, "left")
-    rows = left.select(*by, F.col(on).alias("at_"), F.struct("*").alias("l_"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("r_"), F.lit(1 if exact else 0).alias("side_"))
+    right = right.where(F.col(on).isNotNull())
+    kind = right.select(F.struct(*columns)).schema[0].dataType
+    rows = left.select(*by, F.col(on).alias("at_"), F.struct("*").alias("l_"), F.lit(None).cast(kind).alias("r_"), F.lit(1 if exact else 0).alias("side_"))
     values = right.select(*by, F.col(on).alias("at_"), F.lit(None).cast(rows.schema["l_"].dataType).alias("l_"), F.struct(*columns).alias("r_"), F.lit(0 if exact else 1).alias("side_"))
-    w = Window.partitionBy(*by).orderBy(F.desc("at_") if forward else F.asc("at_"), "side_").rowsBetween(FIRST, 0)
-    out = rows.unionByName(values).withColumn("found_", F.last("r_", ignorenulls=True).over(w)).where("l_ is not null")
+    groups = list(by)
+    if ranges and ranges > 1:
+        at = cuts(left.select(on).unionByName(right.select(on)), on, ranges)
+        values = with_range(values.groupBy(*by, "at_", "l_", "side_").agg(F.max("r_").alias("r_")), "at_", at)
+        rows = with_range(rows, "at_", at).unionByName(values).unionByName(_carried_in(values, by, ranges, forward), allowMissingColumns=True)
+        groups.append("range_")
+    else:
+        rows = rows.unionByName(values)
+    order = [F.asc_nulls_first("carried_"), F.desc("at_") if forward else F.asc("at_"), F.asc("side_"), F.asc_nulls_first("r_")]
+    w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(FIRST, 0)
+    out = rows.withColumns({"carried_": F.when(F.col("side_") >= 0, 1)}).withColumn("found_", F.when(F.col("at_").isNotNull(), F.last("r_", ignorenulls=True).over(w))).where("l_ is not null")
     return out.select("l_.*", *[F.col("found_")[c].alias(c) for c in columns])
 
 
+def _carried_in(values: DataFrame, by: Sequence[str], n: int, forward: bool) -> DataFrame:
+    """Rows like those of ``asof`` (side_ -1) for each key and range: the last value of the nearest earlier range with one (forward: the first of the nearest later one)."""
+    ends = values.groupBy(*by, "range_").agg((F.min_by if forward else F.max_by)("r_", "at_").alias("r_"))
+    w, k = Window.partitionBy(*by).orderBy("range_"), F.col("range_")
+    first, last = (F.coalesce(F.lag("range_").over(w), F.lit(0)), k - 1) if forward else (k + 1, F.coalesce(F.lead("range_").over(w), F.lit(n - 1)))
+    ends = ends.withColumns({"first_": first, "until_": last}).where("first_ <= until_")
+    return ends.select(*by, "r_", F.lit(-1).alias("side_"), F.explode(F.sequence("first_", "until_")).alias("range_"))
+
+
 def next_bar(signals: DataFrame, bars: DataFrame, on: str = "signal_date") -> DataFrame:
     """Signals with entry_date and entry_price: the first bar after the signal and its open."""
     ahead = bars.select("ticker", F.col("date").alias(on), F.col("date").alias("entry_date"), F.col("open").alias("entry_price"))
