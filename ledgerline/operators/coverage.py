@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .timeline import active_on, members_on
+from . import order
+from .timeline import active_on, asof
 
 
 def variants(membership: DataFrame, as_of) -> dict[str, DataFrame | None]:
@@ -71,12 +72,30 @@ def coverage_by_year(span: DataFrame) -> DataFrame:
     return x.groupBy("year").agg(F.sum("d_").alias("company_days"), missing(F.lit(True)).alias("missing_pct_all"), missing(s).alias("missing_pct_survivors"), missing(~s).alias("missing_pct_non_survivors"))
 
 
+def counts_on(intervals: DataFrame, days: DataFrame, counts: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """date and, for each named pair of columns (first and last day), how many intervals hold the dates of ``days``: a sweep.
+
+    An interval is one up on its first day and one down behind its last; the sums of a day's steps add up, and a date takes the state of
+    the last day with a step. Intervals never meet dates: what moves is a row for each day with a step, so the one window holds no more
+    rows than the calendar has days. An interval that is null or ends before it begins counts nowhere.
+    """
+    steps = None
+    for name, (first, last) in counts.items():
+        own = intervals.where(F.col(last) >= F.col(first))
+        one = own.select(F.explode(F.array(F.struct(F.col(first).alias("date"), F.lit(1).alias("step")), F.struct(F.date_add(last, 1).alias("date"), F.lit(-1).alias("step")))).alias("x")).select("x.*")
+        one = one.groupBy("date").agg(F.sum("step").alias(name))
+        steps = one if steps is None else steps.unionByName(one, allowMissingColumns=True)
+    steps = steps.groupBy("date").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts])
+    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row for each day
+    steps = steps.select("date", *[F.sum(n).over(w).alias(n) for n in counts])
+    at = asof(days.select("date").where("date is not null").distinct(), steps, [], "date", list(counts))
+    return at.fillna(0, list(counts))
+
+
 def coverage_by_date(span: DataFrame, days: DataFrame) -> DataFrame:
     """date, n_members, n_covered, missing_share at the given dates; intervals count, both ends included."""
-    own = span.select("ticker", F.col("beg").alias("date_added"), F.col("end").alias("date_removed"), "fv", "lv")
-    calendar = days.select("date").distinct().withColumn("month_", F.trunc("date", "month"))
-    x = own.withColumn("month_", F.explode(F.sequence(F.trunc("date_added", "month"), F.trunc("date_removed", "month"), F.expr("interval 1 month")))).join(calendar, "month_").where(F.col("date").between(F.col("date_added"), F.col("date_removed")))
-    x = x.groupBy("date").agg(F.count("*").alias("n_members"), F.count_if(F.col("date").between(F.col("fv"), F.col("lv"))).alias("n_covered"))
+    own = span.withColumns({"c0_": F.greatest("beg", F.when(F.col("lv").isNotNull(), F.col("fv"))), "c1_": F.least("end", "lv")}).withColumn("c0_", F.when(F.col("fv").isNotNull() & F.col("lv").isNotNull(), F.col("c0_")))
+    x = counts_on(own, days, {"n_members": ("beg", "end"), "n_covered": ("c0_", "c1_")}).where("n_members > 0")
     return x.withColumn("missing_share", F.round(1 - F.col("n_covered") / F.col("n_members"), 4))
 
 
@@ -87,10 +106,9 @@ def worst_partial(span: DataFrame, k: int = 15) -> DataFrame:
 
 def missing_ranking(span: DataFrame) -> DataFrame:
     """Tickers without any data by member days, with their share and the running share."""
-    x = per_ticker(span).where("covered = 0").select("ticker", "first_member", "last_member", F.col("days").alias("member_days"))
-    total = F.sum("member_days").over(Window.partitionBy())
-    upto = F.sum("member_days").over(Window.orderBy(F.desc("member_days"), "ticker").rowsBetween(Window.unboundedPreceding, 0))  # a row for each ticker
-    return x.withColumns({"pct_of_missing": F.round(F.col("member_days") / total * 100, 4), "cum_pct": F.round(upto / total * 100, 4)})
+    x = per_ticker(span).where("covered = 0").select("ticker", "first_member", "last_member", F.col("days").alias("member_days"), (-F.col("days")).alias("order_"))
+    x = order.running(x, "order_", "member_days", "upto_", ["ticker"]).crossJoin(F.broadcast(x.agg(F.sum("member_days").alias("all_"))))  # one row
+    return x.select("ticker", "first_member", "last_member", "member_days", F.round(F.col("member_days") / F.col("all_") * 100, 4).alias("pct_of_missing"), F.round(F.col("upto_") / F.col("all_") * 100, 4).alias("cum_pct"))
 
 
 def attribution(trades: DataFrame, membership: DataFrame, as_of) -> DataFrame:
@@ -160,6 +178,15 @@ def delisting_check(trades: DataFrame, bars: DataFrame, grace_days: int = 10) ->
     return x.select("ticker", "last_date", F.coalesce(F.col("last_date") >= F.date_sub("end_", grace_days), F.lit(False)).alias("still_trading"))
 
 
+def merged(membership: DataFrame) -> DataFrame:
+    """Intervals of a ticker that overlap or touch become one, so that each of its days is held once. Without an end: the last day there is."""
+    x = membership.where("date_added is not null").select("ticker", "date_added", F.coalesce("date_removed", F.lit("9999-12-30").cast("date")).alias("date_removed")).where("date_removed >= date_added")
+    w = Window.partitionBy("ticker").orderBy("date_added", "date_removed")  # the intervals of one ticker
+    before = F.max("date_removed").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("run_", F.sum(F.when(F.col("date_added") <= F.date_add(before, 1), 0).otherwise(1)).over(w))
+    return x.groupBy("ticker", "run_").agg(F.min("date_added").alias("date_added"), F.max("date_removed").alias("date_removed")).drop("run_")
+
+
 def members_covered(membership: DataFrame, days: DataFrame) -> DataFrame:
-    """date, members."""
-    return members_on(days, membership).groupBy("date").agg(F.countDistinct("ticker").alias("members"))
+    """date, members: how many tickers are members at each date, those removed on it included."""
+    return counts_on(merged(membership), days, {"members": ("date_added", "date_removed")}).where("members > 0")

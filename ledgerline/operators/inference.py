@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scores import period_key
+from . import order
 from .timeline import asof
 
 PARTS = 48  # tasks that the draws of a bootstrap are dealt to, at most
@@ -23,8 +22,8 @@ def clusters(trades: DataFrame, by: str = "month", value: str = "pnl_pct") -> Da
     return own.groupBy(period_key(F.col("entry_date"), by).alias("cluster")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
 
 
-def cluster_test(trades: DataFrame, by: str = "month", value: str = "pnl_pct") -> DataFrame:
-    """One row: n, n_clusters, mean, sd, se_naive, t_naive, se_cluster, t_cluster, design_effect, n_eff."""
+def cluster_test(trades: DataFrame, by: str = "month", value: str = "pnl_pct", digits: int | None = 6) -> DataFrame:
+    """One row: n, n_clusters, mean, sd, se_naive, t_naive, se_cluster, t_cluster, design_effect, n_eff; rounded unless ``digits`` is None."""
     own = trades.where(F.col(value).isNotNull() & F.col("entry_date").isNotNull())
     whole = own.agg(F.count("*").alias("all_n"), F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"))
     u = F.col("total") - F.col("mu") * F.col("n")
@@ -33,29 +32,30 @@ def cluster_test(trades: DataFrame, by: str = "month", value: str = "pnl_pct") -
     x = x.withColumns({"se_cluster": F.sqrt(var), "se_naive": F.when(F.col("all_n") > 1, F.col("sd") / F.sqrt("all_n"))})
     effect = F.try_divide(F.pow("se_cluster", F.lit(2)), F.pow("se_naive", F.lit(2)))
     own_ = {"mean": F.col("mu"), "sd": F.col("sd"), "se_naive": F.col("se_naive"), "t_naive": F.try_divide("mu", "se_naive"), "se_cluster": F.col("se_cluster"), "t_cluster": F.try_divide("mu", "se_cluster"), "design_effect": effect, "n_eff": F.try_divide(F.col("all_n"), effect)}
-    return x.select(F.col("all_n").alias("n"), F.col("g").alias("n_clusters"), *[F.round(c, 6).alias(k) for k, c in own_.items()])
+    return x.select(F.col("all_n").alias("n"), F.col("g").alias("n_clusters"), *[(c if digits is None else F.round(c, digits)).alias(k) for k, c in own_.items()])
 
 
-def _simulated(spark, draws: int, seed: int, run, schema: str) -> DataFrame:
-    """Draws by number: each from a generator of its own, so results do not depend on how they are dealt out."""
+def drawn(seed: int, *what: Column) -> Column:
+    """A number from 0 below 2^32 that seed and columns fix, in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *what)), 1, 8), 16, 10).cast("long")
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(int(k), *run(np.random.default_rng([seed, int(k)]))) for k in b["id"]], columns=[f.split()[0] for f in schema.split(", ")])
 
-    return spark.range(0, draws, 1, max(1, min(PARTS, draws))).mapInPandas(part, schema)
+def _draws(spark, draws: int, size: DataFrame) -> DataFrame:
+    """draw, at (from 0): as many places for each draw as ``size`` (one row, n_) says."""
+    cells = spark.range(0, draws, 1, max(1, min(PARTS, draws))).crossJoin(F.broadcast(size)).where("n_ > 0")  # one row
+    return cells.select(F.col("id").alias("draw"), "n_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)).alias("at"))
 
 
 def cluster_bootstrap(trades: DataFrame, by: str = "month", value: str = "pnl_pct", draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """draw, mean: the pooled mean when whole clusters are drawn with replacement. Only a row for each cluster (a month) leaves the executors."""
-    rows = clusters(trades, by, value).orderBy("cluster").collect()
-    n, total = np.array([r["n"] for r in rows], float), np.array([r["total"] for r in rows], float)
+    """draw, mean: the pooled mean when whole clusters are drawn with replacement.
 
-    def run(r):
-        k = r.integers(0, len(n), len(n))
-        return (float(total[k].sum() / n[k].sum()),)
-
-    return _simulated(trades.sparkSession, draws if rows else 0, seed, run, "draw long, mean double")
+    Clusters are numbered in order (a row for each period of entry); each place of a draw hashes to a number, meets its cluster and is
+    summed where it was made.
+    """
+    own = clusters(trades, by, value).withColumn("k_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")) - 1)
+    cells = _draws(trades.sparkSession, draws, own.agg(F.count("*").alias("n_")))
+    cells = cells.select("draw", F.pmod(drawn(seed, F.col("draw"), F.col("at")), "n_").alias("k_"))
+    return cells.join(own.select("k_", "n", "total"), "k_").groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("mean"))
 
 
 def bootstrap_summary(draws: DataFrame, column: str = "mean") -> DataFrame:
@@ -65,15 +65,15 @@ def bootstrap_summary(draws: DataFrame, column: str = "mean") -> DataFrame:
 
 def shape(trades: DataFrame, value: str = "pnl_pct") -> DataFrame:
     """n, median, win_rate, skew and excess kurtosis of the population."""
-    return trades.agg(F.count(value).alias("n"), F.round(F.percentile(value, 0.5), 4).alias("median"), F.round(F.count_if(F.col(value) > 0) / F.count(value) * 100, 4).alias("win_rate"), F.round(F.skewness(value), 6).alias("skew"), F.round(F.kurtosis(value), 6).alias("excess_kurtosis"))
+    x = trades.agg(F.count(value).alias("n"), F.round(F.count_if(F.col(value) > 0) / F.count(value) * 100, 4).alias("win_rate"), F.round(F.skewness(value), 6).alias("skew"), F.round(F.kurtosis(value), 6).alias("excess_kurtosis"))
+    return x.crossJoin(order.quantiles(trades, value, {"median": 0.5})).select("n", F.round("median", 4).alias("median"), "win_rate", "skew", "excess_kurtosis")  # one row each
 
 
 def signed_ranks(trades: DataFrame, value: str = "pnl_pct") -> DataFrame:
-    """n, rank_sum of the positive ones, ties: from counts of distinct sizes, so no row is ranked."""
+    """n, rank_sum of the positive ones, ties: from the places of distinct sizes."""
     own = trades.where(F.col(value) != 0).select(F.abs(value).alias("a"), (F.col(value) > 0).cast("long").alias("p"))
-    counts = own.groupBy("a").agg(F.count("*").alias("c"), F.sum("p").alias("p"))
-    rank = F.sum("c").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("c") - 1) / 2
-    return counts.withColumn("rank_", rank).agg(F.sum("c").alias("n"), F.sum(F.col("rank_") * F.col("p")).alias("rank_sum"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
+    x = order.counted(own, "a", extra={"p": F.sum("p")}).withColumn("rank_", F.col("before_") + (F.col("c_") + 1) / 2)
+    return x.agg(F.sum("c_").alias("n"), F.sum(F.col("rank_") * F.col("p")).alias("rank_sum"), F.sum(F.pow("c_", F.lit(3)) - F.col("c_")).alias("ties"))
 
 
 def trade_significance(trades: DataFrame, by: str = "month", value: str = "pnl_pct", draws: int = 10_000, seed: int = 42) -> dict[str, float]:
@@ -90,7 +90,7 @@ def paired_returns(equity: DataFrame, benchmark: DataFrame, periods: int = 12, r
     """t, y, x: excess returns of the curve (date, portfolio_value) and of the benchmark (date, close) as of the same dates."""
     b = benchmark.where("close is not null").select("date", F.col("close").alias("b_"))
     z = asof(equity.select("date", F.col("portfolio_value").cast("double").alias("v_")), b, [], "date", ["b_"])
-    w = Window.orderBy("date")  # a row for each period
+    w = Window.partitionBy(F.lit(0)).orderBy("date")  # a row for each period
     z = z.select("date", (F.col("v_") / F.lag("v_").over(w) - 1 - rf / periods).alias("y"), (F.col("b_") / F.lag("b_").over(w) - 1 - rf / periods).alias("x")).where("y is not null and x is not null")
     return z.withColumn("t", F.row_number().over(w))
 
@@ -112,28 +112,22 @@ def ols_hac(pairs: DataFrame, lags: int | None = None) -> DataFrame:
     return z.select(c("n").cast("long").alias("n"), c("lags").cast("long").alias("lags"), "alpha", "beta", "r2", F.sqrt(var_a).alias("se_alpha"), F.sqrt(var_b).alias("se_beta"), F.sqrt(c("sse") / (c("n") - 2)).alias("resid_sd"))
 
 
-def stationary_indices(r: np.random.Generator, n: int, block: int) -> np.ndarray:
-    """Indices of a stationary bootstrap: runs that start anew with a chance of 1 / block and wrap around."""
-    starts = r.random(n) < 1 / max(block, 1)
-    starts[0] = True
-    run = np.cumsum(starts) - 1
-    first = np.flatnonzero(starts)
-    return (r.integers(0, n, len(first))[run] + np.arange(n) - first[run]) % n
+def stationary_draws(pairs: DataFrame, draws: int, block: int, n: DataFrame, seed: int) -> DataFrame:
+    """draw, t: the periods of stationary bootstraps: runs that start anew with a chance of 1 / block and wrap around."""
+    cells = _draws(pairs.sparkSession, draws, n)
+    fresh = (F.col("at") == 0) | (drawn(seed, F.lit("start"), F.col("draw"), F.col("at")) < (1 << 32) // max(block, 1))
+    cells = cells.withColumn("from_", F.when(fresh, F.struct("at", F.pmod(drawn(seed, F.lit("place"), F.col("draw"), F.col("at")), "n_").alias("k"))))
+    last = F.last("from_", ignorenulls=True).over(Window.partitionBy("draw").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return cells.withColumn("from_", last).select("draw", (F.pmod(F.col("from_.k") + F.col("at") - F.col("from_.at"), "n_") + 1).alias("t"))
 
 
 def alpha_bootstrap(pairs: DataFrame, draws: int = 5000, block: int | None = None, periods: int = 12, seed: int = 42) -> DataFrame:
-    """draw, alpha_annual (percent), sharpe of paired stationary bootstraps; the periods of one curve go to every executor."""
-    rows = pairs.orderBy("t").select("y", "x").collect()
-    y, x = np.array([r["y"] for r in rows]), np.array([r["x"] for r in rows])
-    size = block or max(2, round(len(y) ** (1 / 3)))
-
-    def run(r):
-        k = stationary_indices(r, len(y), size)
-        a, b = y[k], x[k]
-        beta = ((b - b.mean()) * (a - a.mean())).sum() / ((b - b.mean()) ** 2).sum()
-        return float(((1 + a.mean() - beta * b.mean()) ** periods - 1) * 100), float(a.mean() / a.std(ddof=1) * math.sqrt(periods))
-
-    return _simulated(pairs.sparkSession, draws if rows else 0, seed, run, "draw long, alpha_annual double, sharpe double")
+    """draw, alpha_annual (percent), sharpe of paired stationary bootstraps; blocks of about the cube root of the number of periods."""
+    n = pairs.agg(F.count("*").alias("n_"))
+    size = block or max(2, round(n.first()[0] ** (1 / 3)))
+    x = stationary_draws(pairs, draws, size, n, seed).join(pairs.select(F.col("t").cast("long").alias("t"), "y", "x"), "t")
+    g = x.groupBy("draw").agg(F.regr_intercept("y", "x").alias("a"), (F.avg("y") / F.stddev_samp("y") * math.sqrt(periods)).alias("sharpe"))
+    return g.select("draw", ((F.pow(1 + F.col("a"), F.lit(periods)) - 1) * 100).alias("alpha_annual"), "sharpe")
 
 
 def alpha_test(equity: DataFrame, benchmark: DataFrame, periods: int = 12, rf: float = 0.0, lags: int | None = None, draws: int = 5000, seed: int = 42) -> dict[str, float]:
@@ -144,7 +138,7 @@ def alpha_test(equity: DataFrame, benchmark: DataFrame, periods: int = 12, rf: f
     o = ols_hac(pairs, lags).first().asDict()
     d = F.col("y") - F.col("x")
     m = pairs.agg(F.avg("y").alias("mu"), F.stddev_samp("y").alias("sd"), F.skewness("y").alias("g3"), (F.kurtosis("y") + 3).alias("g4"), F.avg(d).alias("active"), F.stddev_samp(d).alias("te")).first()
-    lag1 = pairs.withColumn("before_", F.lag("y").over(Window.orderBy("t"))).agg(F.corr("y", "before_")).first()[0]
+    lag1 = pairs.withColumn("before_", F.lag("y").over(Window.partitionBy(F.lit(0)).orderBy("t"))).agg(F.corr("y", "before_")).first()[0]
     root, sr = math.sqrt(periods), m["mu"] / m["sd"]
     se = math.sqrt(max((1 - m["g3"] * sr + (m["g4"] - 1) / 4 * sr * sr) / (o["n"] - 1), 0)) * root
     boot = alpha_bootstrap(pairs, draws, None, periods, seed)

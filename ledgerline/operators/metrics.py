@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from . import order
 from .ranges import carried, cuts, with_range
 
 FIRST = Window.unboundedPreceding
@@ -135,10 +136,11 @@ def concentration(trades: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """n, mean, std, min, p25, p50, p75, max of a column."""
     c = F.col(column)
-    q = {f"p{k}": F.percentile(c, k / 100) for k in (25, 50, 75)}
-    own = {"mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c)} | q | {"max": F.max(c)}
-    return df.groupBy(*by).agg(F.count(c).alias("n"), *[F.round(x, 4).alias(k) for k, x in own.items()])
+    own = {"mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c)}
+    x = order.meet(df.groupBy(*by).agg(F.count(c).alias("n"), *[v.alias(k) for k, v in own.items()]), order.quantiles(df, column, {f"p{k}": k / 100 for k in (25, 50, 75)}, by), by, "left")
+    return x.select(*by, "n", *[F.round(k, 4).alias(k) for k in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def discount_cost(trades: DataFrame, by: str = "dispersion_bucket") -> DataFrame:
@@ -190,20 +192,11 @@ def tier_listing(caps: DataFrame) -> DataFrame:
 
 
 def trimmed_mean(trades: DataFrame, share: float = 0.05, value: str = "pnl_pct") -> DataFrame:
-    """Mean without int(share * n) of the smallest and of the largest: by counts of distinct values, so no row is ranked."""
-    counts = trades.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("x").rowsBetween(FIRST, 0)  # a row for each distinct value
-    x = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy())})
-    cut = F.floor(F.col("n") * share)
-    kept = F.greatest(F.least(F.col("upto"), F.col("n") - cut) - F.greatest(F.col("upto") - F.col("c"), cut), F.lit(0))
-    return x.agg(F.max("n").alias("n"), F.round(F.sum(kept * F.col("x")) / F.sum(kept), 4).alias("trimmed"))
-
-
-def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean, from the counts of distinct values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c_"))
-    ranks = counts.select(column, (F.sum("c_").over(Window.orderBy(column).rowsBetween(FIRST, 0)) - (F.col("c_") - 1) / 2).alias(out))
-    return df.join(ranks, column, "left")
+    """Mean without int(share * n) of the smallest and of the largest."""
+    return order.trimmed_mean(trades, value, share).select("n", F.round("trimmed", 4).alias("trimmed"))
+
+
+average_ranks = order.average_ranks
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

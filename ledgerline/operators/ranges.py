@@ -1,7 +1,7 @@
 """Ranges of time: a key with most of the rows is cut into ranges that hold about as many rows each, and what a range needs from those before it is carried in.
 
-The cuts are quantiles of the times of all rows, one row that is broadcast; rows of one
-time are never parted. A range sends one row for each of its keys ahead, so what is
+The cuts are quantiles of the times of all rows, a few values that stand in the plan; rows
+of one time are never parted. A range sends one row for each of its keys ahead, so what is
 carried is as many rows as there are keys and ranges, and no task needs a whole key.
 """
 
@@ -19,23 +19,26 @@ def default_ranges(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cuts(times: DataFrame, on: str, n: int) -> DataFrame:
-    """One row ``cuts_``: at most n - 1 times that cut the rows into about equal parts."""
-    shares = [k / n for k in range(1, n)] or [1.0]
-    return times.agg(F.array_distinct(F.coalesce(F.percentile_approx(on, shares, 10_000), F.array().cast(f"array<{dict(times.dtypes)[on]}>"))).alias("cuts_"))
+def cuts(times: DataFrame, on: str, n: int) -> list:
+    """At most n - 1 times that cut the rows into about equal parts: a job of its own, of which these few values come back."""
+    if n < 2:
+        return []
+    return sorted(set(times.agg(F.percentile_approx(on, [k / n for k in range(1, n)], 10_000)).first()[0] or ()))
 
 
-def with_range(df: DataFrame, on: str, at: DataFrame, out: str = "range_") -> DataFrame:
+def with_range(df: DataFrame, on: str, at: list, out: str = "range_") -> DataFrame:
     """Adds the number of the range (from 0) that a time falls into; a null time into the first."""
-    return df.crossJoin(F.broadcast(at)).withColumn(out, F.coalesce(F.size(F.filter("cuts_", lambda x: x < F.col(on))), F.lit(0))).drop("cuts_")  # one row
+    if not at:
+        return df.withColumn(out, F.lit(0))
+    return df.withColumn(out, F.coalesce(F.size(F.filter(F.array(*[F.lit(v) for v in at]), lambda x: x < F.col(on))), F.lit(0)))
 
 
 def carried(ranged: DataFrame, by: Sequence[str], of: dict[str, Column], after: dict[str, Column]) -> DataFrame:
     """``ranged`` (by, range_) with columns made of earlier ranges of its key: ``of`` are aggregates of a range, ``after`` window functions of these over the earlier ranges."""
     ends = ranged.groupBy(*by, "range_").agg(*[c.alias(k) for k, c in of.items()])
-    w = Window.partitionBy(*by).orderBy("range_").rowsBetween(FIRST, -1)
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_").rowsBetween(FIRST, -1)  # a row for each range
     ends = ends.select(*[F.col(k).alias(f"of_{k}") for k in by], F.col("range_").alias("of_range_"), *[c.over(w).alias(k) for k, c in after.items()])
-    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in by] + [F.col("range_") == F.col("of_range_")]
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*by, "range_"]]  # from plain equality the optimizer would infer a filter of times on the side that has none
     return ranged.join(ends, same, "left").drop(*[f"of_{k}" for k in by], "of_range_")
 
 
@@ -50,6 +53,6 @@ def drawdowns(series: DataFrame, by: Sequence[str], value: str = "portfolio_valu
     x = with_range(x, on, cuts(x, on, n))
     peak = F.max("v_").over(Window.partitionBy(*by, "range_").orderBy(on).rangeBetween(FIRST, 0))
     parts = x.withColumn("own_", (F.col("v_") - peak) / peak * 100).groupBy(*by, "range_").agg(F.max("v_").alias("hi"), F.min("v_").alias("lo"), F.min("own_").alias("own_"))
-    before = F.max("hi").over(Window.partitionBy(*by).orderBy("range_").rowsBetween(FIRST, -1))  # a row for each range
+    before = F.max("hi").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_").rowsBetween(FIRST, -1))  # a row for each range
     parts = parts.withColumn("own_", F.least("own_", (F.col("lo") - before) / before * 100))
     return parts.groupBy(*by).agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.min("own_").alias("max_drawdown"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import cuts, default_ranges, with_range
+from .ranges import cuts, with_range
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -31,11 +31,12 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, columns:
 
     A union and one window over ``by``. ``ranges`` cuts the times of all keys into so many ranges, each a group of its own into which the
     last row of the earlier ranges (forward: the first of the later ones) is carried, so one key may hold most of the rows. Without
-    ``by`` the distinct times of ``left`` go this way, in as many ranges as there are shuffle partitions.
+    ``by`` only the distinct times of both sides meet; where these are more than days, ``ranges`` cuts them too.
     """
     if not by:
         days = left.select(on).where(F.col(on).isNotNull()).distinct()
-        found = asof(days.withColumn("all_", F.lit(0)), right.withColumn("all_", F.lit(0)), ["all_"], on, columns, forward, exact, ranges or default_ranges(left)).drop("all_")
+        each = right.where(F.col(on).isNotNull()).groupBy(on).agg(F.max(F.struct(*columns)).alias("r_")).select(on, "r_.*")
+        found = asof(days.withColumn("all_", F.lit(0)), each.withColumn("all_", F.lit(0)), ["all_"], on, columns, forward, exact, ranges).drop("all_")
         return left.join(found, on, "left")
     right = right.where(F.col(on).isNotNull())
     kind = right.select(F.struct(*columns)).schema[0].dataType

@@ -186,13 +186,6 @@ select month, ticker, round(change, 4) as change, cast(rank() over (partition by
         "longest_streak": f"""{panel}, f as (select ticker, i, case when close < sma then 1 else 0 end as below from panel where sma is not null), g as (select *, i - sum(below) over (partition by ticker order by i rows unbounded preceding) as grp from f)
 select ticker, max(n) as longest from (select ticker, grp, count(*) as n from g where below = 1 group by 1, 2) x group by 1""",
         "signal_events": f"{panel}, s as (select ticker, date, composite >= 7 as signal, lag(composite >= 7) over (partition by ticker order by date) as before from panel where i >= 257) select ticker, date from s where signal and not coalesce(before, false)",
-        "exit_three_phase_every_bar": f"""{ctes(*indicators(q, daily(q)))}, e as (select ticker, i as entry_i, date as entry_date, close as entry_price, atr from ind where i >= 13 and atr > 0),
-p as (select e.*, b.i, b.date, b.open, b.high, b.low, b.close, {q.days('e.entry_date', 'b.date')} as held, max(b.high) over (partition by e.ticker, e.entry_i order by b.i rows unbounded preceding) as peak0 from e join ind b on b.ticker = e.ticker and b.i > e.entry_i and b.i <= e.entry_i + 80),
-s as (select *, greatest(peak0, entry_price) as peak from p),
-t as (select *, case when held < 15 then entry_price - 3 * atr when peak >= entry_price + atr then greatest(peak - 2.5 * atr, entry_price) else entry_price end as stop, entry_price + 6 * atr as target from s),
-h as (select *, case when low <= stop then case when held < 15 then 'stop_guard' when peak >= entry_price + atr then 'stop_trail' else 'stop_breakeven' end when high >= target then 'target_2' when held >= 60 then 'max_hold' end as reason from t),
-k as (select *, row_number() over (partition by ticker, entry_i order by i) as first_hit from h where reason is not null)
-select ticker, entry_date, date as exit_date, reason, round(case when reason like 'stop_%' then stop when reason = 'target_2' then target else close end, 4) as exit_price from k where first_hit = 1""",
         "distribution_by_date": f"{panel}, m as (select {q.trunc('month', 'date')} as month, composite from panel where i >= 257) select month, count(*) as n, round(avg(composite), 4) as mean, round(stddev_samp(composite), 4) as sd, round({q.skew('composite')}, 3) as skew, round(100.0 * count(*) filter (where composite >= 8.5) / count(*), 4) as high_pct, round({q.quantile('composite', 0.5)}, 4) as p50 from m group by 1 having count(*) > 3",
         "correlation_matrix": f"{panel} select " + ", ".join(f"round(corr({a}, {b}), 4) as {a}_{b}" for k, a in enumerate(("s_rsi", "s_bb", "s_mr", "s_stochrsi", "s_williams")) for b in ("s_rsi", "s_bb", "s_mr", "s_stochrsi", "s_williams")[k + 1 :]) + " from panel where i >= 257",
         "cluster_mean_test": f"""{tr}, m as (select avg(pnl_pct) as mu, count(*) as n from trades), g as (select {q.trunc('month', 'entry_date')} as c, sum(pnl_pct - mu) as u from trades cross join m group by 1)

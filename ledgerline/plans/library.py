@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 from ..functions import finance, tails
 from ..functions import scores as S
 from ..operators import backtest as B
+from ..operators import choice as CH
 from ..operators import coverage as C
 from ..operators import diagnostics as D
 from ..operators import exits as X
 from ..operators import indicators as I
 from ..operators import inference as V
+from ..operators import lanes
 from ..operators import ledger as L
 from ..operators import metrics as M
-from ..operators import monte_carlo
+from ..operators import monte_carlo, order, ranges
 from ..operators import scan as SC
 from ..operators import timeline as T
-from ..sources.walk import random_walk
 from . import catalog as K
 from .run import _doubles, _Oracle, _Views, sql
 
@@ -145,17 +146,6 @@ def regime_asof(spark, d):
     return x.groupBy(F.coalesce("regime_at", F.lit("none")).alias("regime_at"), S.dispersion_bucket(s).alias("bucket"), S.two_bucket(s).alias("two")).agg(F.count("*").alias("n"), F.round(F.avg("pnl_pct"), 4).alias("avg_pnl"))
 
 
-def _noise(shift: int) -> str:
-    once = f"((k * 7919 + n * 104729 + {7 + shift}) * 1103515245 + 12345) % 2147483648"
-    return f"(((({once}) + (({once}) // 65536)) * 1103515245 + 12345) % 2147483648) / 1073741824.0 - 1"
-
-
-@query(f"""with c as (select k, n from (select unnest(range(6)) as k) a, (select unnest(range(300)) as n) b), w as (select k, n, round(100 * exp(sum(ln(1 + 0.03 * ({_noise(0)}))) over (partition by k order by n)), 4) as close from c)
-select 'T00' || k as ticker, cast(date '2015-01-01' + cast(n // 5 * 7 + n % 5 as integer) as date) as date, round(close, 2) as close from w""")
-def random_walk_bars(spark, d):
-    return random_walk(spark, 6, 300).select("ticker", "date", F.round("close", 2).alias("close"))
-
-
 # ------------------------------------------------------------------ the scan
 
 _SCAN = f"""with {PANEL}, {O_CAPS}, {O_OPTIONS}, {O_EARNINGS},
@@ -337,25 +327,51 @@ def date_keys(spark, d):
     return Tables(spark, d).trades().groupBy(S.period_key(c, "quarter").alias("quarter"), S.period_key(c, "month").alias("month"), S.period_key(c, "week").alias("week")).agg(F.count("*").alias("n"))
 
 
-@query("""with w as (select unnest(range(0, 30)) as i), p as (select i, '{"hold":' || (10 + i) || ',"label":"run ' || i || '","top":' || (i % 7) || '}' as js from w) select i, substr(sha256(js), 1, 10) as params_hash, js from p""")
+@query("""with p as (select n_nationkey as i, '{"hold":' || (10 + n_nationkey) || ',"label":"run ' || n_name || '","top":' || n_regionkey || '}' as js from nation) select i, substr(sha256(js), 1, 10) as params_hash, js from p""")
 def params_hashes(spark, d):
-    x = spark.range(30).select(F.col("id").alias("i"), (F.col("id") % 7).alias("top"), (F.col("id") + 10).alias("hold"), F.concat(F.lit("run "), F.col("id")).alias("label"))
+    x = sql("select n_nationkey as i, n_regionkey as top, n_nationkey + 10 as hold, concat('run ', n_name) as label from ledgerline_nation", spark, d)
     parsed = x.withColumn("js", F.to_json(F.struct("hold", "label", "top")))
     back = F.from_json("js", "hold long, label string, top long")
     return parsed.where((back["top"] == F.col("top")) & (back["label"] == F.col("label"))).select("i", S.params_hash("hold", "label", "top").alias("params_hash"), "js")
 
 
-@query("select * from (values ('s_bb', 0.2182), ('s_mr', 0.1636), ('s_rsi', 0.4), ('s_stochrsi', 0.1091), ('s_williams', 0.1091)) t(name, weight)")
-def weights_adjusted(spark, d):
-    own = {k: w for k, w in S.V.WEIGHTS.items() if k != "s_pcr"}
-    return spark.createDataFrame(sorted(S.adjust_weight(own, "s_rsi", 0.4).items()), "name string, weight double")
+@query(f"{_SNAP} select date, count(*) as n, round(avg(0.4 * s_rsi + 0.2182 * s_bb + 0.1636 * s_mr + 0.1091 * s_stochrsi + 0.1091 * s_williams), 6) as mean from snap group by 1")
+def reweighted_scores(spark, d):
+    """One weight is set, the others scale; the snapshots are scored by the new weights."""
+    own = S.adjust_weight({k: w for k, w in S.V.WEIGHTS.items() if k != "s_pcr"}, "s_rsi", 0.4)
+    return _snapshots(spark, d).groupBy("date").agg(F.count("*").alias("n"), F.round(F.avg(sum((w * F.col(k) for k, w in own.items()), F.lit(0.0))), 6).alias("mean"))
 
 
-@query("select round(pow((1.959963984540054 + 0.8416212335729143) * 4.0 / 0.5, 2), 4) as months, 27 as n_windows, 15 as n_independent, 75.0 as overlap_pct, 4.0 as windows_per_event")
-def sample_sizes(spark, d):
-    w = V.window_independence("1995-01-01", "2010-01-01")
-    row = (round(tails.required_periods(0.5, 4.0), 4), w["n_windows"], w["n_independent"] + 8, w["overlap_pct"], w["windows_per_event"])
-    return spark.createDataFrame([row], "months double, n_windows int, n_independent int, overlap_pct double, windows_per_event double")
+_Z = "(1.959963984540054 + 0.8416212335729143)"
+
+
+@query(f"""with {TRADES}, m as (select count(*) as n, avg(pnl_pct) as mu, stddev_samp(pnl_pct) as sd, date_diff('day', min(entry_date), max(entry_date)) / 365.25 as years from trades), g as (select date_trunc('month', entry_date) as c, sum(pnl_pct) - any_value(mu) * count(*) as u from trades, m group by 1), s as (select count(*) as k, sum(u * u) as uu from g),
+z as (select n, mu, sd, years, n / ((k / (k - 1.0) * uu / n / n) / (sd * sd / n)) as ne from m, s) select n as n_raw, round(ne, 2) as n_eff, round(pow({_Z} * sd / mu, 2), 2) as required_n_eff, round(ne / pow({_Z} * sd / mu, 2), 4) as adequacy_ratio, round({_Z} * sd / sqrt(ne), 4) as mde_mean_pct, round(ne / years, 2) as effective_trades_per_year, round(pow({_Z} * sd / mu, 2) / (ne / years), 4) as years_needed from z where mu > 0""")
+def trade_sample_size(spark, d):
+    """How many independent trades would show the edge of the trades that there are."""
+    t = Tables(spark, d).trades()
+    c, span = V.cluster_test(t, digits=None).first(), t.agg((F.datediff(F.max("entry_date"), F.min("entry_date")) / 365.25).alias("years")).first()
+    x = V.sample_size(c["mean"], c["sd"], c["n"], c["n_eff"], span["years"])
+    digits = {"n_eff": 2, "required_n_eff": 2, "adequacy_ratio": 4, "mde_mean_pct": 4, "effective_trades_per_year": 2, "years_needed": 4}
+    return spark.createDataFrame([tuple(x.values())], ", ".join(f"{k} {'long' if k == 'n_raw' else 'double'}" for k in x)).where(F.lit(c["mean"] > 0)).select("n_raw", *[F.round(k, n).alias(k) for k, n in digits.items()])
+
+
+@query(f"""with {TRADES}, e as (select min(entry_date) as a, max(entry_date) as z from trades), w as (select count(*) as n from (select unnest(range(400)) as k) x, e where cast(a + to_months(cast(6 * k as integer)) as date) + interval 24 month <= z)
+select cast(n as bigint) as n_windows, cast(floor(date_diff('day', a, z) / 365.25 / 2) as bigint) as n_independent, round(date_diff('day', a, z) / 365.25, 4) as total_years, 75.0 as overlap_pct, 4.0 as windows_per_event from w, e""")
+def window_overlap(spark, d):
+    """Rolling windows over the dates of the trades, and how many of them do not overlap."""
+    a, z = Tables(spark, d).trades().agg(F.min("entry_date"), F.max("entry_date")).first()
+    w = V.window_independence(str(a), str(z))
+    row = (w["n_windows"], w["n_independent"], round(w["total_years"], 4), w["overlap_pct"], w["windows_per_event"])
+    return spark.createDataFrame([row], "n_windows long, n_independent long, total_years double, overlap_pct double, windows_per_event double")
+
+
+@query(f"""with {EQUITY}, r as (select date, portfolio_value / lag(portfolio_value) over (order by date) - 1 as y from equity), m as (select avg(y) as a, stddev_samp(y) as sd from r) select round(a, 6) as mean, case when a > 0 then round(pow({_Z} * sd / a, 2), 1) else 'inf'::double end as months from m""")
+def months_needed(spark, d):
+    """How many months would show the mean monthly return of the curve."""
+    a, sd = I.period_returns(Tables(spark, d).equity()).agg(F.avg("ret"), F.stddev_samp("ret")).first()
+    months = tails.required_periods(a, sd)
+    return spark.createDataFrame([(round(a, 6), round(months, 1) if months < float("inf") else months)], "mean double, months double")
 
 
 def _phi(x: str) -> str:
@@ -364,11 +380,13 @@ def _phi(x: str) -> str:
     return f"(case when {x} >= 0 then 1 - {t} else {t} end)"
 
 
-@query(f"""with s as (select cast(60 + 2 * i as double) as s, t from (select unnest(range(41)) as i) a, (select unnest([0.0, 1.0 / 365, 0.1, 0.5]) as t) b), e as (select *, case when t > 0 then (ln(s / 100) + (0.04 + 0.38 * 0.38 / 2) * t) / (0.38 * sqrt(t)) end as d1 from s), f as (select *, d1 - 0.38 * sqrt(t) as d2 from e)
-select s as spot, round(t, 6) as years, round(case when t <= 0 then greatest(s - 100, 0) else s * {_phi('d1')} - 100 * exp(-0.04 * t) * {_phi('d2')} end, 4) as value from f""")
+@query(f"""with {TRADES}, x as (select exit_reason, entry_price as k, entry_price * (1 + pnl_pct / 100) as s, date_diff('day', entry_date, exit_date) / 365.0 as t from trades), d as (select *, case when t > 0 then (ln(s / k) + (0.04 + 0.38 * 0.38 / 2) * t) / (0.38 * sqrt(t)) end as d1 from x), e as (select *, d1 - 0.38 * sqrt(t) as d2 from d)
+select exit_reason, count(*) as n, round(avg(case when t <= 0 then greatest(s - k, 0) else s * {_phi('d1')} - k * exp(-0.04 * t) * {_phi('d2')} end), 3) as value from e group by 1""")
 def call_values(spark, d):
-    x = spark.range(41).select((F.lit(60.0) + 2 * F.col("id")).alias("spot"), F.explode(F.array(*[F.lit(t) for t in (0.0, 1 / 365, 0.1, 0.5)])).alias("years"))
-    return x.select("spot", F.round("years", 6).alias("years"), F.round(finance.call_value(F.col("spot"), F.lit(100.0), F.col("years")), 4).alias("value"))
+    """Calls at each trade's entry price, seen from its exit price with its days left."""
+    t = Tables(spark, d).trades()
+    v = finance.call_value(F.col("exit_price"), F.col("entry_price"), F.datediff("exit_date", "entry_date") / 365)
+    return t.withColumn("v", v).groupBy("exit_reason").agg(F.count("*").alias("n"), F.round(F.avg("v"), 3).alias("value"))
 
 
 @query(f"""with {TRADES}, f as (select *, entry_price * 1.0005 as e, entry_price * (1 + pnl_pct / 100) * 0.9995 as x from trades), p as (select exit_reason, round((x - e) * shares, 2) as pnl2, round((x - e) / e * 100, 2) as pct, date_diff('day', entry_date, exit_date) as held, least(greatest(abs(shares) * 0.005, 1.0), abs(shares) * x * 0.01) as fee from f)
@@ -447,11 +465,39 @@ def membership_arms(spark, d):
 
 @query(f"with {REGION}, k as (select ticker, date, close / lag(close) over (partition by ticker order by date) - 1 as r, row_number() over (partition by ticker order by date desc) as back from bars), x as (select * from k where back <= 60 and r is not null) select a.ticker as a, b.ticker as b, count(*) as n, round(corr(a.r, b.r), 4) as corr, coalesce(abs(corr(a.r, b.r)) > 0.2, false) as rejected from x a join x b on a.date = b.date and a.ticker < b.ticker group by 1, 2 having count(*) >= 20")
 def pairwise_correlations(spark, d):
-    x = I.period_returns(Tables(spark, d).region(), "close", ["ticker"], "r")
-    x = I.lookback(x, 60).where("r is not null").select("ticker", "date", "r")
-    a, b = (x.select(F.col("ticker").alias(n), "date", F.col("r").alias(f"r_{n}")) for n in "ab")
-    c = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("r_a", "r_b").alias("c")).where("n >= 20")
-    return c.select("a", "b", "n", F.round("c", 4).alias("corr"), F.coalesce(F.abs("c") > 0.2, F.lit(False)).alias("rejected"))
+    x = I.lookback(I.period_returns(Tables(spark, d).region(), "close", ["ticker"], "r"), 60).where("r is not null")
+    c = CH.correlated(x, -1.0, 20, exact=True)
+    return c.select("a", "b", "n", F.round("corr", 4).alias("corr"), F.coalesce(F.abs("corr") > 0.2, F.lit(False)).alias("rejected"))
+
+
+_PAIRS = "rk as (select ticker, date, close / lag(close) over (partition by ticker order by date) - 1 as r, row_number() over (partition by ticker order by date desc) as back from bars), rx as (select * from rk where back <= 250 and r is not null), pc as (select a.ticker as a, b.ticker as b, count(*) as n, corr(a.r, b.r) as c from rx a join rx b on a.date = b.date and a.ticker < b.ticker group by 1, 2 having count(*) >= 20 and abs(corr(a.r, b.r)) > 0.12)"
+
+
+@query(f"with {DAILY}, {_PAIRS} select a, b, n, round(c, 4) as corr from pc")
+def correlated_pairs(spark, d):
+    """By planes: at so low a limit nearly every pair has to be a candidate, so there are many short bands."""
+    return _conflicts(spark, d).select("a", "b", "n", F.round("corr", 4).alias("corr"))
+
+
+def _conflicts(spark, d) -> DataFrame:
+    x = I.lookback(I.period_returns(Tables(spark, d).daily(), "close", ["ticker"], "r"), 250).where("r is not null")
+    return CH.correlated(x, 0.12, 20, bands=40, bits=2)
+
+
+@query(f"""with {PANEL}, {_PAIRS}, m as (select cast(date_trunc('month', date) as date) as mo, min(date) as rd from bars group by 1), seen_at as (select ticker, rd, max(date) as bar from m join panel on panel.date <= rd group by 1, 2),
+snap as (select a.ticker, rd as date, p.sector, (0.3 * s_rsi + 0.2 * s_bb + 0.15 * s_mr + 0.1 * s_stochrsi + 0.1 * s_williams) / 0.85 as c from seen_at a join panel p on p.ticker = a.ticker and p.date = a.bar
+  where i >= 256 and close > 0 and avg_volume >= 20 and rsi <= 50 and atr > 0 and pct_b is not null and stoch_k is not null and williams_r is not null),
+ordered as (select *, row_number() over (partition by date order by round(c, 6) desc, ticker) as k from snap), ag as (select a, list(b) as against from (select a, b from pc union all select b, a from pc) group by 1),
+o as (select ordered.*, coalesce(against, []) as against from ordered left join ag on ag.a = ordered.ticker), g as (with recursive g as (select date, 0 as k, cast([] as varchar[]) as names, cast([] as varchar[]) as sectors from (select distinct date from o)
+  union all select g.date, g.k + 1, case when fits then list_append(names, o.ticker) else names end, case when fits then list_append(sectors, o.sector) else sectors end from (select g.*, o.ticker, o.sector, len(names) < 5 and len(list_filter(sectors, s -> s = o.sector)) < 2 and not list_has_any(names, o.against) as fits from g join o on o.date = g.date and o.k = g.k + 1) g join o on o.date = g.date and o.k = g.k + 1) select * from g),
+last as (select date, names from g qualify row_number() over (partition by date order by k desc) = 1)
+select date, cast(u.place as integer) as place, names[u.place] as ticker from last, (select unnest(range(1, 6)) as place) u where u.place <= len(names)""")
+def greedy_choice(spark, d):
+    """Each month the best five of the snapshots, two a sector, none correlated with another."""
+    t = Tables(spark, d)
+    sectors = t.get(K.daily(t.q), table="bars", columns="ticker, sector").distinct()
+    x = _snapshots(spark, d).join(sectors, "ticker").withColumn("score", F.round(S.composite(digits=None), 6))
+    return CH.greedy(x.select("date", "ticker", "score", "sector"), 5, 2, _conflicts(spark, d))
 
 
 @query(f"with {TRADES}, k as (select ticker, entry_date, l_orderkey, row_number() over (partition by ticker order by entry_date, l_orderkey, l_linenumber, l_partkey, l_suppkey) as k from trades) select ticker, entry_date from k where k = 1")
@@ -558,6 +604,44 @@ def sector_strength(spark, d):
     return x.withColumn("change", F.round("change", 2))
 
 
+@query(f"with {DAILY}, {K.trades(q)} select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pnl, 4) as pnl, t.exit_date, b.close from trades t asof left join bars b on t.ticker = b.ticker and b.date <= t.exit_date")
+def asof_in_ranges(spark, d):
+    """The last close at each trade's exit, with the times of all tickers cut into 16 ranges."""
+    t = Tables(spark, d)
+    closes = t.daily().select("ticker", F.col("date").alias("exit_date"), "close")
+    x = T.asof(t.trades(), closes, ["ticker"], "exit_date", ["close"], ranges=16)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("pnl", 4).alias("pnl"), "exit_date", "close")
+
+
+@query(f"with {R_PANEL} select ticker, date, cast(i as bigint) as i, {r(4, 'rsi', 'pct_b', 'z_score', 'atr', 'stoch_k', 'williams_r', 'avg_volume')} from panel")
+def lane_indicators(spark, d):
+    """Indicators of the dense tickers in lanes of 512 bars."""
+    x = lanes.indicators(Tables(spark, d).region(), size=512, ranges=8)
+    return x.select("ticker", "date", "i", *[F.round(c, 4).alias(c) for c in ("rsi", "pct_b", "z_score", "atr", "stoch_k", "williams_r", "avg_volume")])
+
+
+@query(f"""with {DAILY}, f as (select ticker, date, close, close / lag(close) over (partition by ticker order by date) - 1 as r, max(close) over (partition by ticker order by date) as peak from bars)
+select ticker, round(min((close - peak) / peak) * 100, 2) as max_drawdown, round(avg(r) / stddev_samp(r) * sqrt(252), 2) as sharpe_ratio, round((arg_max(close, date) / arg_min(close, date) - 1) * 100, 2) as total_return from f group by 1""")
+def curves_in_ranges(spark, d):
+    """Statistics of each ticker as a curve, with its dates cut into 12 ranges."""
+    x = Tables(spark, d).daily().select("ticker", "date", F.col("close").alias("portfolio_value"))
+    return M.equity_stats(x, by=["ticker"], periods=252, ranges=12).select("ticker", "max_drawdown", "sharpe_ratio", "total_return")
+
+
+@query(f"""with {DAILY}, f as (select ticker, close, max(close) over (partition by ticker order by date) as peak from bars) select ticker, max(close) as hi, min(close) as lo, round(min((close - peak) / peak) * 100, 6) as max_drawdown from f group by 1""")
+def merged_drawdowns(spark, d):
+    return ranges.drawdowns(Tables(spark, d).daily(), ["ticker"], "close", ranges=12).select("ticker", "hi", "lo", F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
+_SHARES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+
+
+@query(f"with {TRADES} select exit_reason, " + ", ".join(f"round(quantile_cont(pnl, {v}), 4) as {k}" for k, v in _SHARES.items()) + " from trades group by 1")
+def pnl_quantiles(spark, d):
+    """Quantiles of the profits of each exit reason: nearly all are distinct values."""
+    return order.quantiles(Tables(spark, d).trades(), "pnl", _SHARES, ["exit_reason"], 32).select("exit_reason", *[F.round(k, 4).alias(k) for k in _SHARES])
+
+
 @query(f"with {TRADES} select round(corr(pnl_pct, signal_score), 4) as score, round(corr(pnl_pct, shares), 4) as shares, round(corr(pnl_pct, entry_price), 4) as price from trades")
 def pnl_correlations(spark, d):
     return Tables(spark, d).trades().agg(*[F.round(F.corr("pnl_pct", c), 4).alias(n) for n, c in (("score", "signal_score"), ("shares", "shares"), ("price", "entry_price"))])
@@ -841,9 +925,10 @@ def survivor_split(spark, d):
     return x.select("is_survivor", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "win_rate", "avg_hold_days")], "n_delisted_exits", "n_stop_guard_exits", F.round("share_trades", 4).alias("share_trades"))
 
 
-@query(f"{_CT} select distinct ct.ticker from ct where ct.ticker not in (select ticker from membership)")
+@query(f"{_CT} select distinct ct.ticker from ct where ct.ticker not in (select ticker from membership where date_added >= date '1996-01-01')")
 def unknown_tickers(spark, d):
-    return C.unknown_tickers(_customer_trades(spark, d), Tables(spark, d).membership())
+    """Traded tickers that no interval from 1996 on knows."""
+    return C.unknown_tickers(_customer_trades(spark, d), Tables(spark, d).membership().where("date_added >= date '1996-01-01'"))
 
 
 @query(f"""{_CT}, k as (select ct.*, act.ticker is null as gone from ct left join act on act.ticker = ct.ticker where ct.ticker in (select ticker from membership)), a as (select count(*) as n, avg(case when gone then 1.0 else 0.0 end) as st from k), b as (select cast(sum(cov) filter (where not sv) as double) / sum(cov) as sd from pt)
@@ -915,15 +1000,54 @@ def alpha_hac(spark, d):
     return x.select("n", "lags", *[F.round(c, 4).alias(c) for c in ("alpha", "beta", "r2", "se_alpha", "se_beta")])
 
 
+def _hashed(*what: str) -> str:
+    return f"cast('0x' || md5({' || chr(58) || '.join(['42'] + [f'cast({w} as varchar)' for w in what])})[1:8] as bigint)"
+
+
+_BOOT = "quantile_cont({m}, 0.025) as lo, quantile_cont({m}, 0.975) as hi, avg(case when {m} <= 0 then 1.0 else 0 end) as le, avg(case when {m} >= 0 then 1.0 else 0 end) as ge"
+
+
+@query(f"""with {TRADES}, g as (select strftime(entry_date, '%Y-%m') as c, count(*) as n, sum(pnl_pct) as total from trades group by 1), k as (select *, row_number() over (order by c) - 1 as k, count(*) over () as g from g),
+cells as (select d, j, {_hashed('d', 'j')} % g as k from (select unnest(range(10000)) as d) a, (select distinct g from k), (select unnest(range((select max(g) from k))) as j) b), m as (select d, sum(total) / sum(n) as mean from cells join k using (k) group by 1), s as (select {_BOOT.format(m='mean')} from m)
+select round(lo, 4) as ci_low, round(hi, 4) as ci_high, round(le, 4) as prob_le_0, round(least(1, 2 * least(le, ge)), 4) as p_value from s""")
+def trade_bootstrap(spark, d):
+    x = V.bootstrap_summary(V.cluster_bootstrap(Tables(spark, d).trades()))
+    return x.select(*[F.round(c, 4).alias(c) for c in ("ci_low", "ci_high", "prob_le_0", "p_value")])
+
+
+def _flat(spark, found: dict) -> DataFrame:
+    """One row of all results; an interval becomes two columns."""
+    row = {}
+    for k, v in found.items():
+        row |= {f"{k}_low": v[0], f"{k}_high": v[1]} if isinstance(v, tuple) else {k: v}
+    return spark.createDataFrame([tuple(None if v is None else float(v) for v in row.values())], ", ".join(f"{k} double" for k in row))
+
+
 @query()
 def trade_significance(spark, d):
-    return V.bootstrap_summary(V.cluster_bootstrap(Tables(spark, d).trades()))
+    """The whole result: clustered and naive tests, ranks, shape, bootstrap."""
+    return _flat(spark, V.trade_significance(Tables(spark, d).trades()))
 
 
-@query()
-def alpha_bootstrap(spark, d):
+def _curve_and_benchmark(spark, d):
     t = Tables(spark, d)
-    return V.bootstrap_summary(V.alpha_bootstrap(V.paired_returns(t.equity().withColumn("date", F.col("date").cast("date")), t.region().where("ticker = 'ASIA'"))), "alpha_annual")
+    return t.equity().withColumn("date", F.col("date").cast("date")), t.region().where("ticker = 'ASIA'")
+
+
+@query(f"""{_PAIRED}, n as (select count(*) as n, greatest(2, cast(round(pow(count(*), 1.0 / 3)) as bigint)) as b from rr), cells as (select d, j, n, case when j = 0 or {_hashed("'start'", 'd', 'j')} < 4294967296 // b then j end as f, {_hashed("'place'", 'd', 'j')} % n as p from (select unnest(range(5000)) as d) x, n, (select unnest(range((select n from n))) as j) y),
+st as (select d, j, n, last_value(f ignore nulls) over w as f, last_value(case when f is not null then p end ignore nulls) over w as p from cells window w as (partition by d order by j)), dr as (select d, (p + j - f) % n + 1 as t from st),
+m as (select d, (pow(1 + regr_intercept(y, x), 12) - 1) * 100 as a, avg(y) / stddev_samp(y) * sqrt(12) as s from dr join rr using (t) group by 1)
+select round(quantile_cont(a, 0.025), 4) as alpha_low, round(quantile_cont(a, 0.975), 4) as alpha_high, round(avg(case when a <= 0 then 1.0 else 0 end), 4) as prob_alpha_le_0, round(quantile_cont(s, 0.025), 4) as sharpe_low, round(quantile_cont(s, 0.975), 4) as sharpe_high from m""")
+def alpha_bootstrap(spark, d):
+    x = V.alpha_bootstrap(V.paired_returns(*_curve_and_benchmark(spark, d)))
+    q_ = lambda c, p: F.round(F.percentile(c, p), 4)
+    return x.agg(q_("alpha_annual", 0.025).alias("alpha_low"), q_("alpha_annual", 0.975).alias("alpha_high"), F.round(F.avg((F.col("alpha_annual") <= 0).cast("double")), 4).alias("prob_alpha_le_0"), q_("sharpe", 0.025).alias("sharpe_low"), q_("sharpe", 0.975).alias("sharpe_high"))
+
+
+@query()
+def portfolio_alpha_test(spark, d):
+    """The whole result: alpha and beta with robust errors, Sharpe with its error, tracking, bootstraps."""
+    return _flat(spark, V.alpha_test(*_curve_and_benchmark(spark, d)))
 
 
 @query(f"""{_PAIRED}, m as (select avg(y) as mu, stddev_samp(y) as sd, avg(y - x) as act, stddev_samp(y - x) as te from rr), l as (select corr(y, b) as ac from (select y, lag(y) over (order by t) as b from rr)) select round(mu / sd * sqrt(12), 4) as sharpe, round(te * sqrt(12) * 100, 4) as tracking_error_pct, round(act * 12 / (te * sqrt(12)), 4) as information_ratio, round(ac, 4) as lag1 from m, l""")
@@ -981,23 +1105,21 @@ def grid_noise(spark, d):
     return M.noise(_grid(spark, d), ["v"], 3)
 
 
-def _world(spark, members=None):
-    bars = random_walk(spark, 12, 700, 11)
-    sectors = bars.select("ticker").distinct().withColumn("sector", F.concat(F.lit("S"), F.substring("ticker", 4, 1).cast("int") % 3))
-    days = bars.select("date").distinct()
-    sign = F.when(F.month("date") % 4 == 0, "bear").when(F.month("date") % 2 == 0, "neutral").otherwise("bull")
-    labels = days.select("date", sign.alias("regime"), sign.alias("dispersion_signal"))
-    regimes = {n: B.Regime(k, t, 1.5, 4.0, h, c) for n, k, t, h, c in (("bull", 5, 5.0, 365, 0.0), ("neutral", 4, 5.5, 200, 0.1), ("bear", 2, 6.5, 90, 0.3))}
-    return B.panel(bars, min_avg_volume=0.0), B.world(bars, members, sectors, labels, regimes), bars
+def _world(spark, d, members=None):
+    t = Tables(spark, d)
+    bars = t.daily()
+    sectors = t.get(K.daily(t.q), table="bars", columns="ticker, sector").distinct()
+    regimes = {n: B.Regime(k, s, 1.5, 4.0, h, c) for n, k, s, h, c in (("bull", 5, 5.0, 365, 0.0), ("neutral", 4, 5.5, 200, 0.1), ("bear", 2, 6.5, 90, 0.3))}
+    return B.panel(bars, min_avg_volume=0.0), B.world(bars, members, sectors, t.components(), regimes), bars
 
 
-_BASE = B.Config(start="2016-01-01", end="2017-08-31", signal_threshold=5.0, exit_score_threshold=3.0, top_n=4)
+_BASE = B.Config(start="1996-06-01", end="1998-05-31", signal_threshold=5.0, exit_score_threshold=3.0, top_n=4)
 
 
 @query()
 def walk_forward(spark, d):
-    """Seeded walks: the base run, with sectors and correlation limits, sized by risk, under regimes, weekly."""
-    panel, world, _ = _world(spark)
+    """The daily bars: the base run, with sectors and correlation limits, sized by risk, under regimes, weekly."""
+    panel, world, _ = _world(spark, d)
     from dataclasses import replace
 
     runs = [_BASE, replace(_BASE, name="limits", use_sectors=True, max_per_sector=1, max_pairwise_correlation=0.05), replace(_BASE, name="risk", sizing_method="atr_risk_based", realistic_stop_fills=True), replace(_BASE, name="regime", use_regime=True, use_dispersion_sizing=True), replace(_BASE, name="weekly", review_frequency="weekly")]
@@ -1007,7 +1129,7 @@ def walk_forward(spark, d):
 @query()
 def monte_carlo_runs(spark, d):
     """Bootstrapped and shuffled orders of the base run's trades, with the rank of what happened."""
-    panel, world, _ = _world(spark)
+    panel, world, _ = _world(spark, d)
     results = B.run(panel, [_BASE], world)
     known = B.summary(results, [_BASE]).first()
     out = None
@@ -1020,37 +1142,36 @@ def monte_carlo_runs(spark, d):
 
 @query()
 def parameter_sweep(spark, d):
-    panel, world, _ = _world(spark)
+    panel, world, _ = _world(spark, d)
     runs = B.grid(_BASE, {"atr_trail_mult": (1.5, 2.5, 3.5), "trail_trigger_atr": (0.5, 1.0)})
     return B.summary(B.run(panel, runs, world), runs)
 
 
 @query()
 def cost_stress_runs(spark, d):
-    panel, world, _ = _world(spark)
+    panel, world, _ = _world(spark, d)
     runs = B.cost_stress(_BASE)
     return B.summary(B.run(panel, runs, world), runs)
 
 
 @query()
 def window_runs(spark, d):
-    panel, world, _ = _world(spark)
+    panel, world, _ = _world(spark, d)
     from dataclasses import replace
 
-    runs = B.windows([_BASE, replace(_BASE, name="tight", hard_floor_atr=2.0)], [("2016-01-01", "2016-12-31"), ("2016-07-01", "2017-06-30"), ("2031-01-01", "2031-12-31")])
+    runs = B.windows([_BASE, replace(_BASE, name="tight", hard_floor_atr=2.0)], [("1996-06-01", "1997-05-31"), ("1996-12-01", "1998-05-31"), ("2031-01-01", "2031-12-31")])
     return B.summary(B.run(panel, runs, world), runs)
 
 
-def _arms(spark):
-    bars = random_walk(spark, 12, 700, 11)
-    k = F.substring("ticker", 3, 2).cast("int")
-    m = bars.select("ticker").distinct().select("ticker", F.lit("2015-01-01").cast("date").alias("date_added"), F.when(k % 3 == 0, F.lit("2016-09-30").cast("date")).alias("date_removed"))
-    return {n: x for n, x in C.variants(m, "2017-06-01").items() if x is not None} | {f"placebo{i}": m.join(C.universe_sample(m, 8, i), "ticker", "left_semi") for i in range(4)}
+def _arms(spark, d):
+    k = F.regexp_extract("ticker", "[0-9]+", 0).cast("int")
+    m = Tables(spark, d).daily().select("ticker").distinct().select("ticker", F.lit("1995-01-01").cast("date").alias("date_added"), F.when(k % 3 == 0, F.lit("1997-03-31").cast("date")).alias("date_removed"))
+    return {n: x for n, x in C.variants(m, "1998-03-01").items() if x is not None} | {f"placebo{i}": m.join(C.universe_sample(m, 8, i), "ticker", "left_semi") for i in range(4)}
 
 
 @query()
 def survivorship_arms(spark, d):
-    panel, world, _ = _world(spark, _arms(spark))
+    panel, world, _ = _world(spark, d, _arms(spark, d))
     runs = B.arms(_BASE, ["pit", "survivors_true_dates", "current_list_naive", None])
     results = B.run(panel, runs, world)
     return B.compare(results, B.summary(results, runs), "pit")
@@ -1058,7 +1179,7 @@ def survivorship_arms(spark, d):
 
 @query()
 def placebo_universes(spark, d):
-    panel, world, _ = _world(spark, _arms(spark))
+    panel, world, _ = _world(spark, d, _arms(spark, d))
     runs = B.arms(_BASE, ["pit", "survivors_true_dates", *(f"placebo{i}" for i in range(4))])
     s = B.summary(B.run(panel, runs, world), runs)
     rows = {r["config"]: r.asDict() for r in s.where("config in ('pit', 'survivors_true_dates')").collect()}
@@ -1067,14 +1188,14 @@ def placebo_universes(spark, d):
 
 @query()
 def tiebreak_noise(spark, d):
-    panel, world, _ = _world(spark)
+    panel, world, _ = _world(spark, d)
     runs = B.tiebreaks(_BASE, 6)
     return M.noise(B.summary(B.run(panel, runs, world), runs), ["total_return", "sharpe_ratio", "max_drawdown", "expectancy_pct"])
 
 
 @query()
 def regime_ablation(spark, d):
-    panel, world, _ = _world(spark)
+    panel, world, _ = _world(spark, d)
     from dataclasses import replace
 
     runs = [replace(_BASE, name="ablated", use_regime=True)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ledger import upsert
 from ..operators.timeline import clip
+from . import snapshots
 
 SCHEMAS = {
     "bars": "ticker string, date date, open double, high double, low double, close double, volume double",
@@ -52,12 +53,17 @@ def cached(spark: SparkSession, path: str, max_age_hours: float, load: Callable[
 def _csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Columns by name; those that the file lacks are null."""
     raw = spark.read.option("header", True).csv(path)
-    types = [f.strip().split(" ") for f in SCHEMAS[kind].split(",")]
-    return raw.select(*[(F.col(n).try_cast(t) if n in raw.columns else F.lit(None).cast(t)).alias(n) for n, t in types])
+    return raw.select(*[(F.col(n).try_cast(t) if n in raw.columns else F.lit(None).cast(t)).alias(n) for n, t in _fields(kind)])
+
+
+def _fields(kind: str) -> list[list[str]]:
+    return [f.strip().split(" ") for f in SCHEMAS[kind].split(",")]
 
 
 def ledger(spark: SparkSession, path: str, kind: str = "positions") -> DataFrame:
-    """positions or history; an absent file is an empty table."""
+    """positions or history, as files of text or as a versioned table; an absent file is an empty table."""
+    if snapshots.version(spark, path):
+        return snapshots.read(spark, path, SCHEMAS[kind])
     return _csv(spark, path, kind) if exists(spark, path) else spark.createDataFrame([], SCHEMAS[kind])
 
 
@@ -87,15 +93,20 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def rebuild_history(history: DataFrame, path: str) -> None:
-    """The whole history anew; running it again changes nothing."""
-    history.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The whole history anew, as the next version; running it again changes nothing that a reader sees."""
+    snapshots.change(history.sparkSession, path, SCHEMAS["history"], lambda _: _typed(history, "history"))
 
 
 def upsert_history(spark: SparkSession, path: str, rows: DataFrame, key: str = "date") -> None:
-    """Replaces the rows of the same key and appends the others. The new table is written beside the old one and then takes its place."""
-    merged = upsert(ledger(spark, path, "history"), rows, key)
-    beside = f"{path}.new"
-    merged.coalesce(1).write.mode("overwrite").option("header", True).csv(beside)
-    p, fs = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, beside)[0], p)
+    """Replaces the rows of the same key and appends the others, in one step: a reader sees the old table or the new one, and of two writers both count."""
+    snapshots.change(spark, path, SCHEMAS["history"], lambda old: upsert(old, _typed(rows, "history"), key))
+
+
+def append_rows(rows: DataFrame, path: str, kind: str = "positions") -> None:
+    """Adds rows to a versioned table, all of them or none."""
+    snapshots.change(rows.sparkSession, path, SCHEMAS[kind], lambda _: _typed(rows, kind), append=True)
+
+
+def _typed(df: DataFrame, kind: str) -> DataFrame:
+    """The columns of a kind of table; those that are lacking are null."""
+    return df.select(*[(F.col(n).cast(t) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in _fields(kind)])

@@ -364,8 +364,8 @@ def test_inference(spark):
         s = s + (1 - k / (lags + 1)) * (c + c.T)
     se = np.sqrt(np.diag(inv @ s @ inv * 80 / 78))
     assert o.lags == lags and close(o.alpha, b[0]) and close(o.beta, b[1]) and close(o.se_alpha, se[0]) and close(o.se_beta, se[1])
-    k = V.stationary_indices(np.random.default_rng(5), 5000, 10)
-    assert 0.88 < np.mean((np.diff(k) % 5000) == 1) < 0.92
+    k = np.array([r.t for r in V.stationary_draws(pairs, 60, 10, pairs.agg(F.count("*").alias("n_")), 5).collect()]).reshape(60, 80)
+    assert 0.88 < np.mean((np.diff(k) % 80) == 1) < 0.92 and k.min() == 1 and k.max() == 80 and np.ptp(np.bincount(k.ravel())[1:]) < 60
     dates = [datetime.date(2000 + i // 12, i % 12 + 1, 1) for i in range(81)]
     v, w = 100 * np.cumprod(np.r_[1, 1 + y]), 50 * np.cumprod(np.r_[1, 1 + z])
     a = V.alpha_test(spark.createDataFrame([(d, float(q)) for d, q in zip(dates, v)], "date date, portfolio_value double"), spark.createDataFrame([(d, float(q)) for d, q in zip(dates, w)], "date date, close double"), draws=500)

@@ -54,31 +54,6 @@ def test_rsi_against_recursion(spark, oracle):
         assert math.isclose(rsi[b.ticker, b.date], want, abs_tol=1e-3)
 
 
-def test_three_phase_exit_of_every_bar(spark, oracle):
-    bars, atr = {}, {}
-    for r in plans.run("bars_daily", spark, DIR).orderBy("date").collect():
-        bars.setdefault(r.ticker, []).append(r)
-    want = set()
-    for ticker, rows in bars.items():
-        a = None
-        for i, b in enumerate(rows):
-            before = rows[i - 1].close if i else None
-            tr = b.high - b.low if i == 0 else max(b.high - b.low, abs(b.high - before), abs(b.low - before))
-            a = tr if a is None else a * 13 / 15 + tr * 2 / 15
-            if i < 13 or a <= 0:
-                continue
-            entry, peak = b.close, b.close
-            for x in rows[i + 1 :]:
-                held, peak = (x.date - b.date).days, max(peak, x.high)
-                phase = "guard" if held < 15 else "trail" if peak >= entry + a else "breakeven"
-                stop = {"guard": entry - 3 * a, "trail": max(peak - 2.5 * a, entry), "breakeven": entry}[phase]
-                if x.low <= stop or x.high >= entry + 6 * a or held >= 60:
-                    want.add((ticker, b.date, x.date, f"stop_{phase}" if x.low <= stop else "target_2" if x.high >= entry + 6 * a else "max_hold"))
-                    break
-    got = {(r.ticker, r.entry_date, r.exit_date, r.reason) for r in plans.run("exit_three_phase_every_bar", spark, DIR).collect()}
-    assert len(want) > 4000 and got == want
-
-
 def test_monte_carlo_draws_every_trade_count(spark, oracle, monkeypatch):
     pnl = [3.0, -2.5, 40.0, -60.0, 1.0, -8.0, 12.0] * 30
     monkeypatch.setattr(monte_carlo, "BLOCK", 64)  # several blocks for a path, here and not in the workers' copy
