@@ -11,89 +11,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finance
-from .passage import SIZE, WIDTH, block_of, blocks, extremes, first_block, spans_needed
+from .passage import SIZE, WIDTH, block_of, blocks, extremes, first_block, followed, spans_needed
 from .timeline import asof, following_bars, forward_bars
 
 FIRST = Window.unboundedPreceding
 _HIT = "struct<exit_date: date, exit_price: double, exit_reason: string>"
+_PRICES = ("date", "open", "high", "low", "close")
+_LEVELS = ("entry_", "aim_", "floor_", "armed_", "room_")
 
 
-class _Phases:
-    """The rules of ``three_phase``: levels of a position, what a day does, whether a block of days may hold an exit."""
+def _once(df: DataFrame, name: str, value: str | Column) -> DataFrame:
+    """Adds a dear column that later filters and columns read instead of computing it again: the optimizer does not look behind a generator."""
+    return df.withColumn(name, F.explode(F.array(F.expr(value) if isinstance(value, str) else value)))
+
 
-    def __init__(self, max_hold: int, trail: float, guard_days: int, hard_floor: float, trigger: float, realistic_fills: bool):
-        self.max_hold, self.guard_days, self.realistic_fills = max_hold, guard_days, realistic_fills
+class _Phases:
+    """The rules of ``three_phase`` as expressions: levels of a position, what a day does, whether a block of days may hold an exit."""
+
+    def __init__(self, max_hold: int, trail: float | Column, guard_days: int, hard_floor: float | Column, trigger: float | Column, realistic_fills: bool):
+        self.guard_days, self.trail, self.hard_floor, self.trigger = guard_days, trail, hard_floor, trigger
+        hit = lambda price, reason: f"struct(cast(b.date as date) as exit_date, cast({price} as double) as exit_price, {reason} as exit_reason)"
+        held = "datediff(b.date, entry_date)"
+        fill = "if(b.open < stop, b.open, stop)" if realistic_fills else "stop"
+        stop = f"case when {held} < {guard_days} then floor_ when top >= armed_ then greatest(top - room_, entry_) else entry_ end"
+        name = f"concat('stop_', case when {held} < {guard_days} then 'guard' when top >= armed_ then 'trail' else 'breakeven' end)"
+        #: what the day of bar b does when the peak, its high included, is ``top``
+        self.day = f"transform(array({stop}), stop -> case when b.low <= stop then {hit(f'round({fill}, 2)', name)} when b.high >= aim_ then {hit('aim_', repr('target_2'))} when {held} >= {max_hold} then {hit('b.close', repr('max_hold'))} end)[0]"
+        #: of a block behind the guarded days: always true if it holds an exit, and false but for a hair if it does not and the trail is no narrower than the trigger
+        self.broken = f"""p.lo <= entry_ or p.hi >= aim_ or datediff(p.last, entry_date) >= {max_hold} or
+          (greatest(s.peak, p.hi) >= armed_ and greatest(s.peak - p.lo, p.drop) >= room_ - 1e-9 * greatest(abs(greatest(s.peak, p.hi)), room_))"""
+
+    def levels(self, positions: DataFrame) -> DataFrame:
         c = F.col
-        self.entry, self.target = c("entry_price").cast("double"), c("target_2").cast("double")
         atr = F.when(c("atr").isNull() | (c("atr") == 0), c("entry_price") * 0.02).otherwise(c("atr"))
-        self.floor, self.armed_at, self.room = self.entry - hard_floor * atr, self.entry + trigger * atr, trail * atr
-
-    def day(self, peak: Column, b: Column) -> Column:
-        """What the day of bar ``b`` does when the peak, its high included, is ``peak``: null if nothing."""
-        held = F.datediff(b["date"], "entry_date")
-        guarded, won = held < self.guard_days, peak >= self.armed_at
-        stop = F.when(guarded, self.floor).when(won, F.greatest(peak - self.room, self.entry)).otherwise(self.entry)
-        name = F.when(guarded, "stop_guard").when(won, "stop_trail").otherwise("stop_breakeven")
-        fill = F.when(b["open"] < stop, b["open"]).otherwise(stop) if self.realistic_fills else stop
-        hit = lambda price, reason: F.struct(b["date"].cast("date").alias("exit_date"), price.cast("double").alias("exit_price"), reason.alias("exit_reason"))
-        return F.when(b["low"] <= stop, hit(F.round(fill, 2), name)).when(b["high"] >= self.target, hit(self.target, F.lit("target_2"))).when(held >= self.max_hold, hit(b["close"], F.lit("max_hold")))
-
-    def days(self, bars: Column, peak: Column) -> Column:
-        """(peak, hit) after the days of ``bars`` in order, up to the first hit."""
-        start = F.struct(peak.cast("double").alias("peak"), F.lit(None).cast(_HIT).alias("hit"))
+        entry = c("entry_price").cast("double")
+        return positions.withColumns({"entry_": entry, "aim_": c("target_2").cast("double"), "floor_": entry - self.hard_floor * atr, "armed_": entry + self.trigger * atr, "room_": self.trail * atr})
 
-        def step(s, b):
-            top = F.greatest(s["peak"], b["high"].cast("double"))
-            return F.when(s["hit"].isNotNull(), s).otherwise(F.struct(top.alias("peak"), self.day(top, b).alias("hit")))
-
-        return F.aggregate(bars, start, step)
-
-    def broken(self, p: Column, peak: Column) -> Column:
-        """Whether a block behind the guarded days may hold an exit: always true if it does, and false but for a hair if it does not and the trail is no narrower than the trigger."""
-        inside = F.greatest(peak, p["hi"].cast("double"))
-        slack = 1e-9 * F.greatest(F.abs(inside), self.room)
-        trailed = (inside >= self.armed_at) & (F.greatest(peak - p["lo"], p["drop"]) >= self.room - slack)
-        return (p["lo"] <= self.entry) | (p["hi"] >= self.target) | (F.datediff(p["last"], "entry_date") >= self.max_hold) | trailed
+    def days(self, bars: str, peak: str) -> str:
+        """(peak, hit) after the days of ``bars`` in order, up to the first hit."""
+        return f"""aggregate({bars}, struct(cast({peak} as double) as peak, cast(null as {_HIT}) as hit),
+          (s, b) -> if(s.hit is not null, s, transform(array(greatest(s.peak, cast(b.high as double))), top -> struct(top as peak, {self.day} as hit))[0]))"""
 
 
 def three_phase(
-    positions: DataFrame, numbered: DataFrame, max_hold: int = 365, horizon: int = 300, trail: float = 2.5, guard_days: int = 15, hard_floor: float = 3.0, trigger: float = 1.0, realistic_fills: bool = False
+    positions: DataFrame, numbered: DataFrame, max_hold: int = 365, horizon: int = 300, trail: float | Column = 2.5, guard_days: int = 15, hard_floor: float | Column = 3.0, trigger: float | Column = 1.0, realistic_fills: bool = False
 ) -> DataFrame:
     """positions(ticker, entry_date, entry_price, atr, target_2) -> adds exit_date, exit_price, exit_reason; null if none comes within ``horizon`` bars.
 
     Each day raises the peak by its high. In the first ``guard_days`` calendar days the stop is the hard floor; then the trail, not below
     the entry, once the peak has gained ``trigger`` ATRs; else the entry. Stop, target and longest hold are looked at in this order.
-    Without an ATR 2 % of the entry stand in. ``realistic_fills``: a bar that opens below the stop fills there.
+    Without an ATR 2 % of the entry stand in. ``realistic_fills``: a bar that opens below the stop fills there. ``trail``, ``hard_floor``
+    and ``trigger`` may be columns of the positions, so that one pass runs a grid of them.
 
     The first bars, past the guard, are looked at one by one; then the first block that may hold an exit is found by its extremes and
     looked at bar by bar. A block that promised an exit and has none (levels a hair apart, or a trail narrower than the trigger)
     sends its position on the way of every bar. A ticker has one bar a day.
     """
-    rules, c = _Phases(max_hold, trail, guard_days, hard_floor, trigger, realistic_fills), F.col
-    bars = numbered.select("ticker", "date", "i", "open", "high", "low", "close")
-    places = bars.select("ticker", c("date").alias("entry_date"), c("i").alias("at_"))
-    x = positions.join(places, ["ticker", "entry_date"], "left").select(*positions.columns, "at_", block_of(c("at_") + 1).alias("block_"))
+    rules = _Phases(max_hold, trail, guard_days, hard_floor, trigger, realistic_fills)
+    bars = blocks(numbered, _PRICES)
+    places = bars.select("ticker", F.explode("bars_").alias("b_")).select("ticker", F.col("b_.date").alias("entry_date"), F.col("b_.i").alias("at_"))
+    x = rules.levels(positions).join(places, ["ticker", "entry_date"], "left").select(*positions.columns, *_LEVELS, "at_", F.expr(f"floor((at_ + 1) / {SIZE})").alias("block_"))
     lead = max(0, -(-(guard_days - 1) // SIZE))  # blocks behind the first that the guard may reach into
-    behind = lambda b: (b["i"] > c("at_")) & (b["i"] <= c("at_") + horizon)
-    prices = ["date", "open", "high", "low", "close"]
-    x = x.join(blocks(bars, prices, lead), ["ticker", "block_"], "left")
-    x = x.withColumn("state_", rules.days(F.filter("bars_", behind), rules.entry)).drop("bars_")
-    next_, last = c("block_") + lead + 1, block_of(c("at_") + horizon)
-    x = x.withColumn("span_", F.when(c("state_.hit").isNull(), F.floor(next_ / WIDTH))).join(extremes(bars, spans_needed(horizon)), ["ticker", "span_"], "left")
-    x = x.withColumn("found_", F.when(c("state_.hit").isNull(), first_block("parts_", next_, last, c("state_.peak"), rules.broken))).drop("parts_", "span_", "block_")
-    x = x.withColumn("block_", c("found_.block")).join(blocks(bars, prices), ["ticker", "block_"], "left")
-    x = x.withColumn("hit_", F.coalesce("state_.hit", rules.days(F.filter("bars_", behind), c("found_.peak"))["hit"]))
-    missed = c("hit_").isNull() & c("block_").isNotNull()
-    found = x.where(~missed).select(*positions.columns, "hit_.*")
-    return found.unionByName(_every_bar(x.where(missed).select(*positions.columns, "at_"), bars, rules, horizon).select(*positions.columns, "hit_.*"))
-
-
-def _every_bar(own: DataFrame, bars: DataFrame, rules: _Phases, horizon: int) -> DataFrame:
-    """Positions with ``hit_`` from all bars of the horizon."""
+    behind = f"filter(bars_, b -> b.i > at_ and b.i <= at_ + {horizon})"
+    x = _once(x.join(followed(bars, lead), ["ticker", "block_"], "left"), "state_", rules.days(behind, "entry_")).drop("bars_")
+    x = x.withColumn("span_", F.expr(f"if(state_.hit is null, floor((block_ + {lead + 1}) / {WIDTH}), null)")).join(extremes(bars, spans_needed(horizon)), ["ticker", "span_"], "left")
+    found = first_block("parts_", f"block_ + {lead + 1}", f"floor((at_ + {horizon}) / {SIZE})", "state_.peak", rules.broken)
+    x = _once(x, "found_", f"if(state_.hit is null, {found}, null)").drop("parts_", "span_", "block_").withColumn("block_", F.col("found_.block"))
+    x = _once(x.join(bars, ["ticker", "block_"], "left"), "hit_", f"coalesce(state_.hit, {rules.days(behind, 'found_.peak')}.hit)")
+    x = x.select(*positions.columns, *_LEVELS, "at_", "block_", "hit_").repartition("ticker", "entry_date")  # both ways below start from this shuffle
+    missed = F.col("hit_").isNull() & F.col("block_").isNotNull()
+    rest = _every_bar(x.where(missed).select(*positions.columns, *_LEVELS, "at_"), numbered, rules, horizon)
+    return x.where(~missed).select(*positions.columns, "hit_.*").unionByName(rest.select(*positions.columns, "hit_.*"))
+
+
+def _every_bar(own: DataFrame, numbered: DataFrame, rules: _Phases, horizon: int) -> DataFrame:
+    """Positions with levels and places, and ``hit_`` from all bars of the horizon."""
     keys = own.columns
-    x = own.withColumn("row_", F.monotonically_increasing_id())
-    x = following_bars(x, bars, "at_", horizon).groupBy("row_", *keys).agg(F.sort_array(F.collect_list(F.struct("i", "date", "open", "high", "low", "close"))).alias("bars_"))
-    return x.withColumn("hit_", rules.days(F.col("bars_"), rules.entry)["hit"])
+    x = following_bars(own.withColumn("row_", F.monotonically_increasing_id()), numbered.select("ticker", "i", *_PRICES), "at_", horizon)
+    x = x.groupBy("row_", *keys).agg(F.sort_array(F.collect_list(F.struct("i", *_PRICES))).alias("bars_"))
+    return x.withColumn("hit_", F.expr(f"{rules.days('bars_', 'entry_')}.hit"))
 
 
 def option_paths(
@@ -110,7 +106,7 @@ def option_paths(
     ahead = bars.select("ticker", c("date").alias("signal_date"), c("date").alias("entry_date"), c("open").cast("double").alias("entry_price"), c("i").alias("at_"))
     x = asof(signals, ahead, ["ticker"], "signal_date", ["entry_date", "entry_price", "at_"], forward=True, exact=False).where(c("entry_price") > 0)
     x = x.withColumns({"premium_": finance.call_value(c("entry_price"), c("entry_price"), F.lit(dte / 365), rate, iv), "block_": block_of(c("at_") + 1)}).where("premium_ > 0")
-    x = x.join(blocks(bars, ["date", "high", "low", "close"], -(-(max_hold - 1) // SIZE)), ["ticker", "block_"])
+    x = x.join(followed(blocks(bars, ["date", "high", "low", "close"]), -(-(max_hold - 1) // SIZE)), ["ticker", "block_"])
     x = x.withColumn("bars_", F.filter("bars_", lambda b: (b["i"] > c("at_")) & (b["i"] <= c("at_") + max_hold))).where(F.size("bars_") >= least_forward)
     floor, stop, arming = c("premium_") * (1 - guard_floor), c("premium_") * (1 - stop_loss), c("premium_") * (1 + arm)
     none = "struct<k: int, date: date, reason: string, value: double, stock: double, armed: boolean>"
@@ -131,7 +127,7 @@ def option_paths(
         marks = F.array(F.struct(*[value(p).alias(p) for p in ("high", "low", "close")]))  # an array, so that a lambda binds them once
         return F.when(s["hit"].isNotNull(), s).when(k <= guard_days, guarded).otherwise(F.transform(marks, free)[0])
 
-    x = x.withColumn("x", F.aggregate("bars_", start, day)).select(*keys, "entry_date", "entry_price", "premium_", "x.hit", "x.peak").where("hit is not null")
+    x = _once(x, "x", F.aggregate("bars_", start, day)).select(*keys, "entry_date", "entry_price", "premium_", "x.hit", "x.peak").where("hit is not null")
     pct = lambda a, b: F.round((a - b) / b * 100, 2)
     return x.select(
         *keys, "entry_date", F.round("entry_price", 2).alias("entry_price"), F.round("premium_", 2).alias("entry_premium"), c("hit.date").alias("exit_date"), c("hit.k").alias("days_held"), c("hit.reason").alias("exit_reason"),

@@ -179,9 +179,9 @@ def noise(results: DataFrame, metrics: Sequence[str], digits: int = 4) -> DataFr
     return long.groupBy("metric").agg(*[F.round(c, digits).alias(k) for k, c in {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value"), "range": F.max("value") - F.min("value")}.items()])
 
 
-def pivot_mean(df: DataFrame, x: str, y: str, metric: str, values: Sequence) -> DataFrame:
+def pivot_mean(df: DataFrame, x: str, y: str, metric: str, values: Sequence, digits: int = 4) -> DataFrame:
     """A row for each ``y``, a column for each given value of ``x``."""
-    return df.groupBy(y).pivot(x, list(values)).agg(F.round(F.avg(metric), 4))
+    return df.groupBy(y).pivot(x, list(values)).agg(F.round(F.avg(metric), digits))
 
 
 def tier_listing(caps: DataFrame) -> DataFrame:

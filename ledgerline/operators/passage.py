@@ -11,7 +11,7 @@ the network three times, with as many numbers as it looks at.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,30 +23,29 @@ def block_of(place: Column, size: int = SIZE) -> Column:
     return F.floor(place / size)
 
 
-def blocks(numbered: DataFrame, columns: Sequence[str], ahead: int = 0, out: str = "bars_", size: int = SIZE) -> DataFrame:
-    """ticker, block_, ``out``: the bars (i, columns) of a block and of the ``ahead`` blocks behind it, in order."""
-    own = block_of(F.col("i"), size)
-    x = numbered.select("ticker", F.explode(F.sequence(F.greatest(own - ahead, F.lit(0)), own)).alias("block_"), F.struct("i", *columns).alias("bar_"))
+def blocks(numbered: DataFrame, columns: Sequence[str], out: str = "bars_", size: int = SIZE) -> DataFrame:
+    """ticker, block_, ``out``: the bars (i, columns) of a block in order. The tables below are made of this one, so that bars are gathered once."""
+    x = numbered.select("ticker", block_of(F.col("i"), size).alias("block_"), F.struct("i", *columns).alias("bar_"))
     return x.groupBy("ticker", "block_").agg(F.sort_array(F.collect_list("bar_")).alias(out))
 
 
-def _deepest(bars: Column) -> Column:
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("drop"))
+def followed(base: DataFrame, ahead: int, of: str = "bars_") -> DataFrame:
+    """Blocks with the bars of the ``ahead`` blocks behind them."""
+    if not ahead:
+        return base
+    x = base.select("ticker", F.expr(f"explode(sequence(greatest(block_ - {ahead}, 0), block_))").alias("at_block_"), F.struct("block_", of).alias("own_"))
+    return x.groupBy("ticker", F.col("at_block_").alias("block_")).agg(F.expr(f"flatten(transform(sort_array(collect_list(own_)), x -> x.{of}))").alias(of))
 
-    def day(s, b):
-        top = F.greatest(s["top"], b["high"].cast("double"))
-        return F.struct(top.alias("top"), F.greatest(s["drop"], top - b["low"].cast("double")).alias("drop"))
 
-    return F.aggregate(bars, start, day)["drop"]
+_DEEPEST = """aggregate(bars_, struct(cast(null as double) as top, cast(null as double) as drop),
+  (s, b) -> struct(greatest(s.top, cast(b.high as double)) as top, greatest(s.drop, greatest(s.top, cast(b.high as double)) - b.low) as drop)).drop"""
 
 
-def extremes(numbered: DataFrame, ahead: int = 0, out: str = "parts_", size: int = SIZE, width: int = WIDTH) -> DataFrame:
+def extremes(base: DataFrame, ahead: int = 0, out: str = "parts_", width: int = WIDTH) -> DataFrame:
     """ticker, span_, ``out``: (block, hi, lo, drop, last) of ``width`` blocks and of ``ahead`` times as many behind them, in order."""
-    b = F.col("bars_")
-    own = F.struct(F.col("block_").alias("block"), F.array_max(b["high"]).alias("hi"), F.array_min(b["low"]).alias("lo"), _deepest(b).alias("drop"), F.array_max(b["date"]).alias("last"))
-    x = blocks(numbered, ["date", "high", "low"], size=size).select("ticker", own.alias("part_"))
-    span = F.floor(F.col("part_.block") / width)
-    x = x.select("ticker", F.explode(F.sequence(F.greatest(span - ahead, F.lit(0)), span)).alias("span_"), "part_")
+    own = f"struct(block_ as block, array_max(bars_.high) as hi, array_min(bars_.low) as lo, {_DEEPEST} as drop, array_max(bars_.date) as last)"
+    x = base.select("ticker", F.expr(own).alias("part_"))
+    x = x.select("ticker", F.expr(f"explode(sequence(greatest(floor(part_.block / {width}) - {ahead}, 0), floor(part_.block / {width})))").alias("span_"), "part_")
     return x.groupBy("ticker", "span_").agg(F.sort_array(F.collect_list("part_")).alias(out))
 
 
@@ -55,13 +54,7 @@ def spans_needed(bars: int, size: int = SIZE, width: int = WIDTH) -> int:
     return -(-(bars // size + 2) // width)
 
 
-def first_block(parts: Column, low: Column, high: Column, peak: Column, broken: Callable[[Column, Column], Column]) -> Column:
-    """(peak, block): the first block from ``low`` to ``high`` that ``broken(part, peak before it)`` names, null if there is none, and the peak before it."""
-    start = F.struct(peak.cast("double").alias("peak"), F.lit(None).cast("long").alias("block"))
-
-    def step(s, p):
-        found = F.struct(s["peak"].alias("peak"), p["block"].alias("block"))
-        on = F.struct(F.greatest(s["peak"], p["hi"].cast("double")).alias("peak"), F.lit(None).cast("long").alias("block"))
-        return F.when(s["block"].isNotNull(), s).when(broken(p, s["peak"]), found).otherwise(on)
-
-    return F.aggregate(F.filter(parts, lambda p: (p["block"] >= low) & (p["block"] <= high)), start, step)
+def first_block(parts: str, low: str, high: str, peak: str, broken: str) -> str:
+    """(peak, block): the first block from ``low`` to ``high`` for which ``broken``, a condition on the part p and the peak s.peak before it, holds; null if there is none."""
+    return f"""aggregate(filter({parts}, p -> p.block >= {low} and p.block <= {high}), struct(cast({peak} as double) as peak, cast(null as bigint) as block),
+      (s, p) -> case when s.block is not null then s when {broken} then struct(s.peak as peak, p.block as block) else struct(greatest(s.peak, cast(p.hi as double)) as peak, cast(null as bigint) as block) end)"""

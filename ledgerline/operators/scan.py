@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import values as V
-from .indicators import PARAMS, indicators, subscores
+from .indicators import PARAMS, indicators, lookback, subscores
 from .timeline import asof
 
 REASONS = ("no_data", "volume", "market_cap", "rsi", "earnings", "low_score")
@@ -42,8 +42,7 @@ def scan(
     """
     p = PARAMS | params
     seen = bars.select("ticker").distinct()
-    x = subscores(indicators(bars, True, **params))
-    x = x.withColumns({"n_bars": F.count("*").over(Window.partitionBy("ticker")), "back_": F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))}).where("back_ = 1").drop("back_")
+    x = _last_bars(bars, p)
     if "sector" in x.columns:
         x = x.drop("sector")
     x = seen.join(x, "ticker", "left")
@@ -70,6 +69,19 @@ def scan(
     return x.drop("near_")
 
 
+def _last_bars(bars: DataFrame, p: Mapping[str, float]) -> DataFrame:
+    """The last bar of each ticker with its indicators, sub-scores, ATR percentile and ``n_bars``, from as many bars as these depend on."""
+    n_bars = bars.where("close is not null").groupBy("ticker").agg(F.count("*").alias("n_bars"))
+    reach = max(p["atr_lookback"] + int(400 * max(1, p["rsi_period"] / 14, p["atr_period"] / 14)), p["mr_period"])  # what is older counts less than 1e-12 in a mean
+    x = indicators(lookback(bars.where("close is not null"), reach), False, **p)
+    back, all_ = Window.partitionBy("ticker").orderBy(F.desc("date")), Window.partitionBy("ticker")
+    x = x.withColumns({"back_": F.row_number().over(back), "now_": F.first("atr").over(back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    near = F.col("back_") <= p["atr_lookback"]
+    share = F.count(F.when(near & (F.col("atr") <= F.col("now_")), 1)).over(all_) / F.count(F.when(near, F.col("atr"))).over(all_) * 100
+    x = x.withColumn("atr_percentile", F.when(F.col("atr").isNotNull(), share)).where("back_ = 1").drop("back_", "now_")
+    return subscores(x.withColumn("atr_regime", S.atr_regime(F.col("atr_percentile")))).join(n_bars, "ticker")
+
+
 def filter_summary(scanned: DataFrame) -> DataFrame:
     """How many tickers each gate rejects, in its order, and how many pass."""
     return scanned.groupBy("reason").agg(F.count("*").alias("n"))

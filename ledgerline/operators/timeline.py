@@ -83,6 +83,17 @@ def review_dates(days: DataFrame, start=None, end=None, frequency: str = "monthl
     return own.groupBy(F.date_trunc(unit, "date").alias("period_")).agg(F.min("date").alias("review_date")).select("review_date")
 
 
+def config_on(days: DataFrame, labels: DataFrame, configs: DataFrame, on: str = "review_date", fallback: str = "neutral") -> DataFrame:
+    """``days`` with the configuration in force: that of the last label (date, regime) at or before the day, the fallback's before the first or for a label without one.
+
+    configs(name, ...) is a row for each regime; its columns are added.
+    """
+    x = asof(days, labels.where("regime is not null").select(F.col("date").alias(on), F.col("regime").alias("name")), [], on, ["name"])
+    known = configs.select("name").withColumn("known_", F.lit(True))
+    x = x.join(F.broadcast(known), "name", "left").withColumn("name", F.when(F.col("known_"), F.col("name")).otherwise(fallback)).drop("known_")  # a row for each regime
+    return x.join(F.broadcast(configs), "name", "left").select(*days.columns, *configs.columns)
+
+
 def weekday_review_dates(days: DataFrame, weekday: int = 1) -> DataFrame:
     """review_date: the first trading day at or after each such weekday (Monday is 0) of the range."""
     own = days.select("date").distinct()

@@ -335,11 +335,11 @@ def params_hashes(spark, d):
     return parsed.where((back["top"] == F.col("top")) & (back["label"] == F.col("label"))).select("i", S.params_hash("hold", "label", "top").alias("params_hash"), "js")
 
 
-@query(f"{_SNAP} select date, count(*) as n, round(avg(0.4 * s_rsi + 0.2182 * s_bb + 0.1636 * s_mr + 0.1091 * s_stochrsi + 0.1091 * s_williams), 6) as mean from snap group by 1")
+@query(f"{_SNAP} select date, count(*) as n, round(avg(0.4 * s_rsi + 0.2182 * s_bb + 0.1636 * s_mr + 0.1091 * s_stochrsi + 0.1091 * s_williams), 8) as mean from snap group by 1")
 def reweighted_scores(spark, d):
     """One weight is set, the others scale; the snapshots are scored by the new weights."""
     own = S.adjust_weight({k: w for k, w in S.V.WEIGHTS.items() if k != "s_pcr"}, "s_rsi", 0.4)
-    return _snapshots(spark, d).groupBy("date").agg(F.count("*").alias("n"), F.round(F.avg(sum((w * F.col(k) for k, w in own.items()), F.lit(0.0))), 6).alias("mean"))
+    return _snapshots(spark, d).groupBy("date").agg(F.count("*").alias("n"), F.round(F.avg(sum((w * F.col(k) for k, w in own.items()), F.lit(0.0))), 8).alias("mean"))
 
 
 _Z = "(1.959963984540054 + 0.8416212335729143)"
@@ -489,7 +489,7 @@ snap as (select a.ticker, rd as date, p.sector, (0.3 * s_rsi + 0.2 * s_bb + 0.15
   where i >= 256 and close > 0 and avg_volume >= 20 and rsi <= 50 and atr > 0 and pct_b is not null and stoch_k is not null and williams_r is not null),
 ordered as (select *, row_number() over (partition by date order by round(c, 6) desc, ticker) as k from snap), ag as (select a, list(b) as against from (select a, b from pc union all select b, a from pc) group by 1),
 o as (select ordered.*, coalesce(against, []) as against from ordered left join ag on ag.a = ordered.ticker), g as (with recursive g as (select date, 0 as k, cast([] as varchar[]) as names, cast([] as varchar[]) as sectors from (select distinct date from o)
-  union all select g.date, g.k + 1, case when fits then list_append(names, o.ticker) else names end, case when fits then list_append(sectors, o.sector) else sectors end from (select g.*, o.ticker, o.sector, len(names) < 5 and len(list_filter(sectors, s -> s = o.sector)) < 2 and not list_has_any(names, o.against) as fits from g join o on o.date = g.date and o.k = g.k + 1) g join o on o.date = g.date and o.k = g.k + 1) select * from g),
+  union all select g.date, g.k + 1, case when fits then list_append(names, o.ticker) else names end, case when fits then list_append(sectors, o.sector) else sectors end from (select g.*, o.ticker, o.sector, len(names) < 5 and len(list_filter(sectors, lambda s: s = o.sector)) < 2 and not list_has_any(names, o.against) as fits from g join o on o.date = g.date and o.k = g.k + 1) g join o on o.date = g.date and o.k = g.k + 1) select * from g),
 last as (select date, names from g qualify row_number() over (partition by date order by k desc) = 1)
 select date, cast(u.place as integer) as place, names[u.place] as ticker from last, (select unnest(range(1, 6)) as place) u where u.place <= len(names)""")
 def greedy_choice(spark, d):
@@ -693,7 +693,7 @@ select ticker, entry_date, date as exit_date, reason as exit_reason, round(case
 def _entries(spark, d):
     x = I.indicators(Tables(spark, d).region())
     own = x.where("i >= 257 and rsi <= 50 and atr > 0").select("ticker", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"), F.round("atr", 2).alias("atr"), F.round(F.col("close") + 4 * F.col("atr"), 2).alias("target_2"))
-    return own, x.select("ticker", "date", "i", "open", "high", "low", "close")
+    return own, I.numbered(Tables(spark, d).region())
 
 
 @query(_three_phase("stop"))
@@ -708,6 +708,37 @@ def three_phase_gap_fills(spark, d):
     return X.three_phase(own, bars, 40, 60, realistic_fills=True).where("exit_reason is not null").select("ticker", "entry_date", "exit_date", "exit_reason", F.round("exit_price", 1).alias("exit_price"))
 
 
+_SWEEP = (_three_phase("stop").replace("from e join panel b", "from (select * from e, (select unnest([1.5, 2.5, 3.5]) as trail) ct, (select unnest([0.5, 1.0]) as trigger) cg) e join panel b").replace("partition by e.ticker, e.ei order", "partition by e.ticker, e.ei, trail, trigger order")
+    .replace("entry_price + atr as won", "entry_price + trigger * atr as won").replace("peak >= entry_price + atr then greatest(peak - 2.5 * atr", "peak >= entry_price + trigger * atr then greatest(peak - trail * atr").replace("partition by ticker, ei order", "partition by ticker, ei, trail, trigger order"))
+_SWEEP = _SWEEP[: _SWEEP.rindex("select ticker, entry_date, date as exit_date")]
+
+
+@query(f"""{_SWEEP}, z as (select trail, trigger, reason, (case when reason like 'stop%' then round(stop, 2) when reason = 'target_2' then target_2 else close end - entry_price) / entry_price * 100 as pnl from f where k = 1)
+select cast(trigger as double) as trigger, {', '.join(f"round(avg(pnl) filter (where trail = {t}), 3) as trail_{str(t).replace('.', '_')}" for t in (1.5, 2.5, 3.5))}, count(*) as n, count(*) filter (where reason = 'stop_trail') as n_trail from z group by 1""")
+def exit_sweep(spark, d):
+    """Exits of the same entries under a grid of trails and triggers: mean profit by cell."""
+    own, bars = _entries(spark, d)
+    grid = F.array(*[F.struct(F.lit(t).alias("trail"), F.lit(g).alias("trigger")) for t in (1.5, 2.5, 3.5) for g in (0.5, 1.0)])
+    cells = X.three_phase(own.withColumn("c_", F.explode(grid)).select(*own.columns, "c_.*"), bars, 40, 60, trail=F.col("trail"), trigger=F.col("trigger")).where("exit_reason is not null")
+    cells = cells.withColumn("trail", F.concat(F.lit("trail_"), F.translate(F.col("trail").cast("string"), ".", "_")))
+    cells = cells.withColumn("pnl", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * 100)
+    means = M.pivot_mean(cells, "trail", "trigger", "pnl", ["trail_1_5", "trail_2_5", "trail_3_5"], 3)
+    return means.join(cells.groupBy("trigger").agg(F.count("*").alias("n"), F.count_if(F.col("exit_reason") == "stop_trail").alias("n_trail")), "trigger")
+
+
+_CONFIG_ROWS = (("bull", 6.0, 5, 1.5, 4.0, 365, 0.0), ("neutral", 6.5, 4, 1.5, 4.0, 200, 0.1), ("bear", 7.5, 2, 1.0, 3.0, 90, 0.3))
+
+
+@query(f"""with {REGION}, {O_COMPONENTS}, cf as (select * from (values {', '.join(map(str, _CONFIG_ROWS))}) t(name, signal_threshold, top_n, stop_atr_mult, target_atr_mult, max_hold_days, cash_pct)), rv as (select min(date) as review_date from bars group by date_trunc('month', date)),
+l as (select rv.review_date, coalesce((select regime from components c where c.date <= rv.review_date order by c.date desc limit 1), 'neutral') as name from rv)
+select review_date, name, cast(signal_threshold as double) as signal_threshold, top_n, cast(stop_atr_mult as double) as stop_atr_mult, cast(target_atr_mult as double) as target_atr_mult, max_hold_days, cast(cash_pct as double) as cash_pct from l join cf using (name)""")
+def regime_configs(spark, d):
+    """The configuration in force at each monthly review."""
+    t = Tables(spark, d)
+    configs = spark.createDataFrame(_CONFIG_ROWS, "name string, signal_threshold double, top_n int, stop_atr_mult double, target_atr_mult double, max_hold_days int, cash_pct double")
+    return T.config_on(T.review_dates(t.region().select("date").distinct()), t.components(), configs)
+
+
 def _call(s: str) -> str:
     d1 = f"((ln({s} / e) + (0.04 + 0.38 * 0.38 / 2) * t) / (0.38 * sqrt(t)))"
     return f"({s} * {_phi(d1)} - e * exp(-0.04 * t) * {_phi(f'({d1} - 0.38 * sqrt(t))')})"

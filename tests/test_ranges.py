@@ -75,7 +75,7 @@ def test_extremes_of_blocks(walks):
     bars = {}
     for r in I.numbered(walks).collect():
         bars.setdefault(r.ticker, {})[r.i] = r
-    rows = passage.extremes(I.numbered(walks), 1, size=8, width=4).collect()
+    rows = passage.extremes(passage.blocks(I.numbered(walks), ["date", "high", "low"], size=8), 1, width=4).collect()
     assert sum(len(r.parts_) for r in rows) > 2 * 3 * 900 // 8 - 40
     for r in rows:
         for p in r.parts_:
@@ -93,7 +93,8 @@ def test_first_passage_equals_every_bar(spark, walks, how):
     p = {"max_hold": 365, "trail": 2.5, "guard_days": 15, "hard_floor": 3.0, "trigger": 1.0, "realistic_fills": False} | {k: v for k, v in how.items() if k != "horizon"}
     places = numbered.select("ticker", F.col("date").alias("entry_date"), F.col("i").alias("at_"))
     bars = numbered.select("ticker", "date", "i", "open", "high", "low", "close")
-    want = X._every_bar(own.join(places, ["ticker", "entry_date"]), bars, X._Phases(**p), how.get("horizon", 300)).where("hit_ is not null").select(*own.columns, "hit_.*")
+    rules = X._Phases(**p)
+    want = X._every_bar(rules.levels(own).join(places, ["ticker", "entry_date"]), bars, rules, how.get("horizon", 300)).where("hit_ is not null").select(*own.columns, "hit_.*")
     got = X.three_phase(own, numbered, **how)
     assert got.count() == own.count()
     rows = sorted(map(str, want.collect()))
