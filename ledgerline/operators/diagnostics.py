@@ -50,10 +50,11 @@ def saturation_verdict(distribution_: DataFrame) -> DataFrame:
 
 def correlation_audit(panel: DataFrame, method: str = "pearson", threshold: float = 0.60, columns: Sequence[str] = SUBSCORES) -> DataFrame:
     """a, b, corr, flagged for each pair of sub-scores."""
-    x, names = panel.select(*columns), {c: c for c in columns}
+    base = x = panel.select(*columns)
+    names = {c: c for c in columns}
     if method == "spearman":
         for c in columns:
-            x = average_ranks(x, c, f"r_{c}")
+            x = average_ranks(x, c, f"r_{c}", of=base)
         names = {c: f"r_{c}" for c in columns}
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
     row = x.agg(*[F.corr(names[a], names[b]).alias(f"{a}|{b}") for a, b in pairs])

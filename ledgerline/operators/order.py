@@ -62,9 +62,9 @@ def quantiles(df: DataFrame, column: str, shares: Mapping[str, float], by: Seque
     return found.groupBy(*by).agg(*[value(k).alias(k) for k in shares])
 
 
-def average_ranks(df: DataFrame, column: str, out: str, ranges: int | None = None) -> DataFrame:
-    """``df`` with ranks from 1, ties at their mean; null stays null."""
-    ranks = counted(df, column, ranges=ranges).select("v_", (F.col("before_") + (F.col("c_") + 1) / 2).alias(out))
+def average_ranks(df: DataFrame, column: str, out: str, ranges: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """``df`` with ranks from 1, ties at their mean; null stays null. ``of``: the rows the ranks are among, where ``df`` is these with more columns."""
+    ranks = counted(df if of is None else of, column, ranges=ranges).select("v_", (F.col("before_") + (F.col("c_") + 1) / 2).alias(out))
     return df.join(ranks, F.col(column).cast("double") == F.col("v_"), "left").drop("v_")
 
 
