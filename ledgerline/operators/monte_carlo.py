@@ -1,69 +1,178 @@
 """Bootstrap of trade sequences: every simulation draws as many trades as there are, with replacement or as a new order.
 
 A simulation compounds a share of 1 / TOP_N of the equity in each drawn trade, in turn.
-Draws come from a generator seeded by (SEED, simulation), so a result does not depend
-on how simulations are dealt out. Trades are numbered by their keys; their growths, one
-double each, go to every executor, and a path is walked in blocks of BLOCK draws.
+Trades are numbered by their return, equal returns next to each other, so the table of
+distinct returns with counts and first numbers stands for all trades. The number drawn at
+a position follows from (seed, simulation, position) alone: a generator for each part of
+BLOCK positions, or a keyed permutation of the numbers. So parts of one path are walked in
+tasks of their own, in any order and again after a loss. A part leaves its total, highest
+and lowest level and its own drawdown; these merge in order.
+
+Up to HOLD distinct returns go to every task. Beyond, drawn numbers go to the block of
+numbers they fall into and come back with returns: no task holds more than GROUP parts of
+BLOCK draws. Both give the same rows. Neither trades nor draws pass the driver.
 
 Defined results: growth is also given as its logarithm, as total_return is beyond a
 double (infinite) on long paths; a trade that loses the whole equity or more ends the
-path at a loss of 100 %; without trades there are no simulations; a null return is
-no trade.
+path at a loss of 100 %; without trades there are no simulations; a null, undefined or
+infinite return is no trade; equal returns are equal trades.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+from .ranges import FIRST
+
 SIMULATIONS, TOP_N, SEED = 2000, 5, 42
-BLOCK = 1 << 16  # draws of a path that are in memory at once
-TASKS = 48  # parts that the simulations are dealt to, at most
-
-
-def draws(simulation: int, n: int, seed: int = SEED, method: str = "bootstrap") -> Iterator[np.ndarray]:
-    """The numbers of n drawn trades of n, in blocks."""
-    r = np.random.default_rng([seed, simulation])
-    if method == "shuffle":
-        yield from np.split(order := r.permutation(n), range(BLOCK, len(order), BLOCK))
-        return
-    for at in range(0, n, BLOCK):
-        yield r.integers(0, n, min(BLOCK, n - at))
-
-
-def walk(growth: np.ndarray, simulation: int, seed: int = SEED, method: str = "bootstrap") -> tuple[float, float]:
-    """log of final over first equity, and the deepest log of equity over its peak."""
-    level = top = deepest = 0.0
-    for j in draws(simulation, len(growth), seed, method):
-        path = level + np.cumsum(growth[j])
-        peak = np.maximum(np.maximum.accumulate(path), top)
-        with np.errstate(invalid="ignore"):
-            deepest = min(deepest, float((path - peak).min()))
-        level, top = float(path[-1]), float(peak[-1])
-    return level, deepest
-
-
-def simulate(trades: DataFrame, keys: list[str], simulations: int = SIMULATIONS, seed: int = SEED, method: str = "bootstrap") -> DataFrame:
-    """simulation, n_draws, log_growth, total_return and max_drawdown (percent) from ``trades`` (pnl_pct and what orders them)."""
-    if method not in ("bootstrap", "shuffle"):
-        raise ValueError(f"no such method: {method}")
-    spark = trades.sparkSession
-    ordered = trades.where("pnl_pct is not null").orderBy(*keys).select(F.col("pnl_pct").cast("double"))
-    pnl = ordered.toArrow().column(0).to_numpy()
+BLOCK = 1 << 16  # positions of a part, and trade numbers of a block
+GROUP = 32  # simulations whose draws from one block meet in one task
+HOLD = 1 << 22  # distinct returns that every task may hold (24 bytes each)
+TASKS = 48  # parts that the work is dealt to, at least
+ROUNDS = 6  # of the permutation
+COLUMNS = ["simulation", "part", "total", "high", "low", "deepest"]
+PARTS = "simulation long, part long, total double, high double, low double, deepest double"
+
+
+def permuted(places: np.ndarray, n: int, key: list[int]) -> np.ndarray:
+    """Where a keyed permutation of 0 to n - 1 takes the places: a Feistel network over the next power of four, walked on until it is below n."""
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.random.default_rng(key).integers(0, 1 << 64, ROUNDS, np.uint64)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        a, b = x >> half, x & mask
+        for k in keys:
+            z = (b ^ k) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+            a, b = b, a ^ ((z >> np.uint64(32)) & mask)
+        return a << half | b
+
+    x = once(places.astype(np.uint64))
+    while (out := x >= n).any():
+        x[out] = once(x[out])
+    return x.astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Draws:
+    """What is drawn: numbers below n, for parts of ``block`` positions."""
+
+    n: int
+    seed: int = SEED
+    method: str = "bootstrap"
+    block: int = BLOCK
+
+    @property
+    def parts(self) -> int:
+        return -(-self.n // self.block)
+
+    def numbers(self, simulation: int, part: int) -> np.ndarray:
+        """The numbers of the trades at the positions of a part."""
+        first = part * self.block
+        size = min(self.block, self.n - first)
+        if self.method == "shuffle":
+            return permuted(np.arange(first, first + size), self.n, [self.seed, simulation])
+        return np.random.default_rng([self.seed, simulation, part]).integers(0, self.n, size)
+
+    def path(self, simulation: int) -> np.ndarray:
+        """The numbers of a whole path."""
+        return np.concatenate([self.numbers(simulation, part) for part in range(self.parts)])
+
+
+def growth(pnl_pct: np.ndarray) -> np.ndarray:
+    """log of equity after over before a trade."""
     with np.errstate(divide="ignore"):
-        growth = np.log(np.maximum(1 + pnl / 100 / TOP_N, 0))
-    sent = spark.sparkContext.broadcast(growth)
+        return np.log(np.maximum(1 + pnl_pct / 100 / TOP_N, 0))
+
+
+def walk(steps: np.ndarray) -> tuple[float, float, float, float]:
+    """total, high, low and deepest: the last, highest (at least the start) and lowest level of a part, and its deepest fall below a peak of its own."""
+    path = np.cumsum(steps)
+    peak = np.maximum(np.maximum.accumulate(path), 0)
+    return float(path[-1]), float(peak[-1]), float(path.min()), float((path - peak).min())
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """simulation, level, deepest: the parts of a path in order, a row each."""
+    w = Window.partitionBy("simulation").orderBy("part").rowsBetween(FIRST, -1)
+    x = parts.withColumn("start", F.coalesce(F.sum("total").over(w), F.lit(0.0)))
+    x = x.withColumn("peak", F.greatest(F.max(F.col("start") + F.col("high")).over(w), F.lit(0.0)))
+    x = x.withColumn("deepest", F.least("deepest", F.col("start") + F.col("low") - F.col("peak")))
+    return x.groupBy("simulation").agg(F.max_by(F.col("start") + F.col("total"), "part").alias("level"), F.min("deepest").alias("deepest"))
+
+
+def _held(values: DataFrame, drawn: Draws, simulations: int, tasks: int) -> DataFrame:
+    """The parts, every task with all distinct returns."""
+    items = simulations * drawn.parts
+    tasks = min(tasks, items)
+    sent = values.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, "task")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [walk(sent.value, int(k), seed, method) for k in b["id"]]
-            level, deepest = np.array(found).reshape(-1, 2).T
-            with np.errstate(over="ignore"):
-                yield pd.DataFrame({"simulation": b["id"], "n_draws": len(sent.value), "log_growth": level, "total_return": np.expm1(level) * 100, "max_drawdown": np.expm1(deepest) * 100})
-
-    ids = spark.range(0, simulations if len(growth) else 0, 1, min(TASKS, simulations))
-    return ids.mapInPandas(run, "simulation long, n_draws long, log_growth double, total_return double, max_drawdown double")
+        if not (frames := list(batches)):
+            return
+        x = pd.concat(frames).sort_values("before_")
+        task, steps, ends = int(x["task"].iloc[0]), growth(x["v_"].to_numpy()), (x["before_"] + x["c_"]).to_numpy()
+        each = np.repeat(steps, x["c_"]) if drawn.n <= HOLD else None
+        rows = []
+        for item in range(task * items // tasks, (task + 1) * items // tasks):
+            simulation, part = divmod(item, drawn.parts)
+            at = drawn.numbers(simulation, part)
+            rows.append((simulation, part, *walk(each[at] if each is not None else steps[np.searchsorted(ends, at, "right")])))
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+    return sent.mapInPandas(run, PARTS)
+
+
+def _met(values: DataFrame, drawn: Draws, simulations: int, tasks: int) -> DataFrame:
+    """The parts, draws sent to the blocks of numbers and back."""
+    items, groups = simulations * drawn.parts, -(-simulations // GROUP)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for simulation, part in (divmod(int(i), drawn.parts) for b in batches for i in b["id"]):
+            at = drawn.numbers(simulation, part)
+            places = np.argsort(at // drawn.block, kind="stable")
+            at = at[places]
+            cut = np.flatnonzero(np.diff(at // drawn.block)) + 1
+            yield pd.DataFrame({"block": at[np.r_[0, cut]] // drawn.block, "set": simulation // GROUP, "simulation": simulation, "part": part, "places": np.split(places.astype(np.int32), cut), "at": np.split(at, cut)})
+
+    def look_up(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        there = there.sort_values("before_")
+        steps, starts = growth(there["v_"].to_numpy()), there["before_"].to_numpy()
+        found = [steps[np.searchsorted(starts, at, "right") - 1] for at in asked["at"]]
+        return asked[["simulation", "part", "places"]].assign(steps=pd.Series(found, asked.index, dtype=object))
+
+    def put_together(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        path = np.empty(sum(map(len, x["places"])))
+        for places, steps in zip(x["places"], x["steps"]):
+            path[places] = steps
+        return pd.DataFrame([(*key, *walk(path))], columns=COLUMNS)
+
+    asked = values.sparkSession.range(0, items, 1, min(tasks, items)).mapInPandas(draw, "block long, set long, simulation long, part long, places array<int>, at array<long>")
+    blocks = F.sequence(F.floor(F.col("before_") / drawn.block), F.floor((F.col("before_") + F.col("c_") - 1) / drawn.block))
+    there = values.select(F.explode(blocks).alias("block"), "v_", "before_").withColumn("set", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    found = asked.groupBy("block", "set").cogroup(there.groupBy("block", "set")).applyInPandas(look_up, "simulation long, part long, places array<int>, steps array<double>")
+    return found.groupBy("simulation", "part").applyInPandas(put_together, PARTS)
+
+
+def simulate(trades: DataFrame, simulations: int = SIMULATIONS, seed: int = SEED, method: str = "bootstrap", hold: int = HOLD, block: int = BLOCK) -> DataFrame:
+    """simulation, n_draws, log_growth, total_return and max_drawdown (percent) from ``trades`` (pnl_pct)."""
+    if method not in ("bootstrap", "shuffle"):
+        raise ValueError(f"no such method: {method}")
+    spark, pnl = trades.sparkSession, F.col("pnl_pct").cast("double")
+    own = trades.select(pnl.alias("pnl_pct")).where(~F.isnan("pnl_pct") & (F.abs("pnl_pct") < float("inf")))
+    values = order.counted(own, "pnl_pct").select("v_", F.col("c_").cast("long").alias("c_"), F.col("before_").cast("long").alias("before_"))
+    size = values.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c_"), F.lit(0)).alias("n")).first()
+    drawn = Draws(size["n"], seed, method, block)
+    if not drawn.n or not simulations:
+        return spark.createDataFrame([], "simulation long, n_draws long, log_growth double, total_return double, max_drawdown double")
+    form = _held if size["distinct"] <= hold else _met
+    parts = form(values, drawn, simulations, max(TASKS, 3 * spark.sparkContext.defaultParallelism))
+    return merged(parts).select("simulation", F.lit(drawn.n).cast("long").alias("n_draws"), F.col("level").alias("log_growth"), (F.expm1("level") * 100).alias("total_return"), (F.expm1("deepest") * 100).alias("max_drawdown"))

@@ -1165,7 +1165,7 @@ def monte_carlo_runs(spark, d):
     known = B.summary(results, [_BASE]).first()
     out = None
     for method in ("bootstrap", "shuffle"):
-        paths = monte_carlo.simulate(B.trades(results), ["entry_date", "ticker"], method=method)
+        paths = monte_carlo.simulate(B.trades(results), method=method)
         x = D.monte_carlo_summary(paths, known["total_return"], known["max_drawdown"]).withColumn("method", F.lit(method))
         out = x if out is None else out.unionByName(x)
     return out.withColumn("verdict", D.luck_verdict(F.col("known_return_percentile")))

@@ -52,9 +52,8 @@ def sql(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bootstrap with as many draws as there are trades: too many rows for SQL, so it has no oracle."""
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pnl"]
-    text = _doubles(f"{ctes(trades(_Views()))} select {', '.join(keys)}, pnl_pct from trades")
-    return monte_carlo.simulate(sql(text, spark, sf_dir), keys)
+    text = _doubles(f"{ctes(trades(_Views()))} select pnl_pct from trades")
+    return monte_carlo.simulate(sql(text, spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

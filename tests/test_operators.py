@@ -483,11 +483,11 @@ def test_streams(spark, tmp_path):
 
 def test_monte_carlo_shuffles(spark):
     pnl = [float(x) for x in np.random.default_rng(3).normal(0, 8, 60)]
-    got = monte_carlo.simulate(spark.createDataFrame(list(enumerate(pnl)), "k int, pnl_pct double"), ["k"], 12, method="shuffle").toPandas()
-    growth = np.array([1 + x / 500 for x in pnl])
+    got = monte_carlo.simulate(spark.createDataFrame(list(enumerate(pnl)), "k int, pnl_pct double"), 12, method="shuffle").toPandas()
+    growth = np.array([1 + x / 500 for x in sorted(pnl)])
     assert np.allclose(got.total_return, (growth.prod() - 1) * 100) and got.max_drawdown.nunique() > 6
     for k, deepest in zip(got.simulation, got.max_drawdown):
-        path = np.r_[1, np.cumprod(growth[np.concatenate(list(monte_carlo.draws(int(k), 60, method="shuffle")))])]
+        path = np.r_[1, np.cumprod(growth[monte_carlo.Draws(60, method="shuffle").path(int(k))])]
         assert close(deepest, ((path - np.maximum.accumulate(path)) / np.maximum.accumulate(path)).min() * 100)
     with pytest.raises(ValueError, match="method"):
-        monte_carlo.simulate(spark.createDataFrame([(1, 1.0)], "k int, pnl_pct double"), ["k"], method="other")
+        monte_carlo.simulate(spark.createDataFrame([(1, 1.0)], "k int, pnl_pct double"), method="other")

@@ -54,27 +54,47 @@ def test_rsi_against_recursion(spark, oracle):
         assert math.isclose(rsi[b.ticker, b.date], want, abs_tol=1e-3)
 
 
-def test_monte_carlo_draws_every_trade_count(spark, oracle, monkeypatch):
-    pnl = [3.0, -2.5, 40.0, -60.0, 1.0, -8.0, 12.0] * 30
-    monkeypatch.setattr(monte_carlo, "BLOCK", 64)  # several blocks for a path, here and not in the workers' copy
-    trades = spark.createDataFrame([(i, p) for i, p in enumerate(pnl)], "k long, pnl_pct double").repartition(3)
-    for r in monte_carlo.simulate(trades, ["k"], 9).collect():
-        capital = peak = 10000.0
-        worst, n = 0.0, 0
-        for j in (j for block in monte_carlo.draws(r.simulation, len(pnl)) for j in block):
-            capital += capital / 5 * pnl[j] / 100
-            peak, n = max(peak, capital), n + 1
+@pytest.mark.parametrize("method", ["bootstrap", "shuffle"])
+def test_monte_carlo_equals_walked_paths(spark, method):
+    pnl = [3.0, -2.5, 40.0, -60.0, 1.0, -8.0, 12.0] * 30 + [k / 7 for k in range(-40, 40)]
+    trades = spark.createDataFrame([(p,) for p in [*pnl, None, math.nan, math.inf]], "pnl_pct double").repartition(3)
+    held = monte_carlo.simulate(trades, 40, method=method, block=64).orderBy("simulation").collect()  # several parts to a path
+    assert held == monte_carlo.simulate(trades, 40, method=method, block=64, hold=0).orderBy("simulation").collect()
+    drawn, known = monte_carlo.Draws(len(pnl), method=method, block=64), sorted(pnl)
+    assert len(held) == 40 and len({r.max_drawdown for r in held}) > 20
+    for r in held:
+        capital, peak, worst = 10000.0, 10000.0, 0.0
+        for j in (path := drawn.path(r.simulation)):
+            capital += capital / 5 * known[j] / 100
+            peak = max(peak, capital)
             worst = min(worst, (capital - peak) / peak * 100)
-        assert n == r.n_draws == len(pnl)
+        assert r.n_draws == len(path) == len(pnl) and (method == "bootstrap" or sorted(path) == list(range(len(pnl))))
         assert math.isclose(r.total_return, (capital / 10000 - 1) * 100, rel_tol=1e-9) and math.isclose(r.max_drawdown, worst, rel_tol=1e-9)
-        split = monte_carlo.walk(np.log(1 + np.array(pnl) / 500), r.simulation)
-        assert math.isclose(split[0], r.log_growth, rel_tol=1e-9)
-    assert monte_carlo.simulate(trades.where("false"), ["k"], 9).count() == 0
+
+
+def test_monte_carlo_edges(spark, oracle):
+    of = lambda *pnl: spark.createDataFrame([(p,) for p in pnl], "pnl_pct double")
+    assert monte_carlo.simulate(of(None), 9).count() == 0 and monte_carlo.simulate(of(1.0), 0).count() == 0
+    for hold in (0, 9):
+        lost = monte_carlo.simulate(of(-700.0, -700.0, -500.0), 3, hold=hold, block=1).collect()
+        assert {(r.total_return, r.max_drawdown, r.n_draws) for r in lost} == {(-100.0, -100.0, 3)}
+        one = monte_carlo.simulate(of(10.0), 2, 7, "shuffle", hold=hold).collect()
+        assert all(math.isclose(r.total_return, 2.0) and r.max_drawdown == 0 for r in one)
     rows = plans.queries()["monte_carlo_all_trades"](spark, DIR).collect()
     n = oracle.execute("select count(*) from lineitem").fetchone()[0]
     assert len(rows) == 2000 and {r.n_draws for r in rows} == {n}
 
 
+def test_permutations_are_even():
+    for n in (1, 2, 3, 60, 64, 65, 1000):
+        assert sorted(monte_carlo.permuted(np.arange(n), n, [1, n])) == list(range(n))
+    at = np.array([monte_carlo.permuted(np.arange(12), 12, [5, k]) for k in range(6000)])
+    for place in range(12):  # 500 each; six deviations
+        assert abs(np.bincount(at[:, place], minlength=12) - 500).max() < 6 * 500**0.5
+    pairs = np.bincount(at[:, 0] * 12 + at[:, 1], minlength=144).reshape(12, 12)
+    assert (pairs[~np.eye(12, dtype=bool)] > 15).all() and (pairs[~np.eye(12, dtype=bool)] < 90).all()
+
+
 def test_newey_west_errors(spark, oracle):
     months = {}
     for r in plans.sql(f"{ctes(regional(plans._Views()))} select * from bars", spark, DIR).orderBy("ticker", "date").collect():
