@@ -20,16 +20,16 @@ infinite return is no trade; equal returns are equal trades.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import order
-from .ranges import FIRST
+from .ranges import FIRST, cuts, default_ranges, with_range
 
 SIMULATIONS, TOP_N, SEED = 2000, 5, 42
 BLOCK = 1 << 16  # positions of a part, and trade numbers of a block
@@ -101,12 +101,13 @@ def walk(steps: np.ndarray) -> tuple[float, float, float, float]:
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """simulation, level, deepest: the parts of a path in order, a row each."""
+    """simulation, level, deepest (and n_draws if parts have n): the parts of a path in order, a row each."""
     w = Window.partitionBy("simulation").orderBy("part").rowsBetween(FIRST, -1)
     x = parts.withColumn("start", F.coalesce(F.sum("total").over(w), F.lit(0.0)))
     x = x.withColumn("peak", F.greatest(F.max(F.col("start") + F.col("high")).over(w), F.lit(0.0)))
     x = x.withColumn("deepest", F.least("deepest", F.col("start") + F.col("low") - F.col("peak")))
-    return x.groupBy("simulation").agg(F.max_by(F.col("start") + F.col("total"), "part").alias("level"), F.min("deepest").alias("deepest"))
+    counts = [F.sum("n").alias("n_draws")] if "n" in parts.columns else []
+    return x.groupBy("simulation").agg(F.max_by(F.col("start") + F.col("total"), "part").alias("level"), F.min("deepest").alias("deepest"), *counts)
 
 
 def _held(values: DataFrame, drawn: Draws, simulations: int, tasks: int) -> DataFrame:
@@ -162,17 +163,54 @@ def _met(values: DataFrame, drawn: Draws, simulations: int, tasks: int) -> DataF
     return found.groupBy("simulation", "part").applyInPandas(put_together, PARTS)
 
 
+def _own(trades: DataFrame, *more: str) -> DataFrame:
+    """Rows that are trades."""
+    pnl = F.col("pnl_pct").cast("double")
+    return trades.where(~F.isnan(pnl) & (F.abs(pnl) < float("inf"))).select(pnl.alias("pnl_pct"), *more)
+
+
+def _percent(paths: DataFrame, *more: str | Column) -> DataFrame:
+    return paths.select("simulation", *more, F.col("level").alias("log_growth"), (F.expm1("level") * 100).alias("total_return"), (F.expm1("deepest") * 100).alias("max_drawdown"))
+
+
 def simulate(trades: DataFrame, simulations: int = SIMULATIONS, seed: int = SEED, method: str = "bootstrap", hold: int = HOLD, block: int = BLOCK) -> DataFrame:
     """simulation, n_draws, log_growth, total_return and max_drawdown (percent) from ``trades`` (pnl_pct)."""
     if method not in ("bootstrap", "shuffle"):
         raise ValueError(f"no such method: {method}")
-    spark, pnl = trades.sparkSession, F.col("pnl_pct").cast("double")
-    own = trades.select(pnl.alias("pnl_pct")).where(~F.isnan("pnl_pct") & (F.abs("pnl_pct") < float("inf")))
-    values = order.counted(own, "pnl_pct").select("v_", F.col("c_").cast("long").alias("c_"), F.col("before_").cast("long").alias("before_"))
+    spark = trades.sparkSession
+    values = order.counted(_own(trades), "pnl_pct").select("v_", F.col("c_").cast("long").alias("c_"), F.col("before_").cast("long").alias("before_"))
     size = values.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c_"), F.lit(0)).alias("n")).first()
     drawn = Draws(size["n"], seed, method, block)
     if not drawn.n or not simulations:
         return spark.createDataFrame([], "simulation long, n_draws long, log_growth double, total_return double, max_drawdown double")
     form = _held if size["distinct"] <= hold else _met
     parts = form(values, drawn, simulations, max(TASKS, 3 * spark.sparkContext.defaultParallelism))
-    return merged(parts).select("simulation", F.lit(drawn.n).cast("long").alias("n_draws"), F.col("level").alias("log_growth"), (F.expm1("level") * 100).alias("total_return"), (F.expm1("deepest") * 100).alias("max_drawdown"))
+    return _percent(merged(parts), F.lit(drawn.n).cast("long").alias("n_draws"))
+
+
+def happened(trades: DataFrame, on: str, ties: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """n_draws, log_growth, total_return, max_drawdown of the trades in the order that happened, by ranges of ``on``; a row, or none without trades."""
+    own = _own(trades, on, *ties)
+    x = with_range(own, on, cuts(own, on, ranges or default_ranges(trades)), "part")
+    rate = 1 + F.col("pnl_pct") / 100 / TOP_N
+    w = Window.partitionBy("part").orderBy(on, *ties).rowsBetween(FIRST, 0)
+    x = x.withColumn("path", F.sum(F.when(rate > 0, F.log(rate)).otherwise(float("-inf"))).over(w)).withColumn("at", F.count("*").over(w))
+    x = x.withColumn("peak", F.greatest(F.max("path").over(w), F.lit(0.0)))
+    parts = x.groupBy("part").agg(F.count("*").alias("n"), F.max_by("path", "at").alias("total"), F.max("peak").alias("high"), F.min("path").alias("low"), F.min(F.col("path") - F.col("peak")).alias("deepest"))
+    parts = parts.withColumn("simulation", F.lit(0))  # a row for each range
+    return _percent(merged(parts), "n_draws").drop("simulation")
+
+
+def bands(simulated: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """n_simulations, bands of 100 * log_growth and of max_drawdown, the chance of a loss; with ``known`` (one row of ``happened``) also its ranks.
+
+    Bands of logarithms stay finite where total_return is beyond a double; the logarithm keeps the order of returns, so ranks and chances are those of total_return.
+    """
+    r, d = F.col("log_growth") * 100, F.col("max_drawdown")
+    own = {f"log_return_p{q}": F.percentile(r, q / 100) for q in (5, 25, 50, 75, 95)} | {f"drawdown_p{q}": F.percentile(d, q / 100) for q in (5, 50, 95)}
+    own |= {"prob_negative_return": F.count_if(r < 0) / F.count("*") * 100}
+    x = simulated
+    if known is not None:
+        x = x.crossJoin(F.broadcast(known.select(F.col("log_growth").alias("known_"), F.col("max_drawdown").alias("known_drawdown_"))))  # one row
+        own |= {"known_return_percentile": F.count_if(F.col("log_growth") < F.col("known_")) / F.count("*") * 100, "known_drawdown_percentile": F.count_if(d < F.col("known_drawdown_")) / F.count("*") * 100}
+    return x.agg(F.count("*").alias("n_simulations"), *[F.round(c, 2).alias(k) for k, c in own.items()])

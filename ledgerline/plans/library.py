@@ -342,6 +342,23 @@ def reweighted_scores(spark, d):
     return _snapshots(spark, d).groupBy("date").agg(F.count("*").alias("n"), F.round(F.avg(sum((w * F.col(k) for k, w in own.items()), F.lit(0.0))), 8).alias("mean"))
 
 
+@query(f"""with {TRADES}, c as (select sum(ln(1 + pnl_pct / 500)) over (order by entry_date, l_orderkey, l_linenumber rows unbounded preceding) as level, row_number() over (order by entry_date, l_orderkey, l_linenumber) as k from trades),
+p as (select k, level, greatest(max(level) over (order by k rows unbounded preceding), 0) as peak from c) select count(*) as n_draws, round(arg_max(level, k), 6) as log_growth, round((exp(min(level - peak)) - 1) * 100, 6) as max_drawdown from p""")
+def trade_path(spark, d):
+    """The trades compounded in the order that happened: what simulated orders are held against."""
+    x = monte_carlo.happened(Tables(spark, d).trades(), "entry_date", ["l_orderkey", "l_linenumber"])
+    return x.select("n_draws", F.round("log_growth", 6).alias("log_growth"), F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
+@query()
+def monte_carlo_bands(spark, d):
+    """Bootstrapped and shuffled paths of all trades: bands, the chance of a loss, the ranks of what happened."""
+    t = Tables(spark, d).trades()
+    known = monte_carlo.happened(t, "entry_date", ["l_orderkey", "l_linenumber"])
+    of = lambda m: monte_carlo.bands(monte_carlo.simulate(t, method=m), known).withColumn("method", F.lit(m))
+    return of("bootstrap").unionByName(of("shuffle")).withColumn("verdict", D.luck_verdict(F.col("known_return_percentile")))
+
+
 _Z = "(1.959963984540054 + 0.8416212335729143)"
 
 

@@ -85,6 +85,21 @@ def test_monte_carlo_edges(spark, oracle):
     assert len(rows) == 2000 and {r.n_draws for r in rows} == {n}
 
 
+def test_monte_carlo_ranks_what_happened(spark):
+    pnl = [float(x) for x in np.random.default_rng(8).normal(0.3, 9, 90)]
+    trades = spark.createDataFrame([(k // 4, k, p) for k, p in enumerate(pnl)], "day int, k int, pnl_pct double").repartition(3)
+    path = np.r_[0, np.cumsum(np.log(1 + np.array(pnl) / 500))]
+    known = monte_carlo.happened(trades, "day", ["k"], ranges=5)
+    row = known.first()
+    deepest = math.expm1((path - np.maximum.accumulate(path)).min()) * 100
+    assert row.n_draws == 90 and math.isclose(row.log_growth, path[-1]) and math.isclose(row.max_drawdown, deepest)
+    paths = monte_carlo.simulate(trades, 300, method="bootstrap").toPandas()
+    b = monte_carlo.bands(spark.createDataFrame(paths), known).first()
+    assert b.n_simulations == 300 and math.isclose(b.log_return_p5, round(np.percentile(paths.log_growth * 100, 5), 2), abs_tol=0.011)
+    assert math.isclose(b.known_return_percentile, (paths.log_growth < path[-1]).mean() * 100, abs_tol=0.006) and math.isclose(b.known_drawdown_percentile, (paths.max_drawdown < deepest).mean() * 100, abs_tol=0.006)
+    assert monte_carlo.happened(trades.where("false"), "day").count() == 0
+
+
 def test_permutations_are_even():
     for n in (1, 2, 3, 60, 64, 65, 1000):
         assert sorted(monte_carlo.permuted(np.arange(n), n, [1, n])) == list(range(n))
