@@ -204,7 +204,8 @@ def happened(trades: DataFrame, on: str, ties: Sequence[str] = (), ranges: int |
 def bands(simulated: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """n_simulations, bands of 100 * log_growth and of max_drawdown, the chance of a loss; with ``known`` (one row of ``happened``) also its ranks.
 
-    Bands of logarithms stay finite where total_return is beyond a double; the logarithm keeps the order of returns, so ranks and chances are those of total_return.
+    Bands of logarithms stay finite where total_return is beyond a double; the logarithm keeps the order of returns, so ranks and chances are those of total_return. Growths that agree to nine digits are equal:
+    another order of the same trades has no other return, and its rank says nothing.
     """
     r, d = F.col("log_growth") * 100, F.col("max_drawdown")
     own = {f"log_return_p{q}": F.percentile(r, q / 100) for q in (5, 25, 50, 75, 95)} | {f"drawdown_p{q}": F.percentile(d, q / 100) for q in (5, 50, 95)}
@@ -212,5 +213,5 @@ def bands(simulated: DataFrame, known: DataFrame | None = None) -> DataFrame:
     x = simulated
     if known is not None:
         x = x.crossJoin(F.broadcast(known.select(F.col("log_growth").alias("known_"), F.col("max_drawdown").alias("known_drawdown_"))))  # one row
-        own |= {"known_return_percentile": F.count_if(F.col("log_growth") < F.col("known_")) / F.count("*") * 100, "known_drawdown_percentile": F.count_if(d < F.col("known_drawdown_")) / F.count("*") * 100}
+        own |= {"known_return_percentile": F.count_if(F.round("log_growth", 9) < F.round("known_", 9)) / F.count("*") * 100, "known_drawdown_percentile": F.count_if(d < F.col("known_drawdown_")) / F.count("*") * 100}
     return x.agg(F.count("*").alias("n_simulations"), *[F.round(c, 2).alias(k) for k, c in own.items()])
