@@ -5,10 +5,12 @@ of a lexicon learned from the labels, insults near a second-person word, second-
 words, capitals, punctuation and shouting, and obfuscated spellings (figures or signs
 inside words, and words that turn into insults when those are read as letters).
 
-The learned lexicon and the trees come from at most about ``textstats.SAMPLE``
-labelled rows of the learning folds, which bounds the lexicon, too.
-A third of those rows is kept from the trees and calibrates them (pooled adjacent
-violators, read with linear interpolation).
+The model is fitted on at most about ``textstats.SAMPLE`` labelled rows of the learning
+folds, which bounds the lexicon, too. Their texts are dealt to FOLDS parts by hash, so that
+copies stay together. A row's features come from the lexicon of the other parts, and the
+scores that calibrate it (pooled adjacent violators, read with linear interpolation) from
+trees of the other parts as well: no row has shaped its own features or its own score.
+Documents are scored by the lexicon and the trees of all parts.
 
 Defined results: null or empty text has features of 0; a repeated row is scored alike;
 without labelled rows of both kinds the score is the share of toxic rows (0 if none);
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import make_room, table
@@ -44,6 +46,7 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 MIXED = re.compile(r"(?<!\S)[^\W\d_]+[0-9@$*!|][\w@$*!|]*[^\W\d_]")
 SUPPORT = 8  # documents a learned word needs at least
+FOLDS = 3  # parts of the labelled texts
 NEAR = 5  # words between an insult and a second-person word
 TREES, DEPTH, SHRINK, BINS, LEAF = 80, 3, 0.15, 64, 12
 FEATURES = ("insults", "insult_count", "learned", "learned_weight", "second_near", "second", "capitals", "shouts", "marks", "mixed", "unmasked")
@@ -67,22 +70,33 @@ def features(text: str, lexicon: dict[str, float]) -> tuple[float, ...]:
     return (math.log1p(1000 * own / n), float(own), math.log1p(1000 * (len(hits) - own) / n), weight, near / n, second / n, upper / len(text), shouts / n, marks / n, len(mixed) / n, float(unmasked))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words whose documents are mostly toxic, by the lower end of a 95 % interval, with their weight."""
+def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """Words whose documents are mostly toxic, by the lower end of a 95 % interval, with their weight: without each part, then of all."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(w, y, hash_of(t)) for t, y in zip(b["text"], b["label"]) for w in set(WORD.findall((t or "").lower()))]
-            yield pd.DataFrame(found, columns=["word", "label", "own"])
+            found = [(w, y, hash_of(t), k) for t, y, k in zip(b["text"], b["label"], b["fold"]) for w in set(WORD.findall((t or "").lower()))]
+            yield pd.DataFrame(found, columns=["word", "label", "own", "fold"])
 
     def hash_of(text: str | None) -> int:
         return int.from_bytes(hashlib.blake2b((text or "").encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)  # copies count once
 
-    per = rows.select("text", "label").mapInPandas(words, "word string, label int, own long").distinct().groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(f"a >= {SUPPORT}")
-    p, z = F.col("a") / F.col("n"), 1.96
-    low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-    top = per.withColumn("low", low).where("low >= 0.6").collect()
-    return {r["word"]: float(r["low"]) for r in top}
+    own = rows.select("text", "label", fold_of("text").alias("fold"))
+    count = lambda c, k: F.sum(F.when(F.col("fold") != k, c)) if k < FOLDS else F.sum(c)
+    words_of = own.mapInPandas(words, "word string, label int, own long, fold int").distinct().groupBy("word").agg(*[count(c, k).alias(f"{name}{k}") for k in range(FOLDS + 1) for name, c in (("a", F.col("label")), ("n", F.lit(1)))])
+    low = lambda k: F.when(F.col(f"a{k}") >= SUPPORT, lower_end(F.col(f"a{k}"), F.col(f"n{k}")))
+    top = words_of.select("word", F.array(*[low(k) for k in range(FOLDS + 1)]).alias("low")).where(F.exists("low", lambda x: x >= 0.6)).collect()
+    return [{r["word"]: float(r["low"][k]) for r in top if (r["low"][k] or 0) >= 0.6} for k in range(FOLDS + 1)]
+
+
+def lower_end(a: Column, n: Column, z: float = 1.96) -> Column:
+    """Of the interval of a share a / n."""
+    p = a / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def fold_of(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
 class Trees:
@@ -154,12 +168,16 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray):
+    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
+        """``x`` are features by lexicons that do not know the row's own part ``fold``."""
         self.lexicon, self.share, self.trees = lexicon, float(y.mean()) if len(y) else 0.0, None
-        fold = np.arange(len(y)) % 3 == 0
-        if len(y) >= 30 and 0 < y[fold].sum() < fold.sum() and 0 < y[~fold].sum() < (~fold).sum():
-            self.trees = Trees(x[~fold], y[~fold])
-            self.at, self.to = isotonic(self.trees.raw(x[fold]), y[fold])
+        parts = [fold == k for k in range(FOLDS)]
+        if len(y) >= 30 and all(0 < y[~part].sum() < (~part).sum() for part in parts):
+            raw = np.empty(len(y))
+            for part in parts:
+                raw[part] = Trees(x[~part], y[~part]).raw(x[part])
+            self.at, self.to = isotonic(raw, y)
+            self.trees = Trees(x, y)
 
     def score(self, texts) -> np.ndarray:
         x = np.array([features(t or "", self.lexicon) for t in texts]).reshape(-1, len(FEATURES))
@@ -172,16 +190,17 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int = 0, bound: int = SAMPLE) -> Model:
     trusted = labelled(labels, "toxic", remainder(F.col("doc_id"), modulus) != left_out, bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id")
-    lexicon = learn_lexicon(rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id").withColumn("fold", fold_of("text"))
+    lexicons = learn_lexicons(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [list(features(t or "", lexicon)) for t in b["text"]]})
+            yield b[["doc_id", "label", "fold"]].assign(x=[list(features(t or "", lexicons[k])) for t, k in zip(b["text"], b["fold"])])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInPandas(run, f"doc_id {kind}, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return Model(lexicon, np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got], np.float64))
+    got = rows.mapInPandas(run, f"doc_id {kind}, label int, fold int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    column = lambda name, kind: np.array([r[name] for r in got], kind)
+    return Model(lexicons[-1], column("x", np.float64).reshape(-1, len(FEATURES)), column("label", np.float64), column("fold", np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -455,7 +455,7 @@ def test_toxic_words_behind_a_common_opening_are_learned(spark):
     banner = " ".join(f"license{i}" for i in range(40))
     rows = [(f"{banner} zorgle unlike{i}", 1) for i in range(20)] + [(f"{banner} fine other{i}", 0) for i in range(20)]
     rows += [(f"{banner} copied text", 1)] * 20  # one document
-    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))) == {"zorgle"}
+    assert set(toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int"))[-1]) == {"zorgle"}
 
 
 def test_dedup_decides_by_row(spark):
