@@ -498,3 +498,71 @@ def test_divergence_with_many_groups_meets_terms_by_salt(spark, docs, monkeypatc
     small = sorted(map(tuple, divergence.audit(x).collect()))
     monkeypatch.setattr(divergence, "SMALL", 0)
     assert sorted(map(tuple, divergence.audit(x).collect())) == small and {r[0] for r in small} == {"l0", "l1", "l2"}
+
+
+def test_isotonic_equals_the_min_max_formula():
+    r = np.random.default_rng(4)
+    score, y = r.permutation(60).astype(float), r.integers(0, 2, 60).astype(float)
+    at, to = toxicity.isotonic(score, y)
+    z = y[np.argsort(score)]
+    want = [max(min(z[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(sorted(set(np.round(want, 12))), np.round(to, 12)) and (np.diff(at) > 0).all() and (np.diff(to) > 0).all()
+    starts = np.r_[0, np.flatnonzero(np.diff(want) > 1e-12) + 1, 60]
+    assert np.allclose(at, [np.arange(a, b).mean() for a, b in zip(starts, starts[1:])])
+
+
+def test_first_tree_splits_where_every_split_tried_says():
+    r = np.random.default_rng(5)
+    x = r.integers(0, 9, (200, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (r.random(200) < 0.1)).astype(float)
+    model = toxicity.Trees(x, y)
+    g, h = y - y.mean(), np.full(200, y.mean() * (1 - y.mean()))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    tried = {(j, t): gain(x[:, j] <= t) + gain(x[:, j] > t) for j in range(3) for t in model.edges[j] if toxicity.LEAF <= (x[:, j] <= t).sum() <= 200 - toxicity.LEAF}
+    root = model.trees[0][0]
+    assert np.isclose(tried[root[0], root[1]], max(tried.values()), rtol=1e-4) and root[0] == 1
+    raw = np.full(200, model.base)
+    for tree in model.trees:
+        for i, row in enumerate(x):
+            at = 0
+            while tree[at][0] >= 0:
+                at = 2 * at + 1 + (row[tree[at][0]] > tree[at][1])
+            raw[i] += tree[at][2]
+    assert np.allclose(raw, model.raw(x))
+    loss = lambda f: np.logaddexp(0, f).sum() - (y * f).sum()
+    assert loss(raw) < loss(np.full(200, model.base))
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.9])  # with the greater one, and positives that score high, the estimated risk of negatives is below zero
+def test_a_step_follows_the_non_negative_risk(monkeypatch, prior):
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (80, 4))
+    x = x[np.argsort(quality_pu.Network(4).forward(x)[1])]
+    (p, u), seen = (x[50:], x[:50]) if prior == 0.9 else (x[:30], x[30:]), []
+    monkeypatch.setattr(quality_pu, "STEPS", 1)
+    monkeypatch.setattr(quality_pu.Network, "backward", lambda self, x, h, d: seen.append((x, h, d)))
+    net = quality_pu.train(p, u, prior)
+    _, f = net.forward(np.vstack([p, u]))
+
+    def parts(f):
+        plus, minus = np.logaddexp(0, -f), np.logaddexp(0, f)
+        return prior * plus[:30].mean(), minus[30:].mean() - prior * minus[:30].mean()
+
+    undone = parts(f)[1] < 0
+    risk = lambda f: -parts(f)[1] if undone else sum(parts(f))
+    step = 1e-6
+    want = [(risk(f + step * e) - risk(f - step * e)) / (2 * step) for e in np.eye(80)]
+    assert undone == (prior == 0.9) and np.allclose(seen[0][2], want, atol=1e-8)
+
+
+def test_toxicity_rows_do_not_shape_their_own_features(spark):
+    rows = [(f"plain text number {i}", 0) for i in range(60)] + [(f"zorgle here {i}", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    fold = [r.k for r in df.select(toxicity.fold_of("text").alias("k")).collect()]
+    *parts, whole = toxicity.learn_lexicons(df)
+    for k, lexicon in [*enumerate(parts), (toxicity.FOLDS, whole)]:
+        known = [(t, y) for (t, y), f in zip(rows, fold) if f != k]
+        a = sum("zorgle" in t for t, _ in known)
+        assert set(lexicon) == ({"zorgle", "here"} if a >= toxicity.SUPPORT else set())
+        low = (1 + 1.96**2 / (2 * a) - 1.96 * (1.96**2 / (4 * a * a)) ** 0.5) / (1 + 1.96**2 / a)
+        assert np.isclose(lexicon["zorgle"], low)
