@@ -20,8 +20,10 @@ infinite return is no trade; equal returns are equal trades.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import order
+from .keep import kept
 from .ranges import FIRST, cuts, default_ranges, with_range
 
 SIMULATIONS, TOP_N, SEED = 2000, 5, 42
 BLOCK = 1 << 16  # positions of a part, and trade numbers of a block
+CHUNK = 1 << 14  # positions drawn at a time: arrays that stay in a core's cache
+LANE = 32  # steps of a part that are walked one by one
 GROUP = 32  # simulations whose draws from one block meet in one task
 HOLD = 1 << 22  # distinct returns that every task may hold (24 bytes each)
 TASKS = 48  # parts that the work is dealt to, at least
@@ -41,21 +46,34 @@ COLUMNS = ["simulation", "part", "total", "high", "low", "deepest"]
 PARTS = "simulation long, part long, total double, high double, low double, deepest double"
 
 
-def permuted(places: np.ndarray, n: int, key: list[int]) -> np.ndarray:
-    """Where a keyed permutation of 0 to n - 1 takes the places: a Feistel network over the next power of four, walked on until it is below n."""
-    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
-    mask = (np.uint64(1) << half) - np.uint64(1)
-    keys = np.random.default_rng(key).integers(0, 1 << 64, ROUNDS, np.uint64)
+@lru_cache(64)
+def _keys(key: tuple[int, ...], kind: type) -> np.ndarray:
+    return np.random.default_rng(key).integers(0, np.iinfo(kind).max, ROUNDS, kind, endpoint=True)
+
+
+def permuted(places: np.ndarray, n: int, key: Sequence[int]) -> np.ndarray:
+    """Where a keyed permutation of 0 to n - 1 takes the places: a Feistel network over rows and columns of the least square that holds n, walked on until it is below n."""
+    rows = math.isqrt(max(n - 1, 0)) + 1
+    columns = -(-n // rows)
+    kind, (c0, c1, s0, s1) = (np.uint32, (0x9E3779B1, 0x85EBCA77, 15, 16)) if n <= 1 << 31 else (np.uint64, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 29, 32))
+    sizes, c0, c1, s0, s1 = (kind(rows), kind(columns)), kind(c0), kind(c1), kind(s0), kind(s1)
 
     def once(x: np.ndarray) -> np.ndarray:
-        a, b = x >> half, x & mask
-        for k in keys:
-            z = (b ^ k) * np.uint64(0x9E3779B97F4A7C15)
-            z = (z ^ (z >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-            a, b = b, a ^ ((z >> np.uint64(32)) & mask)
-        return a << half | b
-
-    x = once(places.astype(np.uint64))
+        a = x // sizes[1]
+        b = x - a * sizes[1]
+        z, t = np.empty_like(x), np.empty_like(x)
+        for k, own in enumerate(_keys(tuple(key), kind)):
+            (moved, other), m = ((a, b), (b, a))[k % 2], sizes[k % 2]
+            np.multiply(np.bitwise_xor(other, own, out=z), c0, out=z)
+            np.bitwise_xor(z, np.right_shift(z, s0, out=t), out=z)
+            np.multiply(z, c1, out=z)
+            np.bitwise_xor(z, np.right_shift(z, s1, out=t), out=z)
+            np.subtract(z, np.multiply(np.floor_divide(z, m, out=t), m, out=t), out=z)  # z mod m
+            np.add(moved, z, out=moved)
+            np.minimum(moved, np.subtract(moved, m, out=t), out=moved)  # below m, the difference wraps around and is greater
+        return a * sizes[1] + b
+
+    x = once(places.astype(kind))
     while (out := x >= n).any():
         x[out] = once(x[out])
     return x.astype(np.int64)
@@ -74,13 +92,17 @@ class Draws:
     def parts(self) -> int:
         return -(-self.n // self.block)
 
+    def chunks(self, simulation: int, part: int) -> Iterator[np.ndarray]:
+        """The numbers of the trades at the positions of a part, CHUNK at a time."""
+        first, last = part * self.block, min((part + 1) * self.block, self.n)
+        draw = np.random.default_rng([self.seed, simulation, part]).integers if self.method == "bootstrap" else None
+        for at in range(first, last, CHUNK):
+            size = min(CHUNK, last - at)
+            yield draw(0, self.n, size) if draw else permuted(np.arange(at, at + size), self.n, [self.seed, simulation])
+
     def numbers(self, simulation: int, part: int) -> np.ndarray:
         """The numbers of the trades at the positions of a part."""
-        first = part * self.block
-        size = min(self.block, self.n - first)
-        if self.method == "shuffle":
-            return permuted(np.arange(first, first + size), self.n, [self.seed, simulation])
-        return np.random.default_rng([self.seed, simulation, part]).integers(0, self.n, size)
+        return np.concatenate(list(self.chunks(simulation, part)))
 
     def path(self, simulation: int) -> np.ndarray:
         """The numbers of a whole path."""
@@ -94,10 +116,41 @@ def growth(pnl_pct: np.ndarray) -> np.ndarray:
 
 
 def walk(steps: np.ndarray) -> tuple[float, float, float, float]:
-    """total, high, low and deepest: the last, highest (at least the start) and lowest level of a part, and its deepest fall below a peak of its own."""
-    path = np.cumsum(steps)
-    peak = np.maximum(np.maximum.accumulate(path), 0)
-    return float(path[-1]), float(peak[-1]), float(path.min()), float((path - peak).min())
+    """total, high, low and deepest: the last, highest (at least the start) and lowest level of a part, and its deepest fall below a peak of its own.
+
+    Lanes of LANE steps are walked side by side and merge in order; a lane that is not full stays where it ends.
+    """
+    missing = -len(steps) % LANE
+    lanes = (np.pad(steps, (0, missing)) if missing else steps).reshape(-1, LANE).T
+    level, high, low, deepest = np.zeros(lanes.shape[1]), np.zeros(lanes.shape[1]), np.full(lanes.shape[1], np.inf), np.zeros(lanes.shape[1])
+    fall = np.empty_like(level)
+    for step in lanes:
+        np.add(level, step, out=level)
+        np.maximum(high, level, out=high)
+        np.minimum(low, level, out=low)
+        np.minimum(deepest, np.subtract(level, high, out=fall), out=deepest)
+    ends = np.cumsum(level)
+    start = np.r_[0.0, ends[:-1]]
+    peak, low = np.maximum.accumulate(np.r_[0.0, start + high]), start + low
+    return float(ends[-1]), float(peak[-1]), float(low.min()), float(min(deepest.min(), (low - peak[:-1]).min()))
+
+
+class Steps:
+    """The growth of numbered trades: a guide over the leading bits of a number tells it, but where two returns meet in a cell."""
+
+    def __init__(self, pnl_pct: np.ndarray, ends: np.ndarray):
+        """Distinct returns and, for each, the number after its last."""
+        n = int(ends[-1])
+        self.steps, self.ends = growth(pnl_pct), ends
+        self.shift = max(0, (n - 1).bit_length() - min(22, max(14, len(ends).bit_length() + 6)))
+        first = np.arange(((n - 1) >> self.shift) + 1) << self.shift
+        a, b = (np.searchsorted(ends, at, "right") for at in (first, np.minimum(first + (1 << self.shift), n) - 1))
+        self.guide = np.where(a == b, self.steps[a], np.nan)  # no growth is undefined
+
+    def put(self, at: np.ndarray, out: np.ndarray) -> None:
+        out[:] = self.guide[at >> self.shift]
+        if (left := np.isnan(out).nonzero()[0]).size:
+            out[left] = self.steps[np.searchsorted(self.ends, at[left], "right")]
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -120,13 +173,15 @@ def _held(values: DataFrame, drawn: Draws, simulations: int, tasks: int) -> Data
         if not (frames := list(batches)):
             return
         x = pd.concat(frames).sort_values("before_")
-        task, steps, ends = int(x["task"].iloc[0]), growth(x["v_"].to_numpy()), (x["before_"] + x["c_"]).to_numpy()
-        each = np.repeat(steps, x["c_"]) if drawn.n <= HOLD else None
-        rows = []
+        task, steps = int(x["task"].iloc[0]), Steps(x["v_"].to_numpy(), (x["before_"] + x["c_"]).to_numpy())
+        own, rows = np.empty(min(drawn.block, drawn.n)), []
         for item in range(task * items // tasks, (task + 1) * items // tasks):
             simulation, part = divmod(item, drawn.parts)
-            at = drawn.numbers(simulation, part)
-            rows.append((simulation, part, *walk(each[at] if each is not None else steps[np.searchsorted(ends, at, "right")])))
+            size = 0
+            for at in drawn.chunks(simulation, part):
+                steps.put(at, own[size : size + len(at)])
+                size += len(at)
+            rows.append((simulation, part, *walk(own[:size])))
         yield pd.DataFrame(rows, columns=COLUMNS)
 
     return sent.mapInPandas(run, PARTS)
@@ -173,12 +228,17 @@ def _percent(paths: DataFrame, *more: str | Column) -> DataFrame:
     return paths.select("simulation", *more, F.col("level").alias("log_growth"), (F.expm1("level") * 100).alias("total_return"), (F.expm1("deepest") * 100).alias("max_drawdown"))
 
 
-def simulate(trades: DataFrame, simulations: int = SIMULATIONS, seed: int = SEED, method: str = "bootstrap", hold: int = HOLD, block: int = BLOCK) -> DataFrame:
-    """simulation, n_draws, log_growth, total_return and max_drawdown (percent) from ``trades`` (pnl_pct)."""
+def tally(trades: DataFrame) -> DataFrame:
+    """v_, c_, before_: the distinct returns with their counts and first numbers; several simulations may share them."""
+    return kept(order.counted(_own(trades), "pnl_pct").select("v_", F.col("c_").cast("long").alias("c_"), F.col("before_").cast("long").alias("before_")), "tally")
+
+
+def simulate(trades: DataFrame | None, simulations: int = SIMULATIONS, seed: int = SEED, method: str = "bootstrap", hold: int = HOLD, block: int = BLOCK, values: DataFrame | None = None) -> DataFrame:
+    """simulation, n_draws, log_growth, total_return and max_drawdown (percent) from ``trades`` (pnl_pct), or from their ``tally``."""
     if method not in ("bootstrap", "shuffle"):
         raise ValueError(f"no such method: {method}")
-    spark = trades.sparkSession
-    values = order.counted(_own(trades), "pnl_pct").select("v_", F.col("c_").cast("long").alias("c_"), F.col("before_").cast("long").alias("before_"))
+    values = tally(trades) if values is None else values
+    spark = values.sparkSession
     size = values.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c_"), F.lit(0)).alias("n")).first()
     drawn = Draws(size["n"], seed, method, block)
     if not drawn.n or not simulations:

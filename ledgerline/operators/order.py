@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keep import kept
 from .ranges import FIRST, carried, cuts, default_ranges, with_range
 
 
@@ -32,6 +33,7 @@ def meet(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner
 def counted(df: DataFrame, column: str, by: Sequence[str] = (), extra: Mapping[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
     """by, v_, c_, before_: each distinct value with its number of rows and the number of rows of lesser values; ``extra`` are sums of the value's rows."""
     x = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("v_")).agg(F.count("*").alias("c_"), *[c.alias(k) for k, c in (extra or {}).items()])
+    x = kept(x, "counted")  # read for the cuts, for the sums before a range and in it
     x = with_range(x, "v_", cuts(x, "v_", ranges or default_ranges(df)))
     x = carried(x, by, {"sum_": F.sum("c_")}, {"before_": F.sum("sum_")})
     lesser = F.sum("c_").over(Window.partitionBy(*by, "range_").orderBy("v_").rowsBetween(FIRST, -1))
@@ -40,7 +42,7 @@ def counted(df: DataFrame, column: str, by: Sequence[str] = (), extra: Mapping[s
 
 def quantiles(df: DataFrame, column: str, shares: Mapping[str, float], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """by and a column for each named share: the exact quantile, linear between neighbours; null without values."""
-    x = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("v_"))
+    x = kept(df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("v_")), "values")  # read for the cuts, the histogram and the ranges wanted
     x = with_range(x, "v_", cuts(x, "v_", ranges or default_ranges(df)))
     w = Window.partitionBy(*(by or [F.lit(0)]))
     bars = x.groupBy(*by, "range_").agg(F.count("*").alias("c_"))  # the histogram: a row for each key and range
