@@ -37,3 +37,11 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert sorted(names) == cols
     want = sorted(tuple(text(r[names.index(c)]) for c in cols) for r in found.fetchall())
     assert got == want, (len(got), len(want), [x for x in zip(got, want) if x[0] != x[1]][:3])
+
+
+def test_longest_narrow_run_without_such_days(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("create table orders as select k as o_orderkey, k as o_custkey, 'O' as o_orderstatus, 100.0::double as o_totalprice, timestamp '1995-01-01' + to_days(cast(k // 3 as int)) as o_orderdate, 'x' as o_orderpriority from range(120) t(k)")
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    got = [tuple(r) for r in library.QUERIES["longest_narrow_run"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(library.ORACLES["longest_narrow_run"]).fetchall() == [("all", None)]
