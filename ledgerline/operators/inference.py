@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import tails
 from ..functions.scores import period_key
 from . import order
+from .keep import kept
 from .timeline import asof
 
 PARTS = 48  # tasks that the draws of a bootstrap are dealt to, at most
@@ -78,6 +79,7 @@ def signed_ranks(trades: DataFrame, value: str = "pnl_pct") -> DataFrame:
 
 def trade_significance(trades: DataFrame, by: str = "month", value: str = "pnl_pct", draws: int = 10_000, seed: int = 42) -> dict[str, float]:
     """The tests in one: statistics from the executors, p-values here. Raises for fewer than five trades."""
+    trades = kept(trades.select("entry_date", value), "trades")  # the tests read them some ten times
     core = cluster_test(trades, by, value).first()
     if core is None or core["n"] < 5:
         raise ValueError("five trades or more are needed")
