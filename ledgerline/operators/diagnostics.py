@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import values as V
+from .keep import kept
 from .metrics import average_ranks
 from .scan import point_in_time
 from .timeline import asof, review_dates, weekday_review_dates
@@ -53,6 +54,7 @@ def correlation_audit(panel: DataFrame, method: str = "pearson", threshold: floa
     base = x = panel.select(*columns)
     names = {c: c for c in columns}
     if method == "spearman":
+        base = x = kept(base, "panel")  # read for the ranks of each column
         for c in columns:
             x = average_ranks(x, c, f"r_{c}", of=base)
         names = {c: f"r_{c}" for c in columns}
