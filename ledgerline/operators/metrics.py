@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from . import order
+from .keep import kept
 from .ranges import carried, cuts, with_range
 
 FIRST = Window.unboundedPreceding
@@ -200,7 +201,15 @@ average_ranks = order.average_ranks
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    return average_ranks(average_ranks(df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "ra_"), b, "rb_").agg(F.round(F.corr("ra_", "rb_"), 4).alias("rho"))
+    """rho: the correlation of average ranks, from the counts of distinct pairs; ranks have the mean (n + 1) / 2."""
+    own = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a_"), F.col(b).cast("double").alias("b_"))
+    x = kept(own.groupBy("a_", "b_").agg(F.count("*").alias("n_")), "pairs")
+    for c in ("a_", "b_"):
+        ranks = order.placed(x.groupBy(F.col(c).alias("v_")).agg(F.sum("n_").alias("c_")))
+        x = x.join(ranks.select(F.col("v_").alias(c), (F.col("before_") + (F.col("c_") + 1) / 2).alias(f"r{c}")), c)
+    x = x.crossJoin(F.broadcast(x.agg(((F.sum("n_") + 1) / 2).alias("mean_"))))  # one row
+    da, db = F.col("ra_") - F.col("mean_"), F.col("rb_") - F.col("mean_")
+    return x.agg(F.round(F.try_divide(F.sum(da * db * F.col("n_")), F.sqrt(F.sum(da * da * F.col("n_"))) * F.sqrt(F.sum(db * db * F.col("n_")))), 4).alias("rho"))
 
 
 def top_removed(trades: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), value: str = "pnl_pct") -> DataFrame:

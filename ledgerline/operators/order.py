@@ -33,8 +33,13 @@ def meet(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner
 def counted(df: DataFrame, column: str, by: Sequence[str] = (), extra: Mapping[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
     """by, v_, c_, before_: each distinct value with its number of rows and the number of rows of lesser values; ``extra`` are sums of the value's rows."""
     x = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("v_")).agg(F.count("*").alias("c_"), *[c.alias(k) for k, c in (extra or {}).items()])
+    return placed(x, by, ranges)
+
+
+def placed(x: DataFrame, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """``x`` (by, v_, c_), a row for each distinct value, with before_: the sum of c_ of lesser values."""
     x = kept(x, "counted")  # read for the cuts, for the sums before a range and in it
-    x = with_range(x, "v_", cuts(x, "v_", ranges or default_ranges(df)))
+    x = with_range(x, "v_", cuts(x, "v_", ranges or default_ranges(x)))
     x = carried(x, by, {"sum_": F.sum("c_")}, {"before_": F.sum("sum_")})
     lesser = F.sum("c_").over(Window.partitionBy(*by, "range_").orderBy("v_").rowsBetween(FIRST, -1))
     return x.withColumn("before_", F.coalesce("before_", F.lit(0)) + F.coalesce(lesser, F.lit(0))).drop("range_")
