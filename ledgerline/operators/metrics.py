@@ -214,6 +214,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def top_removed(trades: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), value: str = "pnl_pct") -> DataFrame:
     """k, the mean without the k best trades, and the share that the k largest profits have in all; the k best are few and found by a limit."""
+    trades = kept(trades.select(value, *({"pnl"} - {value})), "trades")  # read three times
     n, total, pnl = trades.agg(F.count(value), F.sum(value), F.sum("pnl")).first()
     most = max(ks)
     best = [r[0] for r in trades.select(value).orderBy(F.desc_nulls_last(value)).limit(most).collect()]
