@@ -179,10 +179,15 @@ def forensics_summary(stops: DataFrame, windows: tuple[int, ...] = (20, 40, 60))
 
 def stop_gap(trades: DataFrame, bars: DataFrame, slippage: float = 0.0005) -> DataFrame:
     """Stopped trades with gap_extra_pct: what an open below the stop would have cost, 0 if none; null without a bar that day."""
+    return with_stop_gap(trades.where(F.col("exit_reason").startswith("stop_")), bars, slippage)
+
+
+def with_stop_gap(trades: DataFrame, bars: DataFrame, slippage: float = 0.0005) -> DataFrame:
+    """All trades with the gap_extra_pct of ``stop_gap``; null for those that no stop ended. Each meets the one bar of its exit."""
     own = bars.select("ticker", F.col("date").alias("exit_date"), F.col("open").alias("open_"))
     raw = F.col("exit_price") / (1 - slippage)
     extra = F.when(F.col("open_") < raw, (F.col("open_") - raw) / F.col("entry_price") * 100).when(F.col("open_").isNotNull(), 0.0)
-    return trades.where(F.col("exit_reason").startswith("stop_")).join(own, ["ticker", "exit_date"], "left").withColumn("gap_extra_pct", extra).drop("open_")
+    return trades.join(own, ["ticker", "exit_date"], "left").withColumn("gap_extra_pct", F.when(F.col("exit_reason").startswith("stop_"), extra)).drop("open_")
 
 
 def stop_gap_summary(gaps: DataFrame, n_trades: int) -> DataFrame:
