@@ -137,9 +137,10 @@ class Encoder:
     LIMIT = 600_000  # parts of a generation; a full one becomes the old one, and what is asked for again moves on
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int | None = None):
         from tokenizers import Tokenizer
 
+        self.LIMIT = limit or self.LIMIT
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model.tokenize
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -250,9 +251,9 @@ def runs(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(path)
+def encoder(path: str, limit: int | None = None) -> Encoder:
+    """One for each Python worker; ``limit`` is that of a generation."""
+    return Encoder(path, limit)
 
 
 def release() -> None:

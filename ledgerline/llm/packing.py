@@ -27,6 +27,8 @@ from .common import default_tokenizer, durable, encoder, runs, table
 CAPACITY, END_ID = 1024, 2
 OPEN_BINS = 1024  # open bins of one packer
 BUCKET = 16_384  # documents (or, above the first level, open bins) that one packer takes, about
+REMEMBERED = 300_000  # parts of a generation of the encoder
+TEXTS = 1 << 21  # bytes of texts encoded at a time
 PIECES = "doc_id {id}, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -82,10 +84,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.uint32(END_ID).tobytes()
+        enc, end = encoder(path, REMEMBERED), np.uint32(END_ID).tobytes()
         for batch in batches:
             out, at, texts = [], [], batch.column("text")
-            for begin, n in runs(texts):
+            for begin, n in runs(texts, TEXTS):
                 raw, sizes = enc.encode_all(texts.slice(begin, n), end)
                 last = 0
                 for k, size in enumerate(sizes.tolist(), begin):
@@ -96,6 +98,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             found = np.array(out, np.int64).reshape(-1, 4).T
             own = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "row")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(found[0].astype(np.int32)), *[pa.array(x) for x in found[1:]]], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()  # workers of a pipeline share their executor's memory with what its earlier stages hold
 
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, PIECES.format(id=kind))
 
