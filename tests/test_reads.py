@@ -6,8 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import diagnostics, exits, inference, metrics, order
+import __spark_entry__
+from ledgerline.operators import diagnostics, exits, inference, metrics, monte_carlo, order
 from ledgerline.operators import backtest as B
+from ledgerline.operators.presence import matched
 from ledgerline.plans import library
 
 DIR = "/root/testdata/sf0.001"
@@ -68,3 +70,23 @@ def test_gaps_meet_trades_in_place(spark):
 def test_asof_carries_what_it_needs(spark):
     plan = library.QUERIES["asof_in_ranges"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "stop_breakeven" not in plan and "neutral" not in plan  # neither exit reasons nor regimes are made
+
+
+@pytest.mark.parametrize("others", [[1, 2, 3, 4, 5], [1, 2, 2, 5, 5, 5, None, 9], []])
+def test_matched_rows_are_those_of_a_join(spark, others):
+    rows = spark.createDataFrame([(k, f"{k}{n}") for k in (1, 1, 2, 3, 5, 5, 7, None) for n in range(3)], "on long, x string")
+    there = spark.createDataFrame([(k,) for k in others], "key long")
+    assert sorted(matched(rows, "on", there, "key").collect()) == sorted(rows.join(there, rows.on == there.key).drop("key").collect())
+
+
+@pytest.mark.parametrize("query,module,name", [("pnl_quantiles", order, "quantiles"), ("spearman_by_counts", metrics, "spearman"), ("top_removed", metrics, "top_removed"), ("monte_carlo_all_trades", monte_carlo, "simulate")])
+def test_items_stay_where_only_keys_are_met(spark, monkeypatch, query, module, name):
+    given, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(module, name, lambda trades, *_, **__: given.append(trades) or spark.createDataFrame([], "exit_reason string, p5 double, p25 double, p50 double, p75 double, p99 double"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 4000)  # orders are larger, as they are at 1 GB
+    try:
+        __spark_entry__.queries()[query](spark, DIR)
+        plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plan and given[0].count() == spark.read.parquet(f"{DIR}/lineitem.parquet").count()
