@@ -6,11 +6,13 @@ the groups of a language are crossed with its kept terms so that a term a group
 uses has its count of 0; the dense table joins itself on lang and term, the differences
 are summed for each pair of groups, and windows rank them.
 
-The matches of a batch of texts are counted where they are found, in a dictionary of at
-most FLUSH entries, so a task emits sums and not words. Counts are integers,
-probabilities integers of SCALE, so sums do not depend on order. From the kept terms on,
-a number stands for each (lang, term) and each (lang, source); the keys of the large
-shuffles hold a term, whose rows are one for each group of the language. Groups meet the
+The matches of PART bytes of texts are counted where they are found, as sorted numbers of
+(term, document), so a task emits sums and not words. These meet by (lang, term) in one
+shuffle, which serves the sums of a group, those of the language (a window over the rows
+of a term) and the choice of kept terms. Counts are integers, probabilities integers of
+SCALE, so sums do not depend on order. From the kept terms on, a number stands for each
+(lang, term) and each (lang, source); the keys of the large shuffles hold a term, whose
+rows are one for each group of the language. Groups meet the
 kept terms of their language by broadcast while there are at most SMALL groups, else by
 (lang, salt) with the groups repeated for each salt. A pair is summed once and read
 from both sides, as its value is symmetric.
@@ -29,7 +31,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,45 +41,66 @@ from .common import durable, forget, table
 
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # over UTF-8 bytes: those from 0x80 on belong to characters that are not ASCII
+BLANKED = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))  # A-Z lower-cased, what is in no term blank
 LONG = 1 << 20  # bytes of a text from which its matches are not listed
-FLUSH = 400_000
+PART = 1 << 24  # bytes of texts whose matches are counted together
 SMALL, SALTS = 50_000, 256
+COUNTS = ["lang", "source", "term", "n", "d"]
+
+
+def _split(text: pa.Array) -> pa.Array:
+    """The lower-cased matches of each text (large_binary), as lists; some are empty."""
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    blanked = text.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes().translate(BLANKED)
+    return pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(text), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(blanked)]))
+
+
+def _counted(text: pa.Array, lang: np.ndarray, source: np.ndarray) -> Iterator[pa.RecordBatch]:
+    groups = {g: k for k, g in enumerate(sorted(set(zip(lang, source))))}
+    own = np.array([groups[g] for g in zip(lang, source)])
+    order = np.argsort(own, kind="stable")  # documents of a group stand together
+    group, place = own[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    lists = _split(text)
+    found, at = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+    there = pc.binary_length(found).to_numpy() > 0
+    if not there.all():
+        found, at = found.filter(pa.array(there)), at[there]
+    if not len(found):
+        return
+    found = found.dictionary_encode()
+    key = found.indices.to_numpy().astype(np.int64) * len(order)
+    key += place[at]
+    terms = found.dictionary
+    del found, lists, at, there  # what is large goes when it has been read
+    key.sort()
+    term, at = np.divmod(key, len(order))
+    group = group[at]
+    starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (group[1:] != group[:-1])])
+    d = np.add.reduceat(np.r_[True, key[1:] != key[:-1]].astype(np.int64), starts)
+    lang, source = (pa.array([g[k] for g in groups], pa.string()).take(pa.array(group[starts])) for k in (0, 1))
+    yield pa.RecordBatch.from_arrays([lang, source, terms.take(pa.array(term[starts])).cast(pa.string()), pa.array(np.diff(np.r_[starts, len(key)])), pa.array(d)], COUNTS)
 
 
 def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n (occurrences), d (documents), summed over as many texts as FLUSH allows."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-
-    def emit() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, d) for (lang, source), own in held.items() for term, (n, d) in own.items()]
-        lang, source, term, n, d = zip(*rows, strict=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "d"])
-
-    size = 0
+    """lang, source, term, n (occurrences), d (documents), summed over PART bytes of texts, or over a LONG text."""
     for batch in batches:
-        for text, lang, source in zip(*(batch.column(c) for c in ("text", "lang", "source")), strict=True):
-            text = text.as_py().lower()  # of bytes: A-Z alone
-            own = held.setdefault((lang.as_py(), source.as_py()), {})
-            before = len(own)
-            for term, n in Counter(TERM.findall(text) if len(text) < LONG else (m[0] for m in TERM.finditer(text))).items():
-                if (sums := own.get(term)) is None:
-                    own[term] = [n, 1]
-                else:
-                    sums[0] += n
-                    sums[1] += 1
-            size += len(own) - before
-            if size >= FLUSH:
-                yield emit()
-                size = 0
-    if size:
-        yield emit()
+        text, lang, source = (batch.column(c) for c in ("text", "lang", "source"))
+        text, lang, source = text.cast(pa.large_binary()), np.array(lang.to_pylist(), object), np.array(source.to_pylist(), object)
+        size = pc.binary_length(text).to_numpy()
+        for k in np.flatnonzero(size >= LONG):
+            if own := Counter(m[0] for m in TERM.finditer(text[k].as_py().lower())):  # of bytes: A-Z alone
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang[k], len(own)), pa.repeat(source[k], len(own)), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.repeat(1, len(own)).cast(pa.int64())], COUNTS)
+        short = np.flatnonzero(size < LONG)
+        for k in np.split(short, np.flatnonzero(np.diff(np.cumsum(size[short]) // PART)) + 1):
+            if len(k):
+                yield from _counted(text.take(pa.array(k)), lang[k], source[k])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents)."""
+    """lang, source, term, n (occurrences), d (documents); all rows of a (lang, term) are in one partition."""
     rows = docs.select(F.col("text").cast("binary").alias("text"), "lang", "source").mapInArrow(matches, "lang string, source string, term string, n long, d long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def _scaled(count: str, total: str, kept: str) -> Column:
@@ -89,16 +114,17 @@ _DIFFERENCE = "((p - q) * (p - q)) div (p + q)"
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank of all ``docs`` (text, lang, source)."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = durable(term_counts(docs), "term-counts")
-    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("d").alias("d")).where(F.col("d") >= min_docs)
-    terms = durable(terms.select("lang", "term", "n_lang", F.monotonically_increasing_id().alias("t")), "kept-terms")
     groups = durable(docs.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "term-groups")
-    kept = durable(counts.join(terms, ["lang", "term"]).join(groups, ["lang", "source"]).select("t", "g", "n"), "kept-counts")
+    w = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).join(groups, ["lang", "source"]).withColumn("id", F.monotonically_increasing_id())
+    counts = counts.withColumns({"t": F.min("id").over(w), "n_lang": F.sum("n").over(w), "d_lang": F.sum("d").over(w)}).where(F.col("d_lang") >= min_docs)
+    kept = durable(counts.select("t", "g", "n", "lang", "term", "n_lang", (F.col("id") == F.col("t")).alias("first")), "kept-counts")
+    terms = kept.where("first").select("lang", "term", "n_lang", "t")
     langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
     sizes = groups.join(kept.groupBy("g").agg(F.sum("n").alias("total")), "g", "left").join(langs, "lang", "left")
     sizes = durable(sizes.fillna(0, ["total", "v", "total_lang"]), "group-sizes")
-    out = durable(_pairs(sizes, terms, kept).unionByName(_terms(sizes, terms, kept, top)), "divergence")
-    forget(counts, groups, terms, kept, sizes)
+    out = durable(_pairs(sizes, terms, kept).unionByName(_terms(sizes, kept, top)), "divergence")
+    forget(groups, kept, sizes)
     return out
 
 
@@ -110,8 +136,8 @@ def _dense(sizes: DataFrame, terms: DataFrame, kept: DataFrame) -> DataFrame:
     else:
         salted = terms.select("lang", "t", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int").alias("salt"))
         crossed = salted.join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "salt"])
-    filled = crossed.join(kept, ["t", "g"], "left").fillna(0, ["n"])
-    return filled.select("t", "g", _scaled("n", "total", "v").alias("p"))
+    filled = kept.select("t", "g", "n").unionByName(crossed.select("t", "g", F.lit(0).cast("long").alias("n"))).repartition("t").groupBy("t", "g").agg(F.sum("n").alias("n"))
+    return filled.join(sizes.select("g", "total", "v"), "g").select("t", "g", _scaled("n", "total", "v").alias("p"))
 
 
 def _pairs(sizes: DataFrame, terms: DataFrame, kept: DataFrame) -> DataFrame:
@@ -125,8 +151,8 @@ def _pairs(sizes: DataFrame, terms: DataFrame, kept: DataFrame) -> DataFrame:
     return _ranked(named, "pair")
 
 
-def _terms(sizes: DataFrame, terms: DataFrame, kept: DataFrame, top: int) -> DataFrame:
-    x = kept.join(terms.select("t", "term", "n_lang"), "t").join(sizes, "g").select("lang", "source", F.col("term").alias("item"), _scaled("n", "total", "v").alias("p"), _scaled("n_lang", "total_lang", "v").alias("q"))
+def _terms(sizes: DataFrame, kept: DataFrame, top: int) -> DataFrame:
+    x = kept.select("g", "n", "term", "n_lang").join(sizes, "g").select("lang", "source", F.col("term").alias("item"), _scaled("n", "total", "v").alias("p"), _scaled("n_lang", "total_lang", "v").alias("q"))
     return _ranked(x.where("p > q").select("lang", "source", "item", F.expr(_DIFFERENCE).alias("value")), "term").where(F.col("rank") <= top)
 
 

@@ -500,6 +500,17 @@ def test_divergence_with_many_groups_meets_terms_by_salt(spark, docs, monkeypatc
     assert sorted(map(tuple, divergence.audit(x).collect())) == small and {r[0] for r in small} == {"l0", "l1", "l2"}
 
 
+def test_divergence_counts_a_term_once_for_all_texts_of_a_part(monkeypatch):
+    words = [f"{chr(97 + k % 26)}{'bcdefghijk'[k // 26 % 10]}{'lmnopqrstu'[k // 260 % 10]}{'vwxyzabcde'[k // 2600 % 10]}{chr(97 + k // 26000)}" for k in range(500_000)]
+    texts = [" ".join(words[k : k + 50_000]).encode() for k in range(0, len(words), 50_000)] * 2 + [b"", b" [1]", "x\u00e9X A\u00e9 a\u00e9 a\x00a".encode()]
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(["l"] * len(some)), pa.array(["s", "s"] * (len(some) // 2) + ["t"] * (len(some) % 2))], ["text", "lang", "source"])
+    rows = [r for b in divergence.matches(iter([batch([]), batch(texts).slice(1), batch(texts[:1])])) for r in zip(*map(pa.Array.to_pylist, b.columns))]
+    assert len(rows) == 500_000 + 3 + 50_000 and sum(n for _, _, _, n, _ in rows) == 1_000_000 + 5
+    assert {r for r in rows if r[1] == "t" and len(r[2]) < 4} == {("l", "t", "x\u00e9x", 1, 1), ("l", "t", "a\u00e9", 2, 1), ("l", "t", "a", 2, 1)}
+    monkeypatch.setattr(divergence, "LONG", 9)
+    assert sorted(r for b in divergence.matches(iter([batch(texts[-3:])])) for r in zip(*map(pa.Array.to_pylist, b.columns))) == sorted(r for r in rows if len(r[2]) < 4)
+
+
 def test_isotonic_equals_the_min_max_formula():
     r = np.random.default_rng(4)
     score, y = r.permutation(60).astype(float), r.integers(0, 2, 60).astype(float)
