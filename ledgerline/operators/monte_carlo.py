@@ -3,11 +3,16 @@
 A simulation compounds a share of 1 / TOP_N of the equity in each drawn trade, in turn.
 Trades are numbered by their return, equal returns next to each other, so the table of
 distinct returns with counts and first numbers stands for all trades. The number drawn at
-a position follows from (seed, simulation, position) alone: a generator for each part of
-BLOCK positions, or a keyed permutation of the numbers. So parts of one path are walked in
-tasks of their own, in any order and again after a loss. A part leaves its total, highest
+a position follows from (seed, simulation, position) alone: a generator of the path, moved
+on to a part of BLOCK positions, or a keyed permutation of the numbers. So parts of one path
+are walked in tasks of their own, in any order and again after a loss. A part leaves its total, highest
 and lowest level and its own drawdown; these merge in order.
 
+A number drawn with replacement is n times a fraction of 64 bits, rounded down (its chance is
+1 / n to within 2 ** -64). The generator gives the leading HEAD bits, and these alone tell the
+return but where two returns meet in a cell; only there are the other bits, a hash of the
+place, made. Draws lie step by step of the lanes that walk them.
+
 Up to HOLD distinct returns go to every task. Beyond, drawn numbers go to the block of
 numbers they fall into and come back with returns: no task holds more than GROUP parts of
 BLOCK draws. Both give the same rows. Neither trades nor draws pass the driver.
@@ -38,6 +43,8 @@ SIMULATIONS, TOP_N, SEED = 2000, 5, 42
 BLOCK = 1 << 16  # positions of a part, and trade numbers of a block
 CHUNK = 1 << 14  # positions drawn at a time: arrays that stay in a core's cache
 LANE = 32  # steps of a part that are walked one by one
+TOGETHER = 8  # parts that are drawn and walked side by side
+HEAD = 16  # bits of a draw that its generator gives, the others are hashed
 GROUP = 32  # simulations whose draws from one block meet in one task
 HOLD = 1 << 22  # distinct returns that every task may hold (24 bytes each)
 TASKS = 48  # parts that the work is dealt to, at least
@@ -79,6 +86,22 @@ def permuted(places: np.ndarray, n: int, key: Sequence[int]) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def hashed(key: np.uint64, places: np.ndarray) -> np.ndarray:
+    """64 bits for each place: what a SplitMix64 generator that starts at the key gives there."""
+    x = (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + key
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def below(n: int, x: np.ndarray) -> np.ndarray:
+    """n * x / 2 ** 64 rounded down, for 64-bit x: the high half of the product, by halves of its factors."""
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    a, b, c, d = x >> half, x & low, np.uint64(n >> 32), np.uint64(n & 0xFFFFFFFF)
+    e = a * d + (b * d >> half)
+    return (a * c + (e >> half) + (b * c + (e & low) >> half)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Draws:
     """What is drawn: numbers below n, for parts of ``block`` positions."""
@@ -92,17 +115,32 @@ class Draws:
     def parts(self) -> int:
         return -(-self.n // self.block)
 
+    def size(self, part: int) -> int:
+        return min(self.block, self.n - part * self.block)
+
+    def heads(self, simulation: int, part: int, many: int = 1) -> tuple[np.ndarray, int]:
+        """The leading bits of the draws of some parts of a size, a row for each part and step of its lanes, and the place of the first."""
+        width = -(-self.size(part) // LANE)
+        first, count = part * -(-self.block // LANE) * LANE, many * LANE * width
+        own = np.random.default_rng([self.seed, simulation]).bit_generator.advance(first * HEAD // 64)
+        return own.random_raw(-(-count * HEAD // 64)).astype("<u8", copy=False).view(f"<u{HEAD // 8}")[:count].reshape(many, LANE, width), first
+
+    def drawn(self, simulation: int, heads: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The numbers that are drawn at places of a path, with these heads."""
+        return below(self.n, heads.astype(np.uint64) << np.uint64(64 - HEAD) | hashed(_keys((self.seed, simulation, 1), np.uint64)[0], places) >> np.uint64(HEAD))
+
     def chunks(self, simulation: int, part: int) -> Iterator[np.ndarray]:
-        """The numbers of the trades at the positions of a part, CHUNK at a time."""
-        first, last = part * self.block, min((part + 1) * self.block, self.n)
-        draw = np.random.default_rng([self.seed, simulation, part]).integers if self.method == "bootstrap" else None
+        """The numbers of the trades at the positions of a part of a new order, CHUNK at a time."""
+        first, last = part * self.block, part * self.block + self.size(part)
         for at in range(first, last, CHUNK):
-            size = min(CHUNK, last - at)
-            yield draw(0, self.n, size) if draw else permuted(np.arange(at, at + size), self.n, [self.seed, simulation])
+            yield permuted(np.arange(at, min(at + CHUNK, last)), self.n, [self.seed, simulation])
 
     def numbers(self, simulation: int, part: int) -> np.ndarray:
         """The numbers of the trades at the positions of a part."""
-        return np.concatenate(list(self.chunks(simulation, part)))
+        if self.method == "shuffle":
+            return np.concatenate(list(self.chunks(simulation, part)))
+        heads, first = self.heads(simulation, part)
+        return self.drawn(simulation, heads, first + np.arange(heads.size).reshape(heads.shape))[0].T.ravel()[: self.size(part)]
 
     def path(self, simulation: int) -> np.ndarray:
         """The numbers of a whole path."""
@@ -116,27 +154,34 @@ def growth(pnl_pct: np.ndarray) -> np.ndarray:
 
 
 def walk(steps: np.ndarray) -> tuple[float, float, float, float]:
-    """total, high, low and deepest: the last, highest (at least the start) and lowest level of a part, and its deepest fall below a peak of its own.
+    """What a part leaves, from its steps in order; a lane that is not full stays where it ends."""
+    missing = -len(steps) % LANE
+    return walked((np.pad(steps, (0, missing)) if missing else steps).reshape(1, -1, LANE).transpose(0, 2, 1))[0]
+
+
+def walked(lanes: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """total, high, low and deepest of each part: its last, highest (at least the start) and lowest level, and its deepest fall below a peak of its own.
 
-    Lanes of LANE steps are walked side by side and merge in order; a lane that is not full stays where it ends.
+    Parts and their lanes, by part and step of LANE steps, are walked side by side; the lanes of a part merge in order.
     """
-    missing = -len(steps) % LANE
-    lanes = (np.pad(steps, (0, missing)) if missing else steps).reshape(-1, LANE).T
-    level, high, low, deepest = np.zeros(lanes.shape[1]), np.zeros(lanes.shape[1]), np.full(lanes.shape[1], np.inf), np.zeros(lanes.shape[1])
+    many, _, width = lanes.shape
+    level, high, low, deepest = np.zeros((many, width)), np.zeros((many, width)), np.full((many, width), np.inf), np.zeros((many, width))
     fall = np.empty_like(level)
-    for step in lanes:
-        np.add(level, step, out=level)
+    for k in range(LANE):
+        np.add(level, lanes[:, k], out=level)
         np.maximum(high, level, out=high)
         np.minimum(low, level, out=low)
         np.minimum(deepest, np.subtract(level, high, out=fall), out=deepest)
-    ends = np.cumsum(level)
-    start = np.r_[0.0, ends[:-1]]
-    peak, low = np.maximum.accumulate(np.r_[0.0, start + high]), start + low
-    return float(ends[-1]), float(peak[-1]), float(low.min()), float(min(deepest.min(), (low - peak[:-1]).min()))
+    ends, peak = np.zeros((many, width + 1)), np.zeros((many, width + 1))
+    np.cumsum(level, axis=1, out=ends[:, 1:])
+    np.maximum.accumulate(ends[:, :-1] + high, axis=1, out=peak[:, 1:])
+    low += ends[:, :-1]
+    deepest = np.minimum(deepest, low - peak[:, :-1])
+    return list(zip(ends[:, -1].tolist(), peak[:, -1].tolist(), low.min(1).tolist(), deepest.min(1).tolist()))
 
 
 class Steps:
-    """The growth of numbered trades: a guide over the leading bits of a number tells it, but where two returns meet in a cell."""
+    """The growth of numbered trades: a guide over the leading bits of a number tells it, but where two returns meet in a cell; ``cells`` do so for the leading bits of a draw."""
 
     def __init__(self, pnl_pct: np.ndarray, ends: np.ndarray):
         """Distinct returns and, for each, the number after its last."""
@@ -144,14 +189,36 @@ class Steps:
         self.steps, self.ends = growth(pnl_pct), ends
         self.shift = max(0, (n - 1).bit_length() - min(22, max(14, len(ends).bit_length() + 6)))
         first = np.arange(((n - 1) >> self.shift) + 1) << self.shift
-        a, b = (np.searchsorted(ends, at, "right") for at in (first, np.minimum(first + (1 << self.shift), n) - 1))
-        self.guide = np.where(a == b, self.steps[a], np.nan)  # no growth is undefined
+        self.guide = self._between(first, np.minimum(first + (1 << self.shift), n) - 1)
+        head, rest = np.arange(1 << HEAD, dtype=np.uint64) << np.uint64(64 - HEAD), np.uint64((1 << 64 - HEAD) - 1)
+        self.cells = self._between(below(n, head), below(n, head | rest))
+
+    def _between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The growth of the numbers from first to last, undefined (as no growth is) where it is not one."""
+        a, b = (np.searchsorted(self.ends, at, "right") for at in (first, last))
+        return np.where(a == b, self.steps[a], np.nan)
 
     def put(self, at: np.ndarray, out: np.ndarray) -> None:
         out[:] = self.guide[at >> self.shift]
         if (left := np.isnan(out).nonzero()[0]).size:
             out[left] = self.steps[np.searchsorted(self.ends, at[left], "right")]
 
+    def lanes(self, drawn: Draws, simulation: int, part: int, many: int, out: np.ndarray) -> np.ndarray:
+        """The lanes of some parts of a size that are drawn with replacement, in ``out``."""
+        heads, first = drawn.heads(simulation, part, many)
+        own, lanes = out[: heads.size], out[: heads.size].reshape(heads.shape)
+        np.take(self.cells, heads, out=lanes, mode="wrap")  # every head has a cell; "raise" would copy
+        unknown = np.isnan(own)
+        if (some := unknown.view(np.uint64).nonzero()[0]).size:  # eight at a time, as few are unknown
+            left = (some[:, None] * 8 + np.arange(8)).ravel()
+            left = left[unknown[left]]
+            found = np.empty(len(left))
+            self.put(drawn.drawn(simulation, heads.ravel()[left], first + left), found)
+            own[left] = found
+        if missing := LANE * lanes.shape[2] - drawn.size(part):
+            lanes[:, LANE - missing :, -1] = 0  # a lane that is not full stays where it ends
+        return lanes
+
 
 def merged(parts: DataFrame) -> DataFrame:
     """simulation, level, deepest (and n_draws if parts have n): the parts of a path in order, a row each."""
@@ -174,14 +241,21 @@ def _held(values: DataFrame, drawn: Draws, simulations: int, tasks: int) -> Data
             return
         x = pd.concat(frames).sort_values("before_")
         task, steps = int(x["task"].iloc[0]), Steps(x["v_"].to_numpy(), (x["before_"] + x["c_"]).to_numpy())
-        own, rows = np.empty(min(drawn.block, drawn.n)), []
-        for item in range(task * items // tasks, (task + 1) * items // tasks):
+        item, last, rows = task * items // tasks, (task + 1) * items // tasks, []
+        own = np.empty(TOGETHER * -(-min(drawn.block, drawn.n) // LANE) * LANE)
+        while item < last:
             simulation, part = divmod(item, drawn.parts)
-            size = 0
-            for at in drawn.chunks(simulation, part):
-                steps.put(at, own[size : size + len(at)])
-                size += len(at)
-            rows.append((simulation, part, *walk(own[:size])))
+            if drawn.method == "bootstrap":
+                many = max(1, min(TOGETHER, last - item, drawn.parts - 1 - part))  # the last part of a path may be smaller
+                found = walked(steps.lanes(drawn, simulation, part, many, own))
+            else:
+                size = 0
+                for at in drawn.chunks(simulation, part):
+                    steps.put(at, own[size : size + len(at)])
+                    size += len(at)
+                found = [walk(own[:size])]
+            rows += [(simulation, part + k, *x) for k, x in enumerate(found)]
+            item += len(found)
         yield pd.DataFrame(rows, columns=COLUMNS)
 
     return sent.mapInPandas(run, PARTS)

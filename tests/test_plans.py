@@ -129,6 +129,48 @@ def test_draws_cost_little_of_a_core(spark):
     assert {r.n_draws for r in few} == {36_000_000}
 
 
+def test_bootstrap_costs_little_of_a_core(monkeypatch):
+    pnl, ends = np.arange(-30, 30) / 7, 600_000 * np.arange(1, 61)
+    drawn, steps, asked, real = monte_carlo.Draws(int(ends[-1])), monte_carlo.Steps(pnl, ends), [], monte_carlo.hashed
+    out = np.empty(8 * drawn.block)
+    for part, many in ((0, 3), (2, 8), (drawn.parts - 1, 1)):
+        at = np.concatenate([drawn.numbers(5, part + k) for k in range(many)])
+        lanes = steps.lanes(drawn, 5, part, many, out)
+        assert (lanes.transpose(0, 2, 1).ravel()[: len(at)] == monte_carlo.growth(pnl)[at // 600_000]).all()
+        assert lanes.transpose(0, 2, 1).ravel()[len(at) :].sum() == 0
+        assert abs(np.bincount(at // 600_000, minlength=60) - len(at) / 60).max() < 6 * (len(at) / 60) ** 0.5
+    monkeypatch.setattr(monte_carlo, "hashed", lambda key, places: asked.append(len(places)) or real(key, places))
+    rng = np.random.default_rng(1)
+
+    def seconds(run):
+        begin = time.process_time()
+        for k in range(8):
+            run(k)
+        return time.process_time() - begin
+
+    whole = seconds(lambda k: monte_carlo.walked(steps.lanes(drawn, k, 0, 8, out)))
+    assert 0 < sum(asked) < 0.002 * 8 * 8 * drawn.block
+    # in terms of numpy's bounded integers alone, which were a part of it: it took some six times as long as these
+    assert whole < 4 * seconds(lambda k: rng.integers(0, drawn.n, 8 * drawn.block))
+
+
+def test_bootstrap_draws_are_even(spark):
+    at = np.array([monte_carlo.Draws(12).path(k) for k in range(6000)])
+    for place in range(12):  # 500 each; six deviations
+        assert abs(np.bincount(at[:, place], minlength=12) - 500).max() < 6 * 500**0.5
+    pairs = np.bincount(at[:, 0] * 12 + at[:, 1], minlength=144)
+    assert len(pairs) == 144 and pairs.min() > 10 and pairs.max() < 85
+    x, rng = np.random.default_rng(2).integers(0, 1 << 64, 50, np.uint64), np.random.default_rng(3)
+    for n in (1, 2, 36_000_000, (1 << 32) - 1, (1 << 33) + 7, (1 << 62) + 5):
+        assert monte_carlo.below(n, x).tolist() == [int(v) * n >> 64 for v in x]
+    assert monte_carlo.hashed(np.uint64(1234567), np.arange(3)).tolist() == [6457827717110365317, 3203168211198807973, 9817491932198370423]  # of the generator's reference
+    pnl = np.sort(rng.normal(0, 3, 70_000))  # more returns than cells
+    rows = monte_carlo.simulate(None, 3, block=3000, values=spark.createDataFrame([(float(v), 1, k) for k, v in enumerate(pnl)], "v_ double, c_ long, before_ long").coalesce(1)).orderBy("simulation").collect()
+    for r in rows:
+        path = np.r_[0, np.cumsum(monte_carlo.growth(pnl)[monte_carlo.Draws(len(pnl), block=3000).path(r.simulation)])]
+        assert math.isclose(r.log_growth, path[-1], rel_tol=1e-9) and math.isclose(r.max_drawdown, math.expm1((path - np.maximum.accumulate(path)).min()) * 100, rel_tol=1e-9)
+
+
 def test_numbers_beyond_32_bits_are_permuted():
     n = (1 << 33) + 7
     at = monte_carlo.permuted(np.r_[np.arange(5000), np.arange(n - 5000, n)], n, [1, 2])
