@@ -99,7 +99,8 @@ def below(n: int, x: np.ndarray) -> np.ndarray:
     half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
     a, b, c, d = x >> half, x & low, np.uint64(n >> 32), np.uint64(n & 0xFFFFFFFF)
     e = a * d + (b * d >> half)
-    return (a * c + (e >> half) + (b * c + (e & low) >> half)).astype(np.int64)
+    out = a * c + (e >> half) + (b * c + (e & low) >> half) if c else e >> half
+    return out.astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -192,6 +193,7 @@ class Steps:
         self.guide = self._between(first, np.minimum(first + (1 << self.shift), n) - 1)
         head, rest = np.arange(1 << HEAD, dtype=np.uint64) << np.uint64(64 - HEAD), np.uint64((1 << 64 - HEAD) - 1)
         self.cells = self._between(below(n, head), below(n, head | rest))
+        self.crowded = np.isnan(self.cells).mean() > 0.5
 
     def _between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The growth of the numbers from first to last, undefined (as no growth is) where it is not one."""
@@ -206,15 +208,21 @@ class Steps:
     def lanes(self, drawn: Draws, simulation: int, part: int, many: int, out: np.ndarray) -> np.ndarray:
         """The lanes of some parts of a size that are drawn with replacement, in ``out``."""
         heads, first = drawn.heads(simulation, part, many)
-        own, lanes = out[: heads.size], out[: heads.size].reshape(heads.shape)
-        np.take(self.cells, heads, out=lanes, mode="wrap")  # every head has a cell; "raise" would copy
-        unknown = np.isnan(own)
-        if (some := unknown.view(np.uint64).nonzero()[0]).size:  # eight at a time, as few are unknown
-            left = (some[:, None] * 8 + np.arange(8)).ravel()
-            left = left[unknown[left]]
-            found = np.empty(len(left))
-            self.put(drawn.drawn(simulation, heads.ravel()[left], first + left), found)
-            own[left] = found
+        own, flat, lanes = out[: heads.size], heads.ravel(), out[: heads.size].reshape(heads.shape)
+        if self.crowded:
+            for at in range(0, heads.size, CHUNK):
+                some = np.arange(at, min(at + CHUNK, heads.size))
+                self.put(drawn.drawn(simulation, flat[at : at + CHUNK], first + some), own[at : at + CHUNK])
+        else:
+            np.take(self.cells, flat, out=own, mode="wrap")  # every head has a cell; "raise" would copy
+            unknown = np.isnan(own)
+            some = unknown.view(np.uint64).nonzero()[0]  # eight at a time, as few are unknown
+            for at in range(0, len(some), CHUNK // 8):
+                left = (some[at : at + CHUNK // 8, None] * 8 + np.arange(8)).ravel()
+                left = left[unknown[left]]
+                found = np.empty(len(left))
+                self.put(drawn.drawn(simulation, flat[left], first + left), found)
+                own[left] = found
         if missing := LANE * lanes.shape[2] - drawn.size(part):
             lanes[:, LANE - missing :, -1] = 0  # a lane that is not full stays where it ends
         return lanes
