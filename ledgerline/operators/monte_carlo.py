@@ -4,14 +4,16 @@ A simulation compounds a share of 1 / TOP_N of the equity in each drawn trade, i
 Trades are numbered by their return, equal returns next to each other, so the table of
 distinct returns with counts and first numbers stands for all trades. The number drawn at
 a position follows from (seed, simulation, position) alone: a generator of the path, moved
-on to a part of BLOCK positions, or a keyed permutation of the numbers. So parts of one path
+on to a part of BLOCK positions, or a keyed permutation of the numbers, whose rounds are tables of
+about a square root of n. So parts of one path
 are walked in tasks of their own, in any order and again after a loss. A part leaves its total, highest
 and lowest level and its own drawdown; these merge in order.
 
 A number drawn with replacement is n times a fraction of 64 bits, rounded down (its chance is
 1 / n to within 2 ** -64). The generator gives the leading HEAD bits, and these alone tell the
 return but where two returns meet in a cell; only there are the other bits, a hash of the
-place, made. Draws lie step by step of the lanes that walk them.
+place, made. Draws lie step by step of the lanes that walk them, those of a new order too: there
+the row a number is in tells the return but where two returns meet.
 
 Up to HOLD distinct returns go to every task. Beyond, drawn numbers go to the block of
 numbers they fall into and come back with returns: no task holds more than GROUP parts of
@@ -26,7 +28,7 @@ infinite return is no trade; equal returns are equal trades.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -43,7 +45,7 @@ SIMULATIONS, TOP_N, SEED = 2000, 5, 42
 BLOCK = 1 << 16  # positions of a part, and trade numbers of a block
 CHUNK = 1 << 14  # positions drawn at a time: arrays that stay in a core's cache
 LANE = 32  # steps of a part that are walked one by one
-TOGETHER = 8  # parts that are drawn and walked side by side
+TOGETHER = 4  # parts that are drawn and walked side by side
 HEAD = 16  # bits of a draw that its generator gives, the others are hashed
 GROUP = 32  # simulations whose draws from one block meet in one task
 HOLD = 1 << 22  # distinct returns that every task may hold (24 bytes each)
@@ -58,25 +60,40 @@ def _keys(key: tuple[int, ...], kind: type) -> np.ndarray:
     return np.random.default_rng(key).integers(0, np.iinfo(kind).max, ROUNDS, kind, endpoint=True)
 
 
-def permuted(places: np.ndarray, n: int, key: Sequence[int]) -> np.ndarray:
-    """Where a keyed permutation of 0 to n - 1 takes the places: a Feistel network over rows and columns of the least square that holds n, walked on until it is below n."""
+def _sides(n: int) -> tuple[int, int]:
+    """Rows and columns of numbers below n: a row are numbers that follow each other, only the last may reach beyond."""
     rows = math.isqrt(max(n - 1, 0)) + 1
-    columns = -(-n // rows)
-    kind, (c0, c1, s0, s1) = (np.uint32, (0x9E3779B1, 0x85EBCA77, 15, 16)) if n <= 1 << 31 else (np.uint64, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 29, 32))
-    sizes, c0, c1, s0, s1 = (kind(rows), kind(columns)), kind(c0), kind(c1), kind(s0), kind(s1)
+    return rows, -(-n // rows)
+
+
+def _shift(x: np.ndarray, own: np.integer, m: np.integer) -> np.ndarray:
+    """What a round of the permutation adds to the other half of a place: below m."""
+    c0, c1, s0, s1 = (0x9E3779B1, 0x85EBCA77, 15, 16) if x.dtype == np.uint32 else (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 29, 32)
+    c0, c1, s0, s1 = (x.dtype.type(v) for v in (c0, c1, s0, s1))
+    z, t = np.empty_like(x), np.empty_like(x)
+    np.multiply(np.bitwise_xor(x, own, out=z), c0, out=z)
+    np.bitwise_xor(z, np.right_shift(z, s0, out=t), out=z)
+    np.multiply(z, c1, out=z)
+    np.bitwise_xor(z, np.right_shift(z, s1, out=t), out=z)
+    return np.subtract(z, np.multiply(np.floor_divide(z, m, out=t), m, out=t), out=z)  # z mod m
+
+
+def _kind(n: int) -> type:
+    return np.uint32 if n <= 1 << 31 else np.uint64
+
+
+def permuted(places: np.ndarray, n: int, key: Sequence[int]) -> np.ndarray:
+    """Where a keyed permutation of 0 to n - 1 takes the places: a Feistel network over rows and columns of the least square that holds n, walked on until it is below n. Places run down the columns."""
+    kind = _kind(n)
+    sizes = [kind(m) for m in _sides(n)]
 
     def once(x: np.ndarray) -> np.ndarray:
-        a = x // sizes[1]
-        b = x - a * sizes[1]
-        z, t = np.empty_like(x), np.empty_like(x)
+        b = x // sizes[0]
+        a = x - b * sizes[0]
+        t = np.empty_like(x)
         for k, own in enumerate(_keys(tuple(key), kind)):
             (moved, other), m = ((a, b), (b, a))[k % 2], sizes[k % 2]
-            np.multiply(np.bitwise_xor(other, own, out=z), c0, out=z)
-            np.bitwise_xor(z, np.right_shift(z, s0, out=t), out=z)
-            np.multiply(z, c1, out=z)
-            np.bitwise_xor(z, np.right_shift(z, s1, out=t), out=z)
-            np.subtract(z, np.multiply(np.floor_divide(z, m, out=t), m, out=t), out=z)  # z mod m
-            np.add(moved, z, out=moved)
+            np.add(moved, _shift(other, own, m), out=moved)
             np.minimum(moved, np.subtract(moved, m, out=t), out=moved)  # below m, the difference wraps around and is greater
         return a * sizes[1] + b
 
@@ -86,6 +103,48 @@ def permuted(places: np.ndarray, n: int, key: Sequence[int]) -> np.ndarray:
     return x.astype(np.int64)
 
 
+class Order:
+    """``permuted`` for places that follow each other: what a round adds depends on one half of a place alone and is looked up.
+
+    Down a column the first round turns the rows and the second adds what lies in a row, so neither is looked up place by place. Halves are
+    not brought below their size after a round; a table is repeated as often as they may exceed it.
+    """
+
+    def __init__(self, n: int, key: Sequence[int]):
+        self.n, self.key, (self.rows, self.columns) = n, key, _sides(n)
+        sizes, kind = (self.rows, self.columns), _kind(n)
+        self.turns, added, *more = (_shift(np.arange(sizes[1 - k % 2], dtype=kind), own, kind(sizes[k % 2])).astype(np.int64) for k, own in enumerate(_keys(tuple(key), kind)))
+        self.added, self.row = np.tile(added, 2), np.tile(np.arange(self.rows), 2)
+        self.tables = [np.tile(x, times) for x, times in zip(more, (2, 2, 3, 3), strict=True)]
+        self.room = np.empty((3, CHUNK), np.int64)
+
+    def halves(self, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows, and columns before the last round, which leaves rows alone; both up to three times their size. Up to CHUNK places, good until the next call."""
+        a, b, z = self.room[:, :count]
+        at = 0
+        while at < count:
+            column, row = divmod(first + at, self.rows)
+            size, turn = min(self.rows - row, count - at), (row + int(self.turns[column])) % self.rows
+            a[at : at + size] = self.row[turn : turn + size]
+            np.add(self.added[turn : turn + size], column, out=b[at : at + size])
+            at += size
+        for k, (moved, other) in enumerate(((a, b), (b, a), (a, b))):
+            np.add(moved, np.take(self.tables[k], other, out=z, mode="wrap"), out=moved)  # no half is beyond its table; "raise" would copy
+        return a, b
+
+    def numbers(self, first: int, count: int) -> np.ndarray:
+        x = np.empty(count, np.int64)
+        for at in range(0, count, CHUNK):
+            a, b = self.halves(first + at, min(CHUNK, count - at))
+            x[at : at + CHUNK] = a % self.rows * self.columns + (b + self.tables[3][a]) % self.columns
+        if (out := (x >= self.n).nonzero()[0]).size:
+            x[out] = permuted(x[out], self.n, self.key)
+        return x
+
+
+order_of = lru_cache(2)(Order)
+
+
 def hashed(key: np.uint64, places: np.ndarray) -> np.ndarray:
     """64 bits for each place: what a SplitMix64 generator that starts at the key gives there."""
     x = (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + key
@@ -130,16 +189,21 @@ class Draws:
         """The numbers that are drawn at places of a path, with these heads."""
         return below(self.n, heads.astype(np.uint64) << np.uint64(64 - HEAD) | hashed(_keys((self.seed, simulation, 1), np.uint64)[0], places) >> np.uint64(HEAD))
 
-    def chunks(self, simulation: int, part: int) -> Iterator[np.ndarray]:
-        """The numbers of the trades at the positions of a part of a new order, CHUNK at a time."""
-        first, last = part * self.block, part * self.block + self.size(part)
-        for at in range(first, last, CHUNK):
-            yield permuted(np.arange(at, min(at + CHUNK, last)), self.n, [self.seed, simulation])
+    def laid(self, values: np.ndarray) -> np.ndarray:
+        """What is drawn at the places of a part of a new order by step of its lanes; a lane that is not full stays where it ends."""
+        width = -(-len(values) // LANE)
+        full = len(values) - (width - 1) * LANE  # steps of all lanes
+        if full == LANE:
+            return values.reshape(LANE, width)
+        lanes = np.zeros((LANE, width), values.dtype)
+        lanes[:full] = values[: full * width].reshape(full, width)
+        lanes[full:, : width - 1] = values[full * width :].reshape(LANE - full, width - 1)
+        return lanes
 
     def numbers(self, simulation: int, part: int) -> np.ndarray:
         """The numbers of the trades at the positions of a part."""
         if self.method == "shuffle":
-            return np.concatenate(list(self.chunks(simulation, part)))
+            return self.laid(order_of(self.n, (self.seed, simulation)).numbers(part * self.block, self.size(part))).T.ravel()[: self.size(part)]
         heads, first = self.heads(simulation, part)
         return self.drawn(simulation, heads, first + np.arange(heads.size).reshape(heads.shape))[0].T.ravel()[: self.size(part)]
 
@@ -160,19 +224,21 @@ def walk(steps: np.ndarray) -> tuple[float, float, float, float]:
     return walked((np.pad(steps, (0, missing)) if missing else steps).reshape(1, -1, LANE).transpose(0, 2, 1))[0]
 
 
-def walked(lanes: np.ndarray) -> list[tuple[float, float, float, float]]:
-    """total, high, low and deepest of each part: its last, highest (at least the start) and lowest level, and its deepest fall below a peak of its own.
-
-    Parts and their lanes, by part and step of LANE steps, are walked side by side; the lanes of a part merge in order.
-    """
-    many, _, width = lanes.shape
-    level, high, low, deepest = np.zeros((many, width)), np.zeros((many, width)), np.full((many, width), np.inf), np.zeros((many, width))
-    fall = np.empty_like(level)
-    for k in range(LANE):
-        np.add(level, lanes[:, k], out=level)
+def _levels(rows: Iterable[np.ndarray], shape: tuple[int, ...]) -> list[np.ndarray]:
+    """level, high, low and deepest of each lane, from its steps one by one."""
+    level, high, low, deepest = np.zeros(shape), np.zeros(shape), np.full(shape, np.inf), np.zeros(shape)
+    fall = np.empty(shape)
+    for row in rows:
+        np.add(level, row, out=level)
         np.maximum(high, level, out=high)
         np.minimum(low, level, out=low)
         np.minimum(deepest, np.subtract(level, high, out=fall), out=deepest)
+    return [level, high, low, deepest]
+
+
+def _ends(level: np.ndarray, high: np.ndarray, low: np.ndarray, deepest: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """The lanes of a part merge in order."""
+    many, width = level.shape
     ends, peak = np.zeros((many, width + 1)), np.zeros((many, width + 1))
     np.cumsum(level, axis=1, out=ends[:, 1:])
     np.maximum.accumulate(ends[:, :-1] + high, axis=1, out=peak[:, 1:])
@@ -181,6 +247,24 @@ def walked(lanes: np.ndarray) -> list[tuple[float, float, float, float]]:
     return list(zip(ends[:, -1].tolist(), peak[:, -1].tolist(), low.min(1).tolist(), deepest.min(1).tolist()))
 
 
+def walked(lanes: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """total, high, low and deepest of each part: its last, highest (at least the start) and lowest level, and its deepest fall below a peak of its own.
+
+    Parts and their lanes, by part and step of LANE steps, are walked side by side.
+    """
+    many, _, width = lanes.shape
+    return _ends(*_levels((lanes[:, k] for k in range(LANE)), (many, width)))
+
+
+def _undefined(x: np.ndarray) -> np.ndarray:
+    """Where there are no numbers: eight at a time, as they are few."""
+    there = np.isnan(x)
+    if len(x) % 8:
+        return there.nonzero()[0]
+    left = (there.view(np.uint64).nonzero()[0][:, None] * 8 + np.arange(8)).ravel()
+    return left[there[left]]
+
+
 class Steps:
     """The growth of numbered trades: a guide over the leading bits of a number tells it, but where two returns meet in a cell; ``cells`` do so for the leading bits of a draw."""
 
@@ -193,7 +277,13 @@ class Steps:
         self.guide = self._between(first, np.minimum(first + (1 << self.shift), n) - 1)
         head, rest = np.arange(1 << HEAD, dtype=np.uint64) << np.uint64(64 - HEAD), np.uint64((1 << 64 - HEAD) - 1)
         self.cells = self._between(below(n, head), below(n, head | rest))
-        self.crowded = np.isnan(self.cells).mean() > 0.5
+        unknown = np.isnan(self.cells).mean()
+        self.crowded, self.rare = unknown > 0.5, unknown * LANE < 0.25
+        rows, columns = _sides(n)
+        first = np.arange(rows) * columns
+        own = self._between(np.minimum(first, n - 1), np.minimum(first + columns, n) - 1)
+        self.rows = np.tile(np.where(first + columns > n, np.nan, own), 3)  # as often as ``Order.halves`` may exceed them
+        self.mixed = np.isnan(own).mean() > 0.05
 
     def _between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The growth of the numbers from first to last, undefined (as no growth is) where it is not one."""
@@ -227,6 +317,43 @@ class Steps:
             lanes[:, LANE - missing :, -1] = 0  # a lane that is not full stays where it ends
         return lanes
 
+    def new_order(self, drawn: Draws, simulation: int, part: int, many: int, out: np.ndarray) -> np.ndarray:
+        """The lanes of some parts of a size of a new order, in ``out``; several only if their lanes are full."""
+        new, first = order_of(drawn.n, (drawn.seed, simulation)), part * drawn.block
+        own = out[: many * drawn.size(part)]
+        for at in range(0, len(own), CHUNK):
+            some = own[at : at + CHUNK]
+            if self.mixed:
+                self.put(new.numbers(first + at, len(some)), some)
+            else:
+                np.take(self.rows, new.halves(first + at, len(some))[0], out=some, mode="wrap")
+        if not self.mixed and (left := _undefined(own)).size:
+            found = np.empty(len(left))
+            self.put(permuted(first + left, drawn.n, (drawn.seed, simulation)), found)
+            own[left] = found
+        return own.reshape(many, LANE, -1) if many > 1 else drawn.laid(own)[None]
+
+    def walked(self, drawn: Draws, simulation: int, part: int, many: int, out: np.ndarray) -> list[tuple[float, float, float, float]]:
+        """What some parts of a size leave; ``out`` has room for their steps."""
+        if drawn.method == "shuffle":
+            return walked(self.new_order(drawn, simulation, part, many, out))
+        if not self.rare or drawn.size(part) % LANE:
+            return walked(self.lanes(drawn, simulation, part, many, out))
+        heads, first = drawn.heads(simulation, part, many)
+        row, width = out[: many * heads.shape[2]].reshape(many, -1), heads.shape[2]
+        found = _levels((np.take(self.cells, heads[:, k], out=row, mode="wrap") for k in range(LANE)), row.shape)
+        part, lane = np.isnan(found[0]).nonzero()  # lanes with an unknown step, few, are walked again
+        if part.size:
+            some = heads[part, :, lane]
+            steps = self.cells[some]
+            k, step = np.isnan(steps).nonzero()
+            known = np.empty(len(k))
+            self.put(drawn.drawn(simulation, some[k, step], first + (part[k] * LANE + step) * width + lane[k]), known)
+            steps[k, step] = known
+            for x, again in zip(found, _levels(np.ascontiguousarray(steps.T), part.shape)):
+                x[part, lane] = again
+        return _ends(*found)
+
 
 def merged(parts: DataFrame) -> DataFrame:
     """simulation, level, deepest (and n_draws if parts have n): the parts of a path in order, a row each."""
@@ -253,15 +380,8 @@ def _held(values: DataFrame, drawn: Draws, simulations: int, tasks: int) -> Data
         own = np.empty(TOGETHER * -(-min(drawn.block, drawn.n) // LANE) * LANE)
         while item < last:
             simulation, part = divmod(item, drawn.parts)
-            if drawn.method == "bootstrap":
-                many = max(1, min(TOGETHER, last - item, drawn.parts - 1 - part))  # the last part of a path may be smaller
-                found = walked(steps.lanes(drawn, simulation, part, many, own))
-            else:
-                size = 0
-                for at in drawn.chunks(simulation, part):
-                    steps.put(at, own[size : size + len(at)])
-                    size += len(at)
-                found = [walk(own[:size])]
+            many = max(1, min(TOGETHER if drawn.block % LANE == 0 else 1, last - item, drawn.parts - 1 - part))  # the last part of a path may be smaller
+            found = steps.walked(drawn, simulation, part, many, own)
             rows += [(simulation, part + k, *x) for k, x in enumerate(found)]
             item += len(found)
         yield pd.DataFrame(rows, columns=COLUMNS)
@@ -346,7 +466,7 @@ def happened(trades: DataFrame, on: str, ties: Sequence[str] = (), ranges: int |
 def bands(simulated: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """n_simulations, bands of 100 * log_growth and of max_drawdown, the chance of a loss; with ``known`` (one row of ``happened``) also its ranks.
 
-    Bands of logarithms stay finite where total_return is beyond a double; the logarithm keeps the order of returns, so ranks and chances are those of total_return. Growths that agree to nine digits are equal:
+    Bands of logarithms stay finite where total_return is beyond a double; the logarithm keeps the order of returns, so ranks and chances are those of total_return. Growths that agree to nine digits (decimals, below 1) are equal:
     another order of the same trades has no other return, and its rank says nothing.
     """
     r, d = F.col("log_growth") * 100, F.col("max_drawdown")
@@ -355,5 +475,5 @@ def bands(simulated: DataFrame, known: DataFrame | None = None) -> DataFrame:
     x = simulated
     if known is not None:
         x = x.crossJoin(F.broadcast(known.select(F.col("log_growth").alias("known_"), F.col("max_drawdown").alias("known_drawdown_"))))  # one row
-        own |= {"known_return_percentile": F.count_if(F.round("log_growth", 9) < F.round("known_", 9)) / F.count("*") * 100, "known_drawdown_percentile": F.count_if(d < F.col("known_drawdown_")) / F.count("*") * 100}
+        own |= {"known_return_percentile": F.count_if(F.col("log_growth") < F.col("known_") - 1e-9 * F.greatest(F.abs("known_"), F.lit(1.0))) / F.count("*") * 100, "known_drawdown_percentile": F.count_if(d < F.col("known_drawdown_")) / F.count("*") * 100}
     return x.agg(F.count("*").alias("n_simulations"), *[F.round(c, 2).alias(k) for k, c in own.items()])

@@ -154,6 +154,40 @@ def test_bootstrap_costs_little_of_a_core(monkeypatch):
     assert whole < 4 * seconds(lambda k: rng.integers(0, drawn.n, 8 * drawn.block))
 
 
+def test_new_orders_are_looked_up():
+    for n in (1, 2, 3, 60, 64, 65, 1000, 99_991):
+        assert (monte_carlo.Order(n, (1, n)).numbers(0, n) == monte_carlo.permuted(np.arange(n), n, (1, n))).all()
+    for n in (216_000_000, (1 << 33) + 7):
+        assert (monte_carlo.Order(n, (1, 2)).numbers(n - 40_000, 40_000) == monte_carlo.permuted(np.arange(n - 40_000, n), n, (1, 2))).all()
+    rng, out = np.random.default_rng(1), np.empty(8 * monte_carlo.BLOCK)
+    for distinct, n in ((42, 700_001), (5000, 700_001), (1, 70_000)):  # few rows of numbers hold two returns, most do
+        pnl, ends = np.sort(rng.normal(0, 3, distinct)), np.linspace(n / distinct, n, distinct).astype(np.int64)
+        steps = monte_carlo.Steps(pnl, ends)
+        for method in ("bootstrap", "shuffle"):
+            drawn = monte_carlo.Draws(n, 7, method)
+            found = [x for part, many in ((0, drawn.parts - 1), (drawn.parts - 1, 1)) for x in steps.walked(drawn, 3, part, min(many, 8), out)]
+            wanted = [monte_carlo.walk(monte_carlo.growth(pnl)[np.searchsorted(ends, drawn.numbers(3, part), "right")]) for part in [*range(min(drawn.parts - 1, 8)), drawn.parts - 1]]
+            assert found == wanted
+    pnl, ends = np.arange(-30, 30) / 7, 3_600_000 * np.arange(1, 61)
+    drawn, steps = monte_carlo.Draws(int(ends[-1]), method="shuffle"), monte_carlo.Steps(pnl, ends)
+
+    def seconds(run):
+        run(0)
+        begin = time.process_time()
+        for k in range(6):
+            run(k)
+        return time.process_time() - begin
+
+    # in terms of a permutation whose rounds are computed: a walk along a new order took longer than that alone
+    assert seconds(lambda k: steps.walked(drawn, 1, 8 * k, 8, out)) < 0.7 * seconds(lambda k: monte_carlo.permuted(np.arange(len(out)) + k, drawn.n, (1, 1)))
+
+
+def test_growth_of_another_order_is_no_less(spark):
+    paths = spark.createDataFrame([(7091.444012345678, -1.0), (7091.444012343, -3.0), (7090.0, -1.0), (7092.0, -1.0)], "log_growth double, max_drawdown double")
+    known = spark.createDataFrame([(7091.444012345, -2.0)], "log_growth double, max_drawdown double")
+    assert monte_carlo.bands(paths, known).first().known_return_percentile == 25.0
+
+
 def test_bootstrap_draws_are_even(spark):
     at = np.array([monte_carlo.Draws(12).path(k) for k in range(6000)])
     for place in range(12):  # 500 each; six deviations
