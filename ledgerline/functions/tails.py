@@ -56,9 +56,16 @@ def required_periods(alpha: float | None, sd: float, size: float = 0.05, power:
 
 
 def wilcoxon(n: int, rank_sum: float, ties: float) -> float | None:
-    """Two-sided p-value of the signed-rank test, normal approximation: ``rank_sum`` of the positive ones, ``ties`` the sum of t^3 - t."""
+    """Two-sided p-value of the signed-rank test: ``rank_sum`` of the positive ones, ``ties`` the sum of t^3 - t. Exact up to 50 without ties, else the normal approximation."""
     if n <= 10:
         return None
+    if n <= 50 and not ties:
+        ways = [1] + [0] * (n * (n + 1) // 2)  # of choosing ranks with a sum
+        for rank in range(1, n + 1):
+            for at in range(len(ways) - 1, rank - 1, -1):
+                ways[at] += ways[at - rank]
+        at = round(rank_sum)
+        return min(1.0, 2 * min(sum(ways[: at + 1]), sum(ways[at:])) / 2**n)
     sd = math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
     return 2 * normal_tail(abs(rank_sum - n * (n + 1) / 4) / sd) if sd > 0 else None
 

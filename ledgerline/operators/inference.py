@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,15 +18,20 @@ from .timeline import asof
 PARTS = 48  # tasks that the draws of a bootstrap are dealt to, at most
 
 
+def _own(trades: DataFrame, value: str) -> DataFrame:
+    """Trades with a value and a date of entry."""
+    return trades.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col("entry_date").isNotNull())
+
+
 def clusters(trades: DataFrame, by: str = "month", value: str = "pnl_pct") -> DataFrame:
     """cluster, n, total: one row for each month (quarter, year, date) of entry."""
-    own = trades.where(F.col(value).isNotNull() & F.col("entry_date").isNotNull())
+    own = _own(trades, value)
     return own.groupBy(period_key(F.col("entry_date"), by).alias("cluster")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
 
 
 def cluster_test(trades: DataFrame, by: str = "month", value: str = "pnl_pct", digits: int | None = 6) -> DataFrame:
     """One row: n, n_clusters, mean, sd, se_naive, t_naive, se_cluster, t_cluster, design_effect, n_eff; rounded unless ``digits`` is None."""
-    own = trades.where(F.col(value).isNotNull() & F.col("entry_date").isNotNull())
+    own = _own(trades, value)
     whole = own.agg(F.count("*").alias("all_n"), F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"))
     u = F.col("total") - F.col("mu") * F.col("n")
     x = clusters(trades, by, value).crossJoin(F.broadcast(whole)).groupBy("all_n", "mu", "sd").agg(F.count("*").alias("g"), F.sum(u * u).alias("uu"))  # one row
@@ -36,6 +42,24 @@ def cluster_test(trades: DataFrame, by: str = "month", value: str = "pnl_pct", d
     return x.select(F.col("all_n").alias("n"), F.col("g").alias("n_clusters"), *[(c if digits is None else F.round(c, digits)).alias(k) for k, c in own_.items()])
 
 
+def without_best(trades: DataFrame, by: str = "month", value: str = "pnl_pct", ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
+    """k, mean, t_cluster: the clustered test without the k best trades, a row for each k that leaves more than five. Of equal trades the earliest go first."""
+    spark, best_first = trades.sparkSession, [F.desc("v_"), F.asc("entry_date")]  # equal trades of a day are of one cluster
+    best = _own(trades, value).select(F.col(value).cast("double").alias("v_"), "entry_date", period_key(F.col("entry_date"), by).alias("cluster")).orderBy(*best_first).limit(max(ks))
+    best = best.withColumn("place_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*best_first)))  # as many rows as the largest k
+    wanted = F.broadcast(spark.createDataFrame([(k,) for k in ks], "k long"))
+    gone = best.join(wanted, F.col("place_") <= F.col("k")).groupBy("k", "cluster").agg(F.count("*").alias("gone_"), F.sum("v_").alias("lost_"))
+    x = clusters(trades, by, value).crossJoin(wanted).join(F.broadcast(gone), ["k", "cluster"], "left")
+    n, total = F.col("n") - F.coalesce("gone_", F.lit(0)), F.col("total") - F.coalesce("lost_", F.lit(0.0))
+    x = x.select("k", n.alias("n"), F.when(n > 0, total).otherwise(0.0).alias("total"))  # a row for each period of entry and k
+    w = Window.partitionBy("k")
+    x = x.withColumns({"all_n": F.sum("n").over(w), "mu": F.try_divide(F.sum("total").over(w), F.sum("n").over(w))}).where("all_n > 5 and n > 0")
+    u = F.col("total") - F.col("mu") * F.col("n")
+    x = x.groupBy("k", "all_n", "mu").agg(F.count("*").alias("g"), F.sum(u * u).alias("uu"))
+    var = F.when(F.col("g") > 1, F.col("g") / (F.col("g") - 1) * F.col("uu") / (F.col("all_n") * F.col("all_n")))
+    return x.select("k", F.col("mu").alias("mean"), F.try_divide("mu", F.sqrt(var)).alias("t_cluster"))
+
+
 def drawn(seed: int, *what: Column) -> Column:
     """A number from 0 below 2^32 that seed and columns fix, in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *what)), 1, 8), 16, 10).cast("long")
@@ -64,10 +88,11 @@ def bootstrap_summary(draws: DataFrame, column: str = "mean") -> DataFrame:
     return draws.agg(F.percentile(column, 0.025).alias("ci_low"), F.percentile(column, 0.975).alias("ci_high"), below.alias("prob_le_0"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p_value"))
 
 
-def shape(trades: DataFrame, value: str = "pnl_pct") -> DataFrame:
+def shape(trades: DataFrame, value: str = "pnl_pct", rounded: bool = True) -> DataFrame:
     """n, median, win_rate, skew and excess kurtosis of the population."""
-    x = trades.agg(F.count(value).alias("n"), F.round(F.count_if(F.col(value) > 0) / F.count(value) * 100, 4).alias("win_rate"), F.round(F.skewness(value), 6).alias("skew"), F.round(F.kurtosis(value), 6).alias("excess_kurtosis"))
-    return x.crossJoin(order.quantiles(trades, value, {"median": 0.5})).select("n", F.round("median", 4).alias("median"), "win_rate", "skew", "excess_kurtosis")  # one row each
+    to = F.round if rounded else lambda c, _: F.col(c) if isinstance(c, str) else c
+    x = trades.agg(F.count(value).alias("n"), to(F.count_if(F.col(value) > 0) / F.count(value) * 100, 4).alias("win_rate"), to(F.skewness(value), 6).alias("skew"), to(F.kurtosis(value), 6).alias("excess_kurtosis"))
+    return x.crossJoin(order.quantiles(trades, value, {"median": 0.5})).select("n", to("median", 4).alias("median"), "win_rate", "skew", "excess_kurtosis")  # one row each
 
 
 def signed_ranks(trades: DataFrame, value: str = "pnl_pct") -> DataFrame:
@@ -77,15 +102,28 @@ def signed_ranks(trades: DataFrame, value: str = "pnl_pct") -> DataFrame:
     return x.agg(F.sum("c_").alias("n"), F.sum(F.col("rank_") * F.col("p")).alias("rank_sum"), F.sum(F.pow("c_", F.lit(3)) - F.col("c_")).alias("ties"))
 
 
-def trade_significance(trades: DataFrame, by: str = "month", value: str = "pnl_pct", draws: int = 10_000, seed: int = 42) -> dict[str, float]:
-    """The tests in one: statistics from the executors, p-values here. Raises for fewer than five trades."""
-    trades = kept(trades.select("entry_date", value), "trades")  # the tests read them some ten times
-    core = cluster_test(trades, by, value).first()
+def trade_significance(trades: DataFrame, by: str = "month", value: str = "pnl_pct", draws: int = 10_000, seed: int = 42, ks: Sequence[int] = (1, 3, 5, 10), share: float = 0.05) -> dict[str, float]:
+    """The tests in one: statistics from the executors, p-values here. Raises for fewer than five trades.
+
+    ``mean_excl_top{k}`` and ``t_cluster_excl_top{k}`` are those of ``without_best``, ``share_of_total_pnl_top{k}`` is what the k largest profits
+    (``pnl``) have in all; None where no more than five trades are left.
+    """
+    paid = "pnl" in trades.columns
+    trades = kept(_own(trades, value).select("entry_date", *dict.fromkeys([value, "pnl"] if paid else [value])), "trades")  # the tests read them some ten times
+    core = cluster_test(trades, by, value, None).first()
     if core is None or core["n"] < 5:
         raise ValueError("five trades or more are needed")
     out = core.asDict() | {"p_naive": tails.t_two_sided(core["t_naive"], core["n"] - 1), "p_cluster": tails.t_two_sided(core["t_cluster"], core["n_clusters"] - 1)}
     w = signed_ranks(trades, value).first()
-    return out | shape(trades, value).first().asDict() | bootstrap_summary(cluster_bootstrap(trades, by, value, draws, seed)).first().asDict() | {"p_wilcoxon": tails.wilcoxon(w["n"], w["rank_sum"], w["ties"]) if w["n"] else None}
+    out |= shape(trades, value, False).first().asDict() | {"trimmed_mean": order.trimmed_mean(trades, value, share).first()["trimmed"]}
+    out |= bootstrap_summary(cluster_bootstrap(trades, by, value, draws, seed)).first().asDict() | {"p_wilcoxon": tails.wilcoxon(w["n"], w["rank_sum"], w["ties"]) if w["n"] else None}
+    left = {r["k"]: r for r in without_best(trades, by, value, ks).collect()}
+    total = trades.agg(F.sum("pnl")).first()[0] if paid else None
+    gains = [r[0] for r in trades.select("pnl").orderBy(F.desc_nulls_last("pnl")).limit(max(ks)).collect()] if total else []
+    for k in ks:
+        r = left.get(k)
+        out |= {f"mean_excl_top{k}": r and r["mean"], f"t_cluster_excl_top{k}": r and r["t_cluster"], f"share_of_total_pnl_top{k}": sum(x or 0 for x in gains[:k]) / total if r and total else None}
+    return out
 
 
 def paired_returns(equity: DataFrame, benchmark: DataFrame, periods: int = 12, rf: float = 0.0) -> DataFrame:

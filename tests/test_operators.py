@@ -1,6 +1,7 @@
 """The operators against plain Python on seeded walks."""
 
 import datetime
+import itertools
 import math
 import warnings
 
@@ -332,6 +333,39 @@ def test_tails_and_normals(spark):
         assert abs(r.p - 0.5 * math.erfc(-r.x / math.sqrt(2))) < 8e-8
 
 
+def test_trade_significance_is_whole(spark):
+    r = np.random.default_rng(6)
+    days = [datetime.date(2001, 1, 1) + datetime.timedelta(days=int(d)) for d in r.integers(0, 300, 60)]
+    x, pnl = np.round(r.normal(0.5, 3, 60), 1), np.round(r.normal(5, 90, 60), 2)
+    x[:4], days[:4] = 9.5, [datetime.date(2003, 1, 9), datetime.date(2001, 2, 1), datetime.date(2001, 2, 1), datetime.date(2001, 5, 3)]  # the best are equal
+    x[4], days[4] = 30.0, datetime.date(2004, 4, 4)  # the best is alone in its month
+    rows = [(d, float(a), float(b)) for d, a, b in zip(days, x, pnl)] + [(None, 1000.0, 5000.0), (days[0], math.nan, 7000.0), (days[0], None, 1.0)]
+    got = V.trade_significance(spark.createDataFrame(rows, "entry_date date, pnl_pct double, pnl double").repartition(3), draws=50)
+
+    def tested(v, d):
+        key = np.array([(k.year, k.month) for k in d])
+        u = [(v[(key == k).all(1)] - v.mean()).sum() for k in {tuple(k) for k in key}]
+        return v.mean(), v.mean() / (math.sqrt(len(u) / (len(u) - 1) * sum(a * a for a in u)) / len(v)), len(u)
+
+    mean, t, g = tested(x, days)
+    assert got["n"] == 60 and got["n_clusters"] == g and math.isclose(got["t_cluster"], t, rel_tol=1e-9) and math.isclose(got["p_cluster"], tails.t_two_sided(t, g - 1), rel_tol=1e-7)
+    assert math.isclose(got["median"], np.median(x)) and math.isclose(got["trimmed_mean"], np.sort(x)[3:-3].mean()) and math.isclose(got["win_rate"], (x > 0).mean() * 100)
+    assert math.isclose(got["skew"], ((x - mean) ** 3).mean() / x.std() ** 3) and math.isclose(got["excess_kurtosis"], ((x - mean) ** 4).mean() / x.std() ** 4 - 3)
+    nz = x[x != 0]
+    ranks = pd.Series(np.abs(nz)).rank().to_numpy()
+    assert math.isclose(got["p_wilcoxon"], tails.wilcoxon(len(nz), ranks[nz > 0].sum(), sum(c**3 - c for c in pd.Series(np.abs(nz)).value_counts())))
+    by = sorted(range(60), key=lambda i: (-x[i], days[i]))
+    for k in (1, 3, 5, 10):
+        rest = sorted(by[k:])
+        m, t, _ = tested(x[rest], [days[i] for i in rest])
+        assert math.isclose(got[f"mean_excl_top{k}"], m) and math.isclose(got[f"t_cluster_excl_top{k}"], t, rel_tol=1e-9)
+        assert math.isclose(got[f"share_of_total_pnl_top{k}"], np.sort(pnl)[::-1][:k].sum() / pnl.sum())
+    few = V.trade_significance(spark.createDataFrame(rows[5:13], "entry_date date, pnl_pct double, pnl double").drop("pnl"), draws=5)
+    assert few["mean_excl_top1"] is not None and few["mean_excl_top3"] is None and few["share_of_total_pnl_top1"] is None
+    signs = np.array(list(itertools.product((0, 1), repeat=11))) @ np.arange(1, 12)
+    assert math.isclose(tails.wilcoxon(11, 50.0, 0), 2 * (signs >= 50).mean()) and tails.wilcoxon(11, 33.0, 0) == 1.0
+
+
 def test_inference(spark):
     r = np.random.default_rng(1)
     rows = [(datetime.date(2000, 1, 1) + datetime.timedelta(days=int(d)), float(x), float(10 * x)) for d, x in zip(r.integers(0, 900, 400), np.round(r.normal(0.4, 3, 400), 1))]
